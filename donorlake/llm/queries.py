@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from .op01_wavelet import op1_wavelet
+from . import op01_wavelet, op02_packing, op03_lines, op06_pieces, op07_chat
 
-QUERIES = {f.__name__: f for f in (op1_wavelet,)}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_wavelet": op01_wavelet.op1_wavelet,
+    "op2_packing": op02_packing.op2_packing,
+    "op3_line_dedup": op03_lines.op3_line_dedup,
+    "op6_pieces": op06_pieces.op6_pieces,
+    "op7_chat": op07_chat.op7_chat,
+}
+ORACLES: dict[str, str] = {"op3_line_dedup": op03_lines.ORACLE, "op7_chat": op07_chat.ORACLE}
