@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op01_wavelet, op02_packing, op03_lines, op06_pieces, op07_chat
+from . import op01_wavelet, op02_packing, op03_lines, op06_pieces, op07_chat, op08_warc, op09_topk, op10_simhash
 
 QUERIES = {
     "op1_wavelet": op01_wavelet.op1_wavelet,
@@ -10,5 +10,13 @@ QUERIES = {
     "op3_line_dedup": op03_lines.op3_line_dedup,
     "op6_pieces": op06_pieces.op6_pieces,
     "op7_chat": op07_chat.op7_chat,
+    "op8_warc": op08_warc.op8_warc,
+    "op9_topk": op09_topk.op9_topk,
+    "op10_simhash": op10_simhash.op10_simhash,
+}
+ORACLES: dict[str, str] = {
+    "op3_line_dedup": op03_lines.ORACLE,
+    "op7_chat": op07_chat.ORACLE,
+    "op8_warc": op08_warc.ORACLE,
+    "op9_topk": op09_topk.ORACLE,
 }
-ORACLES: dict[str, str] = {"op3_line_dedup": op03_lines.ORACLE, "op7_chat": op07_chat.ORACLE}
