@@ -180,6 +180,27 @@ def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     return docs.join(maps, docs["doc_id"].cast("long").eqNullSafe(maps["_doc"]) & (text_hash == maps["_th"]), "left").drop("_doc", "_th")
 
 
+
+def without_repeats(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = True) -> DataFrame:
+    """``docs`` with the texts' kept lines (and n_chars of them); all other columns and rows stay."""
+    both = with_bitmaps(docs, common.materialize(keep_bitmaps(docs, min_docs, MIN_LENGTH, keep_first), "keep-bitmaps"))
+    at, names = docs.columns.index("text"), docs.columns
+
+    def work(batches):
+        for b in batches:
+            texts, cols = b.column(at).to_pylist(), list(b.columns[:-1])
+            maps = b.column(len(names)).to_pylist()
+            left = [t if t is None or m is None else kept_text(t.encode(), m)[0].decode() for t, m in zip(texts, maps)]
+            cols[at] = pa.array(left, cols[at].type)
+            if "n_chars" in names:
+                k = names.index("n_chars")
+                old = b.column(k).to_pylist()
+                cols[k] = pa.array([n if m is None else len(t or "") for n, t, m in zip(old, left, maps)], cols[k].type)
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return both.select(*(docs[c] for c in names), "_bitmap").mapInArrow(work, docs.schema)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text")
     bitmaps = common.materialize(keep_bitmaps(docs), "keep-bitmaps")
