@@ -173,17 +173,18 @@ def kept_text(text: bytes, bitmap: bytes | None) -> tuple[bytes, int, int]:
     return b"\n".join(left), len(lines), len(lines) - len(left)
 
 
-def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with their bitmap (null: nothing is dropped)."""
-    maps = bitmaps.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_th"), F.col("bitmap").alias("_bitmap"))
-    text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    return docs.join(maps, docs["doc_id"].cast("long").eqNullSafe(maps["_doc"]) & (text_hash == maps["_th"]), "left").drop("_doc", "_th")
-
+def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with their bitmap (null: nothing is dropped) as a last column, and its name."""
+    name = common.fresh(docs, "bitmap")
+    maps = bitmaps.select(F.col("doc_id").alias("map_doc"), F.col("text_hash").alias("map_hash"), F.col("bitmap").alias("map_bits"))
+    text_hash = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    both = docs.join(maps, docs["doc_id"].cast("long").eqNullSafe(maps["map_doc"]) & (text_hash == maps["map_hash"]), "left")
+    return both.select(*(docs[c] for c in docs.columns), maps["map_bits"].alias(name)), name
 
 
 def without_repeats(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = True) -> DataFrame:
     """``docs`` with the texts' kept lines (and n_chars of them); all other columns and rows stay."""
-    both = with_bitmaps(docs, common.materialize(keep_bitmaps(docs, min_docs, MIN_LENGTH, keep_first), "keep-bitmaps"))
+    both, _ = with_bitmaps(docs, common.materialize(keep_bitmaps(docs, min_docs, MIN_LENGTH, keep_first), "keep-bitmaps"))
     at, names = docs.columns.index("text"), docs.columns
 
     def work(batches):
@@ -198,13 +199,14 @@ def without_repeats(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool
                 cols[k] = pa.array([n if m is None else len(t or "") for n, t, m in zip(old, left, maps)], cols[k].type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return both.select(*(docs[c] for c in names), "_bitmap").mapInArrow(work, docs.schema)
+    return both.mapInArrow(work, docs.schema)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text")
     bitmaps = common.materialize(keep_bitmaps(docs), "keep-bitmaps")
-    both = with_bitmaps(docs, bitmaps).select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), "_bitmap")
+    both, name = with_bitmaps(docs, bitmaps)
+    both = both.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), name)
 
     def digest(batches):
         for b in batches:

@@ -31,7 +31,6 @@ DISTANCE = 3
 SEGMENTS = 2
 SEED = 42
 DENSE = 4096
-_SEPARATORS = b"\x0b\x0c\r\n\t "
 
 
 def fingerprint(text: bytes, words: int, seed: int = SEED) -> int:
@@ -473,7 +472,8 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
     text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     left = docs.join(_small(gone), docs["doc_id"].cast("long").eqNullSafe(gone["_doc"]) & (text_hash == gone["_th"]), "left_anti")
     if not groups.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():  # rows that repeat id and text
-        left = left.withColumn("_th", F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).dropDuplicates(["doc_id", "_th"]).drop("_th")
+        name = common.fresh(left, "text_hash")
+        left = left.withColumn(name, F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).dropDuplicates(["doc_id", name]).drop(name)
     return left
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import op01_wavelet, op02_packing, op03_lines, op05_language, op06_pieces, op07_chat, op08_warc, op09_topk, op10_simhash
+from . import op01_wavelet, op02_packing, op03_lines, op04_media, op05_language, op06_pieces, op07_chat, op08_warc, op09_topk, op10_simhash
 
 QUERIES = {
     "op1_wavelet": op01_wavelet.op1_wavelet,
     "op2_packing": op02_packing.op2_packing,
     "op3_line_dedup": op03_lines.op3_line_dedup,
+    "op4_media": op04_media.op4_media,
     "op5_language": op05_language.op5_language,
     "op6_pieces": op06_pieces.op6_pieces,
     "op7_chat": op07_chat.op7_chat,
