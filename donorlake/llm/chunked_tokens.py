@@ -111,7 +111,7 @@ class Pool:
         if len(self.row) > MAX_CHUNKS:
             self._forget()
         parts: list = [None] * len(texts)
-        marked = pc.match_substring_regex(texts, "[\\x00-\\x02]").to_numpy(zero_copy_only=False)
+        marked = pc.match_substring_regex(texts, "[\\x00-\\x04]").to_numpy(zero_copy_only=False)
         left, odd = np.flatnonzero(~marked), np.flatnonzero(marked)
         for cut in self.cuts():
             if not len(left):
@@ -182,21 +182,28 @@ class TokenizerFile(Pool):
     def cuts(self):
         return {"attached": [lambda t: self._attached(t, True), lambda t: self._attached(t, False)], "dropped": [lambda t: self._dropped(t, True), lambda t: self._dropped(t, False)], "whole": []}[self.kind]
 
-    # Marks in chunks: NUL in front = no space before it; \1 alone = end of the text; \2 behind = cut at spaces and newlines only.
+    # Marks in chunks: NUL in front = no space before it; \1 alone = end of the text; \2 behind = cut at spaces and newlines only;
+    # \3 in front = a point or comma that was cut off a word (one that stands alone has no certain border).
     def _attached(self, t: pa.Array, points: bool) -> pa.ListArray:
         t = pc.binary_join_element_wise("\0", t, " \1", "")
         t = pc.replace_substring(t, "\n", " \0\n \0")
         t = pc.replace_substring(t, " \0 \1", " \1")
         if points:
-            t = pc.replace_substring(pc.replace_substring(t, ". ", " \0. "), ", ", " \0, ")
+            t = self._points(t)
         else:
             t = pc.replace_substring(t, " ", "\2 ")
         return pc.split_pattern(t, " ")
 
+    @staticmethod
+    def _points(t: pa.Array) -> pa.Array:
+        """Points and commas before a space stand alone; in two steps, so that no space that was put in counts."""
+        t = pc.replace_substring(pc.replace_substring(t, ". ", "\4. "), ", ", "\4, ")
+        return pc.replace_substring(t, "\4", " \3")
+
     def _dropped(self, t: pa.Array, points: bool) -> pa.ListArray:
         t = pc.replace_substring(pc.ascii_lower(pc.binary_join_element_wise(t, " ", "")), "\n", " ")
         if points:
-            t = pc.replace_substring(pc.replace_substring(t, ". ", " . "), ", ", " , ")
+            t = self._points(t)
         else:
             t = pc.replace_substring(t, " ", "\2 ")
         return pc.split_pattern(t, " ")
@@ -223,7 +230,9 @@ class TokenizerFile(Pool):
             elif word == "\1" and attached and not glued and not plain or not word and not attached:
                 done.append(c)
                 ids.append([])
-            elif plain or word in (".", ",", "\n") and (glued or not attached):
+            elif word in ("\3.", "\3,"):
+                odd.append((c, word[1:]))
+            elif plain or word == "\n" and glued:
                 if attached and not (word == "\n" and glued) and word.split() != [word]:
                     self.row[c] = _INVALID
                     continue

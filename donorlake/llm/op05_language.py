@@ -229,7 +229,7 @@ def _labeller(spark: SparkSession, model: Model, penalty: float, spans: bool):
         m = load()
         if len(m.row) > MAX_WORDS:
             m._forget()
-        lists = pc.utf8_split_whitespace(texts)
+        lists = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(texts))
         ends = lists.offsets.to_numpy(zero_copy_only=False)[1:].astype(np.int64) - lists.offsets[0].as_py()
         codes = lists.flatten().dictionary_encode()
         rows = m.rows(codes.dictionary.to_pylist())[codes.indices.to_numpy(zero_copy_only=False)] if len(codes) else np.empty(0, np.int64)
