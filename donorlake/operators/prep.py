@@ -90,8 +90,8 @@ def dispersion(logged: DataFrame, n_cells: int, bins: int = 20) -> DataFrame:
 
 
 def variable_genes(logged: DataFrame, n_cells: int, n_top: int, bins: int = 20) -> DataFrame:
-    """The ``n_top`` genes with the largest z, ties by gene."""
-    return dispersion(logged, n_cells, bins).where("z is not null").orderBy(F.desc("z"), "gene").limit(n_top)
+    """The ``n_top`` genes with the largest z to nine digits (genes of a bin of two are equal but for rounding), ties by gene."""
+    return dispersion(logged, n_cells, bins).where("z is not null").orderBy(F.desc(F.round("z", 9)), "gene").limit(n_top)
 
 
 def top_variance(expr: DataFrame, n_cells: int, n_top: int) -> DataFrame:

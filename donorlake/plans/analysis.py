@@ -324,7 +324,7 @@ _DONORF = "df AS (SELECT CAST(l_suppkey AS VARCHAR) AS donor_id, avg(l_quantity)
 
 
 @query(f"""WITH {_DONORF}, s AS (SELECT *, {u('donor_id', "'9'")} % 4 = 0 AS is_test FROM df), m AS (SELECT avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, covar_pop(x, y) AS c, count(*) AS n FROM s WHERE NOT is_test)
-SELECT donor_id, round(y, 6) AS observed, round(my + (x - mx) / sx * (c / sx * n) / (n + 1.0), 6) AS predicted FROM s, m WHERE is_test""")
+SELECT donor_id, round(y, 6) AS observed, round(my + (x - mx) / sx * (c / sx * n) / (n + 1.0), 6) AS predicted FROM s, m WHERE is_test AND n >= 5 AND (SELECT count(*) FROM s WHERE is_test) >= 3""")
 def ridge_readout(spark, root):
     from ..functions.scalar import keyed
 

@@ -66,7 +66,7 @@ s AS (SELECT gene, sum(x) / (SELECT count(*) FROM train) AS mu, sum(x * x) AS ss
 d AS (SELECT gene, ln(1 + mu) AS m, ln(((ss - (SELECT count(*) FROM train) * mu * mu) / ((SELECT count(*) FROM train) - 1)) / mu) AS d FROM s),
 b AS (SELECT *, least(19, coalesce(CAST(floor((m - min(m) OVER ()) / nullif((max(m) OVER () - min(m) OVER ()) / 20, 0)) AS INTEGER), 0)) AS bin FROM d),
 z AS (SELECT gene, bin, m, d, CASE WHEN count(d) OVER (PARTITION BY bin) = 1 THEN 1.0 ELSE coalesce((d - avg(d) OVER (PARTITION BY bin)) / nullif(stddev_samp(d) OVER (PARTITION BY bin), 0), 0) END AS z FROM b)
-SELECT gene, round(m, 6) AS mean, round(d, 6) AS dispersion, round(z, 5) AS z FROM z ORDER BY z.z DESC, gene LIMIT 10"""
+SELECT gene, round(m, 6) AS mean, round(d, 6) AS dispersion, round(z, 5) AS z FROM z ORDER BY round(z.z, 9) DESC, gene LIMIT 10"""
 
 
 @query(_HVG)
