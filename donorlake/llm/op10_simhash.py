@@ -288,8 +288,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = DISTANCE, s
 
 WIDE_WORDS = 4
 WIDE_SEGMENT = 16
-#: A candidate may differ in this many of 64 further bits: at a similarity of 0.8 a bit differs with 0.15, 10 of 64 with a deviation of 3.
-WIDE_LOOSE = 22
+#: A candidate may differ in this many of 64 further bits: at a similarity of 0.8 a bit differs with 0.15, 10 of 64 with a deviation of 3; of unlike texts 32 with 4.
+WIDE_LOOSE = 16
 #: Rows of a decision table (two longs each) up to which it is broadcast; beyond, it is joined by shuffle.
 BROADCAST_ROWS = 2_000_000
 PRINTS = "doc_id long, text_hash long, node long, " + ", ".join(f"w{i} long" for i in range(WIDE_WORDS))
