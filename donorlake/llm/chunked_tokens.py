@@ -15,27 +15,27 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from . import common
+
 #: Chunks that are remembered before all are forgotten: bounds a worker's memory.
-MAX_CHUNKS = 600_000
+MAX_CHUNKS = 300_000
 #: Text encoded at once.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20
 _LETTERS_BELOW = "Ā"
 _NO_APOSTROPHE = frozenset('!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~')
 _INVALID = -1
 
-_loaded: dict[tuple, "Pool"] = {}
-
 
 def loaded(kind: type, path: str) -> "Pool":
     """One encoder for each worker process and file, kept between tasks."""
-    if (kind, path) not in _loaded:
-        _loaded[kind, path] = kind(path)
-    return _loaded[kind, path]
+    return common.kept((kind.__name__, path), lambda: kind(path))
 
 
 def grouped(batches, column: str, limit: int = GROUP_BYTES):
@@ -81,11 +81,10 @@ class Pool:
         self.row: dict[str, int] = {}
         self.ids = np.empty(1 << 16, self.dtype)
         self.used = 0
-        self.start: list[int] = []
-        self.size: list[int] = []
+        self.start, self.size = array("q"), array("q")
 
     def _add(self, chunks: list[str], ids: list[list[int]]) -> None:
-        flat = [i for x in ids for i in x]
+        flat = np.fromiter(chain.from_iterable(ids), self.dtype)
         if self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids[: self.used], np.empty(max(len(self.ids), len(flat)), self.dtype)])
         self.ids[self.used : self.used + len(flat)] = flat
@@ -128,9 +127,9 @@ class Pool:
             rows = np.array(rows, np.int64)[codes.indices.to_numpy(zero_copy_only=False)] if words else np.empty(0, np.int64)
             bad = np.add.reduceat(np.append(rows == _INVALID, False).astype(np.int64), ends[:-1]) if len(some) else np.empty(0)
             bad = (bad > 0) & (np.diff(ends) > 0)
-            sizes = np.array([*self.size, 0], np.int64)[rows]
+            sizes = np.append(np.frombuffer(self.size, np.int64), 0)[rows]
             total = np.concatenate([[0], np.cumsum(sizes)])
-            flat = self.ids[ragged(np.array([*self.start, 0], np.int64)[rows], sizes)]
+            flat = self.ids[ragged(np.append(np.frombuffer(self.start, np.int64), 0)[rows], sizes)]
             if len(some) == len(texts) and not bad.any():
                 return flat, total[ends[1:]]
             lo, hi = total[ends[:-1]], total[ends[1:]]

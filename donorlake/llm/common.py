@@ -26,6 +26,18 @@ BATCH_ROWS = 512
 _shipped: set[str] = set()
 
 
+_kept: dict = {}
+
+
+def kept(key, make):
+    """What a worker process keeps between tasks: one object, so that operators that follow each other don't add up."""
+    if key not in _kept:
+        _kept.clear()
+        pa.default_memory_pool().release_unused()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def prepare(spark: SparkSession) -> None:
     """Make this package importable on executors and keep Arrow batches short."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -34,7 +34,7 @@ SCRIPT_SHARE = 0.01
 #: Words of a batch whose scores are held at once.
 GROUP_BYTES = 8 << 20
 #: Scores of words that are remembered before all are forgotten.
-MAX_WORDS = 300_000
+MAX_WORDS = 200_000
 
 #: First code points of script ranges (fixed values, Unicode blocks): letters from here on are of this script.
 SCRIPTS = (
@@ -201,9 +201,6 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     return Model(langs, table[:, :BUCKETS], table[:, BUCKETS:])
 
 
-_models: dict[str, Model] = {}
-
-
 def _labeller(spark: SparkSession, model: Model, penalty: float, spans: bool):
     """A function for tasks: texts to languages, scores and spans; the model lies in the shared folder."""
     common.prepare(spark)
@@ -212,21 +209,18 @@ def _labeller(spark: SparkSession, model: Model, penalty: float, spans: bool):
     common.write_file(f"{folder}/model", [allowed, logp])
 
     def load() -> Model:
-        if folder not in _models:
-            _models.clear()
-            fs, path = common.open_fs(f"{folder}/model")
-            with fs.open_input_file(path) as f:
-                raw = f.read()
-            m = Model.__new__(Model)
-            m.langs, n = langs, len(langs) * len(SCRIPT_NAMES)
-            m.allowed = np.frombuffer(raw, bool, n).reshape(len(SCRIPT_NAMES), len(langs))
-            m.logp = np.frombuffer(raw, np.float32, offset=n).reshape(BUCKETS, len(langs))
-            m._forget()
-            _models[folder] = m
-        return _models[folder]
+        fs, path = common.open_fs(f"{folder}/model")
+        with fs.open_input_file(path) as f:
+            raw = f.read()
+        m = Model.__new__(Model)
+        m.langs, n = langs, len(langs) * len(SCRIPT_NAMES)
+        m.allowed = np.frombuffer(raw, bool, n).reshape(len(SCRIPT_NAMES), len(langs))
+        m.logp = np.frombuffer(raw, np.float32, offset=n).reshape(BUCKETS, len(langs))
+        m._forget()
+        return m
 
     def label(texts: pa.Array) -> tuple[list, np.ndarray, list]:
-        m = load()
+        m = common.kept(folder, load)
         if len(m.row) > MAX_WORDS:
             m._forget()
         lists = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(texts))
