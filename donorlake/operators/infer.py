@@ -119,3 +119,16 @@ def mean_gate(df: DataFrame, value: str, least: float, *by: str) -> DataFrame:
     """Mean over seeds against a bound."""
     got = df.groupBy(*by).agg(F.avg(value).alias("mean"))
     return got.withColumn("gate", F.when(F.col("mean").isNull(), "NOT_EVALUABLE").when(F.col("mean") >= least, "PASS").otherwise("FAIL"))
+
+
+def orientation_halves(donors: DataFrame, seed: int) -> DataFrame:
+    """(donor_id, orients): half of the donors by keyed hash tell the sign of a component, the others evaluate it."""
+    ids = donors.select("donor_id").distinct()
+    k = F.row_number().over(Window.orderBy(keyed("donor_id", seed), "donor_id"))  # a row per donor
+    return ids.select("donor_id", (k <= F.floor(F.count(F.lit(1)).over(Window.partitionBy()) / 2)).alias("orients"))
+
+
+def run_integrity(stored: DataFrame, recomputed: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., ok): is a run's stored fold hash the one that its fold gives? A run that is missing on a side isn't."""
+    both = stored.select(*keys, F.col("sha256").alias("a")).join(recomputed.select(*keys, F.col("sha256").alias("b")), list(keys), "full_outer")
+    return both.select(*keys, F.coalesce(F.col("a") == F.col("b"), F.lit(False)).alias("ok"))

@@ -164,3 +164,27 @@ def softmax_standin(train: DataFrame, features: list[str], label: str):
 
     rows = VectorAssembler(inputCols=features, outputCol="_x").transform(train)
     return LogisticRegression(featuresCol="_x", labelCol=label, maxIter=50, regParam=1e-3).fit(rows)
+
+
+def block_combinations(donors: DataFrame, blocks: dict[str, list[str]], combinations: list[tuple[str, ...]], target: str, alpha: float = 1.0) -> DataFrame:
+    """(blocks, donor_id, observed, predicted) of a ridge on each combination of feature blocks; nulls in features are 0."""
+    filled = donors.na.fill(0.0, [c for cs in blocks.values() for c in cs])
+    parts = [ridge_predictions(filled, [c for b in combo for c in blocks[b]], target, alpha).withColumn("blocks", F.lit("+".join(combo))) for combo in combinations]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("blocks", "donor_id", "observed", "predicted")
+
+
+def state_rho(vectors: DataFrame, donors: DataFrame, target: str, dims: int, least_cells: int = 30, alpha: float = 1.0) -> DataFrame:
+    """(type, rho, n): per cell type, a donor's mean vector (of ``least_cells`` or more) read out by ridge, against held-out targets.
+
+    ``vectors(donor_id, cell_type, embedding)``; the types are few, each is one small fit.
+    """
+    supported = vectors.groupBy("donor_id", "cell_type").agg(F.count(F.lit(1)).alias("_n"), *(F.avg(F.col("embedding")[i]).alias(f"e{i}") for i in range(dims))).where(F.col("_n") >= least_cells)
+    rows = supported.join(donors.select("donor_id", "is_test", target), "donor_id")
+    names, out = [f"e{i}" for i in range(dims)], None
+    for (kind,) in sorted(rows.select("cell_type").distinct().collect()):
+        got = ridge_predictions(rows.where(F.col("cell_type") == kind), names, target, alpha).withColumn("type", F.lit(kind))
+        out = got if out is None else out.unionByName(got)
+    return spearman(out, "observed", "predicted", "type") if out is not None else donors.sparkSession.createDataFrame([], "type string, rho double, n long")

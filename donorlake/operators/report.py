@@ -84,3 +84,24 @@ def profile(df: DataFrame, columns: list[str], most: int = 30) -> DataFrame:
     k = F.count(F.lit(1)).over(Window.partitionBy("column"))
     sized = counts.withColumn("k", k)
     return sized.where(F.col("k") <= most).select("column", "value", "n").unionByName(sized.where(F.col("k") > most).groupBy("column").agg(F.first("k").alias("n")).select("column", F.lit(None).cast("string").alias("value"), "n"))
+
+
+def typed_config(manifests: DataFrame, column: str, schema: str) -> DataFrame:
+    """A manifest's stringified settings with their types; what can't be read is null."""
+    return manifests.withColumn(column, F.from_json(column, schema, {"allowUnquotedFieldNames": "true"}))
+
+
+def environment(spark) -> DataFrame:
+    """One row: versions of Spark, Python and libraries, and the repository's revision or null."""
+    import platform
+    import subprocess
+    from importlib import metadata
+    from pathlib import Path
+
+    try:
+        run = subprocess.run(["git", "rev-parse", "HEAD"], cwd=Path(__file__).parent, capture_output=True, text=True, timeout=10)
+        revision = run.stdout.strip() if run.returncode == 0 else None
+    except OSError:
+        revision = None
+    versions = [metadata.version(n) for n in ("numpy", "pyarrow")]
+    return spark.createDataFrame([(spark.version, platform.python_version(), *versions, revision)], "spark string, python string, numpy string, pyarrow string, revision string")

@@ -20,13 +20,14 @@ def body(articles: DataFrame) -> Column:
 
 
 def postings(articles: DataFrame) -> DataFrame:
-    """(term, doc_id, tf) over lower-case alphanumeric terms."""
+    """(term, doc_id, tf) over lower-case alphanumeric terms; a semi join on terms is pushed below the count."""
     terms = F.explode(F.regexp_extract_all(body(articles), F.lit("([a-z0-9]+)"), 1))
     return articles.select("doc_id", terms.alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def doc_lengths(index: DataFrame) -> DataFrame:
-    return index.groupBy("doc_id").agg(F.sum("tf").alias("len"))
+def doc_lengths(articles: DataFrame) -> DataFrame:
+    """(doc_id, len): terms of each document, without the index and without a shuffle."""
+    return articles.select("doc_id", F.size(F.regexp_extract_all(body(articles), F.lit("([a-z0-9]+)"), 1)).alias("len"))
 
 
 def marker_queries(markers: DataFrame) -> DataFrame:
@@ -52,7 +53,7 @@ def marker_queries(markers: DataFrame) -> DataFrame:
     return every.join(first.select("type", "query_id"), ["type", "query_id"], "left_semi")
 
 
-def search(index: DataFrame, queries: DataFrame, n_docs: int, mean_len: float, keys: list[str], limit: int | None = None) -> DataFrame:
+def search(index: DataFrame, lens: DataFrame, queries: DataFrame, n_docs: int, mean_len: float, keys: list[str], limit: int | None = None) -> DataFrame:
     """(keys..., doc_id, score, rank): documents that satisfy all clauses, scored by BM25 of the matched terms.
 
     Boolean search is a count of satisfied clauses per (query, document), so
@@ -61,7 +62,6 @@ def search(index: DataFrame, queries: DataFrame, n_docs: int, mean_len: float, k
     terms = queries.select("term").distinct()
     hit = index.join(terms, "term", "left_semi")
     df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    lens = doc_lengths(index)
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / mean_len))
     scored = hit.join(df, "term").join(lens, "doc_id").select("term", "doc_id", weight.alias("w"))
@@ -121,3 +121,11 @@ def without_sentences(text: Column, phrase: str) -> Column:
 def first_of_each(rows: DataFrame, value: str, order: str, *by: str) -> DataFrame:
     """Distinct values in the order of their first occurrence."""
     return rows.groupBy(*by, value).agg(F.min(order).alias("pos"))
+
+
+def clean_aliases(names: DataFrame, longest: int = 40) -> DataFrame:
+    """(gene, aliases) of ``names(gene, pos, alias)``: in order, once each, without the gene itself and over-long names."""
+    good = names.where((F.col("alias") != F.col("gene")) & (F.length("alias") <= longest))
+    first = first_of_each(good, "alias", "pos", "gene")
+    listed = first.groupBy("gene").agg(F.array_sort(F.collect_list(F.struct("pos", "alias"))).alias("l"))
+    return listed.select("gene", F.transform("l", lambda x: x["alias"]).alias("aliases"))

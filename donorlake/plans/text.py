@@ -39,9 +39,9 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY type, query_id ORDER B
 
 def _index(spark, root):
     articles = cohort.articles(spark, root)
-    index = retrieve.postings(articles)
-    n, mean = index.groupBy("doc_id").agg(F.sum("tf").alias("len")).agg(F.count(F.lit(1)), F.avg("len")).first()
-    return articles, index, table(spark, root, "documents").count(), mean or 1.0
+    lens = retrieve.doc_lengths(articles)
+    n, mean = lens.agg(F.count(F.lit(1)), F.avg(F.when(F.col("len") > 0, F.col("len")))).first()
+    return articles, retrieve.postings(articles), lens, n, mean or 1.0
 
 
 @query(f"WITH {_LADDER} SELECT type, query_id, level, clause, term FROM q")
@@ -54,8 +54,8 @@ _SEARCH = f"{_INDEX}, {_LADDER}, {_FOUND}"
 
 @query(f"{_SEARCH} SELECT type, query_id, doc_id, round(score, 3) AS score, rank FROM ranked WHERE rank <= 20")
 def bm25_topk(spark, root):
-    _, index, n, mean = _index(spark, root)
-    return retrieve.search(index, retrieve.marker_queries(_markers(spark)), n, mean, ["type", "query_id"], 20).withColumn("score", F.round("score", 3) + 0.0)
+    _, index, lens, n, mean = _index(spark, root)
+    return retrieve.search(index, lens, retrieve.marker_queries(_markers(spark)), n, mean, ["type", "query_id"], 20).withColumn("score", F.round("score", 3) + 0.0)
 
 
 _POOL = f"""{_SEARCH}, pool AS (SELECT type, doc_id, count(*) AS hits, max(score) AS best, sum(1.0 / rank) AS score_agg FROM ranked WHERE rank <= 20 GROUP BY ALL),
@@ -66,8 +66,8 @@ s AS (SELECT *, round(10 * cover + 2 * ctx + score_agg + 0.01 * best, 6) AS scor
 
 
 def _pool(spark, root):
-    articles, index, n, mean = _index(spark, root)
-    found = retrieve.search(index, retrieve.marker_queries(_markers(spark)), n, mean, ["type", "query_id"], 20)
+    articles, index, lens, n, mean = _index(spark, root)
+    found = retrieve.search(index, lens, retrieve.marker_queries(_markers(spark)), n, mean, ["type", "query_id"], 20)
     terms = _markers(spark).groupBy("type").agg(F.collect_list("marker").alias("terms"), F.max("context").alias("context"))
     pool = retrieve.pooled_hits(found, "type").join(F.broadcast(terms), "type").join(articles, "doc_id")  # a row per marker list
     text = retrieve.body(pool)

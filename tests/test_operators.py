@@ -206,7 +206,7 @@ def test_retrieval(spark):
     m = spark.createDataFrame([("T", 1, "alpha", ["alfa1"], "neuron"), ("T", 2, "beta", [], "neuron")], "type string, pos int, marker string, aliases array<string>, context string")
     queries = retrieve.marker_queries(m)
     assert {r.query_id for r in queries.select("query_id").distinct().collect()} == {"L1", "L3-1", "L3-2", "L4-1"}  # the pair repeats level 1
-    found = retrieve.search(index, queries, 4, 7.0, ["type", "query_id"])
+    found = retrieve.search(index, retrieve.doc_lengths(art), queries, 4, 7.0, ["type", "query_id"])
     hits = {q: {r.doc_id for r in found.where(F.col("query_id") == q).collect()} for q in ("L1", "L3-2", "L4-1")}
     assert hits == {"L1": {1}, "L3-2": {1, 4}, "L4-1": {1, 2}}
     text = spark.createDataFrame([("The T cells grow. It is late! A T cell dies. Done.",)], "t string")
@@ -254,3 +254,22 @@ def test_report_helpers(spark):
     donors = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 3.0), ("d", None)], "donor_id string, v double")
     assert {r.donor_id: r.bin for r in report.quantile_bins(donors, "v", F.lit(True), [0.5]).collect()} == {"a": "v_q0", "b": "v_q1", "c": "v_q1", "d": "v_q1"}
     assert spark.range(1).select(scalar.phrase(F.lit("a-b (c)")).alias("p")).first().p == '"a b c"'
+
+
+def test_blocks_and_states(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"d{i}", i >= 12, float(i), float(i) / 2, float(rng.normal())) for i in range(18)]
+    donors = spark.createDataFrame(rows, "donor_id string, is_test boolean, y double, a double, b double")
+    got = readout.block_combinations(donors, {"A": ["a"], "B": ["b"]}, [("A",), ("A", "B")], "y")
+    assert {r.blocks: r["count"] for r in got.groupBy("blocks").count().collect()} == {"A": 6, "A+B": 6}
+    cells_of = spark.createDataFrame([(f"d{i}", "T", [float(i), 1.0]) for i in range(18) for _ in range(3)], "donor_id string, cell_type string, embedding array<double>")
+    assert readout.state_rho(cells_of, donors, "y", 2, least_cells=3).first().rho == pytest.approx(1)
+    assert readout.state_rho(cells_of, donors, "y", 2, least_cells=30).count() == 0
+    halves = infer.orientation_halves(donors, 1)
+    assert halves.where("orients").count() == 9
+    names = spark.createDataFrame([("g", 1, "x"), ("g", 2, "g"), ("g", 3, "x"), ("g", 4, "a"), ("g", 5, "l" * 50)], "gene string, pos int, alias string")
+    assert retrieve.clean_aliases(names).first().aliases == ["x", "a"]
+    runs = spark.createDataFrame([(0, "h"), (1, "h")], "seed int, sha256 string")
+    assert {r.seed: r.ok for r in infer.run_integrity(runs, runs.where("seed = 0").union(spark.createDataFrame([(2, "z")], runs.schema)), "seed").collect()} == {0: True, 1: False, 2: False}
+    made = report.typed_config(spark.createDataFrame([('{"lr": 0.1, "epochs": 3}',)], "c string"), "c", "lr double, epochs int").first().c
+    assert (made.lr, made.epochs) == (0.1, 3) and report.environment(spark).first().spark == spark.version
