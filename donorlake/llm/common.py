@@ -9,7 +9,9 @@ the partition only, so a retried or speculative task leaves the same file.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -57,7 +59,9 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder (as a URI, not yet made) in the shared folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="donorlake-shared-")
+        folder = tempfile.mkdtemp(prefix="donorlake-shared-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        base = f"file://{folder}"
         spark.sparkContext.setCheckpointDir(base)
         spark.conf.set("spark.checkpoint.dir", base) if spark.conf.isModifiable("spark.checkpoint.dir") else None
     if "://" not in base and not base.startswith("file:"):

@@ -159,8 +159,8 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
     Both tables are (vec_id, q) as ``quantised`` makes them.  Equal query rows
     are one query; candidates that repeat an id stand for themselves.  Vectors
-    of other lengths are compared over the components that both have.  Empty
-    tables give no rows.
+    of other lengths are compared over the components that both have.  Scores beyond
+    64 bits are held to them.  Empty tables give no rows.
     """
     spark = candidates.sparkSession
     common.prepare(spark)
