@@ -7,24 +7,27 @@ share a segment, so matches come from equal keys of these Hamming tables and are
 verified on the complete distance.  Matches of two images vote for a similarity
 transform; images with enough of their corners agreeing on one are linked.
 
-A key that more than ``FULL_RUN`` corners share doesn't pair them all: its
-corners are put in the order of descriptor, corners of the image and id, and
-neighbours are paired.  Copies of an image are neighbours there, so a group
-holds together by as many pairs as it has members.
+No key is too long to be paired.  Two images need T agreeing corners, so of the
+corners of one that agree at least one isn't among its T - 1 most common: pairs
+of images come from all keys, by corners that are of a lesser rank there, and a
+pair that is found has all its corners compared.  What many unlike images share
+(a logo, a passage) so makes no pairs, and no link is lost by it; a group of n
+edited copies makes its n squared pairs.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .op10_simhash import components
+from .op10_simhash import _small, components
 
 PATCH = 8
 #: Corners are the largest response within so many pixels.
@@ -33,14 +36,16 @@ SECTORS = 12
 TESTS = 128
 #: Bits that two descriptors of one place may differ in.
 DISTANCE = 16
-FULL_RUN = 12
+#: Pairs of corners that are compared at once.
+BLOCK = 1 << 17
+#: Corners of one in so many images tell which keys are common; COMMON of them make a key so.  Both change the time only.
+SAMPLE, COMMON = 8, 4
 TOLERANCE = 4.0
 #: Corners that must agree, and their share of those of the image with fewer.
 LEAST_MATCHES, LEAST_SHARE = 5, 0.25
 
 #: place: x and y in 32 bits each; turn: corners of the image, level and the angle in 16 bits.  An image without corners has one row, without place.
-KEYPOINTS = "image_id long, place long, turn long, d0 long, d1 long"
-MATCHES = "a long, b long, na int, nb int, xa float, ya float, sa float, ta float, xb float, yb float, sb float, tb float"
+KEYPOINTS = "image_id long, place long, turn long, d0 long, d1 long, digest binary"
 
 
 def _pattern() -> np.ndarray:
@@ -177,7 +182,7 @@ def keypoints(images: DataFrame) -> DataFrame:
 
     def work(batches):
         for b in batches:
-            ids, place, turn, bits, none = [], [], [], [], []
+            ids, place, turn, bits, none, digest = [], [], [], [], [], []
             for i, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 image = decode(data) if i is not None else None
                 p, d = describe(image) if image is not None and image.size else (np.zeros((0, 4), np.float32), np.zeros((0, 2), np.uint64))
@@ -186,98 +191,145 @@ def keypoints(images: DataFrame) -> DataFrame:
                     p, d = np.zeros((1, 4), np.float32), np.zeros((1, 2), np.uint64)
                 ids += [i] * len(p)
                 none += [not n] * len(p)
+                digest += [hashlib.blake2b(data, digest_size=16).digest() if data is not None else None] * len(p)
                 xy = p[:, :2].astype(np.int64)
                 place.append(xy[:, 0] << 32 | xy[:, 1])
                 turn.append(np.int64(n) << 24 | p[:, 2].astype(np.int64) << 16 | np.rint(p[:, 3] / (2 * np.pi) * 65536).astype(np.int64) & 0xFFFF)
                 bits.append(d)
             d = np.concatenate([np.zeros((0, 2), np.uint64), *bits]).view(np.int64)
             where = np.concatenate([np.zeros(0, np.int64), *place])
-            yield pa.RecordBatch.from_pydict({"image_id": pa.array(ids, pa.int64()), "place": pa.array(where, mask=np.array(none, bool)), "turn": pa.array(np.concatenate([np.zeros(0, np.int64), *turn])), "d0": pa.array(np.ascontiguousarray(d[:, 0])), "d1": pa.array(np.ascontiguousarray(d[:, 1]))})
+            yield pa.RecordBatch.from_pydict({"image_id": pa.array(ids, pa.int64()), "place": pa.array(where, mask=np.array(none, bool)), "turn": pa.array(np.concatenate([np.zeros(0, np.int64), *turn])), "d0": pa.array(np.ascontiguousarray(d[:, 0])), "d1": pa.array(np.ascontiguousarray(d[:, 1])), "digest": pa.array(digest, pa.binary())})
 
     return images.select(F.col("image_id").cast("long").alias("image_id"), "media").mapInArrow(work, KEYPOINTS)
 
 
-def matches(points: DataFrame) -> DataFrame:
-    """Pairs of corners of different images from equal segments, within DISTANCE bits."""
+SEGMENTS = ["shiftrightunsigned(d0, 32)", "(d0 & 4294967295L) + 4294967296L", "shiftrightunsigned(d1, 32) + 8589934592L", "(d1 & 4294967295L) + 12884901888L"]
+
+
+def least_agreeing(na, nb):
+    """Corners that must agree on a transform of two images with so many."""
+    return np.maximum(LEAST_MATCHES, np.ceil(LEAST_SHARE * np.minimum(na, nb)))
+
+
+def ranked(points: DataFrame) -> DataFrame:
+    """Corners with their rank in the image, 1 for the one with the most common key."""
+    keys = points.where(F.pmod(F.xxhash64("image_id"), F.lit(SAMPLE)) == 0).select(F.explode(F.array(*map(F.expr, SEGMENTS))).alias("key"))
+    common_keys = common.materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON), "media-common")
+    table, out = _small(common_keys), points
+    for k, s in enumerate(SEGMENTS):
+        out = out.withColumn("_key", F.expr(s)).join(table.select(F.col("key").alias("_key"), F.col("n").alias(f"_n{k}")), "_key", "left")
+    often = F.greatest(*(F.coalesce(f"_n{k}", F.lit(0)) for k in range(len(SEGMENTS))))
+    rank = F.row_number().over(Window.partitionBy("image_id").orderBy(often.desc(), "place", "turn", "d0", "d1"))
+    return out.select("image_id", rank.alias("rank"), F.min(F.shiftright("turn", 24)).over(Window.partitionBy("image_id")).alias("n"), "d0", "d1")
+
+
+def pairs(points: DataFrame) -> DataFrame:
+    """(a, b) of images with a pair of corners of an equal segment, within DISTANCE bits, that is not among the most common of a."""
     spark = points.sparkSession
-    segment = [F.shiftrightunsigned("d0", 32), F.col("d0").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("d1", 32), F.col("d1").bitwiseAND(0xFFFFFFFF)]
-    points = points.where("place is not null")
-    keyed = points.select(F.explode(F.array(*((s + F.lit(k << 32)) for k, s in enumerate(segment)))).alias("key"), *points.columns)
-    dealt = keyed.repartition(common.shuffle_partitions(spark), "key").sortWithinPartitions("key", "d0", "d1", "turn", "image_id")
+    keyed = ranked(points).select(F.explode(F.array(*map(F.expr, SEGMENTS))).alias("key"), "image_id", "rank", "n", "d0", "d1")
+    dealt = keyed.repartition(common.shuffle_partitions(spark), "key").sortWithinPartitions("key")
 
-    def pairs(cols, new):
+    def found(cols, new):
         bounds = np.concatenate([[0], new, [len(cols[0])]])
+        _, image, rank, n, d0, d1 = cols
+        left, right, have = [], [], 0
         size = np.diff(bounds)
-        left, right = [], []
-        for n in range(2, FULL_RUN + 1):
-            at = bounds[:-1][size == n]
-            for i in range(n):
-                for j in range(i + 1, n):
-                    left.append(at + i)
-                    right.append(at + j)
-        for k in np.flatnonzero(size > FULL_RUN):
-            run = np.arange(bounds[k], bounds[k + 1])
-            left.append(run[:-1])
-            right.append(run[1:])
-        i = np.concatenate([np.zeros(0, np.int64), *left])
-        j = np.concatenate([np.zeros(0, np.int64), *right])
-        ok = cols[1][i] != cols[1][j]
-        i, j = i[ok], j[ok]
-        far = np.bitwise_count(cols[4][i] ^ cols[4][j]) + np.bitwise_count(cols[5][i] ^ cols[5][j])
-        i, j = i[far <= DISTANCE], j[far <= DISTANCE]
-        swap = cols[1][i] > cols[1][j]
-        i, j = np.where(swap, j, i), np.where(swap, i, j)
-        out = {"a": cols[1][i], "b": cols[1][j]}
-        for s, at in (("a", i), ("b", j)):
-            place, turn = cols[2][at], cols[3][at]
-            out |= {"n" + s: (turn >> 24).astype(np.int32), "x" + s: (place >> 32).astype(np.float32), "y" + s: (place & 0xFFFFFFFF).astype(np.float32), "s" + s: (turn >> 16 & 0xFF).astype(np.float32), "t" + s: ((turn & 0xFFFF) * (2 * np.pi / 65536)).astype(np.float32)}
-        names = [f.split()[0] for f in MATCHES.split(", ")]
-        return pa.RecordBatch.from_pydict({n: out[n] for n in names})
+        for k in np.flatnonzero(size > 1):
+            lo, hi = bounds[k], bounds[k + 1]
+            rare = lo + np.flatnonzero(rank[lo:hi] >= LEAST_MATCHES)
+            step = max(1, BLOCK // (hi - lo))
+            for at in range(0, len(rare), step):
+                i = rare[at : at + step]
+                far = np.bitwise_count(d0[i][:, None] ^ d0[None, lo:hi])
+                far += np.bitwise_count(d1[i][:, None] ^ d1[None, lo:hi])
+                x, y = np.nonzero(far <= DISTANCE)
+                i, j = i[x], lo + y
+                ok = (image[i] < image[j]) & (rank[i] >= least_agreeing(n[i], n[j]))
+                if ok.any():
+                    left.append(image[i[ok]])
+                    right.append(image[j[ok]])
+                    have += len(left[-1])
+            if have > BLOCK:
+                yield from rows(left, right)
+                left, right, have = [], [], 0
+        yield from rows(left, right)
+
+    def rows(left, right):
+        if left:
+            both = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0)
+            for lo in range(0, len(both), 1 << 16):
+                yield pa.RecordBatch.from_pydict({"a": pa.array(both[lo : lo + (1 << 16), 0].copy()), "b": pa.array(both[lo : lo + (1 << 16), 1].copy())})
 
     def work(batches):
         rest = None
         for b in batches:
             cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
+            cols[4], cols[5] = cols[4].view(np.uint64), cols[5].view(np.uint64)
             if rest is not None:
                 cols = [np.concatenate([r, c]) for r, c in zip(rest, cols)]
             new = np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1
             cut = int(new[-1]) if len(new) else 0
             rest = [c[cut:] for c in cols]
             if cut:
-                yield pairs([c[:cut] for c in cols], new[:-1])
+                yield from found([c[:cut] for c in cols], new[:-1])
         if rest is not None and len(rest[0]):
-            yield pairs(rest, np.flatnonzero(rest[0][1:] != rest[0][:-1]) + 1)
+            yield from found(rest, np.flatnonzero(rest[0][1:] != rest[0][:-1]) + 1)
 
-    return dealt.mapInArrow(work, MATCHES)
+    return dealt.mapInArrow(work, "a long, b long").distinct()
 
 
 def agreeing(a: np.ndarray, b: np.ndarray) -> int:
-    """Most corners of a (x, y, scale, angle) that one similarity transform, told by a single match, takes to their places in b."""
+    """Most corners of a (x, y, scale, angle) that one similarity transform, told by a single match, takes to their places in b; places of either side count once."""
     turn, grow = b[:, 3] - a[:, 3], b[:, 2] / a[:, 2]
     c, s = np.cos(turn) * grow, np.sin(turn) * grow
-    best = 0
-    for k in range(len(a)):
+    p, q = (np.unique(np.round(side[:, :2], 1), axis=0, return_inverse=True)[1].ravel() for side in (a, b))
+    most, best = min(p.max(), q.max()) + 1, 0
+    shift = np.stack([c, s, b[:, 0] - c * a[:, 0] + s * a[:, 1], b[:, 1] - s * a[:, 0] - c * a[:, 1]], axis=1)
+    bound = (TOLERANCE * np.maximum(a[:, 2], b[:, 2])) ** 2
+    for k in np.unique(np.round(shift, 4), axis=0, return_index=True)[1]:  # equal transforms are tried once
         dx, dy = a[:, 0] - a[k, 0], a[:, 1] - a[k, 1]
-        x, y = b[k, 0] + c[k] * dx - s[k] * dy, b[k, 1] + s[k] * dx + c[k] * dy
-        near = (x - b[:, 0]) ** 2 + (y - b[:, 1]) ** 2 <= (TOLERANCE * np.maximum(a[:, 2], b[:, 2])) ** 2
-        best = max(best, len({(round(float(p), 1), round(float(q), 1)) for p, q in a[near, :2]}))
-    return best
+        near = (b[k, 0] + c[k] * dx - s[k] * dy - b[:, 0]) ** 2 + (b[k, 1] + s[k] * dx + c[k] * dy - b[:, 1]) ** 2 <= bound
+        if np.count_nonzero(near) > best:
+            best = max(best, min(len(np.unique(p[near])), len(np.unique(q[near]))))
+            if best == most:
+                break
+    return int(best)
 
 
 def links(points: DataFrame) -> DataFrame:
-    """(a, b, agreed) of images whose matches agree on a transform."""
-    found = matches(points).distinct()
-    votes = found.groupBy("a", "b").agg(F.collect_list(F.struct("na", "nb", "xa", "ya", "sa", "ta", "xb", "yb", "sb", "tb")).alias("m")).where(F.size("m") >= LEAST_MATCHES)
+    """(a, b, agreed) of images whose matching corners (an equal segment, DISTANCE bits) agree on a transform."""
+    points = points.where("place is not null and image_id is not null").select("image_id", "place", "turn", "d0", "d1")
+    tried = common.materialize(pairs(points), "media-pairs")
+    whole = points.groupBy("image_id").agg(*(F.collect_list(c).alias(c) for c in ("place", "turn", "d0", "d1")))
+    side = lambda s: whole.select(F.col("image_id").alias(s), *(F.col(c).alias(c + s) for c in ("place", "turn", "d0", "d1")))
+    dealt = tried.repartition(4 * common.shuffle_partitions(points.sparkSession), "a", "b")  # the rows are few, their comparison isn't
+    votes = dealt.join(side("a"), "a").join(side("b"), "b").select("a", "b", *(c + s for s in "ab" for c in ("place", "turn", "d0", "d1")))
+
+    def corners(place, turn):
+        return np.stack([place >> 32, place & 0xFFFFFFFF, turn >> 16 & 0xFF, (turn & 0xFFFF) * (2 * np.pi / 65536)], axis=1).astype(np.float64)
+
+    def verified(cols, at, k):
+        (pa_, ta, a0, a1), (pb, tb, b0, b1) = ([c[at[s][k] : at[s][k + 1]] for c in cols[s]] for s in (0, 1))
+        x0, x1 = a0[:, None] ^ b0[None, :], a1[:, None] ^ b1[None, :]
+        near = np.bitwise_count(x0) + np.bitwise_count(x1) <= DISTANCE
+        low, half = np.uint64(0xFFFFFFFF), np.uint64(32)
+        i, j = np.nonzero(near & ((x0 >> half == 0) | (x0 & low == 0) | (x1 >> half == 0) | (x1 & low == 0)))
+        least = least_agreeing((ta >> 24).min(), (tb >> 24).min())
+        if min(len(np.unique(i)), len(np.unique(j))) < least:
+            return 0
+        n = agreeing(corners(pa_, ta)[i], corners(pb, tb)[j])
+        return n if n >= least else 0
 
     def work(batches):
         for b in batches:
-            agreed = []
-            for rows in b.column(2).to_pylist():
-                m = np.array([list(r.values()) for r in rows], np.float64)
-                n = agreeing(m[:, 2:6], m[:, 6:10])
-                agreed.append(n if n >= max(LEAST_MATCHES, LEAST_SHARE * m[0, :2].min()) else 0)
-            keep = pa.array([n > 0 for n in agreed], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(agreed, pa.int32())], names=["a", "b", "agreed"]).filter(keep)
+            cols, at = [], []
+            for s in (0, 1):
+                lists = [b.column(2 + 4 * s + c) for c in range(4)]
+                flat = [x.flatten().to_numpy(zero_copy_only=False) for x in lists]
+                cols.append([*flat[:2], flat[2].view(np.uint64), flat[3].view(np.uint64)])
+                at.append(np.concatenate([[0], np.cumsum(lists[0].value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64))
+            agreed = np.array([verified(cols, at, k) for k in range(b.num_rows)], np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(agreed, pa.int32())], names=["a", "b", "agreed"]).filter(pa.array(agreed > 0))
 
     return votes.mapInArrow(work, "a long, b long, agreed int")
 
@@ -285,17 +337,30 @@ def links(points: DataFrame) -> DataFrame:
 def image_copies(images: DataFrame) -> DataFrame:
     """(image_id, class_id, n_links): the smallest id of each group of linked images, and how many verified links an image has.
 
-    Images without corners, unreadable or null ones are classes of their own; a
-    null id has a null class.  Rows with the same id count as one image's, and
-    have one row in the result.
+    Images of equal bytes are linked with each other, whatever they show, and
+    their corners are compared once; each of them has the links of all.  Other
+    images without corners, unreadable ones and null ones are classes of their
+    own; a null id has a null class.  Rows with the same id count as one
+    image's, and have one row in the result.
     """
     points = common.materialize(keypoints(images), "media-points")
-    edges = common.materialize(links(points), "media-links")
-    group = components(edges.select("a", "b"))
-    degree = edges.select(F.col("a").alias("image_id")).union(edges.select("b")).groupBy("image_id").agg(F.count(F.lit(1)).alias("n_links"))
-    rows = points.select("image_id").distinct()
-    named = rows.join(group.withColumnRenamed("node", "image_id"), "image_id", "left").join(degree, "image_id", "left")
-    return named.select("image_id", F.coalesce("root", "image_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    names = points.where("image_id is not null and digest is not null").select("image_id", "digest").distinct()
+    firsts = names.groupBy("digest").agg(F.min("image_id").alias("first"), F.count(F.lit(1)).alias("same")).where("same > 1")
+    copies = common.materialize(names.join(firsts, "digest"), "media-copies")
+    others = copies.where("image_id <> first")
+    gone = others.select(F.col("image_id").alias("_id"), F.col("digest").alias("_digest"))
+    once = points.join(_small(gone), (points["image_id"] == F.col("_id")) & (points["digest"] == F.col("_digest")), "left_anti")
+    edges = common.materialize(links(once), "media-links")
+    group = components(edges.select("a", "b").union(others.select("image_id", "first")))
+    # a linked first image stands for as many as have its bytes; one that was first of several digests for the most
+    sizes = copies.groupBy("first").agg(F.max("same").alias("same"))
+    both = edges.select("a", "b").union(edges.select("b", "a")).join(sizes.withColumnRenamed("first", "b"), "b", "left")
+    near = both.groupBy("a").agg(F.sum(F.coalesce("same", F.lit(1))).alias("near"))
+    own = copies.groupBy("image_id").agg(F.max(F.col("same") - 1).alias("equal"), F.min("first").alias("first"))
+    rows = points.select("image_id").distinct().join(own, "image_id", "left").withColumn("a", F.coalesce("first", "image_id"))
+    named = rows.join(near, "a", "left").join(group.withColumnRenamed("node", "image_id"), "image_id", "left")
+    n_links = F.coalesce("near", F.lit(0)) + F.coalesce("equal", F.lit(0))
+    return named.select("image_id", F.coalesce("root", "image_id").alias("class_id"), n_links.cast("long").alias("n_links"))
 
 
 def rendered(pages: DataFrame, across: int = 16, tile: int = 4) -> DataFrame:

@@ -125,3 +125,17 @@ def test_rendered_pages_against_words(spark):
     words = {r.page_id: set(re.sub("<[^>]*>", " ", r.html).split()) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in op04_media.links(op04_media.keypoints(op04_media.rendered(spark.read.parquet(f"{SF}/pages.parquet")))).collect():
         assert len(words[r.a] & words[r.b]) > 0.2 * len(words[r.a] | words[r.b])
+
+
+def test_noisy_copies_hold_together(spark):
+    """More edited copies than any key pairs by neighbours, beside images that share a patch only."""
+    rng = np.random.default_rng(8)
+    one = np.kron(rng.integers(0, 256, (20, 20)), np.ones((5, 5)))
+    rows = [(i, pgm(np.clip(one + rng.normal(0, 4, one.shape), 0, 255))) for i in range(40)]
+    for i in range(100, 130):
+        other = np.kron(rng.integers(0, 256, (28, 28)), np.ones((5, 5)))
+        other[:40, :40] = one[:40, :40]
+        rows.append((i, pgm(other)))
+    got = op04_media.image_copies(spark.createDataFrame(rows, "image_id long, media binary")).collect()
+    assert {r.image_id: r.class_id for r in got} == {i: 0 if i < 100 else i for i, _ in rows}
+    assert all(r.n_links == 39 for r in got if r.image_id < 40)
