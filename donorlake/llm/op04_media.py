@@ -43,6 +43,8 @@ SAMPLE, COMMON = 8, 4
 TOLERANCE = 4.0
 #: Corners that must agree, and their share of those of the image with fewer.
 LEAST_MATCHES, LEAST_SHARE = 5, 0.25
+#: Pages with fewer rows of words are rendered with a margin.
+LEAST_ROWS = 12
 
 #: place: x and y in 32 bits each; turn: corners of the image, level and the angle in 16 bits.  An image without corners has one row, without place.
 KEYPOINTS = "image_id long, place long, turn long, d0 long, d1 long, digest binary"
@@ -370,18 +372,27 @@ def rendered(pages: DataFrame, across: int = 16, tile: int = 4) -> DataFrame:
     common.prepare(pages.sparkSession)
     tags = re.compile(rb"<[^>]*>")
 
+    def drawn(words, rows, margin):
+        dots = np.zeros((rows * across, tile * tile), np.uint8)
+        if words:
+            h = np.array([max(1, xxhash.xxh32_intdigest(w) & 0xFFFF) for w in words], np.uint16)
+            dots[: len(words)] = (h[:, None] >> np.arange(tile * tile, dtype=np.uint16) & 1) * 255
+        picture = dots.reshape(rows, across, tile, tile).transpose(0, 2, 1, 3).reshape(rows * tile, across * tile)
+        return np.pad(picture, margin) if margin else picture
+
     def work(batches):
         for b in batches:
             out = []
             for html in b.column(1).to_pylist():
                 words = tags.sub(b" ", html).split()
                 rows = max(1, -(-len(words) // across))
-                dots = np.zeros((rows * across, tile * tile), np.uint8)
-                if words:
-                    h = np.array([xxhash.xxh32_intdigest(w) & 0xFFFF for w in words], np.uint16)
-                    dots[: len(words)] = (h[:, None] >> np.arange(tile * tile, dtype=np.uint16) & 1) * 255
-                picture = dots.reshape(rows, across, tile, tile).transpose(0, 2, 1, 3).reshape(rows * tile, across * tile)
-                out.append(b"P5 %d %d 255\n" % (across * tile, rows * tile) + picture.tobytes())
+                margin = 2 * PATCH if words and rows < LEAST_ROWS else 0
+                picture = drawn(words, rows, margin)
+                if words and rows < 4 * LEAST_ROWS:  # with too few corners the words come again below, in the same size
+                    while len(describe(picture)[0]) < LEAST_MATCHES and rows < 16 * LEAST_ROWS:
+                        rows += 4
+                        picture = drawn((words * (1 + rows * across // len(words)))[: rows * across], rows, 2 * PATCH)
+                out.append(b"P5 %d %d 255\n" % picture.shape[::-1] + picture.tobytes())
             yield pa.RecordBatch.from_pydict({"image_id": b.column(0), "media": pa.array(out, pa.binary())})
 
     rows = pages.select(F.col("page_id").cast("long").alias("image_id"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("html"))

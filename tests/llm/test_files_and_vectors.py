@@ -139,3 +139,14 @@ def test_noisy_copies_hold_together(spark):
     got = op04_media.image_copies(spark.createDataFrame(rows, "image_id long, media binary")).collect()
     assert {r.image_id: r.class_id for r in got} == {i: 0 if i < 100 else i for i, _ in rows}
     assert all(r.n_links == 39 for r in got if r.image_id < 40)
+
+
+def test_equal_and_short_images(spark):
+    flat, other = pgm(np.zeros((10, 10))), pgm(np.ones((10, 10)))
+    rows = [(1, flat), (2, flat), (3, other), (4, flat), (5, None), (6, None), (None, flat)]
+    got = {r.image_id: (r.class_id, r.n_links) for r in op04_media.image_copies(spark.createDataFrame(rows, "image_id long, media binary")).collect()}
+    assert got == {1: (1, 2), 2: (1, 2), 3: (3, 0), 4: (1, 2), 5: (5, 0), 6: (6, 0), None: (None, 0)}
+    rng = np.random.default_rng(9)
+    pages = spark.createDataFrame([(n, " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))) for n in range(1, 200)], "page_id long, html string")
+    have = op04_media.keypoints(op04_media.rendered(pages)).where("place is not null").groupBy("image_id").count().collect()
+    assert len(have) == 199 and min(r["count"] for r in have) >= op04_media.LEAST_MATCHES
