@@ -290,6 +290,10 @@ WIDE_WORDS = 4
 WIDE_SEGMENT = 16
 #: A candidate may differ in this many of 64 further bits: at a similarity of 0.8 a bit differs with 0.15, 10 of 64 with a deviation of 3; of unlike texts 32 with 4.
 WIDE_LOOSE = 16
+#: And in this many of all 256, which is as loose: 38 at a similarity of 0.8, with a deviation of 6.
+WIDE_LOOSE_ALL = 88
+#: Pairs for each row up to which all pairs of a key are candidates at once; a key with more comes again after the first groups are known.
+WIDE_PAIRS = 2
 #: Rows of a decision table (two longs each) up to which it is broadcast; beyond, it is joined by shuffle.
 BROADCAST_ROWS = 2_000_000
 PRINTS = "doc_id long, text_hash long, node long, " + ", ".join(f"w{i} long" for i in range(WIDE_WORDS))
@@ -369,37 +373,101 @@ def _nearest_tree(x: np.ndarray, probe: np.ndarray, loose: int) -> list[tuple[in
     return edges
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b): forests of the nearest among nodes that share a segment up to one bit."""
+def _all_pairs(x: np.ndarray, probe: np.ndarray, loose: int, most: int | None = None) -> tuple[np.ndarray, np.ndarray] | None:
+    """All links of one key; None where there are more than ``most``."""
+    filed_at, left, right, n = np.flatnonzero(~probe), [], [], 0
+    step = max(1, (1 << 20) // len(x))
+    for k in range(0, len(filed_at), step):
+        some = filed_at[k : k + step]
+        i, j = np.nonzero(np.bitwise_count(x[some][:, None] ^ x[None, :]) <= loose)
+        ok = probe[j] | (some[i] < j)
+        left.append(some[i][ok])
+        right.append(j[ok])
+        n += len(left[-1])
+        if most is not None and n > most:
+            return None
+    return np.concatenate([np.zeros(0, np.int64), *left]), np.concatenate([np.zeros(0, np.int64), *right])
+
+
+def _wide_file(nodes: DataFrame, root: bool) -> DataFrame:
+    """Rows of the nodes under each segment and its ball."""
     per_word = 64 // WIDE_SEGMENT
 
     def file(batches):
         for b in batches:
             node = b.column(0).to_numpy(zero_copy_only=False)
             words = [b.column(1 + i).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for i in range(WIDE_WORDS)]
+            roots = b.column(1 + WIDE_WORDS).to_numpy(zero_copy_only=False) if root else None
             for s in range(WIDE_WORDS * per_word):
                 w = s // per_word
                 who, key, probe = _keys(words[w], s % per_word * WIDE_SEGMENT, WIDE_SEGMENT, 1)
                 x = words[(w + 1) % WIDE_WORDS][who].view(np.int64)
-                yield pa.RecordBatch.from_pydict({"k0": pa.array(np.full(len(who), s, np.int64)), "k1": pa.array(key.astype(np.int64)), "node": pa.array(node[who]), "x": pa.array(x), "probe": pa.array(probe)})
+                rows = {"k0": pa.array(np.full(len(who), s, np.int64)), "k1": pa.array(key.astype(np.int64)), "node": pa.array(node[who]), "x": pa.array(x), "probe": pa.array(probe)}
+                yield pa.RecordBatch.from_pydict(rows | ({"root": pa.array(roots[who])} if root else {}))
+
+    return nodes.select("node", *(f"w{i}" for i in range(WIDE_WORDS)), *(["root"] if root else [])).mapInArrow(file, _WIDE_ROWS + (", root long" if root else ""))
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """(a, b, k0, k1) of nodes that share a segment up to one bit.
+
+    All pairs of a key within the bound, or where they are many a forest of the
+    nearest and one row with the key (k0, k1) and no nodes: ``more_candidates``
+    has the rest.
+    """
+    return _wide_link(_wide_file(nodes, False), False)
+
+
+def more_candidates(nodes: DataFrame, keys: DataFrame) -> DataFrame:
+    """(a, b) of nodes(..., root) of different roots: all pairs within the bound that share one of the keys."""
+    return _wide_link(_wide_file(nodes, True).join(_small(keys), ["k0", "k1"]).select("k0", "k1", "node", "x", "probe", "root"), True)
 
+
+def _wide_link(rows: DataFrame, root: bool) -> DataFrame:
     def link(batches):
         rest = None
 
         def edges(cols, new):
             bounds = np.concatenate([[0], new, [len(cols[0])]])
             filed_rows = np.add.reduceat((~cols[4].astype(bool)).astype(np.int64), bounds[:-1])
-            a, b = [], []
+            a, b, again, have = [], [], [], 0
             for k in np.flatnonzero((np.diff(bounds) > 1) & (filed_rows > 0)):
                 lo, hi = bounds[k], bounds[k + 1]
-                for i, j in _nearest_tree(cols[3][lo:hi], cols[4][lo:hi], WIDE_LOOSE):
-                    a.append(cols[2][lo + i])
-                    b.append(cols[2][lo + j])
-            a, b = np.array(a, np.int64), np.array(b, np.int64)
-            return pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
-
-        for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+                x, probe, node = cols[3][lo:hi], cols[4][lo:hi], cols[2][lo:hi]
+                if root:
+                    if (cols[5][lo:hi] == cols[5][lo]).all():
+                        continue
+                    i, j = _all_pairs(x, probe, WIDE_LOOSE)
+                    ok = cols[5][lo:hi][i] != cols[5][lo:hi][j]
+                    i, j = i[ok], j[ok]
+                else:
+                    found = _all_pairs(x, probe, WIDE_LOOSE, WIDE_PAIRS * (hi - lo))
+                    if found is None:
+                        again.append(lo)
+                        tree = np.array(_nearest_tree(x, probe, WIDE_LOOSE), np.int64).reshape(-1, 2)
+                        i, j = tree[:, 0], tree[:, 1]
+                    else:
+                        i, j = found
+                a.append(node[i])
+                b.append(node[j])
+                have += len(i)
+                if have > 1 << 20:
+                    yield from batch(cols, a, b, again)
+                    a, b, again, have = [], [], [], 0
+            yield from batch(cols, a, b, again)
+
+        def batch(cols, a, b, again):
+            a, b, again = np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b]), np.array(again, np.int64)
+            none = np.zeros(len(a), np.int64)
+            key = np.arange(len(a) + len(again)) < len(a)
+            left, right = np.concatenate([np.minimum(a, b), again * 0]), np.concatenate([np.maximum(a, b), again * 0])
+            k0, k1 = (np.concatenate([none, cols[c][again]]) for c in (0, 1))
+            for lo in range(0, len(left), 1 << 16):
+                s = slice(lo, lo + (1 << 16))
+                yield pa.RecordBatch.from_pydict({"a": pa.array(left[s], mask=~key[s]), "b": pa.array(right[s], mask=~key[s]), "k0": pa.array(k0[s], mask=key[s]), "k1": pa.array(k1[s], mask=key[s])})
+
+        for batch_ in batches:
+            cols = [batch_.column(i).to_numpy(zero_copy_only=False) for i in range(6 if root else 5)]
             cols[3] = cols[3].astype(np.int64).view(np.uint64)
             cols[4] = cols[4].astype(bool)
             if rest is not None:
@@ -408,13 +476,12 @@ def candidates(nodes: DataFrame) -> DataFrame:
             cut = int(new[-1]) if len(new) else 0
             rest = [c[cut:] for c in cols]
             if cut:
-                yield edges([c[:cut] for c in cols], new[:-1])
+                yield from edges([c[:cut] for c in cols], new[:-1])
         if rest is not None and len(rest[0]):
-            yield edges(rest, np.flatnonzero((rest[0][1:] != rest[0][:-1]) | (rest[1][1:] != rest[1][:-1])) + 1)
+            yield from edges(rest, np.flatnonzero((rest[0][1:] != rest[0][:-1]) | (rest[1][1:] != rest[1][:-1])) + 1)
 
-    rows = nodes.select("node", *(f"w{i}" for i in range(WIDE_WORDS))).mapInArrow(file, _WIDE_ROWS)
-    dealt = rows.repartition(common.shuffle_partitions(nodes.sparkSession), "k0", "k1").sortWithinPartitions("k0", "k1")
-    return dealt.mapInArrow(link, "a long, b long").where("a <> b").distinct()
+    dealt = rows.repartition(common.shuffle_partitions(rows.sparkSession), "k0", "k1").sortWithinPartitions("k0", "k1")
+    return dealt.mapInArrow(link, "a long, b long, k0 long, k1 long").where("a is null or a <> b").distinct()
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -425,10 +492,11 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     """(doc_id, text_hash, node, root): documents tied by chains of pairs whose shingle sets have that Jaccard similarity.
 
     Candidates share 16 of 256 SimHash bits up to one in at least one of 16
-    places, which a pair of similarity 0.8 misses in less than 1 of 100 cases;
-    in each place the nearest of a run are tied by a forest.  Every tie is then
-    verified on the whole shingle sets.  Null texts are empty; texts without
-    words are alike.
+    places, which a pair of similarity 0.8 misses in less than 1 of 100 cases.
+    Every tie is verified on the whole shingle sets.  Keys with many candidates
+    are tied by a forest of the nearest first; then all their candidates in
+    different groups are verified too, so no candidate is lost by its key's
+    size.  Null texts are empty; texts without words are alike.
     """
     spark = docs.sparkSession
     common.prepare(spark)
@@ -436,29 +504,43 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     prints = common.materialize(wide_prints(rows, words), "wide-prints")
     nodes = prints.groupBy("node").agg(*(F.first(f"w{i}").alias(f"w{i}") for i in range(WIDE_WORDS)), F.min(F.struct("doc_id", "text_hash")).alias("of"))
     nodes = common.materialize(nodes.select("node", "of.doc_id", "of.text_hash", *(f"w{i}" for i in range(WIDE_WORDS))), "wide-nodes")
-    ties = common.materialize(candidates(nodes), "similar-candidates")
-    tied = ties.select(F.col("a").alias("node")).union(ties.select("b")).distinct()
-    wanted = common.materialize(nodes.join(tied, "node").select("node", F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_th")), "similar-wanted")
-    texts = rows.join(_small(wanted), rows["doc_id"].eqNullSafe(F.col("_doc")) & (rows["text_hash"] == F.col("_th"))).select("node", F.col("text").cast("binary").alias("text"))
+
+    def near(ties: DataFrame) -> DataFrame:
+        """Ties within WIDE_LOOSE_ALL bits."""
+        side = lambda s: nodes.select(F.col("node").alias(s), *(F.col(f"w{i}").alias(f"{s}{i}") for i in range(WIDE_WORDS)))
+        far = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(WIDE_WORDS)), F.lit(0))
+        return ties.select("a", "b").where("a is not null").join(_small(side("a")), "a").join(_small(side("b")), "b").where(far <= WIDE_LOOSE_ALL).select("a", "b")
 
     def sets(batches):
         for b in batches:
             made = [np.unique(shingle_hashes(t, words, False)).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({"node": b.column(0), "s": pa.array(made, pa.binary())})
 
-    have = common.materialize(texts.mapInArrow(sets, "node long, s binary").dropDuplicates(["node"]), "similar-sets")
-    pairs = ties.join(have.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(have.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
-
     def verify(batches):
         for b in batches:
             good = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both >= similarity * (len(x) + len(y) - both))
+                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else -1
+                good.append(both >= 0 and both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    found = components(pairs.mapInArrow(verify, "a long, b long"))
+    def verified(ties: DataFrame) -> DataFrame:
+        tied = ties.select(F.col("a").alias("node")).union(ties.select("b")).distinct()
+        wanted = common.materialize(nodes.join(tied, "node").select("node", F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_th")), "similar-wanted")
+        texts = rows.join(_small(wanted), rows["doc_id"].eqNullSafe(F.col("_doc")) & (rows["text_hash"] == F.col("_th"))).select("node", F.col("text").cast("binary").alias("text"))
+        have = common.materialize(texts.mapInArrow(sets, "node long, s binary").dropDuplicates(["node"]), "similar-sets")
+        pairs = ties.join(have.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(have.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
+        return common.materialize(pairs.mapInArrow(verify, "a long, b long"), "similar-links")
+
+    ties = common.materialize(candidates(nodes), "similar-candidates")
+    good = verified(common.materialize(near(ties), "similar-near"))
+    keys = ties.where("a is null").select("k0", "k1")
+    if not keys.isEmpty():
+        named = nodes.join(components(good), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rest = common.materialize(near(more_candidates(named, keys)), "similar-near")
+        good = good.unionByName(verified(rest))
+    found = components(good)
     return prints.join(found, "node", "left").select("doc_id", "text_hash", "node", F.coalesce("root", "node").alias("root"))
 
 

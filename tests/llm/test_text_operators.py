@@ -236,6 +236,29 @@ def test_keep_one(spark):
     assert op10_simhash.keep_one(docs.limit(0)).count() == 0
 
 
+def test_similar_pair_in_a_template_group(spark):
+    """A pair just above the bound among many just below it, with near candidates that all fail."""
+    rng = np.random.default_rng(12)
+    base = [f"t{i}" for i in range(400)]
+    rows = []
+    for k in range(300):
+        words = list(base)
+        for i in rng.choice(np.arange(3, 397, 9), 12, replace=False):
+            words[i] = f"x{k}_{i}"
+        rows.append((k, words))
+    for k in range(0, 20, 2):
+        edited = list(rows[k][1])
+        for i in rng.choice(np.arange(5, 397, 9), 8, replace=False):
+            edited[i] = f"y{k}_{i}"
+        rows[k + 1] = (k + 1, edited)
+    rows = [(k, " ".join(w)) for k, w in rows]
+    sets = [shingles(t) for _, t in rows]
+    root = groups(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    assert len(set(root)) == len(rows) - 10
+    kept = op10_simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} == set(root)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
