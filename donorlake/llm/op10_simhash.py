@@ -320,18 +320,18 @@ def shingle_hashes(text: bytes, words: int, wide: bool) -> np.ndarray:
 
 
 def wide_prints(docs: DataFrame, words: int) -> DataFrame:
-    """A 256-bit SimHash of each whole text; node numbers equal fingerprints."""
+    """A 256-bit SimHash of each whole text; node numbers equal sets of shingles."""
 
     def work(batches):
         for b in batches:
-            out = np.zeros((b.num_rows, WIDE_WORDS), np.uint64)
+            out, node = np.zeros((b.num_rows, WIDE_WORDS), np.uint64), []
             for k, text in enumerate(b.column(2).to_pylist()):
                 h = shingle_hashes(text, words, True)
+                node.append(xxhash.xxh3_64_intdigest(np.unique(h.view("V32").ravel()).tobytes()))
                 ones = np.zeros(64 * WIDE_WORDS, np.int64)
                 for lo in range(0, len(h), 1 << 14):
                     ones += np.unpackbits(h[lo : lo + (1 << 14)], axis=1).sum(axis=0, dtype=np.int64)
                 out[k] = np.frombuffer(np.packbits(ones * 2 > len(h)).tobytes(), ">u8")
-            node = [xxhash.xxh64_intdigest(r.tobytes()) for r in out]
             cols = {"doc_id": b.column(0), "text_hash": b.column(1), "node": pa.array(np.array(node, np.uint64).view(np.int64))}
             yield pa.RecordBatch.from_pydict(cols | {f"w{i}": pa.array(np.ascontiguousarray(out[:, i]).view(np.int64)) for i in range(WIDE_WORDS)})
 

@@ -259,6 +259,12 @@ def test_similar_pair_in_a_template_group(spark):
     assert {r.doc_id for r in kept.collect()} == set(root)
 
 
+def test_unlike_texts_with_equal_filler_stay(spark):
+    rng = np.random.default_rng(13)
+    rows = [(k, " ".join([*(f"a{x}" for x in rng.integers(0, 10**6, 300)), *["."] * 400])) for k in range(6)]
+    assert op10_simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).count() == 6
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
