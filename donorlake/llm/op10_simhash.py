@@ -289,7 +289,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = DISTANCE, s
 WIDE_WORDS = 4
 WIDE_SEGMENT = 16
 #: A candidate may differ in this many of 64 further bits: at a similarity of 0.8 a bit differs with 0.15, 10 of 64 with a deviation of 3; of unlike texts 32 with 4.
-WIDE_LOOSE = 16
+WIDE_LOOSE = 22
 #: And in this many of all 256, which is as loose: 38 at a similarity of 0.8, with a deviation of 6.
 WIDE_LOOSE_ALL = 88
 #: Pairs for each row up to which all pairs of a key are candidates at once; a key with more comes again after the first groups are known.
@@ -320,14 +320,14 @@ def shingle_hashes(text: bytes, words: int, wide: bool) -> np.ndarray:
 
 
 def wide_prints(docs: DataFrame, words: int) -> DataFrame:
-    """A 256-bit SimHash of each whole text; node numbers equal sets of shingles."""
+    """A 256-bit SimHash of the distinct shingles of each whole text; node numbers equal sets of shingles."""
 
     def work(batches):
         for b in batches:
             out, node = np.zeros((b.num_rows, WIDE_WORDS), np.uint64), []
             for k, text in enumerate(b.column(2).to_pylist()):
-                h = shingle_hashes(text, words, True)
-                node.append(xxhash.xxh3_64_intdigest(np.unique(h.view("V32").ravel()).tobytes()))
+                h = np.unique(shingle_hashes(text, words, True).view("V32").ravel()).view(np.uint8).reshape(-1, 32)
+                node.append(xxhash.xxh3_64_intdigest(h.tobytes()))
                 ones = np.zeros(64 * WIDE_WORDS, np.int64)
                 for lo in range(0, len(h), 1 << 14):
                     ones += np.unpackbits(h[lo : lo + (1 << 14)], axis=1).sum(axis=0, dtype=np.int64)

@@ -265,6 +265,16 @@ def test_unlike_texts_with_equal_filler_stay(spark):
     assert op10_simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).count() == 6
 
 
+def test_uneven_repeats_are_alike(spark):
+    rng = np.random.default_rng(14)
+    rows = []
+    for k in range(40):
+        body, line = (" ".join(f"b{x}" for x in rng.integers(0, 10**6, n)) for n in (200, 20))
+        rows += [(2 * k, " ".join([body, *[line] * 2])), (2 * k + 1, " ".join([body, *[line] * 40]))]
+    kept = op10_simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in kept} == set(range(0, 80, 2))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
