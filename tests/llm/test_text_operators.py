@@ -259,6 +259,20 @@ def test_similar_pair_in_a_template_group(spark):
     assert {r.doc_id for r in kept.collect()} == set(root)
 
 
+def test_no_candidate_is_left_to_shorter_ones(spark):
+    """A pair that others connect by shorter edges is a candidate too, in short keys at once and in long ones afterwards."""
+    rng = np.random.default_rng(15)
+    for masks in ([0, 0b1111111111, 0b11111], sorted({int(x) for x in rng.integers(0, 1 << 16, 24)})):
+        nodes = spark.createDataFrame([(i, m, m, m, m, i) for i, m in enumerate(masks)], "node long, w0 long, w1 long, w2 long, w3 long, root long")
+        found = op10_simhash.candidates(nodes)
+        pairs = {(r.a, r.b) for r in found.select("a", "b").collect() if r.a is not None}
+        if len(masks) > 3:
+            keys = found.where("a is null").select("k0", "k1")
+            assert not keys.isEmpty()
+            pairs |= {(r.a, r.b) for r in op10_simhash.more_candidates(nodes, keys).collect()}
+        assert pairs == set(itertools.combinations(range(len(masks)), 2))
+
+
 def test_unlike_texts_with_equal_filler_stay(spark):
     rng = np.random.default_rng(13)
     rows = [(k, " ".join([*(f"a{x}" for x in rng.integers(0, 10**6, 300)), *["."] * 400])) for k in range(6)]
