@@ -1,18 +1,17 @@
 """Copies among images by local descriptors, cropped or edited ones included.
 
-Corners are found at two scales; each patch is turned by the direction of its
-intensity centroid and described by 128 binary tests.  Descriptors are filed
-under their four 32-bit segments: two that differ in fewer than four places
-share a segment, so matches come from equal keys of these Hamming tables and are
-verified on the complete distance.  Matches of two images vote for a similarity
-transform; images with enough of their corners agreeing on one are linked.
-
-No key is too long to be paired.  Two images need T agreeing corners, so of the
-corners of one that agree at least one isn't among its T - 1 most common: pairs
-of images come from all keys, by corners that are of a lesser rank there, and a
-pair that is found has all its corners compared.  What many unlike images share
-(a logo, a passage) so makes no pairs, and no link is lost by it; a group of n
-edited copies makes its n squared pairs.
+Corners are found on a pyramid of scales (steps of 1.26); each patch is turned by
+the direction of its intensity centroid and described by 128 binary tests.  The
+Hamming tables file constellations: a corner and two of its nearest neighbours of
+the same level, under a key made of one 16-bit segment of each of the three
+descriptors.  Images that meet under enough keys are candidates; there all pairs
+of descriptors within ``DISTANCE`` bits vote for a similarity transform, and
+images with enough of their corners agreeing on one are linked.  A patch that is
+common by itself makes no candidates, its neighbourhood has to return as well.
+
+No key is too long.  One of more than ``DENSE`` images ties all of them to its
+first image; once these links are known, all its images in different classes
+are candidates too.  Equal bytes are one image before that.
 """
 
 from __future__ import annotations
@@ -23,7 +22,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -34,20 +33,30 @@ PATCH = 8
 SPACING = 7
 SECTORS = 12
 TESTS = 128
+#: Ratio of neighbouring levels of the pyramid, and how many there are at most.
+STEP, LEVELS = 1.26, 6
 #: Bits that two descriptors of one place may differ in.
-DISTANCE = 16
-#: Pairs of corners that are compared at once.
-BLOCK = 1 << 17
-#: Corners of one in so many images tell which keys are common; COMMON of them make a key so.  Both change the time only.
-SAMPLE, COMMON = 8, 4
+DISTANCE = 12
+#: Bits of a table's segment, and tables.
+SEGMENT, TABLES = 16, 2
+#: Keys that candidates share at least.
+SHARED = 2
+#: Images of a key up to which all pairs meet at once.
+DENSE = 64
+#: Elements of a block of distances.
+BLOCK = 1 << 21
+#: Transforms that are tried for a pair of images, of the fullest bins of votes.
+TRIED = 16
 TOLERANCE = 4.0
 #: Corners that must agree, and their share of those of the image with fewer.
 LEAST_MATCHES, LEAST_SHARE = 5, 0.25
 #: Pages with fewer rows of words are rendered with a margin.
 LEAST_ROWS = 12
 
-#: place: x and y in 32 bits each; turn: corners of the image, level and the angle in 16 bits.  An image without corners has one row, without place.
-KEYPOINTS = "image_id long, place long, turn long, d0 long, d1 long, digest binary"
+#: An image's corners as they are stored: place in eighths of a pixel, level, angle (256 to a turn), descriptor.
+CORNER = np.dtype([("x", "<i4"), ("y", "<i4"), ("level", "u1"), ("angle", "u1"), ("d", "<u8", (2,))])
+IMAGES = "node long, image_id long, digest binary, n int"
+_ROW_BITS = 28
 
 
 def _pattern() -> np.ndarray:
@@ -69,7 +78,7 @@ _DX, _DY = _DX[_DISC], _DY[_DISC]
 
 
 def decode(data: bytes | None) -> np.ndarray | None:
-    """Grey values of a PGM, PPM or 8-bit PNG (not interlaced); None for what can't be read."""
+    """Grey values of a PGM, PPM or PNG (8 and 16 bits, palettes; not interlaced), of other formats where Pillow is installed; None for what can't be read."""
     try:
         if data is None:
             return None
@@ -81,21 +90,34 @@ def decode(data: bytes | None) -> np.ndarray | None:
             return grey[..., 0] if n == 1 else grey.mean(axis=2)
         if data[:8] == b"\x89PNG\r\n\x1a\n":
             return _png(data)
-    except (TypeError, ValueError, IndexError, KeyError, zlib.error):
+        return _other(data)
+    except (TypeError, ValueError, IndexError, KeyError, OSError, zlib.error):
         return None
-    return None
+
+
+def _other(data: bytes) -> np.ndarray | None:
+    """By Pillow, where it is installed."""
+    try:
+        from PIL import Image
+    except ImportError:
+        return None
+    import io
+
+    return np.asarray(Image.open(io.BytesIO(data)).convert("L"), np.float32)
 
 
 def _png(data: bytes) -> np.ndarray:
-    at, body, w, h, n = 8, b"", 0, 0, 1
+    at, body, w, h, n, depth, palette = 8, b"", 0, 0, 1, 8, None
     while at < len(data):
         size, kind = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
         chunk = data[at + 8 : at + 8 + size]
         if kind == b"IHDR":
             w, h, depth, colour, _, _, lace = int.from_bytes(chunk[:4], "big"), int.from_bytes(chunk[4:8], "big"), *chunk[8:13]
-            if depth != 8 or lace:
+            if depth not in (8, 16) or lace:
                 raise ValueError("depth or interlacing")
-            n = {0: 1, 2: 3, 4: 2, 6: 4}[colour]
+            n = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour] * depth // 8
+        elif kind == b"PLTE":
+            palette = np.frombuffer(chunk, np.uint8).reshape(-1, 3)
         elif kind == b"IDAT":
             body += chunk
         at += 12 + size
@@ -113,7 +135,11 @@ def _png(data: bytes) -> np.ndarray:
                 p = left + up[x] - corner
                 paeth = min((abs(p - left), 0, left), (abs(p - up[x]), 1, up[x]), (abs(p - corner), 2, corner))[2]
                 out[y, x] = (line[x] + (left if kind == 1 else (left + up[x]) // 2 if kind == 3 else paeth)) & 255
+    if palette is not None and n == 1 and colour == 3:
+        return palette[out].mean(axis=2).astype(np.float32)
     pixels = out.reshape(h, w, n)
+    if depth == 16:  # the high bytes
+        pixels, n = pixels[..., ::2], n // 2
     return pixels[..., : 1 if n < 3 else 3].mean(axis=2).astype(np.float32)
 
 
@@ -142,231 +168,418 @@ def _largest_near(a: np.ndarray, r: int) -> np.ndarray:
     return a
 
 
-def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(x, y, scale, angle) of corners in pixels of the whole image, and two 64-bit halves of their descriptors."""
-    places, bits = [], []
-    level, scale = image.astype(np.float32) / 255, np.float32(1)
-    for _ in range(2):
-        h, w = level.shape
-        if min(h, w) <= 2 * PATCH + 2:
-            break
-        gx, gy = np.zeros_like(level), np.zeros_like(level)
-        gx[:, 1:-1] = level[:, 2:] - level[:, :-2]
-        gy[1:-1] = level[2:] - level[:-2]
-        a, b, c = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
-        r = a * b - c * c - 0.04 * (a + b) ** 2
-        top = r.max()
-        if top > 0:
-            corner = (r >= _largest_near(r, SPACING)) & (r > 0.01 * top)
-            corner[:PATCH] = corner[-PATCH:] = False
-            corner[:, :PATCH] = corner[:, -PATCH:] = False
-            y, x = np.nonzero(corner)
-            if len(x):
-                disc = level[y[:, None] + _DY, x[:, None] + _DX]
-                angle = np.arctan2((disc * _DY).sum(axis=1), (disc * _DX).sum(axis=1))
-                sector = np.rint(angle / (2 * np.pi) * SECTORS).astype(np.int64) % SECTORS
-                smooth = _box(level, 1)
-                o = PATTERN[sector]
-                first = smooth[y[:, None] + o[:, :, 0, 1], x[:, None] + o[:, :, 0, 0]]
-                second = smooth[y[:, None] + o[:, :, 1, 1], x[:, None] + o[:, :, 1, 0]]
-                bits.append(np.packbits(first < second, axis=1).view(">u8").astype(np.uint64))
-                places.append(np.stack([x * scale, y * scale, np.full(len(x), scale), angle], axis=1))
-        level = level[: h // 2 * 2, : w // 2 * 2].reshape(h // 2, 2, w // 2, 2).mean(axis=(1, 3))
-        scale *= 2
-    if not places:
-        return np.zeros((0, 4), np.float32), np.zeros((0, 2), np.uint64)
-    return np.concatenate(places).astype(np.float32), np.concatenate(bits)
-
-
-def keypoints(images: DataFrame) -> DataFrame:
-    """A row per corner of ``images(image_id, media)``; null, unreadable and flat images have one row without a place."""
-    common.prepare(images.sparkSession)
+def _bilinear(size: int, old: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lower sample and weight of the upper one, for a side of ``old`` pixels brought to ``size``."""
+    at = np.clip((np.arange(size) + 0.5) * old / size - 0.5, 0, old - 1)
+    low = np.minimum(at.astype(np.int64), max(0, old - 2))
+    return low, (at - low).astype(np.float32)
+
+
+def _level(tall: np.ndarray, heights: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Image number, y, x, angle and descriptor halves of the corners of images that lie one below the other."""
+    rows, edge = np.repeat(np.arange(len(heights)), heights), np.cumsum(heights) - heights
+    y_in = np.arange(len(tall)) - edge[rows]
+    inside = np.minimum(y_in, heights[rows] - 1 - y_in)  # rows to the image's nearer edge
+    smooth = _box(tall, 1) / 9
+    outer = inside < 1
+    smooth[outer], smooth[:, 0], smooth[:, -1] = tall[outer], tall[:, 0], tall[:, -1]
+    gx, gy = np.zeros_like(tall), np.zeros_like(tall)
+    gx[:, 1:-1] = smooth[:, 2:] - smooth[:, :-2]
+    gy[1:-1] = smooth[2:] - smooth[:-2]
+    a, b, c = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
+    r = a * b - c * c - 0.04 * (a + b) ** 2
+    r[inside < 4] = -np.inf  # there the image above or below comes in
+    r[:, :4] = r[:, -4:] = -np.inf
+    least = np.maximum(0.01 * np.maximum.reduceat(r.max(axis=1), edge), 1e-9)
+    corner = (r >= _largest_near(r, SPACING)) & (r > least[rows][:, None])
+    corner[inside < PATCH] = False
+    corner[:, :PATCH] = corner[:, -PATCH:] = False
+    y, x = np.nonzero(corner)
+    disc = smooth[y[:, None] + _DY, x[:, None] + _DX]
+    angle = np.arctan2((disc * _DY).sum(axis=1), (disc * _DX).sum(axis=1))
+    sector = np.rint(angle / (2 * np.pi) * SECTORS).astype(np.int64) % SECTORS
+    wide = _box(smooth, 1)
+    o = PATTERN[sector]
+    first = wide[y[:, None] + o[:, :, 0, 1], x[:, None] + o[:, :, 0, 0]]
+    second = wide[y[:, None] + o[:, :, 1, 1], x[:, None] + o[:, :, 1, 0]]
+    bits = np.packbits(first < second, axis=1).view(">u8").astype(np.uint64).reshape(-1, 2)
+    return rows[y], y_in[y], x, angle, bits
+
+
+def describe_all(images: list[np.ndarray]) -> list[np.ndarray]:
+    """The corners (CORNER) of each image; images of a width are worked on together."""
+    found: list[list] = [[] for _ in images]
+    by_width: dict[int, list[int]] = {}
+    for k, image in enumerate(images):
+        if min(image.shape) > 2 * PATCH + 2:
+            by_width.setdefault(image.shape[1], []).append(k)
+    for width, all_of in by_width.items():
+        many = np.cumsum([images[k].shape[0] for k in all_of]) * width // BLOCK
+        for part in np.unique(many):
+            who = np.array(all_of)[many == part]
+            full = np.array([images[k].shape[0] for k in who])
+            heights, tall = full, np.concatenate([images[k] for k in who]).astype(np.float32) / 255
+            for level in range(LEVELS):
+                if level:
+                    wanted, w = np.rint(full / STEP**level).astype(np.int64), round(width / STEP**level)
+                    ok = wanted > 2 * PATCH + 2
+                    if w <= 2 * PATCH + 2 or not ok.any():
+                        break
+                    starts = np.cumsum(heights) - heights
+                    maps = [_bilinear(n, h) for n, h in zip(wanted[ok], heights[ok])]
+                    low = np.concatenate([m + s for (m, _), s in zip(maps, starts[ok])])
+                    up = np.concatenate([f for _, f in maps])[:, None]
+                    tall = tall[low] * (1 - up) + tall[low + 1] * up
+                    low, up = _bilinear(w, tall.shape[1])
+                    tall = tall[:, low] * (1 - up) + tall[:, low + 1] * up
+                    who, full, heights = who[ok], full[ok], wanted[ok]
+                image, y, x, angle, bits = _level(tall, heights)
+                out = np.empty(len(y), CORNER)
+                out["x"] = np.rint((x + 0.5) * 8 * width / tall.shape[1])
+                out["y"] = np.rint((y + 0.5) * 8 * full[image] / heights[image])
+                out["level"], out["d"] = level, bits
+                out["angle"] = np.rint(angle / (2 * np.pi) * 256).astype(np.int64) % 256
+                ends = np.searchsorted(image, np.arange(len(who) + 1))
+                for k, lo, hi in zip(who, ends[:-1], ends[1:]):
+                    if hi > lo:
+                        found[k].append(out[lo:hi])
+    return [np.concatenate(f) if f else np.zeros(0, CORNER) for f in found]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _nearest(xy: np.ndarray, n: int) -> np.ndarray:
+    """Each corner's n nearest others in groups (groups x corners x 2); places that aren't there are NaN."""
+    far = ((xy[:, :, None] - xy[:, None]) ** 2).sum(axis=3)
+    k = np.arange(xy.shape[1])
+    far[:, k, k] = np.inf
+    return np.argsort(np.where(np.isnan(far), np.inf, far), axis=2, kind="stable")[:, :, :n]
+
+
+def constellations(owner: np.ndarray, corners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, key), each once: triples of a corner with its nearest and next, and with its next and third neighbour, of one level."""
+    group = owner.astype(np.int64) * LEVELS + corners["level"]
+    order = np.argsort(group, kind="stable")
+    owner, corners, group = owner[order], corners[order], group[order]
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+    size = np.diff(np.append(starts, len(group)))
+    near = np.full((len(group), 3), -1, np.int64)
+    xy = np.stack([corners["x"], corners["y"]], axis=1).astype(np.float64)
+    by_size = np.argsort(size, kind="stable")
+    by_size = by_size[size[by_size] > 2]
+    at = 0
+    while at < len(by_size):
+        few = size[by_size[at]]
+        most = min(2 * few, max(few, 64))
+        end = at + max(1, int(np.searchsorted(size[by_size[at:]], most, "right")))
+        end = min(end, at + max(1, BLOCK // int(most) ** 2))
+        some = by_size[at:end]
+        at, wide = end, int(size[some[-1]])
+        place = starts[some][:, None] + np.arange(wide)
+        there = np.arange(wide) < size[some][:, None]
+        if wide * wide <= BLOCK:
+            got = _nearest(np.where(there[:, :, None], xy[np.minimum(place, len(xy) - 1)], np.nan), 3)
+        else:  # one large group, by blocks of rows
+            p, rows = xy[starts[some[0]] : starts[some[0]] + wide], []
+            for lo in range(0, wide, BLOCK // wide + 1):
+                far = ((p[lo : lo + BLOCK // wide + 1, None] - p[None]) ** 2).sum(axis=2)
+                far[np.arange(len(far)), lo + np.arange(len(far))] = np.inf
+                rows.append(np.argsort(far, axis=1, kind="stable")[:, :3])
+            got = np.concatenate(rows)[None]
+        absolute = starts[some][:, None, None] + got
+        absolute[(got >= size[some][:, None, None])] = -1
+        if absolute.shape[2] < 3:
+            absolute = np.concatenate([absolute, np.full((*absolute.shape[:2], 3 - absolute.shape[2]), -1)], axis=2)
+        near[place[there]] = absolute[there]
+    who, keys = [], []
+    for t in range(TABLES):
+        segment = corners["d"][:, 0] >> np.uint64(64 - SEGMENT * (t + 1)) & np.uint64((1 << SEGMENT) - 1)
+        m = _mixed(segment + np.uint64(1 + t << SEGMENT))
+        for a, b in ((0, 1), (1, 2)):
+            ok = (near[:, a] >= 0) & (near[:, b] >= 0)
+            keys.append(_mixed(m[ok] * np.uint64(3) + m[near[ok, a]] + m[near[ok, b]]).view(np.int64))
+            who.append(owner[ok])
+    who, keys = np.concatenate(who), np.concatenate(keys)
+    order = np.lexsort((keys, who))
+    who, keys = who[order], keys[order]
+    once = np.concatenate([np.ones(min(1, len(who)), bool), (who[1:] != who[:-1]) | (keys[1:] != keys[:-1])])
+    return who[once], keys[once]
+
+
+def least_agreeing(na: int, nb: int) -> int:
+    """Corners that must agree on a transform of two images with so many."""
+    return max(LEAST_MATCHES, int(np.ceil(LEAST_SHARE * min(na, nb))))
+
+
+def agreeing(a: np.ndarray, b: np.ndarray, enough: int | None = None) -> int:
+    """Corners of a that one similarity transform takes to a like corner (DISTANCE bits) of b; places of either side count once.
+
+    Each match tells a transform; those of the fullest bins of votes are tried
+    until ``enough`` corners agree.  0 where fewer than ``enough`` corners match.
+    """
+    left, right, mine, others = [], [], 0, np.zeros(len(b), bool)
+    (a0, a1), (b0, b1) = a["d"].T.copy(), b["d"].T.copy()
+    step = max(1, BLOCK // max(1, len(b)))
+    for lo in range(0, len(a), step):
+        far = np.bitwise_count(a0[lo : lo + step, None] ^ b0)
+        far += np.bitwise_count(a1[lo : lo + step, None] ^ b1)
+        near = far <= DISTANCE
+        mine += np.count_nonzero(near.any(axis=1))
+        others |= near.any(axis=0)
+        i, j = np.nonzero(near)
+        left.append(i + lo)
+        right.append(j)
+    most = min(mine, np.count_nonzero(others))
+    if not most or most < (enough or 0):
+        return 0
+    i, j = np.concatenate(left), np.concatenate(right)
+    p, q = a["x"][i] + 1j * a["y"][i], b["x"][j] + 1j * b["y"][j]
+    p, q = p / 8, q / 8
+    grow = STEP ** (b["level"][j].astype(np.float64) - a["level"][i])
+    turn = grow * np.exp(2j * np.pi / 256 * (b["angle"][j].astype(np.float64) - a["angle"][i]))
+    shift = q - turn * p
+    bound = TOLERANCE * np.maximum(STEP ** a["level"][i].astype(np.float64), STEP ** b["level"][j].astype(np.float64))
+    bins = np.stack([np.rint(np.angle(turn) * 4), np.rint(np.log(grow) * 3), np.rint(shift.real / 16), np.rint(shift.imag / 16)], axis=1)
+    _, first, votes = np.unique(bins, axis=0, return_index=True, return_counts=True)
+    best = 0
+    for k in first[np.argsort(-votes, kind="stable")[:TRIED]]:
+        near = np.abs(q - q[k] - turn[k] * (p - p[k])) <= bound
+        if np.count_nonzero(near) > best:
+            best = max(best, min(len(np.unique(p[near])), len(np.unique(q[near]))))
+            if best >= (enough or most):
+                break
+    return int(best)
+
+
+class Store:
+    """The stored corners of images; reads what is asked for by ranges."""
+
+    def __init__(self, folder: str):
+        self.folder, self.places = folder, {}
+
+    def _file(self, number: int):
+        fs, path = common.open_fs(f"{self.folder}/{number:016d}.corners")
+        f = fs.open_input_file(path)
+        if number not in self.places:
+            if len(self.places) > 64:
+                self.places.clear()
+            size = f.size()
+            n = int(np.frombuffer(f.read_at(8, size - 8), "<i8")[0])
+            self.places[number] = np.frombuffer(f.read_at(8 * n, size - 8 - 8 * n), "<i8")
+        return f, self.places[number]
+
+    def read(self, nodes: np.ndarray) -> dict[int, np.ndarray]:
+        """Corners by node; places close to each other are read at once."""
+        out, nodes = {}, np.unique(nodes)
+        number, row = nodes >> _ROW_BITS, nodes & (1 << _ROW_BITS) - 1
+        for n in np.unique(number):
+            f, places = self._file(int(n))
+            with f:
+                rows = row[number == n]
+                lo, hi = places[rows], places[rows + 1]
+                cut = np.flatnonzero(lo[1:] > hi[:-1] + 65536) + 1
+                for some in np.split(np.arange(len(rows)), cut):
+                    base = int(lo[some[0]])
+                    data = f.read_at(int(hi[some[-1]]) - base, base)
+                    for k in some:
+                        out[int(n) << _ROW_BITS | int(rows[k])] = np.frombuffer(data, CORNER, int(hi[k] - lo[k]) // CORNER.itemsize, int(lo[k]) - base)
+        return out
+
+
+def corners_of(images: DataFrame, folder: str) -> DataFrame:
+    """Store the corners of ``images(image_id, media)`` below ``folder``; a row per image with its number there (node).
+
+    Null, unreadable and flat images have no corners.  A file bears its task
+    attempt's number, and only a finished attempt's rows name it.
+    """
+    spark = images.sparkSession
+    common.prepare(spark)
+
+    def work(batches):
+        from pyspark import TaskContext
+
+        number, at, places, rows = TaskContext.get().taskAttemptId(), 0, [0], []
+        fs, path = common.open_fs(f"{folder}/{number:016d}.corners")
+        fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        with fs.open_output_stream(path, compression=None) as out:
+            for b in batches:
+                ids, data = b.column(0).to_pylist(), b.column(1).to_pylist()
+                pictures = [decode(x) if i is not None else None for i, x in zip(ids, data)]
+                found = describe_all([np.zeros((0, 0), np.float32) if p is None else p for p in pictures])
+                for i, x, f in zip(ids, data, found):
+                    out.write(f.tobytes())
+                    at += f.nbytes
+                    rows.append((number << _ROW_BITS | len(places) - 1, i, None if x is None else hashlib.blake2b(x, digest_size=16).digest(), len(f)))
+                    places.append(at)
+            out.write(np.array([*places, len(places)], "<i8").tobytes())
+        for k in range(0, len(rows), 10_000):
+            cols = zip(*rows[k : k + 10_000])
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.int32()))], names=["node", "image_id", "digest", "n"])
+
+    rows = images.select(F.col("image_id").cast("long").alias("image_id"), "media")
+    return common.materialize(rows.mapInArrow(work, IMAGES), "media-images")
+
+
+def filed(nodes: DataFrame, folder: str) -> DataFrame:
+    """(key, node) of the constellations of stored images."""
 
     def work(batches):
+        store = Store(folder)
         for b in batches:
-            ids, place, turn, bits, none, digest = [], [], [], [], [], []
-            for i, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                image = decode(data) if i is not None else None
-                p, d = describe(image) if image is not None and image.size else (np.zeros((0, 4), np.float32), np.zeros((0, 2), np.uint64))
-                n = len(p)
-                if not n:
-                    p, d = np.zeros((1, 4), np.float32), np.zeros((1, 2), np.uint64)
-                ids += [i] * len(p)
-                none += [not n] * len(p)
-                digest += [hashlib.blake2b(data, digest_size=16).digest() if data is not None else None] * len(p)
-                xy = p[:, :2].astype(np.int64)
-                place.append(xy[:, 0] << 32 | xy[:, 1])
-                turn.append(np.int64(n) << 24 | p[:, 2].astype(np.int64) << 16 | np.rint(p[:, 3] / (2 * np.pi) * 65536).astype(np.int64) & 0xFFFF)
-                bits.append(d)
-            d = np.concatenate([np.zeros((0, 2), np.uint64), *bits]).view(np.int64)
-            where = np.concatenate([np.zeros(0, np.int64), *place])
-            yield pa.RecordBatch.from_pydict({"image_id": pa.array(ids, pa.int64()), "place": pa.array(where, mask=np.array(none, bool)), "turn": pa.array(np.concatenate([np.zeros(0, np.int64), *turn])), "d0": pa.array(np.ascontiguousarray(d[:, 0])), "d1": pa.array(np.ascontiguousarray(d[:, 1])), "digest": pa.array(digest, pa.binary())})
-
-    return images.select(F.col("image_id").cast("long").alias("image_id"), "media").mapInArrow(work, KEYPOINTS)
-
-
-SEGMENTS = ["shiftrightunsigned(d0, 32)", "(d0 & 4294967295L) + 4294967296L", "shiftrightunsigned(d1, 32) + 8589934592L", "(d1 & 4294967295L) + 12884901888L"]
-
-
-def least_agreeing(na, nb):
-    """Corners that must agree on a transform of two images with so many."""
-    return np.maximum(LEAST_MATCHES, np.ceil(LEAST_SHARE * np.minimum(na, nb)))
-
-
-def ranked(points: DataFrame) -> DataFrame:
-    """Corners with their rank in the image, 1 for the one with the most common key."""
-    keys = points.where(F.pmod(F.xxhash64("image_id"), F.lit(SAMPLE)) == 0).select(F.explode(F.array(*map(F.expr, SEGMENTS))).alias("key"))
-    common_keys = common.materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON), "media-common")
-    table, out = _small(common_keys), points
-    for k, s in enumerate(SEGMENTS):
-        out = out.withColumn("_key", F.expr(s)).join(table.select(F.col("key").alias("_key"), F.col("n").alias(f"_n{k}")), "_key", "left")
-    often = F.greatest(*(F.coalesce(f"_n{k}", F.lit(0)) for k in range(len(SEGMENTS))))
-    rank = F.row_number().over(Window.partitionBy("image_id").orderBy(often.desc(), "place", "turn", "d0", "d1"))
-    return out.select("image_id", rank.alias("rank"), F.min(F.shiftright("turn", 24)).over(Window.partitionBy("image_id")).alias("n"), "d0", "d1")
-
-
-def pairs(points: DataFrame) -> DataFrame:
-    """(a, b) of images with a pair of corners of an equal segment, within DISTANCE bits, that is not among the most common of a."""
-    spark = points.sparkSession
-    keyed = ranked(points).select(F.explode(F.array(*map(F.expr, SEGMENTS))).alias("key"), "image_id", "rank", "n", "d0", "d1")
-    dealt = keyed.repartition(common.shuffle_partitions(spark), "key").sortWithinPartitions("key")
-
-    def found(cols, new):
-        bounds = np.concatenate([[0], new, [len(cols[0])]])
-        _, image, rank, n, d0, d1 = cols
-        left, right, have = [], [], 0
-        size = np.diff(bounds)
-        for k in np.flatnonzero(size > 1):
-            lo, hi = bounds[k], bounds[k + 1]
-            rare = lo + np.flatnonzero(rank[lo:hi] >= LEAST_MATCHES)
-            step = max(1, BLOCK // (hi - lo))
-            for at in range(0, len(rare), step):
-                i = rare[at : at + step]
-                far = np.bitwise_count(d0[i][:, None] ^ d0[None, lo:hi])
-                far += np.bitwise_count(d1[i][:, None] ^ d1[None, lo:hi])
-                x, y = np.nonzero(far <= DISTANCE)
-                i, j = i[x], lo + y
-                ok = (image[i] < image[j]) & (rank[i] >= least_agreeing(n[i], n[j]))
-                if ok.any():
-                    left.append(image[i[ok]])
-                    right.append(image[j[ok]])
-                    have += len(left[-1])
+            have = store.read(b.column(0).to_numpy(zero_copy_only=False))
+            names = np.array(list(have), np.int64)
+            size = np.array([len(c) for c in have.values()], np.int64)
+            if size.sum():
+                who, keys = constellations(np.repeat(np.arange(len(names)), size), np.concatenate(list(have.values())))
+                yield pa.RecordBatch.from_pydict({"key": pa.array(keys), "node": pa.array(names[who])})
+
+    return nodes.select("node").mapInArrow(work, "key long, node long")
+
+
+def _pairs(rows: DataFrame, again: bool) -> DataFrame:
+    """(a, b, n, key) from rows(key, node) or, again, rows(key, node, root) dealt and sorted by key.
+
+    All pairs of a key's images; of a dense key those with its first image, and a
+    row with the key alone.  Again: all of different roots.
+    """
+    width = 3 if again else 2
+    spark = rows.sparkSession
+    dealt = rows.repartition(common.shuffle_partitions(spark), "key").sortWithinPartitions("key", "node")
+
+    def pairs(cols, starts):
+        size = np.diff(np.append(starts, len(cols[0])))
+        left, right, dense, have = [], [], [], 0
+        two = starts[size == 2]
+        left.append(two)
+        right.append(two + 1)
+        for k in np.flatnonzero(size > 2):
+            lo, n = int(starts[k]), int(size[k])
+            if n > DENSE and not again:
+                dense.append(lo)
+                left.append(np.full(n - 1, lo))
+                right.append(np.arange(lo + 1, lo + n))
+            elif again:
+                for i in range(n - 1):
+                    j = lo + i + 1 + np.flatnonzero(cols[2][lo + i + 1 : lo + n] != cols[2][lo + i])
+                    left.append(np.full(len(j), lo + i))
+                    right.append(j)
+            else:
+                i, j = np.triu_indices(n, 1)
+                left.append(lo + i)
+                right.append(lo + j)
+            have += len(left[-1])
             if have > BLOCK:
-                yield from rows(left, right)
+                yield from rows_of(cols, left, right, [])
                 left, right, have = [], [], 0
-        yield from rows(left, right)
-
-    def rows(left, right):
-        if left:
-            both = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0)
-            for lo in range(0, len(both), 1 << 16):
-                yield pa.RecordBatch.from_pydict({"a": pa.array(both[lo : lo + (1 << 16), 0].copy()), "b": pa.array(both[lo : lo + (1 << 16), 1].copy())})
+        yield from rows_of(cols, left, right, dense)
+
+    def rows_of(cols, left, right, dense):
+        i, j = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (left, right))
+        if again and len(i):
+            ok = cols[2][i] != cols[2][j]
+            i, j = i[ok], j[ok]
+        both = np.stack([cols[1][i], cols[1][j]], axis=1)
+        once, n = np.unique(both, axis=0, return_counts=True)
+        none = np.zeros(len(dense), np.int64)
+        a, b, n = np.concatenate([once[:, 0], none]), np.concatenate([once[:, 1], none]), np.concatenate([n, none])
+        key = np.concatenate([np.zeros(len(once), np.int64), cols[0][np.array(dense, np.int64)]])
+        real = np.arange(len(a)) < len(once)
+        for lo in range(0, len(a), 1 << 16):
+            s = slice(lo, lo + (1 << 16))
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a[s], mask=~real[s]), "b": pa.array(b[s], mask=~real[s]), "n": pa.array(n[s]), "key": pa.array(key[s], mask=real[s])})
 
     def work(batches):
-        rest = None
+        held, n = [], 0
         for b in batches:
-            cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
-            cols[4], cols[5] = cols[4].view(np.uint64), cols[5].view(np.uint64)
-            if rest is not None:
-                cols = [np.concatenate([r, c]) for r, c in zip(rest, cols)]
-            new = np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1
-            cut = int(new[-1]) if len(new) else 0
-            rest = [c[cut:] for c in cols]
+            held.append([b.column(k).to_numpy(zero_copy_only=False) for k in range(width)])
+            n += b.num_rows
+            if n < 1 << 17:
+                continue
+            cols = [np.concatenate(c) for c in zip(*held)]
+            starts = np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1]]))
+            cut = int(starts[-1])
+            held, n = [[c[cut:] for c in cols]], len(cols[0]) - cut
             if cut:
-                yield from found([c[:cut] for c in cols], new[:-1])
-        if rest is not None and len(rest[0]):
-            yield from found(rest, np.flatnonzero(rest[0][1:] != rest[0][:-1]) + 1)
-
-    return dealt.mapInArrow(work, "a long, b long").distinct()
-
-
-def agreeing(a: np.ndarray, b: np.ndarray) -> int:
-    """Most corners of a (x, y, scale, angle) that one similarity transform, told by a single match, takes to their places in b; places of either side count once."""
-    turn, grow = b[:, 3] - a[:, 3], b[:, 2] / a[:, 2]
-    c, s = np.cos(turn) * grow, np.sin(turn) * grow
-    p, q = (np.unique(np.round(side[:, :2], 1), axis=0, return_inverse=True)[1].ravel() for side in (a, b))
-    most, best = min(p.max(), q.max()) + 1, 0
-    shift = np.stack([c, s, b[:, 0] - c * a[:, 0] + s * a[:, 1], b[:, 1] - s * a[:, 0] - c * a[:, 1]], axis=1)
-    bound = (TOLERANCE * np.maximum(a[:, 2], b[:, 2])) ** 2
-    for k in np.unique(np.round(shift, 4), axis=0, return_index=True)[1]:  # equal transforms are tried once
-        dx, dy = a[:, 0] - a[k, 0], a[:, 1] - a[k, 1]
-        near = (b[k, 0] + c[k] * dx - s[k] * dy - b[:, 0]) ** 2 + (b[k, 1] + s[k] * dx + c[k] * dy - b[:, 1]) ** 2 <= bound
-        if np.count_nonzero(near) > best:
-            best = max(best, min(len(np.unique(p[near])), len(np.unique(q[near]))))
-            if best == most:
-                break
-    return int(best)
+                yield from pairs([c[:cut] for c in cols], starts[:-1])
+        if held:
+            cols = [np.concatenate(c) for c in zip(*held)]
+            if len(cols[0]):
+                yield from pairs(cols, np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1]])))
 
+    return dealt.mapInArrow(work, "a long, b long, n long, key long")
 
-def links(points: DataFrame) -> DataFrame:
-    """(a, b, agreed) of images whose matching corners (an equal segment, DISTANCE bits) agree on a transform."""
-    points = points.where("place is not null and image_id is not null").select("image_id", "place", "turn", "d0", "d1")
-    tried = common.materialize(pairs(points), "media-pairs")
-    whole = points.groupBy("image_id").agg(*(F.collect_list(c).alias(c) for c in ("place", "turn", "d0", "d1")))
-    side = lambda s: whole.select(F.col("image_id").alias(s), *(F.col(c).alias(c + s) for c in ("place", "turn", "d0", "d1")))
-    dealt = tried.repartition(4 * common.shuffle_partitions(points.sparkSession), "a", "b")  # the rows are few, their comparison isn't
-    votes = dealt.join(side("a"), "a").join(side("b"), "b").select("a", "b", *(c + s for s in "ab" for c in ("place", "turn", "d0", "d1")))
-
-    def corners(place, turn):
-        return np.stack([place >> 32, place & 0xFFFFFFFF, turn >> 16 & 0xFF, (turn & 0xFFFF) * (2 * np.pi / 65536)], axis=1).astype(np.float64)
-
-    def verified(cols, at, k):
-        (pa_, ta, a0, a1), (pb, tb, b0, b1) = ([c[at[s][k] : at[s][k + 1]] for c in cols[s]] for s in (0, 1))
-        x0, x1 = a0[:, None] ^ b0[None, :], a1[:, None] ^ b1[None, :]
-        near = np.bitwise_count(x0) + np.bitwise_count(x1) <= DISTANCE
-        low, half = np.uint64(0xFFFFFFFF), np.uint64(32)
-        i, j = np.nonzero(near & ((x0 >> half == 0) | (x0 & low == 0) | (x1 >> half == 0) | (x1 & low == 0)))
-        least = least_agreeing((ta >> 24).min(), (tb >> 24).min())
-        if min(len(np.unique(i)), len(np.unique(j))) < least:
-            return 0
-        n = agreeing(corners(pa_, ta)[i], corners(pb, tb)[j])
-        return n if n >= least else 0
+
+def verified(pairs: DataFrame, folder: str) -> DataFrame:
+    """(a, b, agreed) of pairs of nodes with enough agreeing corners."""
 
     def work(batches):
+        store = Store(folder)
         for b in batches:
-            cols, at = [], []
-            for s in (0, 1):
-                lists = [b.column(2 + 4 * s + c) for c in range(4)]
-                flat = [x.flatten().to_numpy(zero_copy_only=False) for x in lists]
-                cols.append([*flat[:2], flat[2].view(np.uint64), flat[3].view(np.uint64)])
-                at.append(np.concatenate([[0], np.cumsum(lists[0].value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64))
-            agreed = np.array([verified(cols, at, k) for k in range(b.num_rows)], np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(agreed, pa.int32())], names=["a", "b", "agreed"]).filter(pa.array(agreed > 0))
-
-    return votes.mapInArrow(work, "a long, b long, agreed int")
+            left, right = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+            have = store.read(np.concatenate([left, right]))
+            agreed = np.zeros(len(left), np.int32)
+            for k, (x, y) in enumerate(zip(left.tolist(), right.tolist())):
+                least = least_agreeing(len(have[x]), len(have[y]))
+                n = agreeing(have[x], have[y], least)
+                agreed[k] = n if n >= least else 0
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(agreed)], names=["a", "b", "agreed"]).filter(pa.array(agreed > 0))
+
+    n = 4 * common.shuffle_partitions(pairs.sparkSession)  # the rows are few, their comparison isn't
+    return pairs.select("a", "b").repartition(n, "a").sortWithinPartitions("a", "b").mapInArrow(work, "a long, b long, agreed int")
+
+
+def links(nodes: DataFrame, folder: str) -> DataFrame:
+    """(a, b, agreed): links of stored images that connect all that are linked by candidates."""
+    rows = filed(nodes.where(F.col("n") >= 3), folder)
+    met = common.materialize(_pairs(rows, False), "media-met")
+    shared = F.sum("n") >= SHARED
+    counted = met.where("a is not null").groupBy("a", "b").agg(shared.alias("ok")).where("ok")
+    good = common.materialize(verified(counted, folder), "media-links")
+    keys = common.materialize(met.where("a is null").select("key").distinct(), "media-dense")
+    if not keys.isEmpty():
+        group = common.materialize(components(good.select("a", "b")), "media-groups")
+        dense = rows.join(_small(keys), "key").join(_small(group), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        rest = _pairs(dense, True).where("a is not null").groupBy("a", "b").agg(shared.alias("ok")).where("ok")
+        good = good.unionByName(common.materialize(verified(rest, folder), "media-links"))
+    return good
 
 
 def image_copies(images: DataFrame) -> DataFrame:
-    """(image_id, class_id, n_links): the smallest id of each group of linked images, and how many verified links an image has.
+    """(image_id, class_id, n_corners): the smallest id of each group of images tied by links.
 
-    Images of equal bytes are linked with each other, whatever they show, and
-    their corners are compared once; each of them has the links of all.  Other
-    images without corners, unreadable ones and null ones are classes of their
-    own; a null id has a null class.  Rows with the same id count as one
-    image's, and have one row in the result.
+    Images of equal bytes are one group whatever they show, and their corners are
+    compared once.  Other images without corners, unreadable ones and null ones
+    are groups of their own; a null id has a null class and no corners.  Rows
+    with the same id count as one image's, and have one row in the result, with
+    the corners of all.  Other columns are ignored; an empty table gives no rows.
     """
-    points = common.materialize(keypoints(images), "media-points")
-    names = points.where("image_id is not null and digest is not null").select("image_id", "digest").distinct()
-    firsts = names.groupBy("digest").agg(F.min("image_id").alias("first"), F.count(F.lit(1)).alias("same")).where("same > 1")
-    copies = common.materialize(names.join(firsts, "digest"), "media-copies")
-    others = copies.where("image_id <> first")
-    gone = others.select(F.col("image_id").alias("_id"), F.col("digest").alias("_digest"))
-    once = points.join(_small(gone), (points["image_id"] == F.col("_id")) & (points["digest"] == F.col("_digest")), "left_anti")
-    edges = common.materialize(links(once), "media-links")
-    group = components(edges.select("a", "b").union(others.select("image_id", "first")))
-    # a linked first image stands for as many as have its bytes; one that was first of several digests for the most
-    sizes = copies.groupBy("first").agg(F.max("same").alias("same"))
-    both = edges.select("a", "b").union(edges.select("b", "a")).join(sizes.withColumnRenamed("first", "b"), "b", "left")
-    near = both.groupBy("a").agg(F.sum(F.coalesce("same", F.lit(1))).alias("near"))
-    own = copies.groupBy("image_id").agg(F.max(F.col("same") - 1).alias("equal"), F.min("first").alias("first"))
-    rows = points.select("image_id").distinct().join(own, "image_id", "left").withColumn("a", F.coalesce("first", "image_id"))
-    named = rows.join(near, "a", "left").join(group.withColumnRenamed("node", "image_id"), "image_id", "left")
-    n_links = F.coalesce("near", F.lit(0)) + F.coalesce("equal", F.lit(0))
-    return named.select("image_id", F.coalesce("root", "image_id").alias("class_id"), n_links.cast("long").alias("n_links"))
+    folder = common.shared_dir(images.sparkSession, "media-corners")
+    stored = corners_of(images, folder)
+    known = stored.where("image_id is not null")
+    same = known.where("digest is not null").groupBy("digest").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("same")).where("same > 1")
+    copies = common.materialize(known.join(same, "digest").where("node <> first").select("node", "first"), "media-copies")
+    once = common.materialize(known.join(_small(copies.select("node")), "node", "left_anti"), "media-once")
+    ids = known.groupBy("image_id").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("same")).where("same > 1")
+    own = known.join(ids, "image_id").where("node <> first").select("node", "first")
+    edges = links(once, folder).select("a", "b").union(copies).union(own)
+    group = components(edges)
+    named = known.join(group, "node", "left").select("image_id", "n", F.coalesce("root", "node").alias("root"))
+    least = named.groupBy("root").agg(F.min("image_id").alias("class_id"))
+    found = named.join(least, "root").groupBy("image_id").agg(F.min("class_id").alias("class_id"), F.sum("n").cast("long").alias("n_corners"))
+    none = stored.where("image_id is null").select("image_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_corners")).distinct()
+    return found.unionByName(none)
 
 
 def rendered(pages: DataFrame, across: int = 16, tile: int = 4) -> DataFrame:
-    """(image_id, media): each page's whole text as a PGM, a word a tile whose dots are its hash; the tables have no images of their own."""
+    """(image_id, media): each page's whole text as a PGM, a word a tile whose dots are its hash; the tables have no images of their own.
+
+    The last row goes on with the first words, and pictures of few rows are
+    mirrored at the edges, so that no frame is the same in all.
+    """
     import xxhash
 
     common.prepare(pages.sparkSession)
@@ -376,9 +589,9 @@ def rendered(pages: DataFrame, across: int = 16, tile: int = 4) -> DataFrame:
         dots = np.zeros((rows * across, tile * tile), np.uint8)
         if words:
             h = np.array([max(1, xxhash.xxh32_intdigest(w) & 0xFFFF) for w in words], np.uint16)
-            dots[: len(words)] = (h[:, None] >> np.arange(tile * tile, dtype=np.uint16) & 1) * 255
+            dots = np.resize((h[:, None] >> np.arange(tile * tile, dtype=np.uint16) & 1).astype(np.uint8) * 255, dots.shape)
         picture = dots.reshape(rows, across, tile, tile).transpose(0, 2, 1, 3).reshape(rows * tile, across * tile)
-        return np.pad(picture, margin) if margin else picture
+        return np.pad(picture, margin, mode="symmetric") if margin else picture
 
     def work(batches):
         for b in batches:
@@ -386,12 +599,7 @@ def rendered(pages: DataFrame, across: int = 16, tile: int = 4) -> DataFrame:
             for html in b.column(1).to_pylist():
                 words = tags.sub(b" ", html).split()
                 rows = max(1, -(-len(words) // across))
-                margin = 2 * PATCH if words and rows < LEAST_ROWS else 0
-                picture = drawn(words, rows, margin)
-                if words and rows < 4 * LEAST_ROWS:  # with too few corners the words come again below, in the same size
-                    while len(describe(picture)[0]) < LEAST_MATCHES and rows < 16 * LEAST_ROWS:
-                        rows += 4
-                        picture = drawn((words * (1 + rows * across // len(words)))[: rows * across], rows, 2 * PATCH)
+                picture = drawn(words, rows, 2 * PATCH if words and rows < LEAST_ROWS else 0)
                 out.append(b"P5 %d %d 255\n" % picture.shape[::-1] + picture.tobytes())
             yield pa.RecordBatch.from_pydict({"image_id": b.column(0), "media": pa.array(out, pa.binary())})
 
@@ -400,4 +608,5 @@ def rendered(pages: DataFrame, across: int = 16, tile: int = 4) -> DataFrame:
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages (page_id) with the class of copies of their rendered picture, and its corners; see image_copies for nulls and ties."""
     return image_copies(rendered(common.read_table(spark, sf_dir, "pages"))).withColumnRenamed("image_id", "page_id")
