@@ -36,11 +36,11 @@ TESTS = 128
 #: Ratio of neighbouring levels of the pyramid, and how many there are at most.
 STEP, LEVELS = 1.26, 6
 #: Bits that two descriptors of one place may differ in.
-DISTANCE = 12
+DISTANCE = 16
 #: Bits of a table's segment, and tables.
-SEGMENT, TABLES = 16, 2
-#: Keys that candidates share at least.
-SHARED = 2
+SEGMENT, TABLES = 16, 3
+#: Keys that candidates share at least, and as one in so many of the corners that must agree.
+SHARED, SHARED_PART = 2, 16
 #: Images of a key up to which all pairs meet at once.
 DENSE = 64
 #: Elements of a block of distances.
@@ -49,7 +49,7 @@ BLOCK = 1 << 21
 TRIED = 16
 TOLERANCE = 4.0
 #: Corners that must agree, and their share of those of the image with fewer.
-LEAST_MATCHES, LEAST_SHARE = 5, 0.25
+LEAST_MATCHES, LEAST_SHARE = 6, 0.25
 #: Pages with fewer rows of words are rendered with a margin.
 LEAST_ROWS = 12
 
@@ -144,12 +144,15 @@ def _png(data: bytes) -> np.ndarray:
 
 
 def _box(a: np.ndarray, r: int) -> np.ndarray:
-    """Sums over squares of 2r + 1, of the same size; within r of the edges they are short, and no corner is taken there."""
+    """Sums over squares of 3 (r = 1) or 5 (r = 2), of the same size; within r of the edges they are 0, and no corner is taken there."""
     for axis in (0, 1):
-        n, out = a.shape[axis], np.zeros_like(a)
-        inner = out[r : n - r] if axis == 0 else out[:, r : n - r]
-        for k in range(2 * r + 1):
-            inner += a[k : n - 2 * r + k] if axis == 0 else a[:, k : n - 2 * r + k]
+        x = a if axis == 0 else a.T
+        n = len(x)
+        out = np.zeros_like(a)
+        if n > 2 * r:
+            two = x[:-1] + x[1:]
+            inner = (out if axis == 0 else out.T)[r : n - r]
+            np.add(two[: n - 2] if r == 1 else two[: n - 4] + two[2 : n - 2], x[2 * r :], out=inner)
         a = out
     return a
 
@@ -252,16 +255,44 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _nearest(xy: np.ndarray, n: int) -> np.ndarray:
-    """Each corner's n nearest others in groups (groups x corners x 2); places that aren't there are NaN."""
+def _three(far: np.ndarray) -> np.ndarray:
+    """The three least of the last axis, in order."""
+    if far.shape[-1] > 3:
+        some = np.argpartition(far, 2, axis=-1)[..., :3]
+    else:
+        some = np.broadcast_to(np.arange(far.shape[-1]), (*far.shape[:-1], far.shape[-1]))
+    return np.take_along_axis(some, np.argsort(np.take_along_axis(far, some, -1), axis=-1, kind="stable"), -1)
+
+
+def _nearest(xy: np.ndarray) -> np.ndarray:
+    """Each corner's nearest others in groups (groups x corners x 2); places that aren't there are NaN."""
     far = ((xy[:, :, None] - xy[:, None]) ** 2).sum(axis=3)
     k = np.arange(xy.shape[1])
     far[:, k, k] = np.inf
-    return np.argsort(np.where(np.isnan(far), np.inf, far), axis=2, kind="stable")[:, :, :n]
+    return _three(np.where(np.isnan(far), np.inf, far))
+
+
+def _nearest_of_many(xy: np.ndarray, reach: float) -> np.ndarray:
+    """The same for one group in the order of y: blocks of rows look at the corners within ``reach`` of their y, and at all where that isn't enough."""
+    out = np.empty((len(xy), 3), np.int64)
+    y = xy[:, 1]
+    for lo in range(0, len(xy), 128):
+        hi = min(len(xy), lo + 128)
+        for window in (reach, np.inf):
+            a, b = np.searchsorted(y, y[lo] - window, "left"), np.searchsorted(y, y[hi - 1] + window, "right")
+            far = ((xy[lo:hi, None] - xy[None, a:b]) ** 2).sum(axis=2)
+            far[np.arange(hi - lo), np.arange(lo, hi) - a] = np.inf
+            if b - a < 4:
+                continue
+            some = _three(far)
+            if window == np.inf or (np.take_along_axis(far, some, 1)[:, 2] <= window**2).all():
+                out[lo:hi] = a + some
+                break
+    return out
 
 
 def constellations(owner: np.ndarray, corners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(owner, key), each once: triples of a corner with its nearest and next, and with its next and third neighbour, of one level."""
+    """(owner, key), each once: triples of a corner with two of its three nearest neighbours of its level."""
     group = owner.astype(np.int64) * LEVELS + corners["level"]
     order = np.argsort(group, kind="stable")
     owner, corners, group = owner[order], corners[order], group[order]
@@ -271,35 +302,29 @@ def constellations(owner: np.ndarray, corners: np.ndarray) -> tuple[np.ndarray,
     xy = np.stack([corners["x"], corners["y"]], axis=1).astype(np.float64)
     by_size = np.argsort(size, kind="stable")
     by_size = by_size[size[by_size] > 2]
+    for g in by_size[size[by_size] > 128]:
+        lo, hi = starts[g], starts[g] + size[g]
+        near[lo:hi] = lo + _nearest_of_many(xy[lo:hi], 8 * 48 * STEP ** int(corners["level"][lo]))
+    by_size = by_size[size[by_size] <= 128]
     at = 0
     while at < len(by_size):
-        few = size[by_size[at]]
-        most = min(2 * few, max(few, 64))
-        end = at + max(1, int(np.searchsorted(size[by_size[at:]], most, "right")))
-        end = min(end, at + max(1, BLOCK // int(most) ** 2))
+        most = min(128, 2 * int(size[by_size[at]]))
+        end = at + int(np.searchsorted(size[by_size[at:]], most, "right"))
+        end = min(end, at + max(1, BLOCK // most**2))
         some = by_size[at:end]
         at, wide = end, int(size[some[-1]])
         place = starts[some][:, None] + np.arange(wide)
         there = np.arange(wide) < size[some][:, None]
-        if wide * wide <= BLOCK:
-            got = _nearest(np.where(there[:, :, None], xy[np.minimum(place, len(xy) - 1)], np.nan), 3)
-        else:  # one large group, by blocks of rows
-            p, rows = xy[starts[some[0]] : starts[some[0]] + wide], []
-            for lo in range(0, wide, BLOCK // wide + 1):
-                far = ((p[lo : lo + BLOCK // wide + 1, None] - p[None]) ** 2).sum(axis=2)
-                far[np.arange(len(far)), lo + np.arange(len(far))] = np.inf
-                rows.append(np.argsort(far, axis=1, kind="stable")[:, :3])
-            got = np.concatenate(rows)[None]
-        absolute = starts[some][:, None, None] + got
-        absolute[(got >= size[some][:, None, None])] = -1
-        if absolute.shape[2] < 3:
-            absolute = np.concatenate([absolute, np.full((*absolute.shape[:2], 3 - absolute.shape[2]), -1)], axis=2)
+        got = _nearest(np.where(there[:, :, None], xy[np.minimum(place, len(xy) - 1)], np.nan))
+        # of three corners the third neighbour isn't there
+        absolute = np.where(np.take_along_axis(np.broadcast_to(there[:, None], got.shape[:2] + (wide,)), got, 2), starts[some][:, None, None] + got, -1)
+        absolute = np.where(got == np.arange(wide)[None, :, None], -1, absolute)
         near[place[there]] = absolute[there]
     who, keys = [], []
     for t in range(TABLES):
         segment = corners["d"][:, 0] >> np.uint64(64 - SEGMENT * (t + 1)) & np.uint64((1 << SEGMENT) - 1)
         m = _mixed(segment + np.uint64(1 + t << SEGMENT))
-        for a, b in ((0, 1), (1, 2)):
+        for a, b in ((0, 1), (1, 2), (0, 2)):
             ok = (near[:, a] >= 0) & (near[:, b] >= 0)
             keys.append(_mixed(m[ok] * np.uint64(3) + m[near[ok, a]] + m[near[ok, b]]).view(np.int64))
             who.append(owner[ok])
@@ -316,42 +341,50 @@ def least_agreeing(na: int, nb: int) -> int:
 
 
 def agreeing(a: np.ndarray, b: np.ndarray, enough: int | None = None) -> int:
-    """Corners of a that one similarity transform takes to a like corner (DISTANCE bits) of b; places of either side count once.
+    """Corners of a that one similarity transform takes to the corner of b that is likest, as they are to it, within DISTANCE bits; places of either side count once.
 
     Each match tells a transform; those of the fullest bins of votes are tried
     until ``enough`` corners agree.  0 where fewer than ``enough`` corners match.
     """
-    left, right, mine, others = [], [], 0, np.zeros(len(b), bool)
+    left, right, bits = [], [], []
     (a0, a1), (b0, b1) = a["d"].T.copy(), b["d"].T.copy()
     step = max(1, BLOCK // max(1, len(b)))
     for lo in range(0, len(a), step):
-        far = np.bitwise_count(a0[lo : lo + step, None] ^ b0)
-        far += np.bitwise_count(a1[lo : lo + step, None] ^ b1)
+        i, j = np.nonzero(np.bitwise_count(a0[lo : lo + step, None] ^ b0) <= DISTANCE)  # half of the bits first
+        i += lo
+        far = np.bitwise_count(a0[i] ^ b0[j]) + np.bitwise_count(a1[i] ^ b1[j])
         near = far <= DISTANCE
-        mine += np.count_nonzero(near.any(axis=1))
-        others |= near.any(axis=0)
-        i, j = np.nonzero(near)
-        left.append(i + lo)
-        right.append(j)
-    most = min(mine, np.count_nonzero(others))
+        left.append(i[near])
+        right.append(j[near])
+        bits.append(far[near])
+    i, j, far = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (left, right, bits))
+    to_a, to_b = np.full(len(a), 255), np.full(len(b), 255)
+    np.minimum.at(to_a, i, far)
+    np.minimum.at(to_b, j, far)
+    mutual = (far == to_a[i]) & (far == to_b[j])
+    i, j = i[mutual], j[mutual]
+    most = min(np.count_nonzero(np.bincount(i)), np.count_nonzero(np.bincount(j)))
     if not most or most < (enough or 0):
         return 0
-    i, j = np.concatenate(left), np.concatenate(right)
-    p, q = a["x"][i] + 1j * a["y"][i], b["x"][j] + 1j * b["y"][j]
-    p, q = p / 8, q / 8
+    p, q = (a["x"][i] + 1j * a["y"][i]) / 8, (b["x"][j] + 1j * b["y"][j]) / 8
     grow = STEP ** (b["level"][j].astype(np.float64) - a["level"][i])
     turn = grow * np.exp(2j * np.pi / 256 * (b["angle"][j].astype(np.float64) - a["angle"][i]))
     shift = q - turn * p
     bound = TOLERANCE * np.maximum(STEP ** a["level"][i].astype(np.float64), STEP ** b["level"][j].astype(np.float64))
-    bins = np.stack([np.rint(np.angle(turn) * 4), np.rint(np.log(grow) * 3), np.rint(shift.real / 16), np.rint(shift.imag / 16)], axis=1)
-    _, first, votes = np.unique(bins, axis=0, return_index=True, return_counts=True)
-    best = 0
-    for k in first[np.argsort(-votes, kind="stable")[:TRIED]]:
-        near = np.abs(q - q[k] - turn[k] * (p - p[k])) <= bound
-        if np.count_nonzero(near) > best:
-            best = max(best, min(len(np.unique(p[near])), len(np.unique(q[near]))))
-            if best >= (enough or most):
-                break
+    bins = np.rint(np.angle(turn) * 4).astype(np.int64) + 16 << 52 | np.rint(np.log(grow) * 3).astype(np.int64) + 16 << 46
+    bins |= (np.rint(shift.real / 16).astype(np.int64) & 0x3FFFFF) << 23 | np.rint(shift.imag / 16).astype(np.int64) & 0x3FFFFF
+    _, first, votes = np.unique(bins, return_index=True, return_counts=True)
+    tried = first[np.argsort(-votes, kind="stable")[:TRIED]][:, None]
+    step = max(1, BLOCK // 8 // len(p))
+    near = np.concatenate([np.abs(q - q[k] - turn[k] * (p - p[k])) <= bound for k in np.split(tried, range(step, len(tried), step))])
+    count, best = near.sum(axis=1), 0
+    here, there = (np.unique(side, return_inverse=True)[1] for side in (p, q)) if count.max() >= (enough or 1) else (None, None)
+    for row in np.argsort(-count, kind="stable"):
+        if count[row] <= best or count[row] < (enough or 1):
+            break
+        best = max(best, min(np.count_nonzero(np.bincount(side[near[row]])) for side in (here, there)))
+        if best >= (enough or most):
+            break
     return int(best)
 
 
@@ -513,38 +546,51 @@ def _pairs(rows: DataFrame, again: bool) -> DataFrame:
     return dealt.mapInArrow(work, "a long, b long, n long, key long")
 
 
+def candidates(met: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b) of images that share enough keys for as many corners as must agree."""
+    counted = met.where("a is not null").groupBy("a", "b").agg(F.sum("n").alias("shared")).where(F.col("shared") >= SHARED)
+    side = lambda s: _small(nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}")))
+    least = F.greatest(F.lit(LEAST_MATCHES), F.ceil(F.least("n_a", "n_b") * LEAST_SHARE))
+    return counted.join(side("a"), "a").join(side("b"), "b").where(F.col("shared") * SHARED_PART >= least).select("a", "b")
+
+
 def verified(pairs: DataFrame, folder: str) -> DataFrame:
     """(a, b, agreed) of pairs of nodes with enough agreeing corners."""
 
+    def checked(store, left, right):
+        have = store.read(np.concatenate([left, right]))
+        agreed = np.zeros(len(left), np.int32)
+        for k, (x, y) in enumerate(zip(left.tolist(), right.tolist())):
+            least = least_agreeing(len(have[x]), len(have[y]))
+            n = agreeing(have[x], have[y], least)
+            agreed[k] = n if n >= least else 0
+        return pa.RecordBatch.from_pydict({"a": pa.array(left), "b": pa.array(right), "agreed": pa.array(agreed)}).filter(pa.array(agreed > 0))
+
     def work(batches):
-        store = Store(folder)
+        store, held, n = Store(folder), [], 0
         for b in batches:
-            left, right = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-            have = store.read(np.concatenate([left, right]))
-            agreed = np.zeros(len(left), np.int32)
-            for k, (x, y) in enumerate(zip(left.tolist(), right.tolist())):
-                least = least_agreeing(len(have[x]), len(have[y]))
-                n = agreeing(have[x], have[y], least)
-                agreed[k] = n if n >= least else 0
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(agreed)], names=["a", "b", "agreed"]).filter(pa.array(agreed > 0))
+            held.append([b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)])
+            n += b.num_rows
+            if n >= 4096:
+                yield checked(store, *(np.concatenate(c) for c in zip(*held)))
+                held, n = [], 0
+        if held:
+            yield checked(store, *(np.concatenate(c) for c in zip(*held)))
 
-    n = 4 * common.shuffle_partitions(pairs.sparkSession)  # the rows are few, their comparison isn't
-    return pairs.select("a", "b").repartition(n, "a").sortWithinPartitions("a", "b").mapInArrow(work, "a long, b long, agreed int")
+    n = 2 * common.shuffle_partitions(pairs.sparkSession)  # the rows are few, their comparison isn't
+    return pairs.select("a", "b").repartition(n, "a", "b").sortWithinPartitions("a", "b").mapInArrow(work, "a long, b long, agreed int")
 
 
 def links(nodes: DataFrame, folder: str) -> DataFrame:
     """(a, b, agreed): links of stored images that connect all that are linked by candidates."""
     rows = filed(nodes.where(F.col("n") >= 3), folder)
     met = common.materialize(_pairs(rows, False), "media-met")
-    shared = F.sum("n") >= SHARED
-    counted = met.where("a is not null").groupBy("a", "b").agg(shared.alias("ok")).where("ok")
-    good = common.materialize(verified(counted, folder), "media-links")
+    good = common.materialize(verified(candidates(met, nodes), folder), "media-links")
     keys = common.materialize(met.where("a is null").select("key").distinct(), "media-dense")
     if not keys.isEmpty():
         group = common.materialize(components(good.select("a", "b")), "media-groups")
         dense = rows.join(_small(keys), "key").join(_small(group), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        rest = _pairs(dense, True).where("a is not null").groupBy("a", "b").agg(shared.alias("ok")).where("ok")
-        good = good.unionByName(common.materialize(verified(rest, folder), "media-links"))
+        good = good.unionByName(common.materialize(verified(candidates(_pairs(dense, True), nodes), folder), "media-links"))
     return good
 
 
