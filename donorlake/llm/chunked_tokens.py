@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from array import array
 from itertools import chain
 
@@ -33,9 +34,9 @@ _NO_APOSTROPHE = frozenset('!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~')
 _INVALID = -1
 
 
-def loaded(kind: type, path: str) -> "Pool":
-    """One encoder for each worker process and file, kept between tasks."""
-    return common.kept((kind.__name__, path), lambda: kind(path))
+def loaded(kind: type, path: str, *options) -> "Pool":
+    """One encoder for each worker process, file and options, kept between tasks."""
+    return common.kept((kind.__name__, path, *options), lambda: kind(path, *options))
 
 
 def grouped(batches, column: str, limit: int = GROUP_BYTES):
@@ -73,6 +74,8 @@ class Pool:
     """Remembers the ids of chunks in one growing array."""
 
     dtype = np.dtype("<u4")
+    #: Texts with these are encoded whole.
+    odd = "[\\x00-\\x04]"
 
     def __init__(self):
         self._forget()
@@ -110,7 +113,7 @@ class Pool:
         if len(self.row) > MAX_CHUNKS:
             self._forget()
         parts: list = [None] * len(texts)
-        marked = pc.match_substring_regex(texts, "[\\x00-\\x04]").to_numpy(zero_copy_only=False)
+        marked = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
         left, odd = np.flatnonzero(~marked), np.flatnonzero(marked)
         for cut in self.cuts():
             if not len(left):
@@ -145,20 +148,27 @@ class Pool:
 
 
 class TokenizerFile(Pool):
-    """A tokenizer of the tokenizers library, without special tokens; their strings are ordinary text."""
+    """A tokenizer of the tokenizers library, with no special tokens added.
 
-    def __init__(self, path: str):
+    The strings of special tokens inside a text become these tokens, as in the
+    library's plain call; ``special_as_text`` makes them ordinary text.
+    """
+
+    def __init__(self, path: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = special_as_text
         self.model = self.tok.model
         self.bits = max(1, (self.tok.get_vocab_size() - 1).bit_length())
         self.dtype = np.dtype("<u2" if self.bits <= 16 else "<u4")
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {}
+        added = [t["content"] for t in spec.get("added_tokens") or [] if not (special_as_text and t.get("special"))]
+        if added:  # letters of either case, as the tokenizer may lower them first
+            self.odd = "|".join([Pool.odd, *("(?i:" + re.escape(t) + ")" for t in added)])
         self.kind = "whole"
         if spec["model"].get("type") == "BPE" and not spec["model"].get("dropout"):
             if pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not norm:

@@ -2,7 +2,8 @@
 
 Every operator that has to write (token files, archives, materialised tables)
 writes below ``spark.checkpoint.dir``, the one folder that driver and executors
-share; only where it is unset (tests, notebooks) a temporary folder is made.
+share; only where it is unset in local mode (tests, notebooks) a temporary folder
+is made.
 Files are written under a temporary name and moved to a name that depends on
 the partition only, so a retried or speculative task leaves the same file.
 """
@@ -59,6 +60,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder (as a URI, not yet made) in the shared folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="donorlake-shared-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         base = f"file://{folder}"

@@ -167,13 +167,15 @@ MANIFEST = "part int, file string, start_in_part long, n_docs long, n_tokens lon
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long, file string"
 
 
-def write_shards(docs: DataFrame, tokenizer: str, end_id: int | None, out: str, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer: str, end_id: int | None, out: str, shard_tokens: int = SHARD_TOKENS, special_as_text: bool = False) -> DataFrame:
     """Encode ``docs(doc_id, text)`` and write shards below ``out``; returns the manifest, a row per shard.
 
     Documents are dealt by ranges of doc_id, so shards in the order of their
     names hold them in ascending order; null ids come first, rows with the same
     id follow each other by text.  A null text is empty and has only the end id;
     columns besides the two are ignored; an empty table gives an empty manifest.
+    Strings of special tokens in a text become these tokens, unless
+    ``special_as_text``.
     """
     spark = docs.sparkSession
     common.prepare(spark)
@@ -182,12 +184,13 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int | None, out: str,
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        enc: TokenizerFile = loaded(TokenizerFile, tokenizer)
+        enc: TokenizerFile = loaded(TokenizerFile, tokenizer, special_as_text)
         bits = max(enc.bits, (end_id or 0).bit_length())
+        kind = np.dtype("<u2" if bits <= 16 else "<u4")
         held, names, sizes, n, before, shard = [], [], [], 0, 0, 0
 
         def close():
-            ids = np.concatenate(held) if held else np.empty(0, enc.dtype)
+            ids = np.concatenate(held) if held else np.empty(0, kind)
             name = f"{out}/part-{part:06d}-{shard:06d}.dlwm"
             common.write_file(name, build(ids, bits, names, np.cumsum(sizes)))
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [name], "start_in_part": [before], "n_docs": [len(names)], "n_tokens": [len(ids)]})
@@ -197,10 +200,10 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int | None, out: str,
             docs_here = column(table, "doc_id").to_pylist()
             at = 0
             for doc, end in zip(docs_here, ends.tolist()):
-                held.append(ids[at:end])
+                held.append(ids[at:end].astype(kind, copy=False))
                 size = end - at
                 if end_id is not None:
-                    held.append(np.array([end_id], enc.dtype))
+                    held.append(np.array([end_id], kind))
                     size += 1
                 names.append(doc)
                 sizes.append(size)
@@ -244,6 +247,7 @@ def read_documents(manifest: DataFrame) -> DataFrame:
 
 
 def op1_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's place, length and checksum among the ids of all documents, read back from wavelet-matrix files (see write_shards for nulls, ties and empty tables)."""
     import public_tokenizers
 
     out = common.shared_dir(spark, "wavelet")

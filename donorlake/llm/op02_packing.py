@@ -20,6 +20,7 @@ need no padding.
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -33,8 +34,6 @@ from .chunked_tokens import TokenizerFile, column, grouped, loaded
 WINDOW = 2048
 #: No slice is shorter, so that small sources send rarely rather than token by token.
 LEAST_SLICE = 64
-#: Queues; sources beyond share queues by their hash, no row is lost.
-MAX_QUEUES = 256
 #: Quanta are counted in this fraction of a token.
 UNIT = 1 << 16
 #: A table of queue bases larger than this (rows) is joined by shuffle instead of broadcast.
@@ -54,9 +53,19 @@ class Plan:
         if weights is None:
             quanta = [window * UNIT * t // max(1, total) for t in tokens]
         else:
-            quanta = [int(window * UNIT * w / sum(weights)) for w in weights]
+            if not all(math.isfinite(w) and w > 0 for w in weights):
+                raise ValueError("weights are finite and above 0")
+            most = max(weights)
+            whole = sum(w / most for w in weights)
+            quanta = [int(window * UNIT * (w / most / whole)) for w in weights]
         self.quantum = np.array([max(1, q) for q in quanta], np.int64)
         self.slice = np.clip(self.quantum // UNIT, least, window)
+        #: A slice's price in fractions of a token; rounds until a queue is empty (beyond, counters don't grow).
+        self.price = self.slice * UNIT
+        ends = [-(-(-(-t // s) * s * UNIT) // q) for t, s, q in zip(tokens, self.slice.tolist(), self.quantum.tolist())]
+        if max(ends, default=0) >= 1 << 62:
+            raise ValueError("a source's share is too small for its tokens")
+        self.finish = np.array(ends, np.int64)
         full, tail = divmod(total, window)
         ends = [1 << b for b in reversed(range(window.bit_length())) if tail >> b & 1]
         self.tail_at = full * window
@@ -65,7 +74,8 @@ class Plan:
 
     def sent(self, rounds: np.ndarray) -> np.ndarray:
         """Tokens that each queue (columns) has sent after so many rounds (rows)."""
-        slices = rounds[:, None] * self.quantum // (self.slice * UNIT)
+        whole, part = np.divmod(np.minimum(rounds[:, None], self.finish), self.price)  # apart, so that no product leaves 64 bits
+        slices = whole * self.quantum + part * self.quantum // self.price
         return np.minimum(slices * self.slice, self.tokens)
 
     def places(self, queue: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -76,7 +86,8 @@ class Plan:
             q, a = queue[lo : lo + step], at[lo : lo + step]
             # the last slice may be short; it is sent with the deficit of a full one
             size, k = self.slice[q], a // self.slice[q]
-            after = -(-((k + 1) * size * UNIT) // self.quantum[q])
+            whole, part = np.divmod(k + 1, self.quantum[q])
+            after = whole * self.price[q] - (-(part * self.price[q]) // self.quantum[q])
             before = self.sent(after - 1)
             here = self.sent(after) - before
             prior = np.cumsum(here, axis=1) - here
@@ -96,7 +107,12 @@ def _starts(at: np.ndarray, n: np.ndarray, step: np.ndarray) -> tuple[np.ndarray
     return run, lo, hi - lo
 
 
-def store_tokens(docs: DataFrame, tokenizer: str, end_id: int | None) -> DataFrame:
+def _width(enc: TokenizerFile, end_id: int | None) -> int:
+    """Bytes of a stored id."""
+    return 2 if max(enc.bits, (end_id or 0).bit_length()) <= 16 else 4
+
+
+def store_tokens(docs: DataFrame, tokenizer: str, end_id: int | None, special_as_text: bool = False) -> DataFrame:
     """Encode ``docs(doc_id, text, source)`` once into a table of ids; ``at`` counts within the partition's part of a queue."""
     spark = docs.sparkSession
     common.prepare(spark)
@@ -105,13 +121,14 @@ def store_tokens(docs: DataFrame, tokenizer: str, end_id: int | None) -> DataFra
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        enc: TokenizerFile = loaded(TokenizerFile, tokenizer)
+        enc: TokenizerFile = loaded(TokenizerFile, tokenizer, special_as_text)
         sent: dict[int, int] = {}
-        end = b"" if end_id is None else np.array([end_id], enc.dtype).tobytes()
-        width = enc.dtype.itemsize
+        kind = np.dtype(f"<u{_width(enc, end_id)}")
+        end = b"" if end_id is None else np.array([end_id], kind).tobytes()
+        width = kind.itemsize
         for table in grouped(batches, "text"):
             ids, ends = enc.encode(column(table, "text"))
-            raw = ids.tobytes()
+            raw = ids.astype(kind, copy=False).tobytes()
             queues, names = column(table, "queue").to_pylist(), column(table, "doc_id").to_pylist()
             lo, rows, at, n = 0, [], [], []
             for hi, q in zip(ends.tolist(), queues):
@@ -129,41 +146,41 @@ def store_tokens(docs: DataFrame, tokenizer: str, end_id: int | None) -> DataFra
 
 
 def queues_of(docs: DataFrame) -> tuple[DataFrame, list]:
-    """Numbers the sources: a queue each, or shared by hash beyond MAX_QUEUES; a null source is a queue too."""
+    """Numbers the sources, a queue each in the order of their names, a null source first; the driver holds a row per source."""
     spark = docs.sparkSession
-    names = [r[0] for r in docs.select("source").distinct().limit(MAX_QUEUES + 1).collect()]
-    if len(names) > MAX_QUEUES:
-        return docs.withColumn("queue", F.pmod(F.xxhash64("source"), F.lit(MAX_QUEUES)).cast("int")), []
-    names = sorted(names, key=lambda x: (x is not None, x))
-    known = {n: i for i, n in enumerate(names) if n is not None}
-    queue = F.lit(names.index(None) if None in names else 0)
-    if known:
-        pairs = F.create_map(*[x for k, v in known.items() for x in (F.lit(k), F.lit(v))])
-        queue = F.when(F.col("source").isNull(), queue).otherwise(pairs[F.col("source")])
-    return docs.withColumn("queue", queue.cast("int")), names
-
-
-def pack(docs: DataFrame, tokenizer: str, end_id: int | None = 1, window: int = WINDOW, weights: dict | None = None) -> DataFrame:
+    names = sorted((r[0] for r in docs.select("source").distinct().collect()), key=lambda x: (x is not None, x or ""))
+    if len(names) <= 1:
+        return docs.withColumn("queue", F.lit(0)), names
+    table = spark.createDataFrame(list(zip(names, range(len(names)))), "_source string, queue int")
+    if len(names) <= BROADCAST_ROWS:
+        table = F.broadcast(table)
+    return docs.join(table, F.col("source").eqNullSafe(F.col("_source"))).drop("_source"), names
+
+
+def pack(docs: DataFrame, tokenizer: str, end_id: int | None = 1, window: int = WINDOW, weights: dict | None = None, special_as_text: bool = False) -> DataFrame:
     """Pieces of packed sequences of ``docs(doc_id, text, source)``.
 
     A null text is empty; with an end id it still has that one token, without it
     has none and no piece.  Rows with the same doc_id are packed one by one.
     Null doc_ids are kept.  ``weights`` by source gives another mixture than the
-    corpus' own (sources it lacks get weight 1).  Other columns are ignored; an
-    empty table gives no pieces.
+    corpus' own (sources it lacks get weight 1; a weight that isn't finite and
+    above 0 is an error).  Other columns are ignored; an empty table gives no
+    pieces.  Strings of special tokens in a text become these tokens, unless
+    ``special_as_text``.  Each source costs every slice one step, and the driver
+    a row.
     """
     spark = docs.sparkSession
     rows, names = queues_of(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), common.text_or_empty()))
-    store = store_tokens(rows, tokenizer, end_id)
+    store = store_tokens(rows, tokenizer, end_id, special_as_text)
     sums = common.materialize(store.groupBy("part", "queue").agg(F.sum("n").alias("n")), "packing-sums")
-    counts = dict(sums.groupBy("queue").agg(F.sum("n").alias("n")).collect())  # at most MAX_QUEUES rows
+    counts = dict(sums.groupBy("queue").agg(F.sum("n").alias("n")).collect())  # a row per source
     tokens = [counts.get(q, 0) for q in range(max(counts, default=0) + 1)]
     plan = Plan(tokens, [weights.get(n, 1) for n in names] if weights and names else None, window)
     bases = sums.select("part", "queue", (F.sum("n").over(Window.partitionBy("queue").orderBy("part")) - F.col("n")).alias("base"))
     if sums.count() <= BROADCAST_ROWS:
         bases = F.broadcast(bases)
     placed = store.join(bases, ["part", "queue"]).select("doc_id", "queue", (F.col("base") + F.col("at")).alias("at"), "n", "ids")
-    width = 2 if loaded(TokenizerFile, tokenizer).bits <= 16 else 4
+    width = _width(loaded(TokenizerFile, tokenizer, special_as_text), end_id)
 
     def cut(batches):
         for b in batches:
@@ -195,6 +212,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int | None = 1, window: int =
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in packed sequences, in the corpus' own mixture (see pack for nulls, ties and empty tables)."""
     import public_tokenizers
 
     return pack(common.read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).drop("queue")

@@ -203,6 +203,7 @@ def without_repeats(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's lines, dropped lines and digest of what stays (see keep_bitmaps for nulls, ties and empty tables)."""
     docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text")
     bitmaps = common.materialize(keep_bitmaps(docs), "keep-bitmaps")
     both, name = with_bitmaps(docs, bitmaps)

@@ -194,7 +194,7 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
         i, j = np.nonzero(table)
         yield pa.RecordBatch.from_pydict({"lang": pa.array(i, pa.int32()), "bucket": pa.array(j, pa.int32()), "n": pa.array(table[i, j], pa.int64())})
 
-    summed = sample.select("lang", "text").repartition(min(8, common.shuffle_partitions(docs.sparkSession)), F.xxhash64("text")).mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    summed = sample.select("lang", "text", "doc_id").repartition(min(8, common.shuffle_partitions(docs.sparkSession)), F.xxhash64("doc_id", "text")).mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = np.zeros((len(langs), BUCKETS + len(SCRIPT_NAMES)))
     got = summed.toArrow()  # at most languages x buckets rows
     table[got.column("lang").to_numpy(), got.column("bucket").to_numpy()] = got.column("n").to_numpy()
@@ -287,6 +287,7 @@ def held_out(doc_id="doc_id"):
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document, learned from the others (see predict and train for nulls, ties and empty tables)."""
     docs = common.read_table(spark, sf_dir, "documents")
     model = train(docs.where(~held_out()))
     found = predict(docs, model)

@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -66,12 +67,17 @@ class CharacterMap:
 class Normalizer:
     """The library's normalisation with the source place of every byte put out."""
 
-    def __init__(self, spec):
+    def __init__(self, spec, symbols: list[bytes] = (), suffix: bool = False):
         self.map = CharacterMap(spec.precompiled_charsmap)
+        self.symbols, self.suffix = sorted(symbols, key=len, reverse=True), suffix
         self.dummy, self.trim, self.escape = spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces
         self.identity = not self.map.units and not self.trim
 
     def _step(self, raw: bytes, at: int) -> tuple[bytes, int]:
+        """What comes out for the source bytes from here, and how many they are; user-defined symbols stay as they are."""
+        for symbol in self.symbols:
+            if raw.startswith(symbol, at):
+                return symbol, len(symbol)
         if hit := self.map.longest(raw, at):
             return hit[1], hit[0]
         b = raw[at]
@@ -93,13 +99,15 @@ class Normalizer:
             return b"", [0]
 
         def put(piece: bytes, where: int):
-            for byte in piece:
+            own = raw.startswith(piece, where)  # unchanged: each byte is its own source
+            for k, byte in enumerate(piece):
                 for b in space if byte == 0x20 else bytes([byte]):
                     out.append(b)
-                    src.append(where)
+                    src.append(where + k if own else where)
 
-        if self.dummy:
-            put(b" ", at)
+        if self.dummy and not self.suffix:
+            out += space
+            src += [at] * len(space)
         after_space = self.trim
         while at < stop:
             piece, n = self._step(raw, at)
@@ -113,6 +121,9 @@ class Normalizer:
             while out.endswith(space):
                 stop = src[len(out) - len(space)]
                 del out[-len(space) :], src[-len(space) :]
+        if self.dummy and self.suffix:
+            out += space
+            src += [stop] * len(space)
         return bytes(out), [*src, stop]
 
 
@@ -128,17 +139,19 @@ class PieceFile(Pool):
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
         proto = sentencepiece_model_pb2.ModelProto()
         proto.ParseFromString(self.sp.serialized_model_proto())
-        self.normalizer = Normalizer(proto.normalizer_spec)
+        suffix = proto.trainer_spec.treat_whitespace_as_suffix
+        self.normalizer = Normalizer(proto.normalizer_spec, [p.piece.replace(SPACE, " ").encode() for p in proto.pieces if p.type == 4], suffix)
         inside = re.compile(f"[^{SPACE}]{SPACE}")
         spec = proto.normalizer_spec
         bpe = proto.trainer_spec.model_type == 2
         self.chunked = bpe and self.normalizer.identity and spec.add_dummy_prefix and spec.escape_whitespaces and not proto.trainer_spec.treat_whitespace_as_suffix and not any(inside.search(p.piece) or p.type == 4 for p in proto.pieces)
+        n, sp = self.sp.get_piece_size(), self.sp
+        #: Original bytes of each piece where the map is the identity, and pieces that don't tell them.
+        self.piece_bytes = np.array([1 if sp.is_byte(i) else len(sp.id_to_piece(i).replace(SPACE, " ").encode()) for i in range(n)], np.int64)
+        self.unsure = np.array([sp.is_unknown(i) for i in range(n)])
+        self.straight = self.normalizer.identity and spec.add_dummy_prefix and spec.escape_whitespaces and not suffix
         super().__init__()
 
-    def _forget(self):
-        super()._forget()
-        self.widths = np.empty(1 << 16, np.uint16)
-
     def whole(self, texts: list[str]) -> list[list[int]]:
         return self.sp.encode(texts, num_threads=1)
 
@@ -152,21 +165,22 @@ class PieceFile(Pool):
             self.row[c] = _INVALID
         self._add(good, self.whole(good))
 
-    def spans(self, text: str, ids: list[int]) -> list[tuple[int, int]]:
-        """For each piece the original bytes it comes from; bytes of one character share its span's start."""
-        norm, src = self.normalizer.run(text)
-        at, out = 0, []
-        for i in ids:
-            piece = self.sp.id_to_piece(i)
-            if self.sp.is_byte(i):
-                n = 1
-            elif self.sp.is_unknown(i):  # an unknown piece covers one run the library couldn't spell
-                n = len(norm) - at
-            else:
-                n = len(piece.encode())
-            out.append((src[at], src[at + n]))
-            at += n
-        return out
+    def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the original bytes that each piece comes from.
+
+        Bytes that the map changes belong to the start of what they come from.
+        An unknown piece covers the run that the library couldn't spell.
+        """
+        if self.straight and SPACE not in text and not self.unsure[ids].any():  # the pieces follow each other, behind one added space
+            ends = np.cumsum(self.piece_bytes[ids]) - 1
+            return np.maximum(0, ends - self.piece_bytes[ids]), np.maximum(0, ends)
+        _, src = self.normalizer.run(text)
+        if self.unsure[ids].any():
+            size = [1 if self.sp.is_byte(p.id) else len(p.piece.encode()) for p in self.sp.encode(text, return_type="proto").pieces]
+        else:
+            size = [1 if self.sp.is_byte(i) else len(self.sp.id_to_piece(i).encode()) for i in ids.tolist()]
+        at, src = np.concatenate([[0], np.cumsum(size)]).astype(np.int64), np.array(src, np.int64)
+        return src[at[:-1]], src[at[1:]]
 
     def decode(self, ids: list[int]) -> str:
         return self.sp.decode(ids)
@@ -188,9 +202,9 @@ def encode(docs: DataFrame, model: str, spans: bool = True) -> DataFrame:
             rows = np.split(flat, ends[:-1]) if len(ends) else []
             starts, stops = [], []
             for text, ids in zip(texts.to_pylist(), rows):
-                found = enc.spans(text, ids.tolist()) if spans else []
-                starts.append([a for a, _ in found])
-                stops.append([b for _, b in found])
+                found = enc.spans(text, ids) if spans else ([], [])
+                starts.append(found[0])
+                stops.append(found[1])
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(column(table, "doc_id"), pa.int64()), "ids": pa.array([r.tolist() for r in rows], pa.list_(pa.int32())), "starts": pa.array(starts, pa.list_(pa.int32())), "ends": pa.array(stops, pa.list_(pa.int32()))})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty())
@@ -198,33 +212,33 @@ def encode(docs: DataFrame, model: str, spans: bool = True) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, model: str) -> DataFrame:
-    """Digests of ids and of the decoded text of each document, and the original bytes its pieces cover."""
+    """Digests of ids, of the pieces' spans of original bytes (starts, then ends, as 64-bit integers) and of the decoded text of each document.
+
+    Nulls and ties as in ``encode``; an empty table gives no rows.
+    """
     common.prepare(docs.sparkSession)
 
     def work(batches):
         enc: PieceFile = loaded(PieceFile, model)
-        size = np.array([1 if enc.sp.is_byte(i) or enc.sp.is_unknown(i) else len(enc.sp.id_to_piece(i).replace(SPACE, " ").encode()) for i in range(enc.sp.get_piece_size())], np.int64)
         for table in grouped(batches, "text"):
             texts = column(table, "text")
             flat, ends = enc.encode(texts)
-            n, sha, decoded, covered = [], [], [], []
-            raw = texts.to_pylist() if not enc.normalizer.identity else None
-            for k, ids in enumerate(np.split(flat, ends[:-1]) if len(ends) else []):
+            n, sha, decoded, spans = [], [], [], []
+            for text, ids in zip(texts.to_pylist(), np.split(flat, ends[:-1]) if len(ends) else []):
                 ids_list = ids.tolist()
                 n.append(len(ids_list))
                 sha.append(hashlib.sha256(",".join(map(str, ids_list)).encode()).hexdigest())
-                decoded.append(hashlib.sha256(enc.decode(ids_list).encode()).hexdigest() if ids_list else hashlib.sha256(b"").hexdigest())
-                if raw is None:  # the map is the identity: spans follow each other, behind one added space
-                    covered.append(int(size[ids].sum()) - 1 if ids_list else 0)
-                else:
-                    covered.append(max((e for _, e in enc.spans(raw[k], ids_list)), default=0))
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(column(table, "doc_id"), pa.int64()), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(sha, pa.string()), "decoded_sha256": pa.array(decoded, pa.string()), "covered_bytes": pa.array(covered, pa.int64())})
+                decoded.append(hashlib.sha256(enc.decode(ids_list).encode() if ids_list else b"").hexdigest())
+                starts, stops = enc.spans(text, ids)
+                spans.append(zlib.crc32(np.concatenate([starts, stops]).astype("<i8").tobytes()))
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(column(table, "doc_id"), pa.int64()), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(sha, pa.string()), "decoded_sha256": pa.array(decoded, pa.string()), "spans_crc32": pa.array(spans, pa.int64())})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty())
-    return rows.mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, covered_bytes long")
+    return rows.mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_crc32 long")
 
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each document's pieces, their spans and its decoded text (see round_trip for nulls and empty tables)."""
     import public_tokenizers
 
     return round_trip(common.read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

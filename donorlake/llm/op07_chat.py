@@ -86,13 +86,14 @@ def format_conversations(rows: DataFrame) -> DataFrame:
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations' turns, parsed from the formatted text, and of the text under the loss mask, cut out of it (see format_conversations for nulls and ties)."""
     said = "<|im_end|><|im_start|>assistant ok"
     rows = common.read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     made = format_conversations(rows.unionByName(extra))
-    back = made.select("conv_id", "formatted", parsed(F.col("formatted")).alias("turns"))
+    back = made.select("conv_id", "formatted", "loss_spans", parsed(F.col("formatted")).alias("turns"))
     told = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda x: x["role"] == LOSS_ROLE), lambda x: x["text"]), "")
+    loss = F.array_join(F.transform("loss_spans", lambda x: unescaped(F.substr(F.col("formatted"), (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int")))), "")
     read = back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), told.alias("told"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
     return read.select("conv_id", "n_turns", F.sha2("told", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 

@@ -101,7 +101,8 @@ def write_archives(pages: DataFrame, out: str, least_bytes: int = 0) -> DataFram
     Of pages with equal payloads of at least ``least_bytes`` the one with the
     largest page_id is a response, the others revisit it (rows that repeat that
     page_id too are responses; a null page_id is below all others).  A null html
-    is an empty payload; other columns are ignored; an empty table writes nothing.
+    is an empty payload; control characters and blanks of a URL are written
+    percent-encoded; other columns are ignored; an empty table writes nothing.
     """
     spark = pages.sparkSession
     common.prepare(spark)
@@ -115,28 +116,27 @@ def write_archives(pages: DataFrame, out: str, least_bytes: int = 0) -> DataFram
     def write(batches):
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        shard, held, size, found = 0, [], 0, []
-        name = f"{out}/part-{part:06d}-{shard:04d}.warc.gz"
-
-        def close():
-            common.write_file(name, held)
-            cols = list(zip(*found))
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["surt", "page_id", "file", "offset", "length"])
-
+        # files bear the attempt's number: rows of a finished attempt name its own files
+        attempt, shard, stream = TaskContext.get().taskAttemptId(), 0, None
         for b in batches:
+            found = []
             for page, url, payload, sha, winner in zip(*(c.to_pylist() for c in b.columns)):
+                if stream is None:
+                    name, size = f"{out}/{attempt:012d}-{shard:04d}.warc.gz", 0
+                    fs, path = common.open_fs(name)
+                    fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                    stream, shard = fs.open_output_stream(path, compression=None), shard + 1
                 member = record(page, url, payload, base64.b32encode(bytes.fromhex(sha)).decode(), winner)
+                stream.write(member)
                 found.append((surt(url), page, name, size, len(member)))
-                held.append(member)
                 size += len(member)
                 if size >= ARCHIVE_BYTES:
-                    yield close()
-                    shard, held, size, found = shard + 1, [], 0, []
-                    name = f"{out}/part-{part:06d}-{shard:04d}.warc.gz"
-        if held:
-            yield close()
+                    stream.close()
+                    stream = None
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate(kinds)], names=["surt", "page_id", "file", "offset", "length"])
+        if stream is not None:
+            stream.close()
 
     return common.materialize(marked.mapInArrow(write, CAPTURES), "warc-captures")
 
@@ -148,7 +148,7 @@ def write_index(captures: DataFrame, out: str) -> DataFrame:
     def write(batches):
         from pyspark import TaskContext
 
-        name = f"{out}/cdx-{TaskContext.get().partitionId():06d}.idx"
+        name = f"{out}/cdx-{TaskContext.get().taskAttemptId():012d}.idx"
         z, held, blocks, at, rows = zstandard.ZstdCompressor(level=3), [], [], 0, []
 
         def close():
@@ -249,6 +249,7 @@ def read_records(directory: DataFrame) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's record, read back by the index from the archives (see write_archives for nulls, ties and empty tables)."""
     out = common.shared_dir(spark, "warc")
     captures = write_archives(common.read_table(spark, sf_dir, "pages"), out)
     return read_records(write_index(captures, out)).drop("url")

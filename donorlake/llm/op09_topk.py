@@ -37,7 +37,10 @@ FOUND = "query_id long, query_key long, vec_id long, score long"
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """(vec_id, floor(scale * x) as 64-bit integers); rows with a null id, vector or component or a non-finite one go."""
+    """(vec_id, floor(scale * x) as doubles, which are whole numbers); rows with a null vector or component or a non-finite one go, as do those without an id.
+
+    A product with ``scale`` beyond the doubles is held to the largest of them.
+    """
 
     def work(batches):
         for b in batches:
@@ -45,10 +48,11 @@ def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
             for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if i is None or x is None or any(c is None for c in x):
                     continue
-                q = np.floor(scale * np.array(x, np.float64))
-                if np.isfinite(q).all() and (np.abs(q) < 2**62).all():
+                x = np.array(x, np.float64)
+                if np.isfinite(x).all():
+                    most = np.finfo(np.float64).max / scale
                     ids.append(i)
-                    out.append(q.astype("<i8").tobytes())
+                    out.append(np.floor(scale * np.clip(x, -most, most)).astype("<f8").tobytes())
             yield pa.RecordBatch.from_pydict({"vec_id": pa.array(ids, pa.int64()), "q": pa.array(out, pa.binary())})
 
     common.prepare(vectors.sparkSession)
@@ -58,21 +62,22 @@ def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
 def stacked(rows: list[bytes], width: int = 0) -> np.ndarray:
     """Rows of one length; shorter vectors end in zeros, which add nothing to a product."""
     width = max([width, *(len(r) // 8 for r in rows)])
-    out = np.zeros((len(rows), width), np.int64)
+    out = np.zeros((len(rows), width), np.float64)
     for k, r in enumerate(rows):
-        out[k, : len(r) // 8] = np.frombuffer(r, "<i8")
+        out[k, : len(r) // 8] = np.frombuffer(r, "<f8")
     return out
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products; doubles where no sum can leave their integers, else Python's integers, held to 64 bits."""
+    """Exact inner products of whole numbers; doubles where no sum can leave their integers, else Python's integers, held to 64 bits."""
     w = min(a.shape[1], b.shape[1])
     a, b = a[:, :w], b[:, :w]
     most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, w)
     if most < 2**53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    wide = a.astype(object) @ b.astype(object).T
-    return np.clip(wide, -(2**63), 2**63 - 1).astype(np.int64)
+    whole = np.frompyfunc(int, 1, 1)
+    wide = whole(a) @ whole(b).T
+    return np.clip(wide, -(2**63) + 1, 2**63 - 1).astype(np.int64)
 
 
 class BallTree:
@@ -86,13 +91,15 @@ class BallTree:
     def _build(self, rows: np.ndarray, leaf: int) -> int:
         x = self.x[rows]
         centre = x.mean(axis=0)
-        far = np.linalg.norm(x - centre, axis=1)
+        with np.errstate(all="ignore"):
+            far = np.nan_to_num(np.linalg.norm(x - centre, axis=1), nan=np.inf)
         me = len(self.nodes)
         self.nodes.append((centre, float(far.max()), rows, ()))
         if len(rows) > leaf and far.max() > 0:
             a = x[far.argmax()]
-            b = x[np.linalg.norm(x - a, axis=1).argmax()]
-            side = x @ (b - a)
+            with np.errstate(all="ignore"):
+                b = x[np.linalg.norm(x - a, axis=1).argmax()]
+                side = np.nan_to_num(x @ (b - a))
             left = side < np.median(side)
             if left.any() and not left.all():
                 kids = self._build(rows[left], leaf), self._build(rows[~left], leaf)
@@ -113,8 +120,10 @@ class BallTree:
 
         def bound(node: int, who: np.ndarray) -> np.ndarray:
             centre, radius = self.nodes[node][:2]
-            up = q[who] @ centre + length[who] * radius
-            return up + 1 + 1e-9 * np.abs(up)  # above any rounding
+            with np.errstate(all="ignore"):
+                up = q[who] @ centre + length[who] * radius
+                up = up + 1 + 1e-9 * (np.abs(up) + np.abs(q[who]) @ np.abs(centre) + length[who] * radius)  # above any rounding
+            return np.where(np.isnan(up), np.inf, up)
 
         who = np.arange(n)
         first = bound(0, who)
@@ -160,7 +169,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     Both tables are (vec_id, q) as ``quantised`` makes them.  Equal query rows
     are one query; candidates that repeat an id stand for themselves.  Vectors
     of other lengths are compared over the components that both have.  Scores beyond
-    64 bits are held to them.  Empty tables give no rows.
+    64 bits are held to them, and tie there.  Empty tables give no rows.
     """
     spark = candidates.sparkSession
     common.prepare(spark)
@@ -203,7 +212,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         if held:
             yield close(held, count)
 
-    dealt = queries.select("vec_id", "q", "query_key").repartition(min(blocks, common.shuffle_partitions(spark)), "query_key")
+    dealt = queries.select("vec_id", "q", "query_key").repartition(min(blocks, common.shuffle_partitions(spark)), "query_key").sortWithinPartitions("query_key", "vec_id", "q")
     files = common.materialize(dealt.mapInArrow(start, "file string"), "topk-blocks")
     listed = common.materialize(files.orderBy("file"), "topk-list").inputFiles()
 
@@ -232,6 +241,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
 
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best other vectors of each vector whose id is divisible by 50 (see top_k and quantised for nulls, ties and empty tables)."""
     vectors = common.materialize(quantised(common.read_table(spark, sf_dir, "embeddings")), "quantised")
     return top_k(vectors, vectors.where("vec_id % 50 = 0"))
 

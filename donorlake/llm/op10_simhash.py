@@ -262,6 +262,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(small_least.select("u", F.col("m").alias("v"))).distinct()
         after = common.materialize(small, "stars")
         same = after.count() == e.count() and after.subtract(e).isEmpty()
+        common.forget(e.sparkSession, e)
         e = after
         if same:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -549,7 +550,7 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
     groups = common.materialize(similar_groups(docs, words, similarity), "similar-groups")
     name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     first = groups.groupBy("root").agg(F.min(name).alias("first"), F.count("*").alias("n")).where("n > 1")
-    gone = groups.join(first, "root").where(name != F.col("first")).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_th")).distinct()
+    gone = groups.join(_small(common.materialize(first, "similar-first")), "root").where(name != F.col("first")).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_th")).distinct()
     gone = common.materialize(gone, "similar-gone")
     text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     left = docs.join(_small(gone), docs["doc_id"].cast("long").eqNullSafe(gone["_doc"]) & (text_hash == gone["_th"]), "left_anti")
@@ -560,5 +561,6 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of each document (see near_duplicates for nulls, ties and empty tables)."""
     found = near_duplicates(common.read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -114,7 +114,7 @@ def test_pieces(spark):
     flat, ends = enc.encode(pa.array(texts))
     assert [x.tolist() for x in np.split(flat, ends[:-1])] == [sp.encode(t) for t in texts]
     for t in texts[:-1]:
-        spans = enc.spans(t, sp.encode(t))
+        spans = zip(*(x.tolist() for x in enc.spans(t, np.array(sp.encode(t), np.int64))))
         assert b"".join(t.encode()[a:b] for a, b in spans) == t.encode()
     rows = [(1, "x y", 1), (None, None, 1), (1, "x y", 1), (2, "", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids int")
@@ -123,7 +123,7 @@ def test_pieces(spark):
     assert op06_pieces.round_trip(docs.limit(0), MODEL).count() == 0
     for r in op06_pieces.op6_pieces(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id").collect():
         ids = sp.encode(r.text)
-        assert r.n_tokens == len(ids) and r.covered_bytes == len(r.text.encode())
+        assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and r.decoded_sha256 == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
 
 
@@ -315,3 +315,41 @@ def test_pipeline(spark):
     assert {r.doc_id for r in after.collect()} == {min(rows[i][0] for i in range(len(rows)) if root[i] == g) for g in set(root)}
     packed = frames["packing"][1]
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in after.collect()}
+
+
+def test_unknown_pieces_have_spans(tmp_path):
+    """A model without byte fallback: an unknown piece covers the run that can't be spelled."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    with open(MODEL, "rb") as f:
+        proto.ParseFromString(f.read())
+    proto.trainer_spec.byte_fallback = False
+    for p in proto.pieces:
+        if p.type == 6:
+            p.type = 1
+    path = str(tmp_path / "m.model")
+    with open(path, "wb") as f:
+        f.write(proto.SerializeToString())
+    enc = op06_pieces.PieceFile(path)
+    for text in ("a 𓀀𓀁 b", "𓀀", "x𓀀 y𓀁𓀂z", "plain text"):
+        ids = np.array(enc.sp.encode(text), np.int64)
+        starts, ends = enc.spans(text, ids)
+        assert b"".join(text.encode()[a:b] for a, b in zip(starts, ends)) == text.encode()
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Empty tables, nulls in any column, repeated rows and clashing names pass all stages."""
+    import corpus_pipeline
+
+    kind = "doc_id long, text string, lang string, source string, n_chars int, bitmap string, queue int, node long, root long, text_hash long"
+    long = " ".join(f"the word{i} and that other{i}" for i in range(60))
+    rows = [(1, long, "en", "a", 5, "x", 1, 2, 3, 4), (1, long, "en", "a", 5, "x", 1, 2, 3, 4), (2, None, None, None, None, None, None, None, None, None), (None, long + " more", "en", None, 5, "x", 1, 2, 3, 4), (3, "", "en", "b", 0, "", 1, 1, 1, 1), (4, "das ist ein anderer Satz mit vielen Worten " * 9, "de", "b", 9, "", 1, 1, 1, 1)]
+    for n, some in enumerate(([], rows)):
+        path = str(tmp_path / f"t{n}")
+        spark.createDataFrame(some, kind).write.parquet(f"{path}/documents.parquet")
+        out = corpus_pipeline.run(spark, path).collect()
+        assert bool(out) == bool(some)
+        if some:
+            assert {r.doc_id for r in out} == {1, 4}
+            assert sum(r.length for r in out) == sum({r.doc_id: r.doc_tokens for r in out}.values())

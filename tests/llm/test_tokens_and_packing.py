@@ -20,12 +20,12 @@ ODD = ["", " ", "  a", " a", "a  ", "a   b\n c", "x\t y \n\n z", "İstanbul é´
 
 @pytest.fixture(scope="module")
 def encoders():
-    return {p: TokenizerFile(p) for p in (WORD, BYTE)}
+    return {(p, s): TokenizerFile(p, s) for p in (WORD, BYTE) for s in (False, True)}
 
 
-def plain(path, texts):
+def plain(path, texts, special_as_text=False):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    t.encode_special_tokens = special_as_text
     return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -34,8 +34,10 @@ def split(flat, ends):
 
 
 @pytest.mark.parametrize("path", [WORD, BYTE])
-def test_odd_texts(encoders, path):
-    assert split(*encoders[path].encode(pa.array(ODD))) == plain(path, ODD)
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_odd_texts(encoders, path, special_as_text):
+    odd = [*ODD, "a <|endoftext|> b", "x<|ENDOFTEXT|>y <|startoftext|>", "<|endoftext|"]
+    assert split(*encoders[path, special_as_text].encode(pa.array(odd))) == plain(path, odd, special_as_text)
 
 
 @settings(max_examples=60, deadline=None)
@@ -160,3 +162,53 @@ def test_op_queries(spark):
     assert op01_wavelet.op1_wavelet(spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     check_pieces(rows, op02_packing.op2_packing(spark, SF).collect())
+
+
+def literal_round_robin(tokens, plan):
+    """The stream in order: (queue, place) of each slice, by counters alone."""
+    deficit, sent, out = [0] * len(tokens), [0] * len(tokens), []
+    while any(s < t for s, t in zip(sent, tokens)):
+        for q in range(len(tokens)):
+            if sent[q] >= tokens[q]:
+                continue
+            deficit[q] += int(plan.quantum[q])
+            while deficit[q] >= int(plan.price[q]) and sent[q] < tokens[q]:
+                out.append((q, sent[q]))
+                deficit[q] -= int(plan.price[q])
+                sent[q] += min(int(plan.slice[q]), tokens[q] - sent[q])
+    return out
+
+
+@pytest.mark.parametrize("weights", [None, [20, 1, 3], [1e-3, 1, 1], [1e3, 1e3, 1.0]])
+def test_weighted_plans(weights):
+    tokens = [9000, 40_000, 3001]
+    plan = op02_packing.Plan(tokens, weights)
+    order = literal_round_robin(tokens, plan)
+    q, at = (np.array(x, np.int64) for x in zip(*order))
+    place = plan.places(q, at)
+    size = np.minimum(plan.slice[q], np.array(tokens)[q] - at)
+    assert place.tolist() == (np.cumsum(size) - size).tolist()
+
+
+def test_plans_of_large_corpora():
+    """No product leaves 64 bits, and bad weights are errors."""
+    for tokens, weights in (([10**13] * 2, [20, 1]), ([10**12] * 2, [200, 1]), ([25 * 10**12, 10**6], None)):
+        plan = op02_packing.Plan(tokens, weights)
+        total = sum(tokens)
+        for q in (0, 1):
+            last = (tokens[q] - 1) // int(plan.slice[q]) * int(plan.slice[q])
+            places = plan.places(np.array([q, q]), np.array([0, last]))
+            assert 0 <= places[0] <= places[1] < total
+        ends = [int(plan.places(np.array([q]), np.array([(tokens[q] - 1) // int(plan.slice[q]) * int(plan.slice[q])]))[0]) + (tokens[q] - 1) % int(plan.slice[q]) + 1 for q in (0, 1)]
+        assert max(ends) == total
+    for bad in ([1, 0], [1, -1], [1, float("nan")], [0, 0]):
+        with pytest.raises(ValueError):
+            op02_packing.Plan([10**7] * 2, bad)
+
+
+def test_many_sources_keep_their_weights(spark):
+    docs = spark.createDataFrame([(i, "word " * 200, f"s{i % 300:03d}" if i % 300 else None) for i in range(600)], "doc_id long, text string, source string")
+    pieces = op02_packing.pack(docs, BYTE, weights={"s001": 50.0}).collect()
+    assert len({p.queue for p in pieces}) == 300
+    assert sum(p.length for p in pieces) == sum(len(x) + 1 for x in plain(BYTE, ["word " * 200] * 600))
+    assert max(p.sequence_id for p in pieces if p.doc_id == 301) < 40  # the heavy source is sent first
