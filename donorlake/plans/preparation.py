@@ -114,12 +114,13 @@ def donor_constant_check(spark, root):
     return const.join(mixed, "donor_id").groupBy("donor_id").agg(F.count_distinct("region").alias("n_values"))
 
 
-@query("""SELECT l_suppkey AS donor_id, count(*) AS n, count(DISTINCT l_returnflag) AS n_flags, mode(l_quantity ORDER BY l_quantity) AS common, median(l_quantity) AS middle,
- arg_min(l_linestatus, l_orderkey * 1000000 + l_partkey) AS first_status FROM lineitem GROUP BY ALL""".replace("mode(l_quantity ORDER BY l_quantity)", "max(l_quantity)"))
+@query("""WITH m AS (SELECT l_suppkey, l_quantity, row_number() OVER (PARTITION BY l_suppkey ORDER BY c DESC, l_quantity) AS r FROM (SELECT l_suppkey, l_quantity, count(*) AS c FROM lineitem GROUP BY ALL))
+SELECT l.l_suppkey AS donor_id, count(*) AS n, count(DISTINCT l_returnflag) AS n_flags, any_value(m.l_quantity) AS common, median(l.l_quantity) AS middle,
+ arg_min(l_linestatus, l_orderkey * 1000000 + l_partkey) AS first_status FROM lineitem l JOIN m ON m.l_suppkey = l.l_suppkey AND m.r = 1 GROUP BY ALL""")
 def mixed_aggregates(spark, root):
     rows = table(spark, root, "lineitem").withColumn("ord", F.col("l_orderkey") * 1000000 + F.col("l_partkey")).withColumn("donor_id", F.col("l_suppkey"))
     first = prep.donor_first(rows, "ord", "l_linestatus").withColumnRenamed("l_linestatus", "first_status")
-    some = rows.groupBy("donor_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_returnflag").alias("n_flags"), F.max("l_quantity").alias("common"), F.median("l_quantity").alias("middle"))
+    some = rows.groupBy("donor_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_returnflag").alias("n_flags"), F.mode("l_quantity", deterministic=True).alias("common"), F.median("l_quantity").alias("middle"))
     return some.join(first, "donor_id")
 
 

@@ -10,6 +10,7 @@ from ..sources import cohort
 from ..sources.readers import table
 from ..streaming import events
 from . import tasks
+from .analysis import _DIFF
 from .registry import query
 
 _ART = cohort.sql("articles")
@@ -101,14 +102,14 @@ def caption_budget(spark, root):
     return retrieve.caption_budget(cohort.articles(spark, root), "title", ["doc_id"], 1200, "mesh")
 
 
-@query(f"""{_ART} SELECT doc_id, array_to_string(list_filter(string_split(regexp_replace(abstract, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: NOT regexp_matches(s, '(?i)\\bthe\\s+ands?\\b')), ' ') AS text FROM articles WHERE lang = 'en'""")
+@query(f"""{_ART} SELECT doc_id, array_to_string(list_filter(string_split(regexp_replace(abstract, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: NOT regexp_matches(s, '(?i)\\bthe\\s+ands?\\b')), ' ') AS text FROM articles""")
 def strip_phrase(spark, root):
-    return cohort.articles(spark, root).where("lang = 'en'").select("doc_id", retrieve.without_sentences(F.col("abstract"), "the and").alias("text"))
+    return cohort.articles(spark, root).select("doc_id", retrieve.without_sentences(F.col("abstract"), "the and").alias("text"))
 
 
-@query("WITH w AS (SELECT doc_id, unnest(string_split(split_part(text, chr(10), 1), ' ')) AS w, generate_subscripts(string_split(split_part(text, chr(10), 1), ' '), 1) - 1 AS i FROM documents) SELECT doc_id, w, min(i) AS pos FROM w GROUP BY ALL")
+@query("WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) - 1 AS i FROM documents) SELECT doc_id, w, min(i) AS pos FROM w GROUP BY ALL")
 def distinct_in_order(spark, root):
-    words = table(spark, root, "documents").select("doc_id", F.posexplode(F.split(F.split_part("text", F.lit("\n"), F.lit(1)), " ")).alias("i", "w"))
+    words = table(spark, root, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "w"))
     return retrieve.first_of_each(words, "w", "i", "doc_id").select("doc_id", "w", F.col("pos").cast("bigint").alias("pos"))
 
 
@@ -117,13 +118,13 @@ def phrases_and_keys(spark, root):
     return table(spark, root, "part").select("p_partkey", phrase(F.col("p_type")).alias("phrase"), safe_key(F.col("p_type")).alias("safe"))
 
 
-_OWN = f"""{cohort.sql('obs', 'expr')}, g AS (SELECT cell_id, gene, row_number() OVER (PARTITION BY cell_id ORDER BY value DESC, gene) AS k FROM expr WHERE value > 0 AND gene > 'Brand#3')"""
+_OWN = f"""{cohort.sql('obs', 'expr')}, g AS (SELECT cell_id, gene, row_number() OVER (PARTITION BY cell_id ORDER BY value DESC, gene) AS k FROM expr WHERE value > 0)"""
 
 
 @query(f"""{_OWN}, l AS (SELECT cell_id, string_agg(gene, ', ' ORDER BY k) AS genes FROM g WHERE k <= 3 GROUP BY cell_id)
 SELECT cell_id, 'Cell type: ' || cell_type || '. Highly expressed genes: ' || coalesce(genes, 'none detected') || '.' AS caption FROM obs LEFT JOIN l USING (cell_id)""")
 def own_gene_caption(spark, root):
-    return captions.build_captions("own_genes", cohort.obs(spark, root), expr=cohort.expr(spark, root).where("gene > 'Brand#3'"), n=3)
+    return captions.build_captions("own_genes", cohort.obs(spark, root), expr=cohort.expr(spark, root), n=3)
 
 
 def _class_captions(spark, root):
@@ -131,7 +132,7 @@ def _class_captions(spark, root):
     return captions.class_captions(top, 4)
 
 
-@query()
+@query(f"{_DIFF} SELECT class, class || ' cells are marked by the expression of ' || string_agg(gene, ', ' ORDER BY rank) || '.' AS caption FROM top WHERE rank <= 4 GROUP BY class")
 def class_captions(spark, root):
     return _class_captions(spark, root)
 

@@ -234,9 +234,9 @@ def test_captions(spark):
 
 
 def test_secret_scan(spark):
-    rows = [(1, "token = abcdefghijklmnop1234"), (2, "sha256 " + "a" * 40), (3, "x " + "0" * 40), (4, "hf_" + "A1" * 12), (5, "plain"), (6, None)]
+    rows = [(1, "token = abcdefghijklmnop1234"), (2, "sha256 " + "a" * 40), (3, "x " + "0" * 40), (4, "hf_" + "A1" * 12), (5, "plain"), (6, None), (7, "api_key: '0123456789ab'"), (8, "mytoken = abcdefghijklmnop1234"), (9, "password: short"), (10, "github_pat_" + "b2" * 15), (11, "Client-Secret => " + "z9" * 8)]
     got = {(r.i, r.kind) for r in captions.secret_scan(spark.createDataFrame(rows, "i int, t string"), "i", "t").collect()}
-    assert got == {(1, "assignment"), (3, "bare_hex"), (4, "hub_token")}
+    assert got == {(1, "assignment"), (3, "bare_hex"), (4, "hub_token"), (7, "assignment"), (10, "git_token"), (11, "assignment")}
 
 
 def test_rank_tokens(spark):
