@@ -28,7 +28,7 @@ from . import common
 #: Chunks that are remembered before all are forgotten: bounds a worker's memory.
 MAX_CHUNKS = 300_000
 #: Text encoded at once.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 _LETTERS_BELOW = "Ā"
 _NO_APOSTROPHE = frozenset('!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~')
 _INVALID = -1
