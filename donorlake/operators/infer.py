@@ -132,3 +132,93 @@ def run_integrity(stored: DataFrame, recomputed: DataFrame, *keys: str) -> DataF
     """(keys..., ok): is a run's stored fold hash the one that its fold gives? A run that is missing on a side isn't."""
     both = stored.select(*keys, F.col("sha256").alias("a")).join(recomputed.select(*keys, F.col("sha256").alias("b")), list(keys), "full_outer")
     return both.select(*keys, F.coalesce(F.col("a") == F.col("b"), F.lit(False)).alias("ok"))
+
+
+#: Candidate and reference of each pooled comparison (fixed values).
+PAIRS = [(c, r) for c in ("T0", "T2", "T3", "N1", "N2") for r in ("B2", "T1")] + [("B2", "B0"), ("B2", "B1"), ("T2", "T0"), ("T3", "T0"), ("N2", "T2"), ("T2", "N2"), ("T3", "N2")]
+#: Those that the primary cohort is judged by.
+PRIMARY = [("T2", "B2"), ("T3", "B2"), ("T2", "T1"), ("T3", "T1")]
+COMPARISON = ("cohort", "candidate", "reference")
+
+
+def comparison_seed(base: int) -> Column:
+    """A seed of a comparison's own, from the crc32 of its names."""
+    return F.lit(base) + F.crc32(F.concat_ws(":", *COMPARISON)) % 99991
+
+
+def pooled_comparisons(preds: DataFrame, primary: str, replicates: int, base_seed: int, least_valid: int = 20) -> DataFrame:
+    """A row per cohort and pair of arms that both have predictions: difference of rank correlations, interval, p and q.
+
+    ``preds(cohort, arm, seed, donor_id, observed, predicted)``.  Donors are
+    drawn as clusters over all seeds; all comparisons and replicates are rows of
+    one job.  q is over a cohort's secondary comparisons, null for primary ones.
+    """
+    named = preds.sparkSession.createDataFrame(PAIRS, "candidate string, reference string")
+    a = preds.select("cohort", F.col("arm").alias("candidate"), "seed", "donor_id", F.col("observed").alias("observed_a"), F.col("predicted").alias("predicted_a"))
+    b = preds.select("cohort", F.col("arm").alias("reference"), "seed", "donor_id", F.col("predicted").alias("predicted_b"))
+    pairs = a.join(F.broadcast(named), "candidate").join(b, ["cohort", "reference", "seed", "donor_id"]).dropna()
+    point = delta_rho(pairs, *COMPARISON, "seed").groupBy(*COMPARISON).agg(F.avg("delta").alias("delta_rho"))
+    donors = pairs.select(*COMPARISON, "donor_id").distinct()
+    ranked = donors.withColumn("_i", F.row_number().over(Window.partitionBy(*COMPARISON).orderBy("donor_id")) - 1)
+    sizes = donors.groupBy(*COMPARISON).agg(F.count(F.lit(1)).alias("n_donors"))
+    slots = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("n_donors").cast("int") - 1)))
+    pick = slots.withColumn("_i", (keyed(F.concat_ws("#", F.col("rep").cast("string"), F.col("slot").cast("string")), comparison_seed(base_seed)) % F.col("n_donors")).cast("int"))
+    chosen = pick.drop("n_donors").join(ranked, [*COMPARISON, "_i"])
+    reps = delta_rho(chosen.join(pairs, [*COMPARISON, "donor_id"]), *COMPARISON, "rep", "seed").groupBy(*COMPARISON, "rep").agg(F.avg("delta").alias("d")).where("d is not null")
+    n = F.count(F.lit(1))
+    tail = F.least(F.avg(F.when(F.col("d") <= 0, 1.0).otherwise(0.0)), F.avg(F.when(F.col("d") >= 0, 1.0).otherwise(0.0)))
+    ends = reps.groupBy(*COMPARISON).agg(n.alias("n_valid"), F.when(n >= least_valid, F.percentile("d", F.lit(0.025))).alias("ci_low"), F.when(n >= least_valid, F.percentile("d", F.lit(0.975))).alias("ci_high"), F.least(F.lit(1.0), 2 * tail + 1.0 / (n + 1)).alias("p_emp"))
+    from .stats import benjamini_hochberg, spearman
+
+    rho = spearman(preds, "observed", "predicted", "cohort", "arm", "seed").groupBy("cohort", "arm").agg(F.avg("rho").alias("rho"))
+    first = F.array_contains(F.array(*(F.lit(f"{c}-{r}") for c, r in PRIMARY)), F.concat_ws("-", "candidate", "reference"))
+    rows = (
+        point.join(sizes, list(COMPARISON)).join(ends, list(COMPARISON), "left")
+        .join(rho.select("cohort", F.col("arm").alias("candidate"), F.col("rho").alias("candidate_rho")), ["cohort", "candidate"])
+        .join(rho.select("cohort", F.col("arm").alias("reference"), F.col("rho").alias("reference_rho")), ["cohort", "reference"])
+        .withColumn("role", F.when((F.col("cohort") == primary) & first, "primary").otherwise("secondary"))
+        .withColumn("_p", F.when(F.col("role") == "secondary", F.col("p_emp")))
+    )
+    return benjamini_hochberg(rows, "_p", "cohort", out="q_fdr").drop("_p")
+
+
+def pooled_summary(comparisons: DataFrame, cohort: str, candidate: str, null: DataFrame, transfer: DataFrame, composition: DataFrame, integrity_errors: int = 0) -> DataFrame:
+    """The one row that ``gates`` judges: a candidate's comparisons in a cohort, ``null(quantile)``, ``transfer(rho)``, ``composition(delta_rho, ci_low)``."""
+    own = (F.col("cohort") == cohort) & (F.col("candidate") == candidate)
+    got = [F.max(F.when(own, F.col("candidate_rho"))).alias("candidate_rho")]
+    for reference in ("B2", "T1", "N2"):
+        this = own & (F.col("reference") == reference)
+        got += [F.max(F.when(this, F.col("delta_rho"))).alias(f"delta_{reference.lower()}"), F.max(F.when(this, F.col("ci_low"))).alias(f"ci_{reference.lower()}")]
+    row = comparisons.agg(*got).withColumn("integrity_errors", F.lit(integrity_errors))
+    parts = (null.agg(F.max("quantile").alias("null_q95")), transfer.agg(F.min("rho").alias("transfer_min")), composition.agg(F.avg("delta_rho").alias("delta_b0"), F.min("ci_low").alias("ci_b0")))
+    for part in parts:
+        row = row.join(part)  # one row each
+    return row
+
+
+def paired_difference(a: DataFrame, b: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """One row (delta_rho, ci_low, ci_high, mean_delta, n, n_valid) of one run's two prediction tables, donors drawn.
+
+    ValueError where the donors or observed values differ, repeat, are fewer
+    than three, missing or constant.  A resample with a constant column is left
+    out; ``mean_delta`` is the mean over resamples.
+    """
+    both = a.select("donor_id", F.col("observed").alias("observed_a"), F.col("predicted").alias("predicted_a")).join(b.select("donor_id", F.col("observed").alias("observed_b"), F.col("predicted").alias("predicted_b")), "donor_id", "full_outer")
+    names = ("observed_a", "predicted_a", "observed_b", "predicted_b")
+    broken = F.lit(False)
+    for c in names:
+        broken = broken | F.col(c).isNull() | F.isnan(c) | (F.abs(F.col(c)) == float("inf"))
+    seen = both.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("donor_id").alias("k"), F.count(F.when(broken | (F.col("observed_a") != F.col("observed_b")), 1)).alias("bad"), *(F.count_distinct(c).alias(c) for c in names)).first()
+    if seen["n"] < 3 or seen["n"] != seen["k"] or seen["bad"] or min(seen[c] for c in names) < 2:
+        raise ValueError("paired comparisons need the same donors, three or more, with equal observed and finite, varying predicted values")
+    pairs = both.drop("observed_b")
+    chosen = draws(pairs.select("donor_id"), replicates, seed).join(pairs, "donor_id")
+    reps = delta_rho(chosen, "rep").where("delta is not null")
+    ends = reps.agg(F.percentile("delta", F.lit(0.025)).alias("ci_low"), F.percentile("delta", F.lit(0.975)).alias("ci_high"), F.avg("delta").alias("mean_delta"), F.count(F.lit(1)).alias("n_valid"))
+    return delta_rho(pairs).select(F.col("delta").alias("delta_rho"), "n").join(ends)
+
+
+def go_gate(figures: DataFrame) -> DataFrame:
+    """(go) of ``figures(encoder, rho, gap, trajectory)``: on every encoder a correlation of 0.5, a gap of 0.15 and a positive trajectory."""
+    by = figures.groupBy("encoder").agg((F.max("rho") >= 0.5).alias("a"), (F.max("gap") >= 0.15).alias("b"), (F.max("trajectory") > 0).alias("c"))
+    return by.agg(F.when(F.bool_and(F.coalesce(F.col("a") & F.col("b") & F.col("c"), F.lit(False))), "GO").otherwise("NO_GO").alias("go"))

@@ -202,3 +202,11 @@ def preprocess_all(expr: DataFrame, n_cells: int, min_genes: int, min_cells: int
     genes = kept.where("value > 0").groupBy("gene").count().where(F.col("count") >= min_cells)
     logged = normalize_log1p(kept.join(genes, "gene", "left_semi"))
     return logged.join(variable_genes(logged, n_cells, max(1, min(n_hvg, genes.count() - 1))).select("gene"), "gene", "left_semi")
+
+
+def bags(cells: DataFrame, seed: int, most: int) -> DataFrame:
+    """(donor_id, slot, cell_id): at most ``most`` cells of each donor by keyed hash, padded with null to ``most`` slots."""
+    k = F.row_number().over(Window.partitionBy("donor_id").orderBy(keyed("cell_id", seed), "cell_id")) - 1
+    chosen = cells.select("donor_id", "cell_id", k.alias("slot")).where(F.col("slot") < most)
+    slots = cells.select("donor_id").distinct().select("donor_id", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("slot"))
+    return slots.join(chosen, ["donor_id", "slot"], "left")

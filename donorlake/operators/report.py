@@ -105,3 +105,13 @@ def environment(spark) -> DataFrame:
         revision = None
     versions = [metadata.version(n) for n in ("numpy", "pyarrow")]
     return spark.createDataFrame([(spark.version, platform.python_version(), *versions, revision)], "spark string, python string, numpy string, pyarrow string, revision string")
+
+
+def ordinal_map(label: Column, levels: dict[str, float]) -> Column:
+    """The number of a label, null for a label that isn't in the map."""
+    return F.create_map(*(F.lit(x) for pair in levels.items() for x in pair))[label]
+
+
+def level_ids(label: Column, order: list[str]) -> Column:
+    """Place of a label in an order from 0, -1 where it isn't there."""
+    return F.coalesce(F.array_position(F.array(*map(F.lit, order)), label) - 1, F.lit(-1)).cast("int")

@@ -129,3 +129,48 @@ def clean_aliases(names: DataFrame, longest: int = 40) -> DataFrame:
     first = first_of_each(good, "alias", "pos", "gene")
     listed = first.groupBy("gene").agg(F.array_sort(F.collect_list(F.struct("pos", "alias"))).alias("l"))
     return listed.select("gene", F.transform("l", lambda x: x["alias"]).alias("aliases"))
+
+
+#: Retrieval arms (fixed values): whose markers are asked for, and whether by type name or with aliases; only ``rag_name`` keeps sentences with the type's name.
+ARMS = ("rag_markers", "rag_markers_alias", "rag_name", "rag_name_stripped", "rag_curated", "rag_curated_alias")
+
+
+def alias_coverage(text: Column, terms: Column) -> Column:
+    """Share of ``terms``, an array of arrays (a marker and its aliases, lower case, of letters and digits), of which a text has one as a whole word; no terms: 0."""
+    words = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), 1)
+    return F.when(F.size(terms) == 0, 0.0).otherwise(F.size(F.filter(terms, lambda t: F.arrays_overlap(words, t))) / F.size(terms))
+
+
+def phrase_hits(articles: DataFrame, phrases: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., phrase, doc_id): articles in which all words of a phrase stand in a row.
+
+    Candidates are the articles with the phrase's rarest word, by a join on the
+    word; only they are searched for the whole phrase.
+    """
+    words = F.regexp_extract_all(F.lower("phrase"), F.lit("([a-z0-9]+)"), 1)
+    asked = phrases.select(*keys, "phrase", words.alias("_w")).where(F.size("_w") > 0)
+    index = postings(articles)
+    counts = index.join(asked.select(F.explode("_w").alias("term")).distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    each = asked.select(*keys, "phrase", "_w", F.explode("_w").alias("term")).join(counts, "term")
+    rare = each.groupBy(*keys, "phrase", "_w").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
+    found = rare.join(index.select("term", "doc_id"), "term").join(articles.select("doc_id", F.array_join(F.regexp_extract_all(body(articles), F.lit("([a-z0-9]+)"), 1), " ").alias("_t")), "doc_id")
+    padded = F.concat(F.lit(" "), F.col("_t"), F.lit(" "))
+    return found.where(padded.contains(F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" ")))).select(*keys, "phrase", "doc_id")
+
+
+def retrieval_arms(types: DataFrame) -> DataFrame:
+    """A row per arm and row of ``types``, with what the arm does: curated, by_name, with_alias, without_name."""
+    arm = F.col("arm")
+    every = types.withColumn("arm", F.explode(F.array(*map(F.lit, ARMS))))
+    return every.withColumns({"curated": arm.startswith("rag_curated"), "by_name": arm.startswith("rag_name"), "with_alias": arm.endswith("alias"), "without_name": arm != "rag_name"})
+
+
+def excerpts(docs: DataFrame, order: list[str], *by: str, most_docs: int = 12, most_chars: int = 6000, most_abstract: int = 400) -> DataFrame:
+    """(by..., excerpt): ``- title. abstract`` of the first documents, abstracts cut, whole entries until the budget is used; a missing part is empty."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    entry = F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.coalesce(F.substring("abstract", 1, most_abstract), F.lit("")))
+    rows = docs.select(*by, F.row_number().over(w).alias("_k"), entry.alias("_e")).where(F.col("_k") <= most_docs)
+    used = F.sum(F.length("_e")).over(Window.partitionBy(*by).orderBy("_k")) - F.length("_e")
+    kept = rows.withColumn("_u", used).where(F.col("_u") < most_chars)
+    listed = kept.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_k", "_e"))).alias("l"))
+    return listed.select(*by, F.array_join(F.transform("l", lambda x: F.concat(F.lit("- "), F.trim(x["_e"]))), "\n").alias("excerpt"))

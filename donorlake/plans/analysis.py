@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalar import r6
+from ..functions.scalar import keyed, r6
 from ..operators import features, infer, joins, markers, prep, readout, report, stats
 from ..sources import cohort
 from ..sources.readers import table
@@ -345,13 +345,14 @@ def _donor_features(spark, root):
 @query()
 def pca_trajectory(spark, root):
     donors, cols = _donor_features(spark, root)
-    return readout.trajectory(donors, cols, "y")
+    return readout.trajectory(donors, cols, "y").withColumn("rho", r6("rho"))
 
 
 @query()
 def residual_readout(spark, root):
     donors, cols = _donor_features(spark, root)
-    return readout.residual_readout(donors, cols[:1], cols[1:], "y")
+    got = readout.residual_readout(donors, cols[:1], cols[1:], "y")
+    return got.select("donor_id", r6("observed").alias("observed"), r6("predicted").alias("predicted"))
 
 
 @query()
@@ -359,14 +360,15 @@ def readout_null(spark, root):
     donors, cols = _donor_features(spark, root)
     train = donors.where("not is_test").select("donor_id", "y")
     targets = infer.permuted(train, "donor_id", "y", 20, 3).withColumnRenamed("y", "value")
-    return readout.readout_null(donors, cols, targets, "y")
+    return readout.readout_null(donors, cols, targets, "y").withColumn("rho", r6("rho"))
 
 
 @query()
 def strict_transfer(spark, root):
     donors, cols = _donor_features(spark, root)
-    odd = F.pmod(F.xxhash64("donor_id"), F.lit(2)) == 1
-    return readout.transfer(donors.where(odd), donors.where(~odd).drop("l_tax"), cols, "y")
+    odd = keyed("donor_id", "cohort") % 2 == 1
+    got = readout.transfer(donors.where(odd), donors.where(~odd).drop("l_tax"), cols, "y")
+    return got.select("mode", "donor_id", r6("observed").alias("observed"), r6("predicted").alias("predicted"))
 
 
 @query(f"{_OBS} SELECT count(DISTINCT cell_type) FILTER (cell_type IN (SELECT cell_type FROM obs WHERE cell_type < '3')) / count(DISTINCT cell_type) AS coverage FROM obs")
