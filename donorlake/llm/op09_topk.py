@@ -5,10 +5,12 @@ tree over its shard and takes the queries block by block from files.  For a
 block the nodes wait in a heap by their upper bound, centre product plus radius
 times query length; a node is opened for those of the block's queries whose
 current k-th score the bound still reaches, and children take the queries on.
-The k-th score is shared: first of all a pilot of bounded size, a part of the
-candidates, gives each query a k-th score that every shard starts from; then
-all nodes of a shard raise it.  Shards return what reaches it, and the best k
-of all shards are kept.
+The k-th score is shared: a pilot of bounded size, a part of the candidates,
+gives each query a k-th score that the first shards start from; all nodes of a
+shard raise it.  Shards are searched in waves, each several times the size of
+the one before: what a wave found gives each query its k-th best score so far,
+which is written by blocks of queries and is where the next wave starts.
+Shards return what reaches it, and the best k of all are kept.
 """
 
 from __future__ import annotations
@@ -33,7 +35,9 @@ PILOT = 2048
 SHARD_ROWS = 100_000
 
 VECTORS = "vec_id long, q binary"
-FOUND = "query_id long, query_key long, vec_id long, score long"
+FOUND = "query_id long, query_key long, block int, slot int, vec_id long, score long"
+#: Sixteenths of the candidates in each wave.
+WAVES = (1, 3, 12)
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -214,11 +218,59 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
     dealt = queries.select("vec_id", "q", "query_key").repartition(min(blocks, common.shuffle_partitions(spark)), "query_key").sortWithinPartitions("query_key", "vec_id", "q")
     files = common.materialize(dealt.mapInArrow(start, "file string"), "topk-blocks")
-    listed = common.materialize(files.orderBy("file"), "topk-list").inputFiles()
+    listed = sorted(common.materialize(files.orderBy("file"), "topk-list").inputFiles())
+    shard_rows = candidates.withColumn("_w", F.pmod(F.xxhash64(F.lit("wave"), "vec_id", "q"), F.lit(sum(WAVES))))
+    found, begin = None, 0
+    for wave, width in enumerate(WAVES):
+        bounds = sorted(_bounds(found, f"{folder}/bounds-{wave}", k, blocks).inputFiles()) if found is not None else []
+        part = shard_rows.where((F.col("_w") >= begin) & (F.col("_w") < begin + width)).drop("_w")
+        rows = n * width // sum(WAVES)
+        shards = max(min(common.shuffle_partitions(spark), -(-rows // 2000)), -(-rows // SHARD_ROWS), 1)
+        got = common.materialize(part.repartition(shards, F.xxhash64("vec_id", "q")).mapInArrow(_searcher(listed, bounds, k), FOUND), f"topk-wave{wave}")
+        found, begin = got if found is None else found.unionByName(got), begin + width
+    best = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _bounds(found: DataFrame, folder: str, k: int, blocks: int) -> DataFrame:
+    """(block, file): a file for each block of queries with the k-th best score found so far, of the queries that have k."""
+    best = Window.partitionBy("block", "slot").orderBy(F.desc("score"), "vec_id")
+    kth = found.select("block", "slot", "score", F.row_number().over(best).alias("_k")).where(F.col("_k") == k)
+
+    def write(batches):
+        block, slots, scores = None, [], []
+
+        def close():
+            name, out = f"{folder}/{block:08d}.npz", io.BytesIO()
+            np.savez(out, slots=np.array(slots, np.int64), scores=np.array(scores, np.int64))
+            common.write_file(name, [out.getvalue()])
+            return pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "file": [name]})
+
+        for b in batches:
+            for this, slot, score in zip(*(c.to_pylist() for c in b.columns)):
+                if block is not None and this != block:
+                    yield close()
+                    slots, scores = [], []
+                block = this
+                slots.append(slot)
+                scores.append(score)
+        if block is not None:
+            yield close()
+
+    parts = min(blocks, common.shuffle_partitions(found.sparkSession))
+    return common.materialize(kth.select("block", "slot", "score").repartition(parts, "block").sortWithinPartitions("block", "slot").mapInArrow(write, "block int, file string"), "topk-bounds")
+
+
+def _searcher(listed: list[str], bounds: list[str], k: int):
+    """Takes a shard's candidates through all blocks of queries, from the k-th scores of earlier waves."""
 
     def search(batches):
         import pyarrow.parquet as pq
 
+        def table(name: str):
+            fs, path = common.open_fs(name)
+            return pq.read_table(path, filesystem=fs)
+
         ids, points = [], []
         for b in batches:
             ids += b.column(0).to_pylist()
@@ -226,18 +278,21 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         if not ids:
             return
         tree = BallTree(stacked(points), np.array(ids, np.int64))
+        learned = {i: f for name in bounds for i, f in zip(*(c.to_pylist() for c in table(name).select(["block", "file"]).columns))}
+        place = -1
         for list_file in listed:
-            fs, path = common.open_fs(list_file)
-            for name in pq.read_table(path, filesystem=fs).column("file").to_pylist():
+            for name in table(list_file).column("file").to_pylist():
+                place += 1
                 block = _load(name)
-                score, found = tree.search(block["q"], block["ids"], block["kth"].copy(), k)
+                kth = block["kth"].copy()
+                if place in learned:
+                    known = _load(learned[place])
+                    kth[known["slots"]] = np.maximum(kth[known["slots"]], known["scores"])
+                score, found = tree.search(block["q"], block["ids"], kth, k)
                 i, j = np.nonzero(score > np.iinfo(np.int64).min)
-                yield pa.RecordBatch.from_pydict({"query_id": block["ids"][i], "query_key": block["keys"][i], "vec_id": found[i, j], "score": score[i, j]})
+                yield pa.RecordBatch.from_pydict({"query_id": block["ids"][i], "query_key": block["keys"][i], "block": np.full(len(i), place, np.int32), "slot": i.astype(np.int32), "vec_id": found[i, j], "score": score[i, j]})
 
-    shards = max(min(common.shuffle_partitions(spark), -(-n // 2000)), -(-n // SHARD_ROWS))
-    rows = candidates.repartition(shards, F.xxhash64("vec_id", "q")).mapInArrow(search, FOUND)
-    best = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
-    return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return search
 
 
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -218,3 +218,22 @@ def test_decode_formats():
     deep = head(16, 0) + chunk(b"IDAT", zlib.compress(b"".join(b"\0" + (r * 256 + 7).astype(">u2").tobytes() for r in a)))
     assert (op04_media.decode(deep) == a).all()
     assert op04_media.decode(b"junk") is None and op04_media.decode(b"") is None and op04_media.decode(None) is None
+
+
+def test_waves_share_the_kth_score(spark):
+    """A later wave starts from what earlier ones found, and still the whole result is that of brute force."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(-40, 40, (3000, 6))
+    rows = [(i, r.astype("<f8").tobytes()) for i, r in enumerate(x)]
+    v = common.materialize(spark.createDataFrame(rows, op09_topk.VECTORS).repartition(3), "t")
+    got = sorted(map(tuple, op09_topk.top_k(v, v.where("vec_id % 7 = 0")).collect()))
+    score = x @ x.T
+    want = []
+    for q in range(0, 3000, 7):
+        best = sorted((-int(score[q, c]), c) for c in range(3000) if c != q)[:5]
+        want += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best)]
+    assert got == sorted(want)
+    found = spark.createDataFrame([(1, 1, 0, 0, 7, s) for s in (9, 5, 8, 7, 6, 1)] + [(2, 2, 0, 1, 7, 3)], op09_topk.FOUND)
+    (row,) = op09_topk._bounds(found, common.shared_dir(spark, "bounds"), 5, 1).collect()
+    known = op09_topk._load(row.file)
+    assert (row.block, known["slots"].tolist(), known["scores"].tolist()) == (0, [0], [5])
