@@ -20,7 +20,7 @@ def _recursive(sql: str) -> str:
     return "WITH RECURSIVE " + sql.removeprefix("WITH ")
 
 
-def _ridge(src: str, out: str, alpha: float = 1.0) -> str:
+def _ridge(src: str, out: str, alpha: float = 1.0, least_test: int = 3) -> str:
     """CTEs of a ridge on standardised features by elimination: ``out(g, donor_id, is_test, observed, predicted)`` of ``src(g, donor_id, is_test, y, xs)``."""
     return f"""{out}_u AS (SELECT g, donor_id, is_test, y, unnest(range(1, len(xs) + 1)) AS i, unnest(xs) AS x FROM {src}),
 {out}_s AS (SELECT g, i, avg(x) AS m, CASE WHEN stddev_pop(x) < 1e-12 THEN 1.0 ELSE stddev_pop(x) END AS s, avg(y) AS my FROM {out}_u WHERE NOT is_test GROUP BY ALL),
@@ -30,7 +30,7 @@ def _ridge(src: str, out: str, alpha: float = 1.0) -> str:
 {out}_m AS (SELECT g, list(r ORDER BY i) AS m FROM (SELECT g, i, list(v ORDER BY j) AS r FROM {out}_g GROUP BY ALL) GROUP BY g),
 {out}_e AS (SELECT g, 1 AS k, m FROM {out}_m UNION ALL SELECT g, k + 1, list_transform(m, lambda row, i: CASE WHEN i = k THEN list_transform(row, lambda x: x / m[k][k]) ELSE list_transform(row, lambda x, j: x - row[k] * m[k][j] / m[k][k]) END) FROM {out}_e WHERE k <= len(m)),
 {out}_w AS (SELECT g, unnest(range(1, len(m) + 1)) AS i, unnest(list_transform(m, lambda row: row[-1])) AS w FROM {out}_e WHERE k = len(m) + 1),
-{out} AS (SELECT g, donor_id, is_test, max(y) AS observed, max(my) + sum(z * w) AS predicted FROM {out}_z JOIN {out}_w USING (g, i) GROUP BY g, donor_id, is_test)"""
+{out} AS (SELECT g, donor_id, is_test, max(y) AS observed, max(my) + sum(z * w) AS predicted FROM {out}_z JOIN {out}_w USING (g, i) SEMI JOIN (SELECT g FROM {src} GROUP BY g HAVING count(*) FILTER (NOT is_test) >= 5 AND count(*) FILTER (is_test) >= {least_test}) ok USING (g) GROUP BY g, donor_id, is_test)"""
 
 
 _BULK = "n AS (SELECT donor_id, count(*) AS n FROM obs GROUP BY ALL), bulk AS (SELECT donor_id, gene, sum(value) / max(n) AS x FROM expr JOIN obs USING (cell_id) JOIN n USING (donor_id) GROUP BY ALL)"
@@ -79,8 +79,8 @@ def train_label_permutation(spark, root):
     return donors.join(dealt, "donor_id", "left").select("donor_id", r6(F.coalesce("_d", "target")).alias("target"), F.coalesce("dealt", F.lit(False)).alias("dealt"))
 
 
-@query(f"""WITH c AS (SELECT n_name AS class, n_comment AS caption FROM nation), o AS (SELECT class, caption, row_number() OVER (ORDER BY class) AS a, row_number() OVER (ORDER BY {u('class', "'888'")}, class) AS b FROM c)
-SELECT x.class, y.caption FROM o x JOIN o y ON x.a = y.b""".replace("n_comment", "'about ' || lower(n_name)"))
+@query(f"""WITH c AS (SELECT n_name AS class, 'about ' || lower(n_name) AS caption FROM nation), o AS (SELECT class, caption, row_number() OVER (ORDER BY class) AS a, row_number() OVER (ORDER BY {u('class', "'888'")}, class) AS b FROM c)
+SELECT x.class, y.caption FROM o x JOIN o y ON x.a = y.b""")
 def caption_permutation(spark, root):
     """The text null: captions dealt anew among classes."""
     bank = table(spark, root, "nation").select(F.col("n_name").alias("class"), F.concat(F.lit("about "), F.lower("n_name")).alias("caption"))
@@ -185,7 +185,7 @@ _FOUR_SQL = "[l_discount, l_tax, l_extendedprice, l_linenumber::DOUBLE]"
 
 @query(_recursive(f"""WITH {_DF}, src AS (SELECT CASE WHEN b THEN 'cov' ELSE 'null' END AS g, donor_id, is_test, y, CASE WHEN b THEN [l_discount, l_tax] ELSE {_FOUR_SQL} END AS xs FROM df, (VALUES (true), (false)) t(b)), {_ridge('src', 'fit')},
 r AS (SELECT a.donor_id, a.predicted AS x, b.predicted AS y FROM fit a JOIN fit b USING (donor_id) WHERE a.g = 'cov' AND b.g = 'null' AND a.is_test), k AS (SELECT {_avg_rank('x', '1=1')} AS o, {_avg_rank('y', '1=1')} AS p FROM r)
-SELECT round({corr('o', 'p')}, 6) AS rho, count(*) AS n FROM k"""))
+SELECT CASE WHEN count(*) >= 3 THEN round({corr('o', 'p')}, 6) END AS rho, count(*) AS n FROM k HAVING count(*) > 0"""))
 def confound_link(spark, root):
     """Do two readouts say the same of the donors that both have?"""
     got = readout.block_combinations(_four(spark, root), {"cov": list(_FOUR[:2]), "null": list(_FOUR)}, [("cov",), ("null",)], "y")
@@ -198,18 +198,18 @@ two AS (SELECT 1 AS g, donor_id, df.is_test, y - predicted AS y, [l_tax, l_exten
 SELECT donor_id, round(observed, 6) AS observed, round(predicted, 6) AS predicted FROM fit WHERE is_test""")
 
 ORACLES["readout_null"] = _recursive(f"""WITH {_DF}, tr AS (SELECT rep, donor_id, y, row_number() OVER (PARTITION BY rep ORDER BY donor_id) AS a, row_number() OVER (PARTITION BY rep ORDER BY {u('donor_id', 'CAST(rep + 3 AS VARCHAR)')}, donor_id) AS b FROM df, range(20) r(rep) WHERE NOT is_test),
-src AS (SELECT a.rep AS g, a.donor_id, false AS is_test, b.y, {_FOUR_SQL} AS xs FROM tr a JOIN tr b ON a.rep = b.rep AND a.a = b.b JOIN df ON df.donor_id = a.donor_id UNION ALL SELECT rep, donor_id, true, y, {_FOUR_SQL} FROM df, range(20) r(rep) WHERE is_test), {_ridge('src', 'fit')},
-k AS (SELECT g, {_avg_rank('predicted', 'g')} AS p, {_avg_rank('observed', 'g')} AS o FROM fit WHERE is_test) SELECT CAST(g AS INTEGER) AS rep, round({corr('p', 'o')}, 6) + 0.0 AS rho, count(*) AS n FROM k GROUP BY g""")
+src AS (SELECT a.rep AS g, a.donor_id, false AS is_test, b.y, {_FOUR_SQL} AS xs FROM tr a JOIN tr b ON a.rep = b.rep AND a.a = b.b JOIN df ON df.donor_id = a.donor_id UNION ALL SELECT rep, donor_id, true, y, {_FOUR_SQL} FROM df, range(20) r(rep) WHERE is_test), {_ridge('src', 'fit', least_test=1)},
+k AS (SELECT g, {_avg_rank('predicted', 'g')} AS p, {_avg_rank('observed', 'g')} AS o FROM fit WHERE is_test) SELECT CAST(g AS INTEGER) AS rep, CASE WHEN count(*) >= 3 THEN round({corr('p', 'o')}, 6) + 0.0 END AS rho, count(*) AS n FROM k GROUP BY g""")
 
 _ODD = u("donor_id", "'cohort'") + " % 2 = 1"
 ORACLES["strict_transfer"] = _recursive(f"""WITH {_DF}, src AS (SELECT 'strict' AS g, donor_id, NOT ({_ODD}) AS is_test, y, CASE WHEN {_ODD} THEN {_FOUR_SQL} ELSE [l_discount, 0.0, l_extendedprice, l_linenumber::DOUBLE] END AS xs FROM df WHERE NOT ({_ODD}) OR NOT is_test
-UNION ALL SELECT 'refit', donor_id, is_test, y, [l_discount, 0.0, l_extendedprice, l_linenumber::DOUBLE] FROM df WHERE NOT ({_ODD})), {_ridge('src', 'fit')} SELECT g AS mode, donor_id, round(observed, 6) AS observed, round(predicted, 6) AS predicted FROM fit WHERE is_test""")
+UNION ALL SELECT 'refit', donor_id, is_test, y, [l_discount, 0.0, l_extendedprice, l_linenumber::DOUBLE] FROM df WHERE NOT ({_ODD})), {_ridge('src', 'fit', least_test=1)} SELECT g AS mode, donor_id, round(observed, 6) AS observed, round(predicted, 6) AS predicted FROM fit WHERE is_test AND (g = 'strict' OR (SELECT count(*) FROM src WHERE g = 'refit' AND is_test) >= 3)""")
 
 _POWER = f"""WITH {_DF}, x AS (SELECT donor_id, is_test, y, unnest([1, 2, 3, 4]) AS i, unnest({_FOUR_SQL}) AS x FROM df), mu AS (SELECT i, avg(x) AS m FROM x WHERE NOT is_test GROUP BY i),
 c AS (SELECT a.i, b.i AS j, covar_pop(a.x, b.x) AS v FROM x a JOIN x b USING (donor_id) WHERE NOT a.is_test GROUP BY ALL), m AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(v ORDER BY j) AS r FROM c GROUP BY i)),
 p AS (SELECT 0 AS k, [1.0, 1.0, 1.0, 1.0]::DOUBLE[] AS v, m FROM m UNION ALL SELECT k + 1, list_transform(w, lambda q: q / sqrt(list_dot_product(w, w))), m FROM (SELECT k, m, list_transform(m, lambda r: list_dot_product(r, v)) AS w FROM p WHERE k < 40)),
 s AS (SELECT donor_id, is_test, max(y) AS y, sum((x - mu.m) * v[i]) AS pc FROM x JOIN mu USING (i), p WHERE k = 40 GROUP BY ALL),
-k AS (SELECT is_test, {_avg_rank('pc', 'is_test')} AS a, {_avg_rank('y', 'is_test')} AS b FROM s), rho AS (SELECT is_test, {corr('a', 'b')} AS rho, count(*) AS n FROM k GROUP BY ALL)
+k AS (SELECT is_test, {_avg_rank('pc', 'is_test')} AS a, {_avg_rank('y', 'is_test')} AS b FROM s), rho AS (SELECT is_test, CASE WHEN count(*) >= 3 THEN {corr('a', 'b')} END AS rho, count(*) AS n FROM k GROUP BY ALL)
 SELECT round(sign(max(rho) FILTER (NOT is_test)) * max(rho) FILTER (is_test), 6) AS rho, max(n) FILTER (is_test) AS n, 'inductive_v2' AS protocol FROM rho"""
 ORACLES["pca_trajectory"] = _recursive(_POWER)
 
