@@ -366,7 +366,7 @@ def readout_null(spark, root):
 @query()
 def strict_transfer(spark, root):
     donors, cols = _donor_features(spark, root)
-    odd = keyed("donor_id", "cohort") % 2 == 1
+    odd = keyed("donor_id", "half") % 2 == 1
     got = readout.transfer(donors.where(odd), donors.where(~odd).drop("l_tax"), cols, "y")
     return got.select("mode", "donor_id", r6("observed").alias("observed"), r6("predicted").alias("predicted"))
 

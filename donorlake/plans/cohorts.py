@@ -201,7 +201,7 @@ ORACLES["readout_null"] = _recursive(f"""WITH {_DF}, tr AS (SELECT rep, donor_id
 src AS (SELECT a.rep AS g, a.donor_id, false AS is_test, b.y, {_FOUR_SQL} AS xs FROM tr a JOIN tr b ON a.rep = b.rep AND a.a = b.b JOIN df ON df.donor_id = a.donor_id UNION ALL SELECT rep, donor_id, true, y, {_FOUR_SQL} FROM df, range(20) r(rep) WHERE is_test), {_ridge('src', 'fit', least_test=1)},
 k AS (SELECT g, {_avg_rank('predicted', 'g')} AS p, {_avg_rank('observed', 'g')} AS o FROM fit WHERE is_test) SELECT CAST(g AS INTEGER) AS rep, CASE WHEN count(*) >= 3 THEN round({corr('p', 'o')}, 6) + 0.0 END AS rho, count(*) AS n FROM k GROUP BY g""")
 
-_ODD = u("donor_id", "'cohort'") + " % 2 = 1"
+_ODD = u("donor_id", "'half'") + " % 2 = 1"
 ORACLES["strict_transfer"] = _recursive(f"""WITH {_DF}, src AS (SELECT 'strict' AS g, donor_id, NOT ({_ODD}) AS is_test, y, CASE WHEN {_ODD} THEN {_FOUR_SQL} ELSE [l_discount, 0.0, l_extendedprice, l_linenumber::DOUBLE] END AS xs FROM df WHERE NOT ({_ODD}) OR NOT is_test
 UNION ALL SELECT 'refit', donor_id, is_test, y, [l_discount, 0.0, l_extendedprice, l_linenumber::DOUBLE] FROM df WHERE NOT ({_ODD})), {_ridge('src', 'fit', least_test=1)} SELECT g AS mode, donor_id, round(observed, 6) AS observed, round(predicted, 6) AS predicted FROM fit WHERE is_test AND (g = 'strict' OR (SELECT count(*) FROM src WHERE g = 'refit' AND is_test) >= 3)""")
 
