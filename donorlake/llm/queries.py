@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op01_wavelet, op02_packing, op03_lines, op04_media, op05_language, op06_pieces, op07_chat, op08_warc, op09_topk, op10_simhash, op11_fim, op13_merkle
+from . import op01_wavelet, op02_packing, op03_lines, op04_media, op05_language, op06_pieces, op07_chat, op08_warc, op09_topk, op10_simhash, op11_fim, op12_minhash, op13_merkle
 
 QUERIES = {
     "op1_wavelet": op01_wavelet.op1_wavelet,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_topk": op09_topk.op9_topk,
     "op10_simhash": op10_simhash.op10_simhash,
     "op11_fim": op11_fim.op11_fim,
+    "op12_minhash": op12_minhash.op12_minhash,
     "op13_merkle": op13_merkle.op13_merkle,
 }
 ORACLES: dict[str, str] = {
@@ -24,5 +25,6 @@ ORACLES: dict[str, str] = {
     "op8_warc": op08_warc.ORACLE,
     "op9_topk": op09_topk.ORACLE,
     "op11_fim": op11_fim.ORACLE,
+    "op12_minhash": op12_minhash.ORACLE,
     "op13_merkle": op13_merkle.ORACLE,
 }

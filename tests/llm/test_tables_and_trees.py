@@ -1,4 +1,4 @@
-"""Fill-in-middle and Merkle manifests against brute force and SQL."""
+"""Fill-in-middle, similar shingle sets and Merkle manifests against brute force and SQL."""
 
 import hashlib
 import re
@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from donorlake.llm import op11_fim, op13_merkle
+from donorlake.llm import op11_fim, op12_minhash, op13_merkle
 from tests.conftest import SF
 
 UNITS = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
@@ -76,6 +76,79 @@ def test_piece_table():
             assert op11_fim.restored(u.text(), form).text() == text and u.sha256() == hashlib.sha256(u.text()).hexdigest()
 
 
+# similar shingle sets
+
+def brute_similar(rows, words=4):
+    """(doc_id, size of the set, smallest doc_id of the component), all pairs compared on sets of strings."""
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({" ".join(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set())
+    root = list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    least = {}
+    for k, (d, _) in enumerate(rows):
+        if d is not None:
+            least[find(k)] = min(d, least.get(find(k), d))
+    return [(d, len(s), least.get(find(k)) if s else d) for k, ((d, _), s) in enumerate(zip(rows, sets))]
+
+
+def edited(rng, words, n):
+    out = list(words)
+    for k in rng.choice(len(out), n, replace=False):
+        out[k] = f"e{rng.integers(1 << 30)}"
+    return " ".join(out)
+
+
+def families():
+    """A crowded family around a text that is not there itself, chains, short and odd texts."""
+    rng = np.random.default_rng(3)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 120)]
+    rows = [(1000 + k, edited(rng, base, int(rng.integers(1, 9)))) for k in range(260)]
+    chain = [f"c{x}" for x in range(200)]
+    rows += [(k, " ".join(chain[k : k + 150])) for k in range(30)]
+    rows += [(100 + k, t) for k, t in enumerate([None, "", " \n", "One two", "one\tTWO", "one two three", "a b c d", "a b c d e", "A B C D", "É b c d", "é b c d", "x y z x y z x y z x y z"] * 2)]
+    rows += [(None, "one two"), (None, "only null here now"), (None, None), (7, "again the same id"), (7, "again the same id"), (8, "word " * 50000), (9, "word " * 40000)]
+    rows += [(2000 + k, " ".join(f"w{x}" for x in rng.integers(0, 5000, 60)) + " a passage that many documents share in the end") for k in range(120)]
+    return rows
+
+
+@pytest.mark.parametrize("small", [op12_minhash.SMALL, 24])
+def test_similar_sets(spark, small):
+    rows = families()
+    docs = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], "doc_id long, text string, node int, key string, label int")
+    got = op12_minhash.near_duplicates(docs, small=small).collect()
+    assert sorted(repr(tuple(r)) for r in got) == sorted(map(repr, brute_similar(rows)))
+    assert op12_minhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_minhash_query(spark):
+    held_against_sql(op12_minhash.op12_minhash(spark, SF), op12_minhash.ORACLE)
+
+
+def test_exact_intersections_and_sketches():
+    rng = np.random.default_rng(8)
+    for _ in range(20):
+        sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40)).astype(np.uint64)) for _ in range(rng.integers(2, 12))]
+        assert op12_minhash.intersections(sets).tolist() == [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    apart = []
+    for _ in range(200):  # pairs of similarity 0.8
+        h = rng.integers(0, 1 << 63, 900).astype(np.uint64)
+        a, b = (np.frombuffer(op12_minhash.sketch(op12_minhash.minwise(x)), np.uint64)[None] for x in (h[:810], h[90:]))
+        apart.append(int(op12_minhash.apart(a, b)[0, 0]))
+    assert 36 < np.mean(apart) < 41 and np.std(apart) < 7 and max(apart) <= op12_minhash.SKETCH_APART
+
+
 # Merkle manifests
 
 def sha(*parts):
