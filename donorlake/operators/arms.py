@@ -1,9 +1,8 @@
 """The arm matrix of a fold: a readout of each arm's donor features, its argument checks and its nulls.
 
 Features come long, ``(donor_id, feature, value)`` with zeros left out, so their
-number has no bound.  Readouts are solved over donors: Spark sums the products
-of every donor's features with every train donor's, and that table, donors
-squared, is what is solved; a cohort has hundreds of donors.
+number has no bound.  Readouts are solved over donors, from the products that
+``gram`` sums; a cohort has hundreds of donors.
 """
 
 from __future__ import annotations
@@ -14,6 +13,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+from . import gram, joins, stats
+from .gram import FOLD, products
 from .infer import ARMS, permuted
 from .readout import LEAST_TEST, LEAST_TRAIN
 
@@ -21,7 +23,6 @@ from .readout import LEAST_TEST, LEAST_TRAIN
 TEXT_ARMS = ("T2", "T3", "T4", "N2")
 ALL_ARMS = (*ARMS, "T4")
 PREDICTIONS = "donor_id string, observed double, predicted double"
-FOLD = "donor_id string, is_test boolean, target double"
 
 
 def check_arms(arms: Collection[str], captioned: Collection[str] = (), has_target: bool = True) -> None:
@@ -36,34 +37,6 @@ def check_arms(arms: Collection[str], captioned: Collection[str] = (), has_targe
         raise ValueError("N1 permutes donor labels and needs them")
 
 
-def products(features: DataFrame, donors: DataFrame, scale: bool = True) -> tuple[list[tuple], np.ndarray]:
-    """Donors ``(donor_id, is_test, target)``, train first, and the products of their features with train donors' features.
-
-    Features are centred on train donors, and divided by their population
-    deviation if ``scale`` (by 1 where they are constant).  A feature that a
-    donor lacks is 0.  Features no train donor has are left out.
-    """
-    known = donors.where(F.col("target").isNotNull() & ~F.isnan("target"))
-    rows = sorted(known.select("donor_id", "is_test", "target").collect(), key=lambda r: (r[1], r[0]))
-    known = donors.sparkSession.createDataFrame(rows, FOLD)  # what makes the donors isn't run again
-    n = sum(not r[1] for r in rows)
-    train = known.where("not is_test")
-    features = features.persist()
-    sums = features.join(F.broadcast(train.select("donor_id")), "donor_id").groupBy("feature").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss"))
-    mean = F.col("s") / n
-    deviation = F.sqrt(F.greatest(F.col("ss") / n - mean * mean, F.lit(0.0)))
-    fitted = sums.select("feature", mean.alias("m"), F.when(deviation < 1e-12, 1.0).otherwise(deviation).alias("d") if scale else F.lit(1.0).alias("d"))
-    grid = fitted.join(F.broadcast(known.select("donor_id", "is_test")))  # features x donors
-    z = grid.join(features, ["donor_id", "feature"], "left").select("feature", "donor_id", "is_test", ((F.coalesce("value", F.lit(0.0)) - F.col("m")) / F.col("d")).alias("z"))
-    right = z.where("not is_test").select("feature", F.col("donor_id").alias("other"), F.col("z").alias("w"))
-    place = {r[0]: i for i, r in enumerate(rows)}
-    k = np.zeros((len(rows), n))
-    for a, b, v in z.join(right, "feature").groupBy("donor_id", "other").agg(F.sum(F.col("z") * F.col("w"))).collect():
-        k[place[a], place[b]] = v
-    features.unpersist()
-    return rows, k
-
-
 def _predictions(donors: DataFrame, rows: list[tuple], values: np.ndarray) -> DataFrame:
     made = [(r[0], float(r[2]), float(v)) for r, v in zip(rows, values) if r[1]]
     return donors.sparkSession.createDataFrame(made, PREDICTIONS)
@@ -96,13 +69,11 @@ def pca_ridge_arm(features: DataFrame, donors: DataFrame, alpha: float = 1.0, mo
     if not _enough(rows):
         return _predictions(donors, [], np.zeros(0))
     n = k.shape[1]
-    values, vectors = np.linalg.eigh(k[:n])
-    best = np.argsort(-values)[: min(most, n - 1)]
-    best = best[values[best] > max(values[best[0]], 0) * 1e-10]
-    scores = k @ vectors[:, best] / np.sqrt(values[best])
+    _, coefficients = gram.components(k, n, most)
+    scores = k @ coefficients
     z = scores / np.sqrt((scores[:n] ** 2).mean(axis=0))
     y = np.array([r[2] for r in rows[:n]])
-    w = np.linalg.solve(z[:n].T @ z[:n] + alpha * np.eye(len(best)), z[:n].T @ (y - y.mean()))
+    w = np.linalg.solve(z[:n].T @ z[:n] + alpha * np.eye(z.shape[1]), z[:n].T @ (y - y.mean()))
     return _predictions(donors, rows, y.mean() + z @ w)
 
 
@@ -115,7 +86,7 @@ def run_fold(donors: DataFrame, blocks: Mapping[str, DataFrame], arms: Collectio
     ``null_of``'s features with targets permuted among train donors only.
     """
     check_arms(arms, captioned, "target" in donors.columns)
-    fold = donors.select("donor_id", "is_test", "target").collect()
+    fold = donors.select("donor_id", "is_test", "target").limit(gram.MOST_DONORS + 1).collect()
     if {r[1] for r in fold} != {True, False}:
         raise ValueError("the fold has no train or no test donors")
     donors = donors.sparkSession.createDataFrame(fold, FOLD)
@@ -135,3 +106,63 @@ def run_fold(donors: DataFrame, blocks: Mapping[str, DataFrame], arms: Collectio
         got = got.select(F.lit(arm).alias("arm"), "*")
         out = got if out is None else out.unionByName(got)
     return out
+
+
+METRICS = ("rho", "r2", "mae", "n")
+
+
+def _scored(predictions: DataFrame, *by: str) -> DataFrame:
+    """(by..., rho, r2, mae, n) of (by..., observed, predicted); figures are null below three donors."""
+    rho = stats.spearman(predictions, "observed", "predicted", *by)
+    fit = stats.regression(predictions, "observed", "predicted", *by).drop("n")
+    enough = F.col("n") >= LEAST_TEST
+    return rho.join(fit, list(by)).select(*by, *(F.when(enough, F.col(c)).alias(c) for c in ("rho", "r2", "mae")), "n")
+
+
+def transfer(source: tuple[DataFrame, DataFrame], target: tuple[DataFrame, DataFrame], most: int | None = None, alpha: float = 1.0) -> tuple[DataFrame, gram.Model]:
+    """Predictions (mode, eval_subset, donor_id, observed, predicted) for a target cohort by what a source cohort was fitted on, and the model.
+
+    Both are pairs ``(features(donor_id, feature, value), donors(donor_id,
+    is_test, target))``.  The source's train donors fix the features, their means
+    and deviations, with ``most`` the principal components, and the readout.
+    ``strict``: the source's readout on all target donors with a target, and on
+    the test donors among them; the target's values are never looked at.
+    ``refit``: a readout of the target's train donors (5 or more) on the source's
+    features or components, for its test donors (3 or more).  Features that the
+    source lacks go, those that the target lacks are 0.
+    """
+    train = source[1].where("not is_test")
+    if train.where(F.col("target").isNotNull()).limit(LEAST_TRAIN).count() < LEAST_TRAIN:
+        raise ValueError("the source has too few train donors")
+    model = gram.fit_ridge(*source, alpha) if most is None else gram.fit_components(*source, most, alpha)
+    model.table = written(model.table, "model")
+    known = target[1].where(F.col("target").isNotNull() & ~F.isnan("target"))
+    scored = written(gram.scores(model, target[0], known), "scores")
+    named = known.select("donor_id", "is_test", F.col("target").alias("observed"))
+    strict = gram.predicted(model, scored).join(named, "donor_id")
+    subsets = F.explode(F.when(F.col("is_test"), F.array(F.lit("all_donors"), F.lit("test_donors"))).otherwise(F.array(F.lit("all_donors")))).alias("eval_subset")
+    strict = strict.select(F.lit("strict").alias("mode"), subsets, "donor_id", "observed", "predicted")
+    if most is None:
+        fixed = target[0].join(model.table.select("feature").distinct(), "feature", "left_semi")
+    else:
+        fixed = scored.select("donor_id", F.col("component").cast("string").alias("feature"), F.col("score").alias("value"))
+    refit = ridge_arm(fixed, known, alpha).select(F.lit("refit").alias("mode"), F.lit("test_donors").alias("eval_subset"), "donor_id", "observed", "predicted")
+    return strict.unionByName(refit), model
+
+
+def transfer_report(arm: str, predictions: DataFrame) -> DataFrame:
+    """(arm, mode, eval_subset, rho, r2, mae, n) of ``transfer``'s predictions."""
+    return _scored(predictions, "mode", "eval_subset").select(F.lit(arm).alias("arm"), "mode", "eval_subset", *METRICS)
+
+
+def verification_gap(model: gram.Model, source: tuple[DataFrame, DataFrame], stored: DataFrame) -> DataFrame:
+    """(n, max_gap): the model's predictions of the source's test donors against those that its run stored; null below three common donors."""
+    test = source[1].where("is_test")
+    return joins.prediction_gap(stored, gram.predicted(model, gram.scores(model, source[0], test)))
+
+
+def cell_coverage(cells: DataFrame, known: DataFrame, kind: str = "cell_type") -> DataFrame:
+    """(coverage, n_vocab): share of the target's cells whose label the source's train cells have, and how many labels these have."""
+    vocabulary = known.select(kind).distinct().withColumn("_hit", F.lit(1))
+    marked = cells.join(vocabulary, kind, "left").agg((F.count("_hit") / F.count(F.lit(1))).alias("coverage"))
+    return marked.join(vocabulary.agg(F.count(F.lit(1)).alias("n_vocab")))  # a row each

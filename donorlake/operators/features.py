@@ -119,11 +119,12 @@ def soft_ordinal(levels: DataFrame, tau: float) -> DataFrame:
     return grid.select("a", "b", (e / F.sum(e).over(Window.partitionBy("a"))).alias("weight"))
 
 
-def infonce(batch: DataFrame, temperature: float) -> DataFrame:
-    """Symmetric cross entropy of the cosine matrix of one training batch (i, x, y); its rows are a batch, some hundreds."""
-    pairs = batch.select(F.col("i").alias("i"), "x").join(batch.select(F.col("i").alias("j"), "y"))
-    s = pairs.select("i", "j", (cosine(F.col("x"), F.col("y")) / temperature).alias("s"))
-    row = s.groupBy(F.col("i").alias("k")).agg(F.log(F.sum(F.exp("s"))).alias("r"))
-    col = s.groupBy(F.col("j").alias("k")).agg(F.log(F.sum(F.exp("s"))).alias("c"))
-    own = s.where("i = j").select(F.col("i").alias("k"), "s")
-    return own.join(row, "k").join(col, "k").agg(F.avg((F.col("r") + F.col("c")) / 2 - F.col("s")).alias("loss"))
+def infonce(rows: DataFrame, temperature: float, *by: str) -> DataFrame:
+    """(by..., loss): symmetric cross entropy of the cosine matrix of each training batch (by..., i, x, y); a batch has some hundreds of rows."""
+    left, right = rows.select(*by, "i", "x"), rows.select(*by, F.col("i").alias("j"), "y")
+    pairs = left.join(right, list(by)) if by else left.join(right)
+    s = pairs.select(*by, "i", "j", (cosine(F.col("x"), F.col("y")) / temperature).alias("s"))
+    row = s.groupBy(*by, F.col("i").alias("k")).agg(F.log(F.sum(F.exp("s"))).alias("r"))
+    col = s.groupBy(*by, F.col("j").alias("k")).agg(F.log(F.sum(F.exp("s"))).alias("c"))
+    own = s.where("i = j").select(*by, F.col("i").alias("k"), "s")
+    return own.join(row, [*by, "k"]).join(col, [*by, "k"]).groupBy(*by).agg(F.avg((F.col("r") + F.col("c")) / 2 - F.col("s")).alias("loss"))

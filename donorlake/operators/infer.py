@@ -10,6 +10,8 @@ from .stats import average_rank, pearson
 
 #: Arms and what they are made of (fixed values).
 ARMS = ("B0", "B1", "B2", "T0", "T1", "T2", "T3", "N1", "N2")
+#: Decimals of a resample's difference: what is 0 but for the order of its summands counts as 0 on both sides.
+TIES = 12
 
 
 def permuted(labels: DataFrame, key: str, value: str, replicates: int, seed: int) -> DataFrame:
@@ -52,7 +54,7 @@ def clustered_bootstrap(pairs: DataFrame, replicates: int, seed: int, least_vali
     """
     point = delta_rho(pairs, "seed").agg(F.avg("delta").alias("delta_rho"))
     chosen = draws(pairs.select("donor_id").distinct(), replicates, seed)
-    reps = delta_rho(chosen.join(pairs, "donor_id"), "rep", "seed").groupBy("rep").agg(F.avg("delta").alias("d")).where("d is not null")
+    reps = delta_rho(chosen.join(pairs, "donor_id"), "rep", "seed").groupBy("rep").agg(F.round(F.avg("delta"), TIES).alias("d")).where("d is not null")
     n = F.count(F.lit(1))
     ends = reps.agg(
         n.alias("n_valid"),
@@ -136,7 +138,7 @@ def run_integrity(stored: DataFrame, recomputed: DataFrame, *keys: str) -> DataF
 
 #: Candidate and reference of each pooled comparison (fixed values).
 PAIRS = [(c, r) for c in ("T0", "T2", "T3", "N1", "N2") for r in ("B2", "T1")] + [("B2", "B0"), ("B2", "B1"), ("T2", "T0"), ("T3", "T0"), ("N2", "T2"), ("T2", "N2"), ("T3", "N2")]
-#: Those that the primary cohort is judged by.
+#: Those that the primary cohort is judged by (fixed values).
 PRIMARY = [("T2", "B2"), ("T3", "B2"), ("T2", "T1"), ("T3", "T1")]
 COMPARISON = ("cohort", "candidate", "reference")
 
@@ -164,7 +166,7 @@ def pooled_comparisons(preds: DataFrame, primary: str, replicates: int, base_see
     slots = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("n_donors").cast("int") - 1)))
     pick = slots.withColumn("_i", (keyed(F.concat_ws("#", F.col("rep").cast("string"), F.col("slot").cast("string")), comparison_seed(base_seed)) % F.col("n_donors")).cast("int"))
     chosen = pick.drop("n_donors").join(ranked, [*COMPARISON, "_i"])
-    reps = delta_rho(chosen.join(pairs, [*COMPARISON, "donor_id"]), *COMPARISON, "rep", "seed").groupBy(*COMPARISON, "rep").agg(F.avg("delta").alias("d")).where("d is not null")
+    reps = delta_rho(chosen.join(pairs, [*COMPARISON, "donor_id"]), *COMPARISON, "rep", "seed").groupBy(*COMPARISON, "rep").agg(F.round(F.avg("delta"), TIES).alias("d")).where("d is not null")
     n = F.count(F.lit(1))
     tail = F.least(F.avg(F.when(F.col("d") <= 0, 1.0).otherwise(0.0)), F.avg(F.when(F.col("d") >= 0, 1.0).otherwise(0.0)))
     ends = reps.groupBy(*COMPARISON).agg(n.alias("n_valid"), F.when(n >= least_valid, F.percentile("d", F.lit(0.025))).alias("ci_low"), F.when(n >= least_valid, F.percentile("d", F.lit(0.975))).alias("ci_high"), F.least(F.lit(1.0), 2 * tail + 1.0 / (n + 1)).alias("p_emp"))
@@ -182,15 +184,15 @@ def pooled_comparisons(preds: DataFrame, primary: str, replicates: int, base_see
     return benjamini_hochberg(rows, "_p", "cohort", out="q_fdr").drop("_p")
 
 
-def pooled_summary(comparisons: DataFrame, cohort: str, candidate: str, null: DataFrame, transfer: DataFrame, composition: DataFrame, integrity_errors: int = 0) -> DataFrame:
-    """The one row that ``gates`` judges: a candidate's comparisons in a cohort, ``null(quantile)``, ``transfer(rho)``, ``composition(delta_rho, ci_low)``."""
+def pooled_summary(comparisons: DataFrame, cohort: str, candidate: str, null: DataFrame, transfer: DataFrame, composition: DataFrame, integrity: DataFrame) -> DataFrame:
+    """The one row that ``gates`` judges: a candidate's comparisons in a cohort, ``null(quantile)``, ``transfer(rho)``, ``composition(delta_rho, ci_low)``, ``integrity(ok)``."""
     own = (F.col("cohort") == cohort) & (F.col("candidate") == candidate)
     got = [F.max(F.when(own, F.col("candidate_rho"))).alias("candidate_rho")]
     for reference in ("B2", "T1", "N2"):
         this = own & (F.col("reference") == reference)
         got += [F.max(F.when(this, F.col("delta_rho"))).alias(f"delta_{reference.lower()}"), F.max(F.when(this, F.col("ci_low"))).alias(f"ci_{reference.lower()}")]
-    row = comparisons.agg(*got).withColumn("integrity_errors", F.lit(integrity_errors))
-    parts = (null.agg(F.max("quantile").alias("null_q95")), transfer.agg(F.min("rho").alias("transfer_min")), composition.agg(F.avg("delta_rho").alias("delta_b0"), F.min("ci_low").alias("ci_b0")))
+    row = comparisons.agg(*got)
+    parts = (integrity.agg(F.count(F.when(~F.col("ok"), 1)).alias("integrity_errors")), null.agg(F.max("quantile").alias("null_q95")), transfer.agg(F.min("rho").alias("transfer_min")), composition.agg(F.avg("delta_rho").alias("delta_b0"), F.min("ci_low").alias("ci_b0")))
     for part in parts:
         row = row.join(part)  # one row each
     return row

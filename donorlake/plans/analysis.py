@@ -118,13 +118,14 @@ def soft_ordinal_weights(spark, root):
     return features.soft_ordinal(table(spark, root, "nation").select(F.col("n_regionkey").alias("level")), 0.5).withColumn("weight", r6("weight"))
 
 
-@query(f"""{cohort.sql('emb')}, b AS (SELECT cell_id AS i, embedding AS x, list_transform(list_zip(embedding, list_reverse(embedding)), lambda p: p[1] + 0.5 * p[2]) AS y FROM emb WHERE cell_id < 40),
-s AS (SELECT a.i, c.i AS j, list_cosine_similarity(a.x, c.y) / 0.07 AS s FROM b a, b c),
-r AS (SELECT i AS k, ln(sum(exp(s))) AS r FROM s GROUP BY 1), c AS (SELECT j AS k, ln(sum(exp(s))) AS c FROM s GROUP BY 1)
-SELECT round(avg((r + c) / 2 - s), 6) AS loss FROM s JOIN r ON r.k = i JOIN c ON c.k = j WHERE i = j""")
+@query(f"""{cohort.sql('emb')}, b AS (SELECT cell_id // 64 AS batch, cell_id AS i, embedding AS x, list_transform(list_zip(embedding, list_reverse(embedding)), lambda p: p[1] + 0.5 * p[2]) AS y FROM emb),
+s AS (SELECT batch, a.i, c.i AS j, list_cosine_similarity(a.x, c.y) / 0.07 AS s FROM b a JOIN b c USING (batch)),
+r AS (SELECT batch, i AS k, ln(sum(exp(s))) AS r FROM s GROUP BY ALL), c AS (SELECT batch, j AS k, ln(sum(exp(s))) AS c FROM s GROUP BY ALL)
+SELECT s.batch, round(avg((r + c) / 2 - s), 6) AS loss FROM s JOIN r ON r.batch = s.batch AND r.k = i JOIN c ON c.batch = s.batch AND c.k = j WHERE i = j GROUP BY ALL""")
 def infonce_loss(spark, root):
-    batch = cohort.emb(spark, root).where("cell_id < 40").select(F.col("cell_id").alias("i"), F.col("embedding").alias("x"), F.zip_with("embedding", F.reverse("embedding"), lambda a, b: a + 0.5 * b).alias("y"))
-    return features.infonce(batch, 0.07).withColumn("loss", r6("loss"))
+    """The loss of each batch of 64 cells, over all cells."""
+    rows = cohort.emb(spark, root).select(F.floor(F.col("cell_id") / 64).alias("batch"), F.col("cell_id").alias("i"), F.col("embedding").alias("x"), F.zip_with("embedding", F.reverse("embedding"), lambda a, b: a + 0.5 * b).alias("y"))
+    return features.infonce(rows, 0.07, "batch").withColumn("loss", r6("loss"))
 
 
 _DIFF = f"""{cohort.sql('obs', 'expr')}, k AS (SELECT cell_type AS class, count(*) AS n_in FROM obs GROUP BY ALL), n AS (SELECT count(*) AS n_all FROM obs),
@@ -226,7 +227,7 @@ def _delta(rows: str, by: str) -> str:
 @query(f"""{_RUNS}, {_PAIRS}, d AS (SELECT donor_id, row_number() OVER (ORDER BY donor_id) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT donor_id FROM pairs)),
 s AS (SELECT rep, slot, {u("rep || '#' || slot", "'17'")} % (SELECT max(n) FROM d) AS i FROM (SELECT range AS rep FROM range(50)), (SELECT unnest(range(0, (SELECT max(n) FROM d))) AS slot)),
 b AS (SELECT rep, seed, observed, pa, pb FROM s JOIN d USING (i) JOIN pairs USING (donor_id)),
-reps AS (SELECT rep, avg(d) AS d FROM ({_delta('b', 'rep, seed')}) GROUP BY rep HAVING avg(d) IS NOT NULL), point AS (SELECT avg(d) AS delta FROM ({_delta('pairs', 'seed')}))
+reps AS (SELECT rep, round(avg(d), 12) AS d FROM ({_delta('b', 'rep, seed')}) GROUP BY rep HAVING avg(d) IS NOT NULL), point AS (SELECT avg(d) AS delta FROM ({_delta('pairs', 'seed')}))
 SELECT (SELECT round(delta, 6) FROM point) AS delta_rho, count(*) AS n_valid, round(quantile_cont(d, 0.025), 6) AS ci_low, round(quantile_cont(d, 0.975), 6) AS ci_high,
 round(least(1.0, 2 * least(avg((d <= 0)::INT), avg((d >= 0)::INT)) + 1.0 / (count(*) + 1)), 6) AS p_emp, (SELECT max(n) FROM d) AS n_donors FROM reps""")
 def clustered_bootstrap(spark, root):

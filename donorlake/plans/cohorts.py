@@ -11,6 +11,7 @@ from ..functions.scalar import keyed, r6
 from ..operators import arms, features, infer, joins, prep, readout, report, retrieve, stats
 from ..sources import cohort
 from ..sources.readers import table
+from ..sources.shared import written
 from .analysis import _FRACTIONS, _OBS, _avg_rank, _delta
 from .preparation import _SPLIT
 from .registry import ORACLES, corr, query, u
@@ -60,14 +61,116 @@ def arm_matrix(spark, root):
     return got.select("arm", "donor_id", (F.round("observed", 4) + 0.0).alias("observed"), (F.round("predicted", 4) + 0.0).alias("predicted"))
 
 
-@query()
+def _eigen(m: str, out: str, k: int) -> str:
+    """CTEs of the first eigenvectors ``out(c, lambda, v)`` of the symmetric matrix ``m(m)``: squared until one direction is left, then taken out of it."""
+    square = "list_transform({0}, lambda r: list_transform({0}, lambda q: list_dot_product(r, q)))"
+    trace = "list_sum(list_transform({0}, lambda r, i: r[i]))"
+    norm = "list_transform({0}, lambda r: list_transform(r, lambda x: x / t))"
+    parts, now = [], m
+    for c in range(1, k + 1):
+        parts.append(f"""{out}_q{c} AS (SELECT 0 AS k, {norm.format('m')} AS m FROM (SELECT m, {trace.format('m')} AS t FROM {now}) UNION ALL SELECT k + 1, {norm.format('m')} FROM (SELECT k, m, {trace.format('m')} AS t FROM (SELECT k, {square.format('m')} AS m FROM {out}_q{c} WHERE k < 32))),
+{out}_v{c} AS (SELECT list_transform(m[j], lambda x: x / sqrt(m[j][j])) AS v FROM (SELECT m, list_position(d, list_max(d)) AS j FROM (SELECT m, list_transform(m, lambda r, i: r[i]) AS d FROM {out}_q{c} WHERE k = 32))),
+{out}_l{c} AS (SELECT v, list_dot_product(list_transform(m, lambda r: list_dot_product(r, v)), v) AS l, m FROM {out}_v{c}, {now}),
+{out}_m{c} AS (SELECT list_transform(m, lambda r, i: list_transform(r, lambda x, j: x - l * v[i] * v[j])) AS m FROM {out}_l{c})""")
+        now = f"{out}_m{c}"
+    return ",\n".join(parts) + f",\n{out} AS (" + " UNION ALL ".join(f"SELECT {c} AS c, l, v FROM {out}_l{c}" for c in range(1, k + 1)) + ")"
+
+
+_B1_DEEP = """names AS (SELECT DISTINCT gene FROM bulk JOIN fold USING (donor_id) WHERE NOT is_test),
+dense AS (SELECT donor_id, is_test, y, gene, coalesce(x, 0) - coalesce(m, 0) AS z FROM names CROSS JOIN fold LEFT JOIN bulk USING (donor_id, gene) LEFT JOIN (SELECT gene, sum(x) / (SELECT count(*) FROM fold WHERE NOT is_test) AS m FROM bulk JOIN fold USING (donor_id) WHERE NOT is_test GROUP BY gene) USING (gene)),
+rk AS (SELECT donor_id, row_number() OVER (ORDER BY donor_id) AS i, y - avg(y) OVER () AS y, avg(y) OVER () AS my, count(*) OVER () AS n FROM fold WHERE NOT is_test),
+k AS (SELECT a.donor_id, rk.i AS j, sum(a.z * b.z) AS v FROM dense a JOIN dense b USING (gene) JOIN rk ON rk.donor_id = b.donor_id GROUP BY ALL),
+aug AS (SELECT i, j, v + 1.0 / n AS v FROM k JOIN rk USING (donor_id) UNION ALL SELECT i, 1000000, y FROM rk),
+mm AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(v ORDER BY j) AS r FROM aug GROUP BY i)),
+el AS (SELECT 1 AS k, m FROM mm UNION ALL SELECT k + 1, list_transform(m, lambda row, i: CASE WHEN i = k THEN list_transform(row, lambda x: x / m[k][k]) ELSE list_transform(row, lambda x, j: x - row[k] * m[k][j] / m[k][k]) END) FROM el WHERE k <= len(m)),
+dual AS (SELECT unnest(range(1, len(m) + 1)) AS j, unnest(list_transform(m, lambda row: row[-1])) AS a FROM el WHERE k = len(m) + 1)"""
+
+
+@query(_recursive(f"""{cohort.sql('obs', 'expr', 'donors')}, {_SPLIT}, {_BULK}, {_FOLD}, {_B1_DEEP}
+SELECT 'B1' AS arm, donor_id, round(max(fold.y), 4) AS observed, round((SELECT max(my) + 0.0 FROM rk) + (SELECT max(n) / (max(n) + 1.0) FROM rk) * sum(v * a), 4) AS predicted FROM k JOIN dual USING (j) JOIN fold USING (donor_id) WHERE is_test GROUP BY donor_id"""))
 def arm_pseudobulk(spark, root):
-    """B1: pseudobulk on components fitted on train donors; no SQL for eigenvectors, held against numpy in the tests."""
+    """B1: pseudobulk on components fitted on train donors.
+
+    There are more genes than train donors and fewer than 21 of these, so all
+    components are used and the SQL has them in closed form: the least-norm
+    solution over donors, shrunk by n / (n + 1).
+    """
     donors, _, bulk = _fold(spark, root)
     got = arms.run_fold(donors, {"B1": bulk}, ["B1"])
     return got.select("arm", "donor_id", (F.round("observed", 4) + 0.0).alias("observed"), (F.round("predicted", 4) + 0.0).alias("predicted"))
 
 
+# two cohorts of donors (a market segment of a nation) whose tables have different genes and cell types
+_TWO = f"""who AS (SELECT c_custkey, CAST(c_nationkey AS VARCHAR) || '-' || c_mktsegment AS donor_id, CASE WHEN c_nationkey % 2 = 0 THEN 'one' ELSE 'two' END AS cohort, c_acctbal FROM customer),
+tf AS (SELECT cohort, donor_id, {u('donor_id', "'5'")} % 4 = 0 AS is_test, avg(c_acctbal) AS y FROM who GROUP BY ALL),
+cells AS (SELECT DISTINCT l_orderkey AS cell_id, donor_id, cohort, o_orderpriority AS cell_type FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN who ON o_custkey = c_custkey WHERE cohort = 'two' OR o_orderpriority <> '5-LOW'),
+counts AS (SELECT cohort, cell_id, p_brand AS gene, CAST(sum(l_quantity) AS DOUBLE) AS value FROM lineitem JOIN cells ON l_orderkey = cell_id JOIN part ON l_partkey = p_partkey WHERE CAST(substr(p_brand, 7) AS INTEGER) BETWEEN (CASE cohort WHEN 'one' THEN 1 ELSE 6 END) AND (CASE cohort WHEN 'one' THEN 20 ELSE 25 END) GROUP BY ALL),
+genes AS (SELECT DISTINCT gene FROM counts WHERE cohort = 'one'),
+lg AS (SELECT cell_id, gene, ln(1 + value * 10000 / sum(value) OVER (PARTITION BY cell_id)) AS v FROM counts),
+nc AS (SELECT donor_id, count(*) AS n FROM cells GROUP BY ALL),
+share AS (SELECT donor_id, cell_type AS f, count(*) / max(n) AS x FROM cells JOIN nc USING (donor_id) GROUP BY ALL),
+pb AS (SELECT donor_id, gene AS f, sum(v) / max(n) AS x FROM lg SEMI JOIN genes USING (gene) JOIN cells USING (cell_id) JOIN nc USING (donor_id) GROUP BY ALL),
+tl AS (SELECT 'B0' AS arm, * FROM share UNION ALL SELECT 'B1', * FROM pb),
+tn AS (SELECT DISTINCT arm, f FROM tl JOIN tf USING (donor_id) WHERE cohort = 'one' AND NOT is_test AND x <> 0),
+tx AS (SELECT arm, cohort, donor_id, is_test, y, tn.f, coalesce(x, 0) AS x FROM tn CROSS JOIN tf LEFT JOIN tl USING (arm, f, donor_id)),
+tm AS (SELECT f, avg(x) AS m FROM tx WHERE arm = 'B1' AND cohort = 'one' AND NOT is_test GROUP BY f),
+tz AS (SELECT donor_id, cohort, is_test, f, x - m AS z FROM tx JOIN tm USING (f) WHERE arm = 'B1'),
+tc AS (SELECT a.f AS i, b.f AS j, sum(a.z * b.z) AS v FROM tz a JOIN tz b USING (donor_id) WHERE a.cohort = 'one' AND NOT a.is_test GROUP BY ALL),
+tg AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(v ORDER BY j) AS r FROM tc GROUP BY i)), {_eigen('tg', 'ev', 3)},
+sc AS (SELECT donor_id, c, list_dot_product(z, v) AS s FROM (SELECT donor_id, list(z ORDER BY f) AS z FROM tz GROUP BY ALL), ev),
+txs AS (SELECT arm, cohort, donor_id, is_test, y, list(x ORDER BY f) AS xs FROM tx WHERE arm = 'B0' GROUP BY ALL UNION ALL SELECT 'B1', cohort, donor_id, is_test, y, list(s ORDER BY c) FROM sc JOIN tf USING (donor_id) GROUP BY ALL),
+src AS (SELECT arm || '|refit' AS g, donor_id, is_test, y, xs FROM txs WHERE cohort = 'two' UNION ALL SELECT arm || '|strict', donor_id, cohort = 'two', y, xs FROM txs WHERE cohort = 'two' OR NOT is_test), {_ridge('src', 'fit')},
+pr AS (SELECT split_part(g, '|', 1) AS arm, split_part(g, '|', 2) AS mode, e AS eval_subset, donor_id, observed, predicted FROM fit JOIN tf USING (donor_id), (VALUES ('all_donors'), ('test_donors')) t(e) WHERE fit.is_test AND (e = 'test_donors' AND tf.is_test OR e = 'all_donors' AND g LIKE '%strict')),
+prk AS (SELECT *, {_avg_rank('observed', 'arm, mode, eval_subset')} AS o, {_avg_rank('predicted', 'arm, mode, eval_subset')} AS p FROM pr),
+tr_ AS (SELECT arm, mode, eval_subset, {corr('o', 'p')} AS rho, 1 - sum((observed - predicted) ** 2) / nullif(var_pop(observed) * count(*), 0) AS r2, avg(abs(observed - predicted)) AS mae, count(*) AS n FROM prk GROUP BY ALL),
+cov AS (SELECT 'B0' AS arm, avg((cell_type IN (SELECT cell_type FROM cells JOIN tf USING (donor_id) WHERE tf.cohort = 'one' AND NOT is_test))::INT) AS coverage FROM cells WHERE cohort = 'two' UNION ALL SELECT 'B1', avg((gene IN (SELECT gene FROM counts WHERE cohort = 'two'))::INT) FROM genes)"""
+
+
+def two_cohorts(spark, root):
+    """(cells, counts, donors) of both: the first lacks the last genes and a cell type, the second the first genes."""
+    who = table(spark, root, "customer").select(F.col("c_custkey").alias("o_custkey"), F.concat(F.col("c_nationkey").cast("string"), F.lit("-"), "c_mktsegment").alias("donor_id"), F.when(F.col("c_nationkey") % 2 == 0, "one").otherwise("two").alias("cohort"), "c_acctbal")
+    donors = who.groupBy("cohort", "donor_id").agg(F.avg("c_acctbal").alias("target")).withColumn("is_test", keyed("donor_id", 5) % 4 == 0)
+    lines, orders = table(spark, root, "lineitem").withColumnRenamed("l_orderkey", "cell_id"), table(spark, root, "orders").withColumnRenamed("o_orderkey", "cell_id")
+    cells = orders.join(lines.select("cell_id"), "cell_id", "left_semi").join(who, "o_custkey").select("cohort", "cell_id", "donor_id", F.col("o_orderpriority").alias("cell_type"))
+    cells = cells.where("cohort = 'two' or cell_type <> '5-LOW'")
+    number = F.substring("p_brand", 7, 9).cast("int")
+    part = table(spark, root, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("gene"), number.alias("number"))
+    counts = lines.join(part, "l_partkey").join(cells.select("cell_id", "cohort"), "cell_id").where("case cohort when 'one' then number <= 20 else number >= 6 end").groupBy("cohort", "cell_id", "gene").agg(F.sum("l_quantity").alias("value"))
+    return tuple({c: t.where(F.col("cohort") == c).drop("cohort") for c in ("one", "two")} for t in (cells, counts, donors))
+
+
+def _transferred(spark, root, chosen=("B0", "B1")):
+    """{arm: (report, gap, coverage)} of composition (B0) and three pseudobulk components (B1)."""
+    cells, counts, donors = two_cohorts(spark, root)
+    genes = counts["one"].select("gene").distinct().withColumn("ord", F.lit(0))
+    shares = {c: features.composition(cells[c]).select("donor_id", F.col("type").alias("feature"), F.col("fraction").alias("value")) for c in cells}
+    bulk, coverage = {}, {}
+    for c in cells:
+        on, cover = joins.gene_space(counts[c], genes)
+        bulk[c] = features.pseudobulk(on, cells[c]).select("donor_id", F.col("gene").alias("feature"), F.col("mean").alias("value"))
+        coverage["B1"] = cover.select("coverage")
+    train = cells["one"].join(donors["one"].where("not is_test"), "donor_id", "left_semi")
+    coverage["B0"] = arms.cell_coverage(cells["two"], train).select("coverage")
+    out = {}
+    for arm, block, most in (("B0", shares, None), ("B1", bulk, 3)):
+        if arm not in chosen:
+            continue
+        block = {c: written(b, "features") for c, b in block.items()}
+        source = (block["one"], donors["one"])
+        got, model = arms.transfer(source, (block["two"], donors["two"]), most)
+        stored = arms.ridge_arm(*source) if most is None else arms.pca_ridge_arm(*source, most=most)
+        out[arm] = (arms.transfer_report(arm, got), arms.verification_gap(model, source, stored), coverage[arm])
+    return out
+
+
+@query(_recursive(f"WITH {_TWO} SELECT arm, mode, eval_subset, {', '.join(f'round({c}, 6) AS {c}' for c in ('rho', 'r2', 'mae'))}, n, round(coverage, 6) AS coverage, 0.0::DOUBLE AS gap FROM tr_ JOIN cov USING (arm)"))
+def source_transfer(spark, root):
+    """What a source cohort was fitted on, strictly and refitted, on another cohort with other genes; coverage, and the gap to the source's own predictions."""
+    rows = [report.join(cover).join(gap.select("max_gap")) for report, gap, cover in _transferred(spark, root).values()]  # a row each
+    both = rows[0].unionByName(rows[1])
+    return both.select("arm", "mode", "eval_subset", *(r6(c).alias(c) for c in ("rho", "r2", "mae")), "n", r6("coverage").alias("coverage"), r6("max_gap").alias("gap"))
+
+
 @query(f"""{cohort.sql('obs', 'donors')}, {_SPLIT}, f AS (SELECT donor_id, target AS y FROM donors JOIN split USING (donor_id) WHERE NOT is_test),
 tr AS (SELECT donor_id, y, row_number() OVER (ORDER BY donor_id) AS a, row_number() OVER (ORDER BY {u('donor_id', "'13'")}, donor_id) AS b FROM f)
 SELECT donor_id, round(coalesce(d.y, target), 6) AS target, d.donor_id IS NOT NULL AS dealt FROM donors LEFT JOIN (SELECT a.donor_id, b.y FROM tr a JOIN tr b ON a.a = b.b) d USING (donor_id)""")
@@ -108,7 +211,7 @@ sizes AS (SELECT {_K}, max(n) AS n FROM d GROUP BY ALL),
 slots AS (SELECT {_K}, bs, n, rep, unnest(range(0, n)) AS slot FROM sizes JOIN pc USING ({_K}), range(25) r(rep)),
 s AS (SELECT {_K}, rep, {u("rep || '#' || slot", 'CAST(bs AS VARCHAR)')} % n AS i FROM slots),
 b AS (SELECT {_K}, rep, seed, observed, pa, pb FROM s JOIN d USING ({_K}, i) JOIN pairs USING ({_K}, donor_id)),
-reps AS (SELECT {_K}, rep, avg(d) AS d FROM ({_delta('b', f'{_K}, rep, seed')}) GROUP BY ALL HAVING avg(d) IS NOT NULL),
+reps AS (SELECT {_K}, rep, round(avg(d), 12) AS d FROM ({_delta('b', f'{_K}, rep, seed')}) GROUP BY ALL HAVING avg(d) IS NOT NULL),
 point AS (SELECT {_K}, avg(d) AS delta_rho FROM ({_delta('pairs', f'{_K}, seed')}) GROUP BY ALL),
 ends AS (SELECT {_K}, count(*) AS n_valid, quantile_cont(d, 0.025) AS ci_low, quantile_cont(d, 0.975) AS ci_high, least(1.0, 2 * least(avg((d <= 0)::INT), avg((d >= 0)::INT)) + 1.0 / (count(*) + 1)) AS p_emp FROM reps GROUP BY ALL),
 rk AS (SELECT cohort, arm, seed, {_avg_rank('observed', 'cohort, arm, seed')} AS o, {_avg_rank('predicted', 'cohort, arm, seed')} AS p FROM arm_runs),
@@ -134,21 +237,26 @@ def _better(ref: str) -> str:
     return _status(f"cr IS NULL OR q IS NULL OR d_{ref} IS NULL OR c_{ref} IS NULL", f"cr > q AND d_{ref} >= 0.05 AND c_{ref} > 0")
 
 
-@query(f"""{_POOLED}, nul AS (SELECT quantile_cont(r, 0.95) AS q FROM (SELECT {corr('o', 'p')} AS r FROM rk WHERE cohort = 'one' AND arm = 'N1' GROUP BY seed HAVING count(*) >= 3)),
-tm AS (SELECT min(r) AS t FROM (SELECT {corr('o', 'p')} AS r FROM rk WHERE cohort = 'two' AND arm = 'B2' GROUP BY seed HAVING count(*) >= 3)),
+@query(_recursive(f"""{_POOLED}, {_TWO}, nul AS (SELECT quantile_cont(r, 0.95) AS q FROM (SELECT {corr('o', 'p')} AS r FROM rk WHERE cohort = 'one' AND arm = 'N1' GROUP BY seed HAVING count(*) >= 3)),
+tmin AS (SELECT min(rho) AS t FROM tr_ WHERE arm = 'B1' AND mode = 'strict'),
+hs AS (SELECT cohort, arm, seed, sha256(string_agg(donor_id, ',' ORDER BY donor_id)) AS h FROM arm_runs WHERE arm IN ('T2', 'B0') GROUP BY ALL),
+bad AS (SELECT count(*) FILTER (a.h IS DISTINCT FROM b.h) AS bad FROM (SELECT * FROM hs WHERE arm = 'T2') a FULL JOIN (SELECT * FROM hs WHERE arm = 'B0') b USING (cohort, seed)),
 m AS (SELECT max(candidate_rho) AS cr, {', '.join(f"max(delta_rho) FILTER (reference = '{r}') AS d_{r}, max(ci_low) FILTER (reference = '{r}') AS c_{r}" for r in ('B2', 'T1', 'N2'))} FROM pooled WHERE cohort = 'one' AND candidate = 'T2'),
 c AS (SELECT avg(delta_rho) AS d0, min(ci_low) AS c0 FROM pooled WHERE cohort = 'one' AND candidate = 'B2' AND reference = 'B0'),
-g AS (SELECT *, {_better('B2')} AS imp FROM m, nul, tm, c)
+g AS (SELECT *, {_better('B2')} AS imp FROM m, nul, tmin, c, bad)
 SELECT unnest(['integrity', 'improvement', 'semantics_random', 'semantics_text_null', 'absolute', 'transfer', 'composition', 'negative_result_valid']) AS gate,
-unnest(['PASS', imp, {_better('T1')}, {_better('N2')}, {_status('cr IS NULL', 'cr >= 0.5')}, {_status('t IS NULL', 't >= 0.35')}, {_status('d0 IS NULL OR c0 IS NULL', 'd0 >= 0.05 AND c0 > 0')}, CASE imp WHEN 'FAIL' THEN 'PASS' WHEN 'NOT_EVALUABLE' THEN imp ELSE 'FAIL' END]) AS status FROM g""")
+unnest([CASE WHEN bad = 0 THEN 'PASS' ELSE 'FAIL' END, imp, {_better('T1')}, {_better('N2')}, {_status('cr IS NULL', 'cr >= 0.5')}, {_status('t IS NULL', 't >= 0.35')}, {_status('d0 IS NULL OR c0 IS NULL', 'd0 >= 0.05 AND c0 > 0')}, CASE WHEN imp = 'FAIL' AND bad = 0 THEN 'PASS' WHEN imp = 'NOT_EVALUABLE' THEN imp ELSE 'FAIL' END]) AS status FROM g"""))
 def pooled_gates(spark, root):
-    """The gates of the pooled run, from its comparisons, the label null, the other cohort and the gain over composition."""
+    """The gates of the pooled run, from its comparisons, the label null, strict transfer to the other cohort, the gain over composition, and the runs' donor hashes."""
     runs = arm_runs(spark, root)
     got = infer.pooled_comparisons(runs, "one", 25, 17)
     rho = stats.spearman(runs, "observed", "predicted", "cohort", "arm", "seed")
     null = stats.null_quantile(rho.where("cohort = 'one' and arm = 'N1'"), "rho", 0.95)
     composition = got.where("cohort = 'one' and candidate = 'B2' and reference = 'B0'")
-    return infer.gates(infer.pooled_summary(got, "one", "T2", null, rho.where("cohort = 'two' and arm = 'B2'"), composition))
+    strict = _transferred(spark, root, ["B1"])["B1"][0].where("mode = 'strict'")
+    hashes = runs.groupBy("cohort", "arm", "seed").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("donor_id")), ","), 256).alias("sha256"))  # a run's donors
+    intact = infer.run_integrity(hashes.where("arm = 'T2'"), hashes.where("arm = 'B0'"), "cohort", "seed")
+    return infer.gates(infer.pooled_summary(got, "one", "T2", null, strict, composition, intact))
 
 
 _ONE = f"""{cohort.sql('preds')}, one AS (SELECT donor_id, observed, pa, pb FROM preds), d AS (SELECT donor_id, row_number() OVER (ORDER BY donor_id) - 1 AS i, count(*) OVER () AS n FROM one),
@@ -253,7 +361,7 @@ def normalized_obs(spark, root):
     return got.select("donor_id", "cell_type", "nation", "region")
 
 
-@query("""SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 1.0 WHEN '2-HIGH' THEN 0.5 WHEN '5-LOW' THEN 0.0 END AS score, CASE o_orderpriority WHEN '5-LOW' THEN 0 WHEN '2-HIGH' THEN 1 WHEN '1-URGENT' THEN 2 ELSE -1 END AS level, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS "order_date" FROM orders""")
+@query("""SELECT o_orderkey, CAST(CASE o_orderpriority WHEN '1-URGENT' THEN 1.0 WHEN '2-HIGH' THEN 0.5 WHEN '5-LOW' THEN 0.0 END AS DOUBLE) AS score, CASE o_orderpriority WHEN '5-LOW' THEN 0 WHEN '2-HIGH' THEN 1 WHEN '1-URGENT' THEN 2 ELSE -1 END AS level, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS "order_date" FROM orders""")
 def ordinal_codes(spark, root):
     rows = schema.sanitised(table(spark, root, "orders").select("o_orderkey", "o_orderpriority", F.col("o_orderdate").cast("date").alias("order/date")))
     p = F.col("o_orderpriority")

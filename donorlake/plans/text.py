@@ -204,10 +204,15 @@ def missing_artifacts(spark, root):
     return report.missing_artifacts(expected, table(spark, root, "lineitem").where("l_quantity > 40").select(F.col("l_orderkey").alias("k")), "k", "job")
 
 
-@query("SELECT p_partkey, split_part(p_type, '_', 1) AS encoder, CASE p_brand WHEN 'Brand#11' THEN 0 WHEN 'Brand#12' THEN 1 ELSE 99 END AS place, contains(p_type, 'BRASS') AND false OR contains(p_type, 'cell type') AS leaked FROM part")
+@query("""WITH a AS (SELECT p_partkey, p_brand, split_part(p_type, ' ', 1) || '_' || split_part(p_name, ' ', 2) AS arm, CASE WHEN p_size % 3 = 0 THEN 'labels' ELSE 'markers' END AS mode, CASE WHEN p_size % 5 = 0 THEN 'about this cell type: ' ELSE '' END || p_name AS text FROM part)
+SELECT p_partkey, split_part(arm, '_', 1) AS encoder, split_part(arm, '_', 2) AS region, CASE p_brand WHEN 'Brand#11' THEN 0 WHEN 'Brand#12' THEN 1 ELSE 99 END AS place, contains(mode, 'label') OR contains(text, 'type_') OR contains(text, 'cell type') AS leaked FROM a""")
 def arm_columns(spark, root):
-    encoder, _ = report.arm_parts(F.col("p_type"))
-    return table(spark, root, "part").select("p_partkey", encoder.alias("encoder"), report.custom_order(F.col("p_brand"), ["Brand#11", "Brand#12"]).cast("int").alias("place"), report.leakage_flag(F.col("p_type"), F.col("p_type")).alias("leaked"))
+    """Encoder and region of run names, their place in a listing, and whether labels reached the text side."""
+    name = F.concat(F.split_part("p_type", F.lit(" "), F.lit(1)), F.lit("_"), F.split_part("p_name", F.lit(" "), F.lit(2)))
+    mode = F.when(F.col("p_size") % 3 == 0, "labels").otherwise("markers")
+    text = F.concat(F.when(F.col("p_size") % 5 == 0, "about this cell type: ").otherwise(""), "p_name")
+    encoder, region = report.arm_parts(name)
+    return table(spark, root, "part").select("p_partkey", encoder.alias("encoder"), region.alias("region"), report.custom_order(F.col("p_brand"), ["Brand#11", "Brand#12"]).cast("int").alias("place"), report.leakage_flag(mode, text).alias("leaked"))
 
 
 @query("SELECT o_orderkey AS run, o_totalprice FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from donorlake import schema
-from donorlake.operators import arms, infer, prep, report, retrieve
+from donorlake.operators import arms, gram, infer, prep, report, retrieve
 
 
 def _fold(spark, n=24, p=40, signal=0.0, seed=1):
@@ -44,6 +44,82 @@ def test_components_equal_an_eigendecomposition(spark):
         assert got[f"d{i:02d}"] == pytest.approx(y[~test].mean() + z[i] @ w, abs=1e-8)
 
 
+def test_products_of_many_features(spark):
+    donors, _, _, y = _fold(spark, n=37, p=2)
+    rng = np.random.default_rng(4)
+    x = np.where(rng.random((37, 1500)) < 0.1, rng.normal(size=(37, 1500)), 0)
+    long = spark.createDataFrame([(f"d{i:02d}", f"f{j}", float(x[i, j])) for i, j in zip(*np.nonzero(x))] + [("stranger", "f0", 9.0), ("d00", None, 1.0), ("d00", "f1", None)], "donor_id string, feature string, value double")
+    order = sorted(range(37), key=lambda i: (i % 4 == 0, i))
+    train = order[: sum(i % 4 != 0 for i in range(37))]
+    for scale in (True, False):
+        rows, k = arms.products(long, donors, scale)
+        d = x[train].std(0) if scale else np.ones(1500)
+        z = (x - x[train].mean(0)) / np.where(d < 1e-12, 1, d)
+        assert [r[0] for r in rows] == [f"d{i:02d}" for i in order] and np.allclose(k, z[order] @ z[train].T)
+    plan = gram.placed(long, rows)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    with pytest.raises(ValueError):
+        arms.products(long, donors.union(donors.limit(1)))
+    assert arms.products(long, donors.where("is_test"))[1].shape == (10, 0)
+    assert np.allclose(arms.products(long.limit(0), donors)[1], 0)
+
+
+@pytest.mark.parametrize("most", [None, 4])
+def test_a_source_cohort_is_read_out_on_another(spark, most):
+    donors, long, x, y = _fold(spark, n=28, p=30, signal=2.0)
+    others, far, u, v = _fold(spark, n=20, p=36, signal=2.0, seed=2)
+    far = far.where("feature <> 'f5'")  # the target lacks one, and has six of its own
+    u = u[:, :30].copy()
+    u[:, 5] = 0
+    train = np.arange(28) % 4 != 0
+    m = x[train].mean(0)
+    if most is None:
+        s = x[train].std(0)
+        load = np.diag(1 / np.where(s < 1e-12, 1, s))
+    else:
+        values, vectors = np.linalg.eigh((x[train] - m).T @ (x[train] - m))
+        load = vectors[:, np.argsort(-values)[:most]]
+    a, b = (x - m) @ load, (u - m) @ load
+
+    def ridge(fx, fy, to):
+        mean, sd = fx.mean(0), fx.std(0)
+        sd = np.where(sd < 1e-12, 1, sd)
+        z = (fx - mean) / sd
+        w = np.linalg.solve(z.T @ z + np.eye(z.shape[1]), z.T @ (fy - fy.mean()))
+        return fy.mean() + (to - mean) / sd @ w
+
+    got, model = arms.transfer((long, donors), (far, others), most)
+    rows = {(r["mode"], r["eval_subset"], r.donor_id): r.predicted for r in got.collect()}
+    strict = ridge(a[train], y[train], b)
+    test = np.arange(20) % 4 == 0
+    refit = ridge(b[~test] if most else u[~test], v[~test], b if most else u)
+    assert len(rows) == 20 + 2 * test.sum()
+    for i in range(20):
+        assert rows["strict", "all_donors", f"d{i:02d}"] == pytest.approx(strict[i], abs=1e-7)
+        if test[i]:
+            assert rows["strict", "test_donors", f"d{i:02d}"] == pytest.approx(strict[i], abs=1e-7)
+            assert rows["refit", "test_donors", f"d{i:02d}"] == pytest.approx(refit[i], abs=1e-7)
+    stored = arms.ridge_arm(long, donors) if most is None else arms.pca_ridge_arm(long, donors, most=most)
+    gap = arms.verification_gap(model, (long, donors), stored).first()
+    assert gap.n == 7 and gap.max_gap < 1e-7
+    assert arms.verification_gap(model, (long, donors), stored.withColumn("predicted", F.col("predicted") + 1)).first().max_gap == pytest.approx(1)
+    assert arms.verification_gap(model, (long, donors), stored.limit(2)).first().max_gap is None
+    figures = {(r["mode"], r.eval_subset): r for r in arms.transfer_report("X", got).collect()}
+    assert figures["strict", "all_donors"].n == 20 and figures["strict", "all_donors"].rho is not None
+    few, _ = arms.transfer((long, donors), (far, others.where("not is_test or donor_id = 'd00'")), most)
+    assert {r["mode"] for r in few.select("mode").distinct().collect()} == {"strict"}
+    with pytest.raises(ValueError):
+        arms.transfer((long, donors.where("is_test")), (far, others), most)
+
+
+def test_a_tie_is_a_tie_on_both_sides(spark):
+    """Differences that are 0 but for rounding count on both sides, so p is 1."""
+    rng = np.random.default_rng(6)
+    rows = [(s, f"d{i}", float(i % 7), p := float(rng.normal()), p * (1 + 1e-12)) for s in range(3) for i in range(15)]
+    got = infer.clustered_bootstrap(spark.createDataFrame(rows, "seed int, donor_id string, observed_a double, predicted_a double, predicted_b double"), 30, 2).first()
+    assert got.p_emp == 1.0 and got.ci_low == got.ci_high == 0.0
+
+
 def test_a_signal_is_found_and_goes_under_permuted_labels(spark):
     donors, long, _, y = _fold(spark, n=48, p=3, signal=6.0)
     got = arms.run_fold(donors, {"B2": long}, ["B2", "N1"], seed=5).toPandas()
