@@ -53,18 +53,20 @@ def marker_queries(markers: DataFrame) -> DataFrame:
     return every.join(first.select("type", "query_id"), ["type", "query_id"], "left_semi")
 
 
-def search(index: DataFrame, lens: DataFrame, queries: DataFrame, n_docs: int, mean_len: float, keys: list[str], limit: int | None = None) -> DataFrame:
+def search(index: DataFrame, lens: DataFrame | None, queries: DataFrame, n_docs: int, mean_len: float, keys: list[str], limit: int | None = None) -> DataFrame:
     """(keys..., doc_id, score, rank): documents that satisfy all clauses, scored by BM25 of the matched terms.
 
     Boolean search is a count of satisfied clauses per (query, document), so
     only postings of query terms are read and no document is looked at twice.
+    An index with documents' lengths (``len``) needs no ``lens``.
     """
     terms = queries.select("term").distinct()
     hit = index.join(terms, "term", "left_semi")
     df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / mean_len))
-    scored = hit.join(df, "term").join(lens, "doc_id").select("term", "doc_id", weight.alias("w"))
+    sized = hit if lens is None else hit.join(lens, "doc_id")
+    scored = sized.join(df, "term").select("term", "doc_id", weight.alias("w"))
     need = queries.groupBy(*keys).agg(F.count_distinct("clause").alias("_need"))
     got = queries.select(*keys, "clause", "term").distinct().join(scored, "term").groupBy(*keys, "doc_id").agg(F.count_distinct("clause").alias("_have"), F.sum("w").alias("score"))
     found = got.join(need, keys).where("_have = _need").select(*keys, "doc_id", F.round("score", 6).alias("score"))
@@ -158,13 +160,6 @@ def phrase_hits(articles: DataFrame, phrases: DataFrame, keys: list[str]) -> Dat
     return found.where(padded.contains(F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" ")))).select(*keys, "phrase", "doc_id")
 
 
-def retrieval_arms(types: DataFrame) -> DataFrame:
-    """A row per arm and row of ``types``, with what the arm does: curated, by_name, with_alias, without_name."""
-    arm = F.col("arm")
-    every = types.withColumn("arm", F.explode(F.array(*map(F.lit, ARMS))))
-    return every.withColumns({"curated": arm.startswith("rag_curated"), "by_name": arm.startswith("rag_name"), "with_alias": arm.endswith("alias"), "without_name": arm != "rag_name"})
-
-
 def excerpts(docs: DataFrame, order: list[str], *by: str, most_docs: int = 12, most_chars: int = 6000, most_abstract: int = 400) -> DataFrame:
     """(by..., excerpt): ``- title. abstract`` of the first documents, abstracts cut, whole entries until the budget is used; a missing part is empty."""
     w = Window.partitionBy(*by).orderBy(*order)

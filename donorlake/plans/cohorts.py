@@ -389,11 +389,6 @@ def alias_coverage(spark, root):
     return articles.select("doc_id", r6(retrieve.alias_coverage(retrieve.body(articles), terms)).alias("coverage"))
 
 
-@query("SELECT n_name AS type, arm, arm LIKE 'rag_curated%' AS curated, arm LIKE 'rag_name%' AS by_name, arm LIKE '%alias' AS with_alias, arm <> 'rag_name' AS without_name FROM nation, (SELECT unnest(['rag_markers', 'rag_markers_alias', 'rag_name', 'rag_name_stripped', 'rag_curated', 'rag_curated_alias']) AS arm)")
-def retrieval_arms(spark, root):
-    return retrieve.retrieval_arms(table(spark, root, "nation").select(F.col("n_name").alias("type")))
-
-
 _BODY = "array_to_string(regexp_extract_all(lower(concat_ws(' ', title, abstract, mesh)), '[a-z0-9]+'), ' ')"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalar import phrase, r6, safe_key
-from ..operators import captions, markers, report, retrieve, tokens
+from ..operators import captions, fulltext, markers, report, retrieve, tokens
 from ..sources import cohort
 from ..sources.readers import table
 from ..streaming import events
@@ -38,11 +38,13 @@ found AS (SELECT type, query_id, doc_id, round(sum(w), 6) AS score FROM q JOIN w
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY type, query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM found)"""
 
 
-def _index(spark, root):
+def _found(spark, root):
+    """(articles, the ladder's best documents), over the stored index."""
     articles = cohort.articles(spark, root)
-    lens = retrieve.doc_lengths(articles)
-    n, mean = lens.agg(F.count(F.lit(1)), F.avg(F.when(F.col("len") > 0, F.col("len")))).first()
-    return articles, retrieve.postings(articles), lens, n, mean or 1.0
+    index, queries = fulltext.stored(articles), retrieve.marker_queries(_markers(spark))
+    queries = spark.createDataFrame(queries.collect(), queries.schema)  # some rows for each type, used again and again
+    rows = fulltext.frequencies(index.rows(queries.select("term")))
+    return articles, retrieve.search(rows, None, queries, index.n_docs, index.mean_length(), ["type", "query_id"], 20)
 
 
 @query(f"WITH {_LADDER} SELECT type, query_id, level, clause, term FROM q")
@@ -55,8 +57,7 @@ _SEARCH = f"{_INDEX}, {_LADDER}, {_FOUND}"
 
 @query(f"{_SEARCH} SELECT type, query_id, doc_id, round(score, 3) AS score, rank FROM ranked WHERE rank <= 20")
 def bm25_topk(spark, root):
-    _, index, lens, n, mean = _index(spark, root)
-    return retrieve.search(index, lens, retrieve.marker_queries(_markers(spark)), n, mean, ["type", "query_id"], 20).withColumn("score", F.round("score", 3) + 0.0)
+    return _found(spark, root)[1].withColumn("score", F.round("score", 3) + 0.0)
 
 
 _POOL = f"""{_SEARCH}, pool AS (SELECT type, doc_id, count(*) AS hits, max(score) AS best, sum(1.0 / rank) AS score_agg FROM ranked WHERE rank <= 20 GROUP BY ALL),
@@ -67,8 +68,7 @@ s AS (SELECT *, round(10 * cover + 2 * ctx + score_agg + 0.01 * best, 6) AS scor
 
 
 def _pool(spark, root):
-    articles, index, lens, n, mean = _index(spark, root)
-    found = retrieve.search(index, lens, retrieve.marker_queries(_markers(spark)), n, mean, ["type", "query_id"], 20)
+    articles, found = _found(spark, root)
     terms = _markers(spark).groupBy("type").agg(F.collect_list("marker").alias("terms"), F.max("context").alias("context"))
     pool = retrieve.pooled_hits(found, "type").join(F.broadcast(terms), "type").join(articles, "doc_id")  # a row per marker list
     text = retrieve.body(pool)

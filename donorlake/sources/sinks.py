@@ -41,11 +41,11 @@ def json_lines(df: DataFrame, path: str, columns: list[str]) -> None:
     df.select(*columns).write.mode("errorifexists").json(path)
 
 
-def manifest(spark: SparkSession, path: str, record: dict) -> None:
-    """One JSON file by exclusive create."""
+def manifest(spark: SparkSession, path: str, record: dict, indent: int | None = 1) -> None:
+    """One JSON file by exclusive create; without indent it is one line."""
     p, fs = _path(spark, path)
     out = fs.create(p, False)
-    out.write(bytearray(json.dumps(record, sort_keys=True, indent=1).encode()))
+    out.write(bytearray(json.dumps(record, sort_keys=True, indent=indent).encode()))
     out.close()
 
 
