@@ -21,6 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import ship
+
 #: Donors of a cohort: their products (200 MB at this number) are solved on the driver; more are an error.
 MOST_DONORS = 5_000
 #: Features of a dense block, donors of a strip, strips added by a task in each round.
@@ -42,6 +44,7 @@ def fold_rows(donors: DataFrame) -> list[tuple]:
 
 def placed(features: DataFrame, rows: list[tuple]) -> DataFrame:
     """(feature, at, value) side by side by feature; ``at`` is a donor's place in ``rows``."""
+    ship(features.sparkSession)
     places = features.sparkSession.createDataFrame([(r[0], i) for i, r in enumerate(rows)], "donor_id string, at int")
     known = features.where(F.col("feature").isNotNull() & F.col("value").isNotNull())
     return known.join(F.broadcast(places), "donor_id").select("feature", "at", F.col("value").cast("double").alias("value")).repartition("feature").sortWithinPartitions("feature")
@@ -76,6 +79,31 @@ def _standard(x: np.ndarray, n: int, scale: bool) -> tuple[np.ndarray, np.ndarra
     return (x - mean[:, None]) / deviation[:, None], mean, deviation
 
 
+STRIPS = "strip int, part int, m binary"
+
+
+def _added(batches):
+    sums: dict[tuple[int, int], np.ndarray] = {}
+    for b in batches:
+        for strip, part, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            key, m = (strip, part // FAN_IN), np.frombuffer(m)
+            sums[key] = sums[key] + m if key in sums else m
+    yield pa.RecordBatch.from_pydict({"strip": pa.array([k[0] for k in sums], pa.int32()), "part": pa.array([k[1] for k in sums], pa.int32()), "m": pa.array([m.tobytes() for m in sums.values()], pa.binary())})
+
+
+def added_up(parts: DataFrame, partitions: int) -> dict[int, np.ndarray]:
+    """{strip: sum} of ``parts(strip, part, m)``, rows of numbers that partitions made, by a tree of shuffles; a row for each strip reaches the driver."""
+    left = max(2, partitions)
+    while left > 1:
+        parts = parts.repartition("strip", F.floor(F.col("part") / FAN_IN)).sortWithinPartitions("strip", "part").mapInArrow(_added, STRIPS)
+        left = -(-left // FAN_IN)
+    out: dict[int, np.ndarray] = {}
+    for strip, _, m in parts.collect():
+        m = np.frombuffer(m)
+        out[strip] = out[strip] + m if strip in out else m
+    return out
+
+
 def products(features: DataFrame, donors: DataFrame, scale: bool = True) -> tuple[list[tuple], np.ndarray]:
     """Donors ``(donor_id, is_test, target)``, train first, and the products of their features with train donors' features.
 
@@ -98,23 +126,10 @@ def products(features: DataFrame, donors: DataFrame, scale: bool = True) -> tupl
             strips = range(0, width, STRIP)
             yield pa.RecordBatch.from_pydict({"strip": pa.array([k // STRIP for k in strips], pa.int32()), "part": pa.array([TaskContext.get().partitionId()] * len(strips), pa.int32()), "m": pa.array([total[k : k + STRIP].tobytes() for k in strips], pa.binary())})
 
-    def added(batches):
-        sums: dict[tuple[int, int], np.ndarray] = {}
-        for b in batches:
-            for strip, part, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                key, m = (strip, part // FAN_IN), np.frombuffer(m)
-                sums[key] = sums[key] + m if key in sums else m
-        yield pa.RecordBatch.from_pydict({"strip": pa.array([k[0] for k in sums], pa.int32()), "part": pa.array([k[1] for k in sums], pa.int32()), "m": pa.array([m.tobytes() for m in sums.values()], pa.binary())})
-
-    shape = "strip int, part int, m binary"
-    parts = placed(features, rows).mapInArrow(partial, shape)
-    left = max(2, int(features.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    while left > 1:
-        parts = parts.repartition("strip", F.floor(F.col("part") / FAN_IN)).sortWithinPartitions("strip", "part").mapInArrow(added, shape)
-        left = -(-left // FAN_IN)
+    parts = placed(features, rows).mapInArrow(partial, STRIPS)
     k = np.zeros((width, n))
-    for strip, _, m in parts.collect():  # a row for each strip
-        m = np.frombuffer(m).reshape(-1, n)
+    for strip, m in added_up(parts, int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))).items():
+        m = m.reshape(-1, n)
         k[strip * STRIP : strip * STRIP + len(m)] += m
     return rows, k
 

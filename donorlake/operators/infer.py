@@ -220,6 +220,24 @@ def paired_difference(a: DataFrame, b: DataFrame, replicates: int, seed: int) ->
     return delta_rho(pairs).select(F.col("delta").alias("delta_rho"), "n").join(ends)
 
 
+def block_differences(pairs: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """(block, delta_rho, n, mean_delta, ci_low, ci_high, n_valid): donors are drawn within each block, all blocks and replicates in one job.
+
+    ``pairs(block, donor_id, observed_a, predicted_a, predicted_b)``, a row for
+    each donor of a block.  Block ``all`` is the mean over blocks, of the points
+    and in each replicate, of those blocks that have a difference; its n is of
+    all donors.  Resamples with a constant side, or of fewer than three donors,
+    have no difference and are left out.
+    """
+    point = delta_rho(pairs, "block").select("block", F.col("delta").alias("delta_rho"), "n")
+    chosen = draws(pairs.select("block", "donor_id"), replicates, seed, "block").join(pairs, ["block", "donor_id"])
+    reps = delta_rho(chosen, "block", "rep").where("delta is not null").select("block", "rep", "delta")
+    whole = point.agg(F.lit("all").alias("block"), F.avg("delta_rho").alias("delta_rho"), F.sum("n").alias("n"))
+    every = reps.unionByName(reps.groupBy("rep").agg(F.avg("delta").alias("delta")).withColumn("block", F.lit("all")))
+    ends = every.groupBy("block").agg(F.avg("delta").alias("mean_delta"), F.percentile("delta", F.lit(0.025)).alias("ci_low"), F.percentile("delta", F.lit(0.975)).alias("ci_high"), F.count(F.lit(1)).alias("n_valid"))
+    return point.unionByName(whole).join(ends, "block", "left").na.fill(0, ["n_valid"])
+
+
 def go_gate(figures: DataFrame) -> DataFrame:
     """(go) of ``figures(encoder, rho, gap, trajectory)``: on every encoder a correlation of 0.5, a gap of 0.15 and a positive trajectory."""
     by = figures.groupBy("encoder").agg((F.max("rho") >= 0.5).alias("a"), (F.max("gap") >= 0.15).alias("b"), (F.max("trajectory") > 0).alias("c"))
