@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import keyed
 from ..schema import require, require_unique
+from ..sources.shared import written
 
 
 def count_validation(expr: DataFrame) -> DataFrame:
@@ -210,3 +211,42 @@ def bags(cells: DataFrame, seed: int, most: int) -> DataFrame:
     chosen = cells.select("donor_id", "cell_id", k.alias("slot")).where(F.col("slot") < most)
     slots = cells.select("donor_id").distinct().select("donor_id", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("slot"))
     return slots.join(chosen, ["donor_id", "slot"], "left")
+
+
+#: Cells that a loader keeps at most, but for one of each small group: their ids (8 bytes each) are broadcast.
+MOST_CELLS = 2_000_000
+#: Columns that a donor table takes from its cells (fixed values).
+DONOR_COLUMNS = ("braak", "cerad", "thal", "adnc", "cognitive_status", "casi", "apoe", "age_at_death", "sex")
+SCORES = ("CPS_Global", "CPS_Global_ABeta", "CPS_Global_pTau", "CPS_Local", "CPS_Local_ABeta", "CPS_Local_pTau")
+
+
+def load_region(cells: DataFrame, counts: DataFrame, region: str, scores: DataFrame | None = None, max_cells: int = 150_000, min_cells_per_type: int = 500, seed: int = 0, order: str = "cell_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cells, their counts and a donor table of one region of a large count table.
+
+    ``cells(cell_id, donor_id, cell_type, region, ...)``; ``scores(donor_id,
+    region, ...)`` are joined by donor and region.  Types below
+    ``min_cells_per_type`` cells go; where more than ``max_cells`` are left, a
+    share of each (donor, type) by keyed hash stays, one at least.  The kept ids
+    are at most ``max_cells`` and half a cell more for each group, and go to the
+    scan of ``counts`` as a broadcast semi join: the count table is read once
+    and never shuffled.  The donor table has the first value of each known
+    column, by ``order``.
+    """
+    if max_cells > MOST_CELLS:
+        raise ValueError(f"max_cells must not exceed {MOST_CELLS}")
+    here = cells.where(F.col("region") == region)
+    if scores is not None:
+        own = scores.where(F.col("region") == region).drop("region")
+        clash = [c for c in own.columns if c in here.columns and c != "donor_id"]
+        for c in clash:
+            own = own.withColumnRenamed(c, f"{c}_cps")
+        here = here.join(require_unique(own, "donor_id"), "donor_id", "left")
+    here = supported(here, min_cells_per_type, "cell_type")
+    total = here.count()
+    if total > max_cells:
+        here = stratified_sample(here, seed, "cell_id", ["donor_id", "cell_type"], fraction=max_cells / total)
+    kept = written(here, "region-cells")
+    ids = kept.select("cell_id")
+    n = kept.count()
+    sub = counts.join(F.broadcast(ids) if n <= 2 * MOST_CELLS else ids, "cell_id", "left_semi")
+    return kept, sub, donor_first(kept, order, *(c for c in (*DONOR_COLUMNS, *SCORES) if c in kept.columns))

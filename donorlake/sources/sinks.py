@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,3 +61,23 @@ def ordered_ids_sha256(ids: DataFrame, key: str, order: str) -> DataFrame:
     piece = F.concat(F.unhex(F.lpad(F.hex(F.octet_length(key).cast("bigint")), 16, "0")), F.col(key).cast("binary"))
     listed = ids.agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), piece.alias("p")))).alias("l"))
     return listed.select(F.sha2(F.unhex(F.array_join(F.transform("l", lambda x: F.hex(x["p"])), "")), 256).alias("sha256"))
+
+
+def release(spark: SparkSession, path: str, tables: dict[str, DataFrame], allowed: tuple[str, ...]) -> None:
+    """Several tables, all or none: written into a folder of their own, told by a manifest that comes last and is created exclusively.
+
+    ValueError for a name that isn't allowed; FileExistsError where a release
+    is there.  A crash leaves no release, and a second try isn't in its way.
+    """
+    odd = sorted(set(tables) - set(allowed))
+    if odd:
+        raise ValueError(f"not to be released: {', '.join(odd)}")
+    p, fs = _path(spark, f"{path}/release.json")
+    if fs.exists(p):
+        raise FileExistsError(path)
+    stage, told = f"stage-{uuid.uuid4().hex}", {}
+    for name, df in tables.items():
+        parquet(df, f"{path}/{stage}/{name}")
+        back = spark.read.parquet(f"{path}/{stage}/{name}")
+        told[name] = {"folder": f"{stage}/{name}", "rows": back.count(), "columns": back.columns}
+    manifest(spark, f"{path}/release.json", {"tables": told})
