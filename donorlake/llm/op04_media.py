@@ -474,10 +474,10 @@ def filed(nodes: DataFrame, folder: str) -> DataFrame:
 
 
 def _pairs(rows: DataFrame, again: bool) -> DataFrame:
-    """(a, b, n, key) from rows(key, node) or, again, rows(key, node, root) dealt and sorted by key.
+    """(a, b, n, key, star) from rows(key, node) or, again, rows(key, node, root) dealt and sorted by key.
 
-    All pairs of a key's images; of a dense key those with its first image, and a
-    row with the key alone.  Again: all of different roots.
+    All pairs of a key's images; of a dense key those with its first image
+    (``star``), and a row with the key alone.  Again: all of different roots.
     """
     width = 3 if again else 2
     spark = rows.sparkSession
@@ -485,17 +485,16 @@ def _pairs(rows: DataFrame, again: bool) -> DataFrame:
 
     def pairs(cols, starts):
         size = np.diff(np.append(starts, len(cols[0])))
-        left, right, dense, have = [], [], [], 0
+        left, right, have = [], [], 0
         two = starts[size == 2]
         left.append(two)
         right.append(two + 1)
         for k in np.flatnonzero(size > 2):
             lo, n = int(starts[k]), int(size[k])
             if n > DENSE and not again:
-                dense.append(lo)
-                left.append(np.full(n - 1, lo))
-                right.append(np.arange(lo + 1, lo + n))
-            elif again:
+                yield from rows_of(cols, [np.full(n - 1, lo)], [np.arange(lo + 1, lo + n)], [lo], True)
+                continue
+            if again:
                 for i in range(n - 1):
                     j = lo + i + 1 + np.flatnonzero(cols[2][lo + i + 1 : lo + n] != cols[2][lo + i])
                     left.append(np.full(len(j), lo + i))
@@ -506,11 +505,11 @@ def _pairs(rows: DataFrame, again: bool) -> DataFrame:
                 right.append(lo + j)
             have += len(left[-1])
             if have > BLOCK:
-                yield from rows_of(cols, left, right, [])
+                yield from rows_of(cols, left, right, [], False)
                 left, right, have = [], [], 0
-        yield from rows_of(cols, left, right, dense)
+        yield from rows_of(cols, left, right, [], False)
 
-    def rows_of(cols, left, right, dense):
+    def rows_of(cols, left, right, dense, star):
         i, j = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (left, right))
         if again and len(i):
             ok = cols[2][i] != cols[2][j]
@@ -523,7 +522,7 @@ def _pairs(rows: DataFrame, again: bool) -> DataFrame:
         real = np.arange(len(a)) < len(once)
         for lo in range(0, len(a), 1 << 16):
             s = slice(lo, lo + (1 << 16))
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a[s], mask=~real[s]), "b": pa.array(b[s], mask=~real[s]), "n": pa.array(n[s]), "key": pa.array(key[s], mask=real[s])})
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a[s], mask=~real[s]), "b": pa.array(b[s], mask=~real[s]), "n": pa.array(n[s]), "key": pa.array(key[s], mask=real[s]), "star": pa.array(np.full(len(a[s]), star))})
 
     def work(batches):
         held, n = [], 0
@@ -543,7 +542,7 @@ def _pairs(rows: DataFrame, again: bool) -> DataFrame:
             if len(cols[0]):
                 yield from pairs(cols, np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1]])))
 
-    return dealt.mapInArrow(work, "a long, b long, n long, key long")
+    return dealt.mapInArrow(work, "a long, b long, n long, key long, star boolean")
 
 
 def candidates(met: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -554,6 +553,14 @@ def candidates(met: DataFrame, nodes: DataFrame) -> DataFrame:
     return counted.join(side("a"), "a").join(side("b"), "b").where(F.col("shared") * SHARED_PART >= least).select("a", "b")
 
 
+def more_candidates(met: DataFrame, again: DataFrame, first: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b) of images that share enough keys, dense (``again``) and other ones (``met``) together, and weren't candidates ``first``."""
+    dense = again.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    other = met.where("a is not null and not star").groupBy("a", "b").agg(F.sum("n").alias("other"))
+    both = dense.join(other, ["a", "b"], "left").select("a", "b", (F.col("n") + F.coalesce("other", F.lit(0))).alias("n"))
+    return candidates(both, nodes).join(first, ["a", "b"], "left_anti")
+
+
 def verified(pairs: DataFrame, folder: str) -> DataFrame:
     """(a, b, agreed) of pairs of nodes with enough agreeing corners."""
 
@@ -585,12 +592,13 @@ def links(nodes: DataFrame, folder: str) -> DataFrame:
     """(a, b, agreed): links of stored images that connect all that are linked by candidates."""
     rows = filed(nodes.where(F.col("n") >= 3), folder)
     met = common.materialize(_pairs(rows, False), "media-met")
-    good = common.materialize(verified(candidates(met, nodes), folder), "media-links")
+    first = common.materialize(candidates(met, nodes), "media-candidates")
+    good = common.materialize(verified(first, folder), "media-links")
     keys = common.materialize(met.where("a is null").select("key").distinct(), "media-dense")
     if not keys.isEmpty():
         group = common.materialize(components(good.select("a", "b")), "media-groups")
         dense = rows.join(_small(keys), "key").join(_small(group), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        good = good.unionByName(common.materialize(verified(candidates(_pairs(dense, True), nodes), folder), "media-links"))
+        good = good.unionByName(common.materialize(verified(more_candidates(met, _pairs(dense, True), first, nodes), folder), "media-links"))
     return good
 
 

@@ -5,6 +5,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from donorlake.llm import common, op04_media, op08_warc, op09_topk
 from tests.conftest import SF
@@ -186,6 +187,28 @@ def test_dense_keys_lose_nothing(spark, monkeypatch):
     assert whole == {r.image_id: r.class_id for r in op04_media.image_copies(images).collect()} == {i: i % 2 for i in range(24)}
 
 
+def test_dense_and_other_keys_count_together(spark, monkeypatch):
+    """Pairs that share one common and one rare key, whatever counts as common."""
+    rows = [(1, i) for i in range(30)] + [(2, 5), (2, 6), (3, 7), (3, 8), (4, 7), (4, 8), (5, 0), (5, 9), (6, 20), (6, 21), (7, 3), (7, 40)]
+    filed = spark.createDataFrame(rows, "key long, node long")
+    nodes = spark.createDataFrame([(i, 8) for i in range(41)], "node long, n int")
+
+    def found():
+        met = op04_media._pairs(filed, False).cache()
+        first = op04_media.candidates(met, nodes)
+        pairs = {(r.a, r.b) for r in first.collect()}
+        keys = met.where("a is null").select("key").distinct()
+        again = op04_media._pairs(filed.join(keys, "key").withColumn("root", F.col("node")), True)
+        more = {(r.a, r.b) for r in op04_media.more_candidates(met, again, first, nodes).collect()}
+        assert not pairs & more
+        return pairs | more
+
+    want = {(5, 6), (7, 8), (0, 9), (20, 21)}
+    for dense in (1000, 4, 2):
+        monkeypatch.setattr(op04_media, "DENSE", dense)
+        assert found() == want
+
+
 def test_noisy_copies_hold_together(spark):
     """More edited copies than any key pairs by neighbours, beside images that share a patch only."""
     rng = np.random.default_rng(8)
