@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..schema import require_unique
 from .markers import top_expressed
 
 #: Names of settings that hold a secret; a separator and a value follow: 12 or more signs in quotes, or 16 or more without.
@@ -21,8 +22,12 @@ SECRETS = {
     "api_key": r"\bsk-[A-Za-z0-9_-]{20,}\b",
     "assignment": rf"(?i)(?:^|[^A-Za-z0-9])(?:{_NAMES})[ \t]{{0,4}}(?:=>|:=|=|:)[ \t]{{0,4}}(?:{_VALUES})",
 }
-BARE_HEX = r"\b[0-9a-f]{40}\b"
-SAFE_HEX = r"(?i)(?:sha1|sha256|commit|revision|snapshot|digest|hash)"
+BARE_HEX = r"\b[a-f0-9]{40}\b"
+#: Signs that excuse a bare hex string in the 80 characters before it: parts of cache and object paths, or a field whose name says that it is an identifier (fixed values).
+SAFE_PATHS = ("snapshots/", ".lock", "models--", ".no_exist/", "hf_cache/", "blobs/", ".git/", "pack-", "objects/")
+SAFE_NAMES = ("sha", "hash", "rev", "ref", "snapshot", "commit", "git", "version")
+SAFE_FIELD = r"(?i)(?:" + "|".join(SAFE_NAMES) + r")\w*[\x22\x27\s]*[:=]"
+HEX_CONTEXT = 80
 
 
 def gene_list(values: DataFrame, n: int, *by: str) -> DataFrame:
@@ -31,16 +36,19 @@ def gene_list(values: DataFrame, n: int, *by: str) -> DataFrame:
     return listed.select(*by, F.array_join(F.transform("l", lambda x: x["gene"]), ", ").alias("genes"))
 
 
-def cell_caption(genes: Column, label: Column | None = None) -> Column:
-    text = F.concat(F.lit("Highly expressed genes: "), F.coalesce(genes, F.lit("none detected")), F.lit("."))
-    return text if label is None else F.concat(F.lit("Cell type: "), label, F.lit(". "), text)
+def cell_caption(genes: Column, label: Column | None = None, tissue: str = "blood") -> Column:
+    """What a cell is (its label, where one is given and known) and the genes that it expresses most."""
+    what = F.lit(f"A cell from human {tissue}.")
+    if label is not None:
+        what = F.coalesce(F.concat(F.lit("A "), label, F.lit(f" cell from human {tissue}.")), what)
+    return F.concat(what, F.lit(" Highly expressed genes: "), F.coalesce(genes, F.lit("none detected")), F.lit("."))
 
 
-def own_gene_captions(expr: DataFrame, obs: DataFrame, n: int, with_label: bool) -> DataFrame:
+def own_gene_captions(expr: DataFrame, obs: DataFrame, n: int, with_label: bool, tissue: str = "blood") -> DataFrame:
     """(cell_id, caption): a cell without expressed genes says so."""
     genes = gene_list(top_expressed(expr, n), n, "cell_id")
     rows = obs.select("cell_id", "cell_type").join(genes, "cell_id", "left")
-    return rows.select("cell_id", cell_caption(F.col("genes"), F.col("cell_type") if with_label else None).alias("caption"))
+    return rows.select("cell_id", cell_caption(F.col("genes"), F.col("cell_type") if with_label else None, tissue).alias("caption"))
 
 
 def class_captions(markers: DataFrame, n: int) -> DataFrame:
@@ -48,12 +56,12 @@ def class_captions(markers: DataFrame, n: int) -> DataFrame:
     return gene_list(markers, n, "class").select("class", F.concat(F.col("class"), F.lit(" cells are marked by the expression of "), "genes", F.lit(".")).alias("caption"))
 
 
-def build_captions(mode: str, obs: DataFrame, expr: DataFrame | None = None, captions: DataFrame | None = None, n: int = 10, with_label: bool = True) -> DataFrame:
+def build_captions(mode: str, obs: DataFrame, expr: DataFrame | None = None, captions: DataFrame | None = None, n: int = 10, with_label: bool = True, tissue: str = "blood") -> DataFrame:
     """(cell_id, caption) by mode: ``own_genes`` needs expr; ``type_markers`` and ``type_text`` need captions(class, caption)."""
     if mode == "own_genes":
         if expr is None:
             raise ValueError("own_genes needs expression")
-        return own_gene_captions(expr, obs, n, with_label)
+        return own_gene_captions(expr, obs, n, with_label, tissue)
     if mode not in ("type_markers", "type_text"):
         raise ValueError(f"unknown mode: {mode}")
     if captions is None:
@@ -84,14 +92,60 @@ def strip_label(text: Column, label: str) -> tuple[Column, Column]:
     return F.regexp_replace(text, pattern, "this cell type"), text.rlike(pattern)
 
 
+def _bare_hex(text: Column) -> Column:
+    """Whether a text has a 40-digit hex string that nothing in the 80 characters before it excuses."""
+    between, found = F.split(text, BARE_HEX, -1), F.regexp_extract_all(text, F.lit(f"({BARE_HEX})"), 1)
+
+    def excused(i: Column) -> Column:  # two such strings and what lies between are over 80 characters
+        near = [F.get(between, i - 2), F.get(found, i - 2), F.get(between, i - 1), F.get(found, i - 1), F.get(between, i)]
+        before = F.right(F.concat(*(F.coalesce(x, F.lit("")) for x in near)), F.lit(HEX_CONTEXT))
+        named = before.rlike(SAFE_FIELD)
+        for path in SAFE_PATHS:
+            named = named | before.contains(path)
+        return named
+
+    return F.exists(F.transform(found, lambda _, i: excused(i)), lambda x: ~x)
+
+
 def secret_scan(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, kind) of texts with a secret; a bare 40-digit hex string counts unless a word of its line says that it is a digest."""
+    """(key, kind) of texts with a secret; a bare 40-digit hex string counts unless the 80 characters before it say that it is an identifier."""
     kinds = [F.when(F.col(text).rlike(p), F.lit(k)) for k, p in SECRETS.items()]
-    bare = F.exists(F.split(F.col(text), "\n"), lambda line: line.rlike(BARE_HEX) & ~line.rlike(SAFE_HEX))
-    kinds.append(F.when(bare, F.lit("bare_hex")))
+    kinds.append(F.when(F.col(text).rlike(BARE_HEX) & _bare_hex(F.col(text)), F.lit("bare_hex")))
     return docs.select(key, F.explode(F.array_compact(F.array(*kinds))).alias("kind"))
 
 
+def caption_set(mode: str, classes: DataFrame, markers: DataFrame | None = None, source: DataFrame | None = None, n: int = 10, missing: str = "fail") -> tuple[DataFrame, DataFrame]:
+    """Captions (class, caption) of ``classes(class)`` and one row that says where they come from.
+
+    ``markers`` writes prose from ranked markers of train cells, ``name`` takes
+    the class names, ``copy`` takes those of ``source(class, caption)``; a class
+    without one fails, or with ``missing="name"`` is captioned by its name.
+    The row: mode, fit_scope, n_classes, n_missing, missing (classes that have
+    no own caption), source_sha256 (null where there is no source) and
+    captions_sha256, digests of the sorted digests of the rows, so that neither
+    order nor partitions matter.  Classes are few: a row for each is gathered.
+    """
+    known = classes.select("class").where("class is not null").distinct()
+    if mode == "markers":
+        if markers is None:
+            raise ValueError("markers mode needs markers")
+        own, scope = class_captions(markers, n), "train_cells_only"
+    elif mode == "name":
+        own, scope = known.withColumn("caption", F.col("class")), "none"
+    elif mode == "copy":
+        if source is None:
+            raise ValueError("copy mode needs a source")
+        own, scope = require_unique(source.select("class", "caption"), "class"), "source"
+    else:
+        raise ValueError(f"unknown mode: {mode}")
+    lacking = known.join(own.where("caption is not null"), "class", "left_anti")
+    got = copied_captions(known, own, missing)
+    digest = F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2(F.to_json(F.struct("class", "caption"), {"ignoreNullFields": "false"}), 256))), ""), 256)
+    taken = (source.select("class", "caption") if mode == "copy" else got.limit(0)).agg(F.when(F.lit(mode == "copy"), digest).alias("source_sha256"))
+    told = got.agg(F.count(F.lit(1)).alias("n_classes"), digest.alias("captions_sha256")).join(lacking.agg(F.count(F.lit(1)).alias("n_missing"), F.array_sort(F.collect_list("class")).alias("missing"))).join(taken)
+    return got, told.select(F.lit(mode).alias("mode"), F.lit(scope).alias("fit_scope"), "n_classes", "n_missing", "missing", "source_sha256", "captions_sha256")
+
+
 def prompt(template: str, **columns: Column) -> Column:
     """A template with ``{name}`` places."""
     out, rest = [], template

@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schema import require_unique
 from . import fulltext, retrieve
 from .retrieve import ARMS
 
@@ -43,6 +44,24 @@ MESH_HINTS = {
     "naive thymus-derived CD4-positive, alpha-beta T cell": "CD4-Positive T-Lymphocytes",
 }
 
+#: Words of four stages of a disease, from low to high, and of the scales that grade it (fixed values).
+SEVERITY_TERMS = (
+    ("cognitively normal", "healthy aging", "non-demented control", "neuropathology-free", "normal aging brain"),
+    ("mild cognitive impairment", "prodromal Alzheimer", "early-stage Alzheimer", "incipient pathology"),
+    ("moderate Alzheimer disease", "established Alzheimer pathology", "intermediate neurofibrillary"),
+    ("severe Alzheimer disease", "advanced Alzheimer pathology", "end-stage dementia", "high neuropathologic change"),
+)
+CORE_TERMS = {
+    "adnc": ("Alzheimer disease neuropathologic change", "amyloid plaque", "neurofibrillary tangle", "tau pathology", "neuritic plaque"),
+    "braak": ("neurofibrillary tangle", "tau hyperphosphorylation", "Braak staging", "transentorhinal cortex", "tau propagation"),
+    "cerad": ("neuritic plaque", "CERAD", "senile plaque density", "amyloid deposition cortex"),
+    "cognitive": ("cognitive decline", "memory impairment", "dementia severity", "cognitive trajectory aging"),
+    "cps": ("cortical pathology burden", "amyloid beta cortical", "tau cortical", "global neuropathology"),
+    "thal": ("Thal phase", "amyloid phase", "beta-amyloid deposition", "diffuse plaque", "amyloid spread"),
+    "rosmap": ("Alzheimer disease neuropathology", "amyloid plaque", "neurofibrillary tangle", "tau pathology", "microglial activation Alzheimer"),
+}
+OTHER_CORE = ("Alzheimer disease neuropathology",)
+
 
 def quoted(term: str) -> str:
     """The term as a phrase of the query language, without what would break it."""
@@ -110,6 +129,20 @@ def _plain(term: str) -> str:
     return " ".join(re.findall("[a-z0-9]+", term.lower()))
 
 
+def placed(pooled: DataFrame, articles: DataFrame, facts: DataFrame, keys: Sequence[str], context: Sequence[str]) -> DataFrame:
+    """Pooled documents with their texts, coverage of ``terms`` and of the context, score, place among the ``keys`` (ties by doc_id) and n_pooled.
+
+    ``facts`` has a row for each key, with ``terms``, an array of arrays of names.
+    """
+    text = F.concat_ws(" ", "title", "abstract", "mesh")
+    told = pooled.join(articles.select("doc_id", "title", "abstract", "mesh"), "doc_id").join(facts, list(keys))
+    vocabulary = F.array(*(F.array(F.lit(_plain(w))) for w in context)) if context else F.expr("cast(array() as array<array<string>>)")
+    told = told.withColumns({"coverage": phrase_share(text, F.col("terms")), "context": phrase_share(text, vocabulary)})
+    score = F.round(10 * F.col("coverage") + 2 * F.col("context") + F.col("score_agg") + 0.01 * F.col("best"), 6)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "doc_id"))
+    return told.withColumn("score", score).withColumn("place", place).withColumn("n_pooled", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+
+
 def runs(index: fulltext.Index, articles: DataFrame, types: Sequence[Asked], arms: Sequence[str] = ARMS, per_query: int = 40, pool: int = 60, most_chars: int = 1200, context: Sequence[str] = IMMUNE_CONTEXT, hints: Mapping[str, str] = MESH_HINTS, near: str = "cell", seconds: float | None = None) -> tuple[DataFrame, DataFrame]:
     """The arms' documents (arm, type, place, doc_id, hits, coverage, context, score, title, abstract) and figures (arm, type, ..., caption).
 
@@ -141,14 +174,7 @@ def runs(index: fulltext.Index, articles: DataFrame, types: Sequence[Asked], arm
             facts.append((a, k, t.name, terms, pattern, sum(q.startswith(f"{a}|{k}|") for q in queries)))
     facts = F.broadcast(spark.createDataFrame(facts, "arm string, k int, type string, terms array<array<string>>, pattern string, n_queries int"))  # a row for each arm and type
     pooled = retrieve.pooled_hits(found.withColumns({"arm": arm, "k": number}), "arm", "k").drop("queries")
-    text = F.concat_ws(" ", "title", "abstract", "mesh")
-    told = pooled.join(articles.select("doc_id", "title", "abstract", "mesh"), "doc_id").join(facts, ["arm", "k"])
-    vocabulary = F.array(*(F.array(F.lit(_plain(w))) for w in context)) if context else F.expr("cast(array() as array<array<string>>)")
-    told = told.withColumns({"coverage": phrase_share(text, F.col("terms")), "context": phrase_share(text, vocabulary)})
-    score = F.round(10 * F.col("coverage") + 2 * F.col("context") + F.col("score_agg") + 0.01 * F.col("best"), 6)
-    place = F.row_number().over(Window.partitionBy("arm", "k").orderBy(F.desc("score"), "doc_id"))
-    told = told.withColumn("score", score).withColumn("place", place).withColumn("n_pooled", F.count(F.lit(1)).over(Window.partitionBy("arm", "k")))
-    docs = told.where(F.col("place") <= pool)
+    docs = placed(pooled, articles, facts, ["arm", "k"], context).where(F.col("place") <= pool)
     fragment = F.trim(without_named(F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.coalesce("abstract", F.lit(""))), F.col("pattern")))
     captions = retrieve.caption_budget(docs.withColumn("fragment", fragment), "fragment", ["place"], most_chars, "arm", "k")
     c = F.col("coverage")
@@ -157,3 +183,59 @@ def runs(index: fulltext.Index, articles: DataFrame, types: Sequence[Asked], arm
     figures = facts.select("arm", "k", "type", "n_queries").where("n_queries > 0").join(figures, ["arm", "k"], "left").join(stopped, ["arm", "k"], "left").join(captions, ["arm", "k"], "left")
     figures = figures.na.fill(0, ["n_timeouts", "n_pooled", "n_returned", "n_cov_half", "n_cov_quarter", "mean_coverage"]).na.fill("", ["caption"])
     return docs.select("arm", "type", "place", "doc_id", "hits", "coverage", "context", "score", "title", "abstract"), figures.drop("k")
+
+
+def severity_runs(
+    index: fulltext.Index,
+    articles: DataFrame,
+    levels: DataFrame,
+    core: Mapping[str, Sequence[str]] = CORE_TERMS,
+    tiers: Sequence[Sequence[str]] = SEVERITY_TERMS,
+    other: Sequence[str] = OTHER_CORE,
+    per_query: int = 25,
+    pool: int = 20,
+    most_chars: int = 1200,
+    context: Sequence[str] = NEURAL_CONTEXT,
+    seconds: float | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Documents (scale, level, tier, place, doc_id, hits, coverage, context, score, title, abstract) and figures (scale, level, tier, ..., caption) of ordered levels.
+
+    ``levels(scale, level, place)``, places from 0 in each scale; a repeated
+    (scale, level) is an error.  A level's tier is its place in thirds of its
+    scale, half-even rounded; its terms are those of the scale (``other``
+    where ``core`` lacks it) and of the tier.  Each distinct term is searched
+    once, as a phrase, however many levels share it; with ``seconds`` each is
+    a job of its own under that budget.  Score, places and captions as in
+    ``runs``; a level that finds nothing has figures and an empty caption.
+    """
+    spark = articles.sparkSession
+    own = [(k, list(v)) for k, v in core.items()]
+    n = F.count(F.lit(1)).over(Window.partitionBy("scale"))
+    tier = retrieve.severity_tier(F.col("place"), n, len(tiers))
+    byscale = F.broadcast(spark.createDataFrame(own, "scale string, core array<string>"))  # a row for each scale that has terms
+    bytier = F.element_at(F.array(*(F.array(*map(F.lit, t)) for t in tiers)), F.col("tier") + 1)
+    terms = F.array_distinct(F.concat(F.coalesce("core", F.array(*map(F.lit, other))), bytier))
+    asked = require_unique(levels.select("scale", "level", "place"), "scale", "level").withColumn("tier", tier).join(byscale, "scale", "left").select("scale", "level", "tier", terms.alias("asked"))
+    names = list(dict.fromkeys(t for group in (*core.values(), other, *tiers) for t in group))
+    queries = {t: quoted(t) for t in names}
+    if seconds is None:
+        found = fulltext.search(index, fulltext.clauses(spark, queries), per_query)
+        slow = spark.createDataFrame([], "query_id string, hits long, timed_out boolean")
+    else:
+        tables, slow = fulltext.within(spark, {q: (lambda q=q: fulltext.search(index, fulltext.clauses(spark, {q: queries[q]}), per_query)) for q in queries}, seconds)
+        found = spark.createDataFrame([], "query_id string, doc_id long, score double, rank int")
+        for t in tables.values():
+            found = found.unionByName(t.select(found.columns))
+    each = asked.select("scale", "level", F.explode("asked").alias("query_id"))
+    pooled = retrieve.pooled_hits(each.join(found, "query_id"), "scale", "level").drop("queries")
+    plain = F.transform("asked", lambda t: F.array(F.array_join(F.regexp_extract_all(F.lower(t), F.lit("([a-z0-9]+)"), 1), " ")))
+    facts = asked.select("scale", "level", "tier", plain.alias("terms"), F.size("asked").alias("n_queries"))
+    docs = placed(pooled, articles, facts, ["scale", "level"], context).where(F.col("place") <= pool)
+    entry = F.trim(F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.coalesce("abstract", F.lit(""))))
+    captions = retrieve.caption_budget(docs.withColumn("entry", entry), "entry", ["place"], most_chars, "scale", "level")
+    figures = docs.groupBy("scale", "level").agg(F.max("n_pooled").alias("n_pooled"), F.count(F.lit(1)).alias("n_returned"), F.avg("coverage").alias("mean_coverage"))
+    stopped = each.join(slow.where("timed_out"), "query_id").groupBy("scale", "level").agg(F.count(F.lit(1)).alias("n_timeouts"))
+    keys = ["scale", "level"]
+    figures = facts.drop("terms").join(figures, keys, "left").join(stopped, keys, "left").join(captions, keys, "left")
+    figures = figures.na.fill(0, ["n_timeouts", "n_pooled", "n_returned", "mean_coverage"]).na.fill("", ["caption"])
+    return docs.select("scale", "level", "tier", "place", "doc_id", "hits", "coverage", "context", "score", "title", "abstract"), figures

@@ -178,23 +178,35 @@ def build_fold(expr: DataFrame, obs: DataFrame, seed: int, min_genes: int = 200,
 
     Every rule but the per-cell filter looks at train donors only, so test
     values never change what is learned.  A donor without cells after the filter
-    is an error, not a loss.
+    is an error, not a loss.  ``expr`` and ``obs`` are read once: counts are
+    dealt by cell, given their cell's figures and written, and all checks and
+    rules read what they need of that.
     """
+    v, cell = F.col("value"), Window.partitionBy("cell_id")
+    figures = {"_n_genes": F.count(F.when(v > 0, 1)).over(cell), "_total": F.sum("value").over(cell)}
+    told = expr.select("cell_id", "gene", "value").withColumns(figures).withColumn("_copies", F.count(F.lit(1)).over(Window.partitionBy("cell_id", "gene")))
+    counts, obs = written(told, "fold-counts"), written(obs, "fold-obs")
     require_unique(obs, "cell_id")
-    require_unique(expr, "cell_id", "gene")
-    validate_counts(expr)
-    split = donor_split(obs, seed, test_fraction)
-    kept = filter_cells(expr, min_genes)
-    cells = obs.join(kept.select("cell_id").distinct(), "cell_id", "left_semi").join(split, "donor_id")
-    if not obs.select("donor_id").distinct().join(cells.select("donor_id").distinct(), "donor_id", "left_anti").isEmpty():
+    bad = v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")) | (v < 0) | (F.abs(v - F.rint(v)) > 1e-6)
+    seen = counts.agg(F.max("_copies").alias("copies"), F.count(F.when(bad, 1)).alias("bad")).first()
+    if (seen.copies or 0) > 1:
+        raise ValueError("cell_id, gene must be unique")
+    if seen.bad:
+        raise ValueError("counts must be finite, non-negative integers")
+    split = written(donor_split(written(obs.select("donor_id").distinct(), "fold-donors"), seed, test_fraction), "fold-split")
+    kept = counts.where(F.col("_n_genes") >= min_genes)
+    cells = written(obs.join(kept.select("cell_id").distinct(), "cell_id", "left_semi").join(split, "donor_id"), "fold-cells")
+    if not split.join(cells.select("donor_id").distinct(), "donor_id", "left_anti").isEmpty():
         raise ValueError("the cell filter removes a donor")
     train = cells.where("not is_test")
-    genes = train_gene_filter(kept, train, min_cells)
-    logged = normalize_log1p(kept).join(genes.select("gene"), "gene", "left_semi")
-    if genes.limit(2).count() < 2:
+    genes = written(train_gene_filter(kept, train, min_cells).select("gene"), "fold-genes")
+    n_genes = genes.count()
+    if n_genes < 2:
         raise ValueError("fewer than two genes are left")
-    chosen = variable_genes(cells_of(logged, train), train.count(), n_hvg).select("gene") if genes.count() > n_hvg else genes.select("gene")
-    return {"expr": logged.join(chosen, "gene", "left_semi"), "obs": cells, "genes": chosen}
+    logged = kept.select("cell_id", "gene", F.log1p(v * 1e4 / F.col("_total")).alias("value")).join(genes, "gene", "left_semi")
+    if n_genes > n_hvg:
+        genes = written(variable_genes(cells_of(logged, train), train.count(), n_hvg).select("gene"), "fold-variable")
+    return {"expr": logged.join(genes, "gene", "left_semi"), "obs": cells, "genes": genes}
 
 
 def preprocess_all(expr: DataFrame, n_cells: int, min_genes: int, min_cells: int, n_hvg: int) -> DataFrame:

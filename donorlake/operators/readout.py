@@ -7,25 +7,39 @@ reach the driver, never the rows.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .gram import MOST_DONORS
 from .stats import spearman
 
 LEAST_TRAIN, LEAST_TEST = 5, 3
+#: Tasks that add up products of a donor table; the driver gets a matrix of features x features from each, one at a time.
+SUMMED_BY = 4
 
 
 def _moments(rows: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
-    """Number of rows, sums and sums of products of columns (and a 1)."""
+    """Number of rows, sums and sums of products of columns.
+
+    Some tasks each add up one small dense matrix of the donors that they get;
+    only these matrices reach the driver, so the plan's size doesn't grow with
+    the number of columns.  A null counts as 0.
+    """
     p = len(columns)
-    sums = [F.sum(c) for c in columns]
-    prods = [F.sum(F.col(columns[i]) * F.col(columns[j])) for i in range(p) for j in range(i, p)]
-    got = rows.agg(F.count(F.lit(1)), *sums, *prods).first()
-    n, s, tri = got[0], np.array([x or 0.0 for x in got[1 : p + 1]]), iter([x or 0.0 for x in got[p + 1 :]])
-    m = np.zeros((p, p))
-    for i in range(p):
-        for j in range(i, p):
-            m[i, j] = m[j, i] = next(tri)
+
+    def task(batches):
+        n, s, m = 0, np.zeros(p), np.zeros((p, p))
+        for batch in batches:
+            x = np.column_stack([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in batch.columns]) if batch.num_rows else np.zeros((0, p))
+            n, s, m = n + len(x), s + x.sum(axis=0), m + x.T @ x
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([s.tobytes()]), pa.array([m.tobytes()])], ["n", "s", "m"])
+
+    parts = rows.select(*(F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns))).repartition(SUMMED_BY).mapInArrow(task, "n long, s binary, m binary")
+    n, s, m = 0, np.zeros(p), np.zeros((p, p))
+    for part in parts.toLocalIterator():
+        n, s, m = n + part.n, s + np.frombuffer(bytes(part.s)), m + np.frombuffer(bytes(part.m)).reshape(p, p)
     return n, s, m
 
 
@@ -166,25 +180,49 @@ def softmax_standin(train: DataFrame, features: list[str], label: str):
     return LogisticRegression(featuresCol="_x", labelCol=label, maxIter=50, regParam=1e-3).fit(rows)
 
 
+def grouped_ridge(rows: DataFrame, by: str, alpha: float = 1.0) -> DataFrame:
+    """(by, donor_id, observed, predicted): a ridge in each group of ``rows(by, donor_id, is_test, target, x)``, for its test donors.
+
+    ``x`` is an array of features, as long in all rows of a group.  Rows with a
+    null target, vector or value in it go; a group with fewer than 5 train or 3
+    test donors has no rows.  One shuffle by group, all fits in one job.  A
+    group has a row for each donor: more than ``MOST_DONORS`` are an error,
+    raised before any task gathers them.
+    """
+    least_train, least_test = LEAST_TRAIN, LEAST_TEST
+    n = F.count(F.lit(1)).over(Window.partitionBy(by))
+    known = rows.select(by, "donor_id", "is_test", F.col("target").cast("double").alias("target"), F.col("x").cast("array<double>").alias("x"))
+    known = known.where(F.col("target").isNotNull() & F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull() | F.isnan(v)))
+    known = known.withColumn("target", F.when(n <= MOST_DONORS, F.col("target")).otherwise(F.raise_error(F.lit(f"a group has more than {MOST_DONORS} donors")).cast("double")))
+
+    def fit(part):
+        test = part["is_test"].to_numpy(dtype=bool)
+        if (~test).sum() < least_train or test.sum() < least_test:
+            return part.iloc[:0].assign(observed=0.0, predicted=0.0)[[by, "donor_id", "observed", "predicted"]]
+        x, y = np.stack(part["x"].to_numpy()), part["target"].to_numpy()
+        mean, sd, middle = x[~test].mean(axis=0), x[~test].std(axis=0), y[~test].mean()
+        sd[sd < 1e-12] = 1.0
+        z = (x - mean) / sd
+        w = np.linalg.solve(z[~test].T @ z[~test] + alpha * np.eye(x.shape[1]), z[~test].T @ (y[~test] - middle))
+        return part[test].assign(observed=y[test], predicted=z[test] @ w + middle)[[by, "donor_id", "observed", "predicted"]]
+
+    kinds = {f.name: f.dataType.simpleString() for f in known.schema}
+    return known.groupBy(by).applyInPandas(fit, f"`{by}` {kinds[by]}, donor_id {kinds['donor_id']}, observed double, predicted double")
+
+
 def block_combinations(donors: DataFrame, blocks: dict[str, list[str]], combinations: list[tuple[str, ...]], target: str, alpha: float = 1.0) -> DataFrame:
-    """(blocks, donor_id, observed, predicted) of a ridge on each combination of feature blocks; nulls in features are 0."""
+    """(blocks, donor_id, observed, predicted) of a ridge on each combination of feature blocks, all in one job; nulls in features are 0."""
     filled = donors.na.fill(0.0, [c for cs in blocks.values() for c in cs])
-    parts = [ridge_predictions(filled, [c for b in combo for c in blocks[b]], target, alpha).withColumn("blocks", F.lit("+".join(combo))) for combo in combinations]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("blocks", "donor_id", "observed", "predicted")
+    each = F.array(*(F.struct(F.lit("+".join(combo)).alias("blocks"), F.array(*(F.col(c).cast("double") for b in combo for c in blocks[b])).alias("x")) for combo in combinations))
+    rows = filled.select("donor_id", "is_test", F.col(target).alias("target"), F.explode(each).alias("_e")).select("donor_id", "is_test", "target", "_e.*")
+    return grouped_ridge(rows, "blocks", alpha)
 
 
 def state_rho(vectors: DataFrame, donors: DataFrame, target: str, dims: int, least_cells: int = 30, alpha: float = 1.0) -> DataFrame:
     """(type, rho, n): per cell type, a donor's mean vector (of ``least_cells`` or more) read out by ridge, against held-out targets.
 
-    ``vectors(donor_id, cell_type, embedding)``; the types are few, each is one small fit.
+    ``vectors(donor_id, cell_type, embedding)``; all types are fitted in one job.
     """
-    supported = vectors.groupBy("donor_id", "cell_type").agg(F.count(F.lit(1)).alias("_n"), *(F.avg(F.col("embedding")[i]).alias(f"e{i}") for i in range(dims))).where(F.col("_n") >= least_cells)
-    rows = supported.join(donors.select("donor_id", "is_test", target), "donor_id")
-    names, out = [f"e{i}" for i in range(dims)], None
-    for (kind,) in sorted(rows.select("cell_type").distinct().collect()):
-        got = ridge_predictions(rows.where(F.col("cell_type") == kind), names, target, alpha).withColumn("type", F.lit(kind))
-        out = got if out is None else out.unionByName(got)
-    return spearman(out, "observed", "predicted", "type") if out is not None else donors.sparkSession.createDataFrame([], "type string, rho double, n long")
+    means = vectors.groupBy("donor_id", "cell_type").agg(F.count(F.lit(1)).alias("_n"), F.array(*(F.avg(F.col("embedding")[i]) for i in range(dims))).alias("x")).where(F.col("_n") >= least_cells)
+    rows = means.join(donors.select("donor_id", "is_test", F.col(target).alias("target")), "donor_id").withColumnRenamed("cell_type", "type")
+    return spearman(grouped_ridge(rows, "type", alpha), "observed", "predicted", "type")

@@ -98,9 +98,9 @@ def retrieval_stats(pool: DataFrame, cover: str, *by: str) -> DataFrame:
     return pool.groupBy(*by).agg(F.count(F.lit(1)).alias("n_docs"), F.count(F.when(c >= 0.5, 1)).alias("n_cov_half"), F.count(F.when(c >= 0.25, 1)).alias("n_cov_quarter"), F.avg(c).alias("mean_coverage"))
 
 
-def severity_tier(position: Column, n: Column) -> Column:
-    """Four tiers over ordered levels, half-even rounded."""
-    return F.bround(position / F.nullif((n - 1).cast("double"), F.lit(0.0)) * 3).cast("int")
+def severity_tier(position: Column, n: Column, tiers: int = 4) -> Column:
+    """The tier (from 0) of a place among ``n`` ordered levels, half-even rounded; a scale of one level is in the first."""
+    return F.bround(position / F.greatest(n - 1, F.lit(1)).cast("double") * (tiers - 1)).cast("int")
 
 
 def caption_budget(docs: DataFrame, text: str, order: list[str], most: int, *by: str) -> DataFrame:

@@ -260,12 +260,13 @@ def bh_fdr(spark, root):
     return stats.benjamini_hochberg(rows, "p", "seed").select("seed", "donor_id", r6("q").alias("q"))
 
 
-_GATE = "VALUES ('a', 0.604, 0.558, 0.01, true), ('b', 0.650, 0.600, 0.01, true), ('c', 0.650, NULL, 0.01, true), ('d', 0.9, 0.1, -0.01, true), ('e', 0.9, 0.1, 0.01, false)"
-
-
-@query(f"SELECT id, CASE WHEN r IS NULL THEN 'NOT_EVALUABLE' WHEN c - r >= 0.05 AND l > 0 AND n THEN 'PASS' ELSE 'FAIL' END AS gate FROM (SELECT id, c::DECIMAL(18,6) AS c, r::DECIMAL(18,6) AS r, l, n FROM ({_GATE}) t(id, c, r, l, n))")
+@query("""WITH g AS (SELECT p_brand AS id, round(avg(p_size) FILTER (p_partkey % 2 = 0) / 50, 3) AS c, CASE WHEN count(*) % 7 > 0 THEN round(avg(p_size) FILTER (p_partkey % 2 = 1) / 50, 3) END AS r, min(p_size) / 50.0 - 0.02 AS l, count(*) % 5 > 0 AS n FROM part GROUP BY ALL)
+SELECT id, CASE WHEN c IS NULL OR r IS NULL THEN 'NOT_EVALUABLE' WHEN c::DECIMAL(18, 6) - r::DECIMAL(18, 6) >= 0.05 AND l > 0 AND n THEN 'PASS' ELSE 'FAIL' END AS gate FROM g""")
 def improvement_gate(spark, root):
-    rows = spark.createDataFrame([("a", 0.604, 0.558, 0.01, True), ("b", 0.650, 0.600, 0.01, True), ("c", 0.650, None, 0.01, True), ("d", 0.9, 0.1, -0.01, True), ("e", 0.9, 0.1, 0.01, False)], "id string, c double, r double, l double, n boolean")
+    """The gate of each brand: mean sizes of even parts against odd ones."""
+    even = F.col("p_partkey") % 2 == 0
+    sizes = table(spark, root, "part").groupBy(F.col("p_brand").alias("id")).agg(F.round(F.avg(F.when(even, F.col("p_size"))) / 50, 3).alias("c"), F.round(F.avg(F.when(~even, F.col("p_size"))) / 50, 3).alias("r"), (F.min("p_size") / 50.0 - 0.02).alias("l"), F.count(F.lit(1)).alias("k"))
+    rows = sizes.withColumn("r", F.when(F.col("k") % 7 > 0, F.col("r"))).withColumn("n", F.col("k") % 5 > 0)
     return infer.improvement_gate(rows, "c", "r", "l", "n").select("id", "gate")
 
 

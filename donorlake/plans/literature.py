@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalar import r6
-from ..operators import fulltext, literature
+from ..operators import fulltext, literature, report
 from ..operators.retrieve import ARMS
 from ..sources import cohort
 from .registry import query
@@ -125,3 +125,50 @@ def retrieval_arm_figures(spark, root):
 def _runs(spark, root):
     articles = cohort.articles(spark, root)
     return literature.runs(fulltext.stored(articles), articles, TYPES, per_query=20, pool=10, most_chars=400, context=CONTEXT, hints=HINTS, near="er")
+
+
+_CORE = {"one": ("ation", "of the", "thth"), "two": ("hend", "la")}
+_TIERS = (("er", "to the"), ("ou",), ("thing", "in the"), ("erer", "and the", "er"))
+_OTHER = ("the",)
+_TERMS = {t: literature.quoted(t) for t in dict.fromkeys(t for g in (*_CORE.values(), _OTHER, *_TIERS) for t in g)}
+
+
+def _severity_sql() -> str:
+    core = ", ".join(f"({_text(k)}, [{', '.join(map(_text, v))}])" for k, v in _CORE.items())
+    tiers = ", ".join(f"({k}, [{', '.join(map(_text, t))}])" for k, t in enumerate(_TIERS))
+    context = " + ".join(f"contains(b, {_text(' ' + c + ' ')})::INT" for c in CONTEXT)
+    return f"""{cohort.sql('articles')}, {_searched(_TERMS)},
+lab AS (SELECT * FROM (SELECT 'one' AS scale, mesh AS level FROM articles UNION SELECT 'two', lang FROM articles UNION SELECT 'else', 'only' FROM articles) WHERE level IS NOT NULL),
+lv AS (SELECT *, row_number() OVER (PARTITION BY scale ORDER BY coalesce(TRY_CAST(regexp_extract(level, '[0-9]+$') AS BIGINT), 1000000), level) - 1 AS place, count(*) OVER (PARTITION BY scale) AS n FROM lab),
+tr AS (SELECT scale, level, CAST(round_even(place / greatest(n - 1, 1) * 3, 0) AS INTEGER) AS tier FROM lv),
+asked AS (SELECT tr.*, list_distinct(coalesce(c.c, [{', '.join(map(_text, _OTHER))}]) || t.t) AS asked FROM tr LEFT JOIN (VALUES {core}) c(scale, c) USING (scale) JOIN (VALUES {tiers}) t(tier, t) USING (tier)),
+each_ AS (SELECT scale, level, unnest(asked) AS q FROM asked),
+pool AS (SELECT scale, level, doc_id, count(*) AS hits, max(score) AS best, sum(1.0 / rank) AS agg FROM each_ JOIN ranked USING (q) WHERE rank <= 25 GROUP BY ALL),
+body AS (SELECT *, ' ' || array_to_string(regexp_extract_all(lower(concat_ws(' ', title, abstract, mesh)), '[a-z0-9]+'), ' ') || ' ' AS b FROM articles),
+told AS (SELECT pool.*, tier, len(list_filter(asked, lambda x: contains(b, ' ' || x || ' '))) / len(asked) AS coverage, ({context}) / {len(CONTEXT)} AS context, title, abstract FROM pool JOIN asked USING (scale, level) JOIN body USING (doc_id)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY scale, level ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY scale, level) AS n_pooled FROM (SELECT *, round(10 * coverage + 2 * context + agg + 0.01 * best, 6) AS score FROM told)),
+docs AS (SELECT *, trim(title || '. ' || abstract) AS f FROM placed WHERE place <= 10),
+used AS (SELECT *, coalesce(sum(length(f)) OVER (PARTITION BY scale, level ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS u FROM docs WHERE length(f) > 0),
+cap AS (SELECT scale, level, string_agg(substr(f, 1, CAST(600 - u AS BIGINT)), ' ' ORDER BY place) AS caption FROM used WHERE u < 600 GROUP BY ALL)"""
+
+
+def _severity(spark, root):
+    articles = cohort.articles(spark, root)
+    scales = {"one": F.col("mesh"), "two": F.col("lang"), "else": F.lit("only")}
+    ordered = [report.level_order(articles.select(label.alias("level")), "level", []).select(F.lit(scale).alias("scale"), "level", "place") for scale, label in scales.items()]
+    levels = ordered[0].unionByName(ordered[1]).unionByName(ordered[2])
+    return literature.severity_runs(fulltext.stored(articles), articles, levels, _CORE, _TIERS, _OTHER, pool=10, most_chars=600, context=CONTEXT)
+
+
+@query(_severity_sql() + " SELECT scale, level, tier, CAST(place AS INTEGER) AS place, doc_id, hits, round(coverage, 6) AS coverage, round(context, 6) AS context, round(score, 4) AS score FROM docs")
+def severity_tiers(spark, root):
+    """The documents that each level of three scales retrieves by the terms of its scale and of its tier."""
+    docs, _ = _severity(spark, root)
+    return docs.select("scale", "level", "tier", "place", "doc_id", "hits", r6("coverage").alias("coverage"), r6("context").alias("context"), (F.round("score", 4) + 0.0).alias("score"))
+
+
+@query(_severity_sql() + """ SELECT asked.scale, asked.level, asked.tier, len(asked) AS n_queries, 0::BIGINT AS n_timeouts, coalesce(max(n_pooled), 0) AS n_pooled, count(docs.doc_id) AS n_returned, round(coalesce(avg(coverage), 0), 6) AS mean_coverage, coalesce(max(caption), '') AS caption
+FROM asked LEFT JOIN docs USING (scale, level) LEFT JOIN cap USING (scale, level) GROUP BY asked.scale, asked.level, asked.tier, len(asked)""")
+def severity_captions(spark, root):
+    """Figures and caption of each level."""
+    return _severity(spark, root)[1].withColumn("mean_coverage", r6("mean_coverage"))

@@ -125,13 +125,20 @@ def mixed_aggregates(spark, root):
 
 
 @query(f"""{cohort.sql('obs', 'expr')}, {_SPLIT}, q AS (SELECT *, count(*) OVER (PARTITION BY cell_id) AS ng FROM expr), k AS (SELECT cell_id, gene, value FROM q WHERE ng >= 2),
-g AS (SELECT gene FROM k JOIN obs USING (cell_id) JOIN split USING (donor_id) WHERE NOT is_test GROUP BY gene HAVING count(*) >= 3),
-l AS (SELECT cell_id, gene, ln(1 + value * 10000 / sum(value) OVER (PARTITION BY cell_id)) AS v FROM k)
-SELECT donor_id, is_test, count(*) AS n_values, round(sum(v), 4) AS total FROM l SEMI JOIN g USING (gene) JOIN obs USING (cell_id) JOIN split USING (donor_id) GROUP BY ALL""")
+train AS (SELECT DISTINCT cell_id FROM k JOIN obs USING (cell_id) JOIN split USING (donor_id) WHERE NOT is_test), nt AS (SELECT count(*) AS nt FROM train),
+g AS (SELECT gene FROM k SEMI JOIN train USING (cell_id) GROUP BY gene HAVING count(*) >= 3),
+l AS (SELECT cell_id, gene, value * 10000 / sum(value) OVER (PARTITION BY cell_id) AS x FROM k),
+s AS (SELECT gene, sum(x) / max(nt) AS mu, sum(x * x) AS ss, max(nt) AS nt FROM l SEMI JOIN g USING (gene) SEMI JOIN train USING (cell_id), nt GROUP BY gene),
+d AS (SELECT gene, ln(1 + mu) AS m, ln(((ss - nt * mu * mu) / (nt - 1)) / mu) AS d FROM s),
+b AS (SELECT *, least(19, coalesce(CAST(floor((m - min(m) OVER ()) / nullif((max(m) OVER () - min(m) OVER ()) / 20, 0)) AS INTEGER), 0)) AS bin FROM d),
+z AS (SELECT gene, CASE WHEN count(d) OVER (PARTITION BY bin) = 1 THEN 1.0 ELSE coalesce((d - avg(d) OVER (PARTITION BY bin)) / nullif(stddev_samp(d) OVER (PARTITION BY bin), 0), 0) END AS z FROM b),
+v AS (SELECT gene FROM z ORDER BY round(z, 9) DESC, gene LIMIT 15)
+SELECT donor_id, is_test, count(*) AS n_values, count(DISTINCT gene) AS n_genes, round(sum(ln(1 + x)), 4) AS total FROM l SEMI JOIN v USING (gene) JOIN obs USING (cell_id) JOIN split USING (donor_id) GROUP BY ALL""".replace("FROM l SEMI JOIN g USING (gene) SEMI JOIN train USING (cell_id), nt GROUP BY", "FROM l SEMI JOIN g USING (gene) SEMI JOIN train USING (cell_id) CROSS JOIN nt GROUP BY"))
 def donor_fold(spark, root):
-    fold = prep.build_fold(cohort.expr(spark, root), cohort.obs(spark, root), 7, min_genes=2, min_cells=3, n_hvg=2000)
+    """Values of the fifteen most variable genes of a fold, by donor."""
+    fold = prep.build_fold(cohort.expr(spark, root), cohort.obs(spark, root), 7, min_genes=2, min_cells=3, n_hvg=15)
     rows = fold["expr"].join(fold["obs"], "cell_id")
-    return rows.groupBy("donor_id", "is_test").agg(F.count(F.lit(1)).alias("n_values"), F.round(F.sum("value"), 4).alias("total"))
+    return rows.groupBy("donor_id", "is_test").agg(F.count(F.lit(1)).alias("n_values"), F.count_distinct("gene").alias("n_genes"), F.round(F.sum("value"), 4).alias("total"))
 
 
 @query(f"{cohort.sql('obs', 'donors')} SELECT cell_id, donor_id, round(target, 6) AS target FROM obs LEFT JOIN (SELECT * FROM donors WHERE target > 4000) USING (donor_id)")

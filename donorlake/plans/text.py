@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import phrase, r6, safe_key
@@ -91,11 +92,6 @@ def marker_coverage(spark, root):
     return cohort.articles(spark, root).select("doc_id", r6(retrieve.coverage(F.col("abstract"), terms)).alias("cover"))
 
 
-@query("SELECT n_nationkey, CAST(round_even(n_nationkey / 24.0 * 3, 0) AS INTEGER) AS tier FROM nation")
-def severity_tiers(spark, root):
-    return table(spark, root, "nation").select("n_nationkey", retrieve.severity_tier(F.col("n_nationkey"), F.lit(25)).alias("tier"))
-
-
 @query(f"""{_ART}, o AS (SELECT mesh, doc_id, title, coalesce(sum(length(title)) OVER (PARTITION BY mesh ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM articles WHERE length(title) > 0)
 SELECT mesh, string_agg(substr(title, 1, CAST(1200 - b AS BIGINT)), ' ' ORDER BY doc_id) AS caption FROM o WHERE b < 1200 GROUP BY mesh""")
 def caption_budget(spark, root):
@@ -122,9 +118,9 @@ _OWN = f"""{cohort.sql('obs', 'expr')}, g AS (SELECT cell_id, gene, row_number()
 
 
 @query(f"""{_OWN}, l AS (SELECT cell_id, string_agg(gene, ', ' ORDER BY k) AS genes FROM g WHERE k <= 3 GROUP BY cell_id)
-SELECT cell_id, 'Cell type: ' || cell_type || '. Highly expressed genes: ' || coalesce(genes, 'none detected') || '.' AS caption FROM obs LEFT JOIN l USING (cell_id)""")
+SELECT cell_id, 'A ' || cell_type || ' cell from human cortex. Highly expressed genes: ' || coalesce(genes, 'none detected') || '.' AS caption FROM obs LEFT JOIN l USING (cell_id)""")
 def own_gene_caption(spark, root):
-    return captions.build_captions("own_genes", cohort.obs(spark, root), expr=cohort.expr(spark, root), n=3)
+    return captions.build_captions("own_genes", cohort.obs(spark, root), expr=cohort.expr(spark, root), n=3, tissue="cortex")
 
 
 def _class_captions(spark, root):
@@ -137,6 +133,23 @@ def class_captions(spark, root):
     return _class_captions(spark, root)
 
 
+_ROW_SHA = """sha256(string_agg(sha256('{"class":"' || class || '","caption":' || coalesce('"' || caption || '"', 'null') || '}'), '' ORDER BY sha256('{"class":"' || class || '","caption":' || coalesce('"' || caption || '"', 'null') || '}')))"""
+
+
+@query(f"""WITH src AS (SELECT p_brand AS class, min(p_name) AS caption FROM part WHERE p_size > 25 GROUP BY ALL HAVING count(*) % 3 > 0), known AS (SELECT DISTINCT p_brand AS class FROM part),
+got AS (SELECT class, coalesce(caption, class) AS caption FROM known LEFT JOIN src USING (class)), lack AS (SELECT class FROM known ANTI JOIN src USING (class)),
+c AS (SELECT count(*) AS n_classes, {_ROW_SHA} AS captions_sha256 FROM got), s AS (SELECT {_ROW_SHA} AS source_sha256 FROM src), l AS (SELECT count(*) AS n_missing, coalesce(string_agg(class, ',' ORDER BY class), '') AS missing FROM lack)
+SELECT 'copy' AS mode, 'source' AS fit_scope, * FROM c, s, l UNION ALL
+SELECT 'name', 'none', (SELECT count(*) FROM known), (SELECT {_ROW_SHA} FROM (SELECT class, class AS caption FROM known)), NULL, 0, ''""")
+def caption_provenance(spark, root):
+    """Where captions of the brands come from, copied from a source that lacks some, and from their names."""
+    part = table(spark, root, "part")
+    classes = part.select(F.col("p_brand").alias("class"))
+    source = part.where("p_size > 25").groupBy(F.col("p_brand").alias("class")).agg(F.min("p_name").alias("caption"), F.count(F.lit(1)).alias("n")).where("n % 3 > 0").drop("n")
+    told = captions.caption_set("copy", classes, source=source, missing="name")[1].unionByName(captions.caption_set("name", classes)[1])
+    return told.withColumn("missing", F.array_join("missing", ","))
+
+
 @query("""SELECT p_partkey, list_filter(list_transform(string_split(regexp_extract(t, 'expression of\\s*([^.\\n]*)', 1), ','), lambda x: trim(x)), lambda x: length(x) > 0) ::VARCHAR AS genes
 FROM (SELECT p_partkey, p_brand || ' cells are marked by the expression of ' || p_brand || ',  ' || p_name || ', . end' AS t FROM part)""")
 def parse_caption(spark, root):
@@ -151,8 +164,12 @@ def strip_label(spark, root):
     return table(spark, root, "part").select("p_partkey", text.alias("text"), leaked.alias("leaked"))
 
 
+_SAFE_HEX = captions.SAFE_FIELD + "|" + "|".join(p.replace(".", "[.]") for p in captions.SAFE_PATHS)
+
+
 @query("SELECT doc_id, kind FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind FROM documents WHERE regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}')" for k, p in captions.SECRETS.items()) + f""" UNION ALL
-SELECT doc_id, 'bare_hex' FROM documents WHERE len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '{captions.BARE_HEX}') AND NOT regexp_matches(l, '{captions.SAFE_HEX}'))) > 0)""")
+SELECT doc_id, 'bare_hex' FROM (SELECT doc_id, regexp_split_to_array(text, '{captions.BARE_HEX}') AS b, regexp_extract_all(text, '{captions.BARE_HEX}') AS f FROM documents WHERE regexp_matches(text, '{captions.BARE_HEX}'))
+WHERE len(list_filter(range(1, len(f) + 1), lambda i: NOT regexp_matches(right(CASE WHEN i > 2 THEN b[i - 2] || f[i - 2] ELSE '' END || CASE WHEN i > 1 THEN b[i - 1] || f[i - 1] ELSE '' END || b[i], 80), '{_SAFE_HEX}'))) > 0)""")
 def secret_scan(spark, root):
     return captions.secret_scan(table(spark, root, "documents"), "doc_id", "text")
 
@@ -188,14 +205,15 @@ def cell_sets(spark, root):
     return got.select("cell_id", F.array_join(F.col("genes").cast("array<string>"), ",").alias("genes"), F.aggregate("values", F.lit(0.0), lambda s, x: s + x).alias("total"))
 
 
-_PLAN = (("A", "completed", [], ["a.txt"]), ("B", "pending", ["A"], []), ("C", "pending", ["B"], []), ("D", "failed", ["A"], []), ("E", "pending", ["A", "D"], []))
+_TASKS = """t AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'failed' ELSE 'pending' END AS status, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS dep FROM orders)"""
 
 
-@query("SELECT * FROM (VALUES ('A', 'completed'), ('B', 'ready'), ('C', 'blocked'), ('D', 'failed'), ('E', 'blocked')) t(id, status)")
+@query(f"""WITH {_TASKS} SELECT t.id, CASE WHEN t.status <> 'pending' THEN t.status WHEN t.dep IS NULL OR d.status = 'completed' THEN 'ready' ELSE 'blocked' END AS status FROM t LEFT JOIN t d ON t.dep = d.id""")
 def task_status(spark, root):
-    plan = spark.createDataFrame(_PLAN, "id string, status string, depends_on array<string>, evidence array<string>")
-    tasks.validate_plan(plan)
-    return tasks.plan_status(plan)
+    """Orders as tasks, each after its customer's order before it."""
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "P", "failed").otherwise("pending")
+    return tasks.plan_status(table(spark, root, "orders").select(F.col("o_orderkey").alias("id"), status.alias("status"), F.array_compact(F.array(before)).alias("depends_on")))
 
 
 @query("WITH e AS (SELECT o_orderkey AS k, o_orderpriority AS job FROM orders), h AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_quantity > 40) SELECT job, count(*) AS n_expected, count(*) FILTER (h.k IS NULL) AS n_missing FROM e LEFT JOIN h USING (k) GROUP BY job")

@@ -159,3 +159,26 @@ def test_runs(spark, index):
     assert best["rag_markers", 1].doc_id in (1, 4, 5) and best["rag_markers", 1].coverage == 1.0
     _, slow = literature.runs(index, docs, types[:1], arms=["rag_curated"], seconds=60.0)
     assert [(r.n_timeouts, r.n_pooled) for r in slow.collect()] == [(0, f["rag_curated", "beta cell"].n_pooled)]
+
+
+def test_severity_runs(spark, index):
+    articles = spark.createDataFrame(DOCS, SCHEMA)
+    levels = spark.createDataFrame([("s", f"l{k}", k) for k in range(4)] + [("alone", "x", 0)], "scale string, level string, place int")
+    core, tiers = {"s": ("insulin", "pancreas")}, (("immune system",), ("no such phrase",), ("beta",), ("insulin insulin",))
+    docs, figures = literature.severity_runs(index, articles, levels, core, tiers, ("islets",), context=("cells",), most_chars=40)
+    rows = docs.collect()
+    hits = {"insulin": {1, 4, 5}, "pancreas": {1, 4, 5}, "immune system": {2}, "no such phrase": set(), "beta": {1, 2, 4}, "insulin insulin": {5}, "islets": {1, 4}}
+    asked = {("s", f"l{k}"): [*core["s"], *tiers[k]] for k in range(4)} | {("alone", "x"): ["islets", "immune system"]}
+    for key, terms in asked.items():
+        mine = [r for r in rows if (r.scale, r.level) == key]
+        want = {d: sum(d in hits[t] for t in terms) for t in terms for d in hits[t]}
+        assert {r.doc_id: r.hits for r in mine} == want and all(r.coverage == pytest.approx(want[r.doc_id] / len(terms)) for r in mine)
+        assert sorted(r.place for r in mine) == list(range(1, len(mine) + 1)) and [r.score for r in sorted(mine, key=lambda r: r.place)] == sorted((r.score for r in mine), reverse=True)
+    told = {(r.scale, r.level): r for r in figures.collect()}
+    assert set(told) == set(asked) and told["s", "l3"].tier == 3 and told["alone", "x"].tier == 0 and all(len(r.caption) <= 41 and r.n_timeouts == 0 for r in told.values())
+    nothing = literature.severity_runs(index, articles, levels, {"s": ("zzz",)}, (("zzy",),), ("zzx",))[1].collect()
+    assert len(nothing) == 5 and all(r.n_pooled == 0 and r.caption == "" for r in nothing)
+    slow = literature.severity_runs(index, articles, levels, core, tiers, ("islets",), context=("cells",), most_chars=40, seconds=120.0)[0].collect()
+    assert sorted(map(tuple, slow)) == sorted(map(tuple, rows))
+    with pytest.raises(ValueError):
+        literature.severity_runs(index, articles, levels.union(levels.limit(1)), core, tiers)

@@ -230,13 +230,13 @@ def test_captions(spark):
         captions.copied_captions(spark.createDataFrame([("Z",)], "class string"), text)
     assert captions.copied_captions(spark.createDataFrame([("Z",)], "class string"), text, "name").first().caption == "Z"
     no = captions.own_gene_captions(expr.limit(0), obs, 3, False).first().caption
-    assert no == "Highly expressed genes: none detected."
+    assert no == "A cell from human blood. Highly expressed genes: none detected."
 
 
 def test_secret_scan(spark):
-    rows = [(1, "token = abcdefghijklmnop1234"), (2, "sha256 " + "a" * 40), (3, "x " + "0" * 40), (4, "hf_" + "A1" * 12), (5, "plain"), (6, None), (7, "api_key: '0123456789ab'"), (8, "mytoken = abcdefghijklmnop1234"), (9, "password: short"), (10, "github_pat_" + "b2" * 15), (11, "Client-Secret => " + "z9" * 8)]
+    rows = [(1, "token = abcdefghijklmnop1234"), (2, "sha256: " + "a" * 40), (12, "sha256 " + "a" * 40), (3, "x " + "0" * 40), (4, "hf_" + "A1" * 12), (5, "plain"), (6, None), (7, "api_key: '0123456789ab'"), (8, "mytoken = abcdefghijklmnop1234"), (9, "password: short"), (10, "github_pat_" + "b2" * 15), (11, "Client-Secret => " + "z9" * 8)]
     got = {(r.i, r.kind) for r in captions.secret_scan(spark.createDataFrame(rows, "i int, t string"), "i", "t").collect()}
-    assert got == {(1, "assignment"), (3, "bare_hex"), (4, "hub_token"), (7, "assignment"), (10, "git_token"), (11, "assignment")}
+    assert got == {(1, "assignment"), (3, "bare_hex"), (12, "bare_hex"), (4, "hub_token"), (7, "assignment"), (10, "git_token"), (11, "assignment")}
 
 
 def test_rank_tokens(spark):
@@ -273,3 +273,85 @@ def test_blocks_and_states(spark):
     assert {r.seed: r.ok for r in infer.run_integrity(runs, runs.where("seed = 0").union(spark.createDataFrame([(2, "z")], runs.schema)), "seed").collect()} == {0: True, 1: False, 2: False}
     made = report.typed_config(spark.createDataFrame([('{"lr": 0.1, "epochs": 3}',)], "c string"), "c", "lr double, epochs int").first().c
     assert (made.lr, made.epochs) == (0.1, 3) and report.environment(spark).first().spark == spark.version
+
+
+def test_fold_reads_its_tables_once(spark):
+    expr, obs, *_ = cells(spark)
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    n = expr.count()
+    fold = prep.build_fold(expr.mapInArrow(counted, expr.schema), obs, 1, min_genes=2, min_cells=3, n_hvg=8)
+    assert fold["expr"].count() and reads.value == n
+    for bad in (-1.0, 0.5, float("nan"), None):
+        first = expr.where("cell_id = 7").agg(F.min("gene")).first()[0]
+        odd = expr.withColumn("value", F.when((F.col("cell_id") == 7) & (F.col("gene") == first), F.lit(bad).cast("double")).otherwise(F.col("value")))
+        with pytest.raises(ValueError, match="finite"):
+            prep.build_fold(odd, obs, 1, min_genes=2)
+
+
+def test_hex_context(spark):
+    h, g = "0123456789" * 4, "abcdef0123" * 4
+    rows = {
+        1: f"see {h}", 2: f"commit: {h}", 3: f"git_sha = '{h}' and then {g}", 4: f"commit: {'x' * 80} {h}", 5: f"models--a/{h}",
+        6: f"revision={'y' * 60} {h}", 7: f"{h} sha: 1", 8: f"hash: {h} {g} {h}", 9: h + "0", 10: f"the commit {h}", 11: "", 12: None, 13: f"sha:{h}\n{g}\n{h}\n{g}",
+    }
+    got = {r.i for r in captions.secret_scan(spark.createDataFrame(list(rows.items()), "i int, t string"), "i", "t").where("kind = 'bare_hex'").collect()}
+
+    def brute(t):
+        import re
+
+        for m in re.finditer(r"\b[a-f0-9]{40}\b", t or ""):
+            before = t[max(0, m.start() - 80) : m.start()]
+            if not any(p in before for p in captions.SAFE_PATHS) and not re.search(captions.SAFE_FIELD, before):
+                return True
+        return False
+
+    assert got == {i for i, t in rows.items() if brute(t)} and {1, 4, 7, 10} <= got and not {2, 5, 6, 9} & got
+
+
+def test_caption_set(spark):
+    classes = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "class string")
+    source = spark.createDataFrame([("a", "first"), ("c", "other"), ("b", None)], "class string, caption string")
+    with pytest.raises(ValueError):
+        captions.caption_set("copy", classes, source=source)
+    with pytest.raises(ValueError):
+        captions.caption_set("copy", classes)
+    got, told = captions.caption_set("copy", classes, source=source, missing="name")
+    row = told.first()
+    assert {tuple(r) for r in got.collect()} == {("a", "first"), ("b", "b")} and (row.n_classes, row.n_missing, row.missing, row.fit_scope) == (2, 1, ["b"], "source")
+    again = captions.caption_set("copy", classes.repartition(3), source=source.orderBy(F.desc("class")), missing="name")[1].first()
+    assert again == row and captions.caption_set("name", classes)[1].first().source_sha256 is None
+    assert captions.cell_caption(F.lit(None).cast("string"), F.lit("B"), "brain") is not None
+    one = spark.range(1).select(captions.cell_caption(F.lit(None).cast("string"), F.lit("B"), "brain").alias("a"), captions.cell_caption(F.lit("x, y"), None).alias("b")).first()
+    assert one.a == "A B cell from human brain. Highly expressed genes: none detected." and one.b == "A cell from human blood. Highly expressed genes: x, y."
+
+
+def test_grouped_ridge(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(k, f"d{i}", i % 4 == 0, float(rng.normal()), [float(v) for v in rng.normal(size=3)]) for k in ("a", "b") for i in range(20)]
+    rows += [("few", f"d{i}", i % 2 == 0, 1.0, [1.0, 2.0, 3.0]) for i in range(6)] + [("a", "gap", True, 1.0, [None, 1.0, 1.0]), ("a", "none", False, None, [1.0, 1.0, 1.0])]
+    frame = spark.createDataFrame(rows, "type string, donor_id string, is_test boolean, target double, x array<double>")
+    got = {(r.type, r.donor_id): r.predicted for r in readout.grouped_ridge(frame, "type").collect()}
+    assert {k for k, _ in got} == {"a", "b"} and len(got) == 10
+    for kind in ("a", "b"):
+        mine = [r for r in rows if r[0] == kind and r[1] not in ("gap", "none")]
+        flat = spark.createDataFrame([(r[1], r[2], r[3], *r[4]) for r in mine], "donor_id string, is_test boolean, y double, a double, b double, c double")
+        for r in readout.ridge_predictions(flat, ["a", "b", "c"], "y").collect():
+            assert got[kind, r.donor_id] == pytest.approx(r.predicted)
+    monkeypatch.setattr(readout, "MOST_DONORS", 19)
+    with pytest.raises(Exception, match="more than 19 donors"):
+        readout.grouped_ridge(frame, "type").collect()
+
+
+def test_moments_of_many_columns(spark):
+    x = np.random.default_rng(1).normal(size=(30, 400))
+    frame = spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"c{i} double" for i in range(400)))
+    n, s, m = readout._moments(frame, frame.columns)
+    assert n == 30 and np.allclose(s, x.sum(axis=0)) and np.allclose(m, x.T @ x)
+    n, s, m = readout._moments(frame.limit(0), frame.columns)
+    assert n == 0 and not s.any() and not m.any()
