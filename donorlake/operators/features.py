@@ -25,6 +25,18 @@ def composition_wide(obs: DataFrame, types: list[str]) -> DataFrame:
     return obs.groupBy("donor_id").agg(*(F.avg(F.when(F.col("cell_type") == t, 1.0).otherwise(0.0)).alias(t) for t in types))
 
 
+#: Types that become columns at most; more are an error.
+MOST_TYPES = 2_000
+
+
+def train_types(obs: DataFrame, split: DataFrame, kind: str = "cell_type") -> list[str]:
+    """The known types of train donors' cells, in their order: the columns of ``composition_wide``, in which types that only test donors have don't count."""
+    rows = obs.join(split.where("not is_test").select("donor_id"), "donor_id", "left_semi").where(F.col(kind).isNotNull()).select(kind).distinct().limit(MOST_TYPES + 1).collect()
+    if len(rows) > MOST_TYPES:
+        raise ValueError(f"more than {MOST_TYPES} types")
+    return sorted(r[0] for r in rows)
+
+
 def composition_region(obs: DataFrame) -> DataFrame:
     """Fractions of type@region; no rows where there are fewer than two regions."""
     two = obs.agg(F.count_distinct("region").alias("n")).where("n >= 2")

@@ -87,6 +87,28 @@ def key_hit_rates(df: DataFrame, candidates: list[str], known: DataFrame, key: s
     return marked.groupBy("candidate").agg((F.count("hit") / F.count(F.lit(1))).alias("rate"))
 
 
+#: A key with a larger share of known values is taken without a look at those behind it (fixed value).
+GOOD_RATE = 0.8
+
+
+def pick_key(df: DataFrame, candidates: list[str], known: DataFrame, key: str, sample: int = 2000, order: str | None = None) -> tuple[DataFrame, str | None, float]:
+    """The rows with ``id``, the best key's values, that key's name and its rate.
+
+    The first candidate with a rate over ``GOOD_RATE``, else the one with the
+    largest, the earlier of equal ones; candidates that aren't columns are
+    passed over; without rows or columns there is no key and ids are null.
+    """
+    there = [c for c in candidates if c in df.columns]
+    rates = dict(key_hit_rates(df, there, known, key, sample, order).collect()) if there else {}  # a row for each candidate
+    best = None
+    for c in there if rates else []:
+        if best is None or rates[c] > rates[best]:
+            best = c
+        if rates[c] > GOOD_RATE:
+            break
+    return df.withColumn("id", F.col(best).cast("string") if best else F.lit(None).cast("string")), best, rates.get(best, 0.0)
+
+
 def run_manifest(runs: DataFrame, manifests: DataFrame, *keys: str) -> DataFrame:
     return runs.join(manifests, list(keys), "left")
 

@@ -217,6 +217,18 @@ def preprocess_all(expr: DataFrame, n_cells: int, min_genes: int, min_cells: int
     return logged.join(variable_genes(logged, n_cells, max(1, min(n_hvg, genes.count() - 1))).select("gene"), "gene", "left_semi")
 
 
+def pseudo_donors(obs: DataFrame, donors: list[str], seed: int) -> DataFrame:
+    """Cells of a data set without donors dealt to these by keyed hash: a rehearsal of held-out work, not an evaluation."""
+    at = keyed("cell_id", seed) % len(donors) + 1
+    return obs.withColumn("donor_id", F.element_at(F.array(*map(F.lit, donors)), at.cast("int")))
+
+
+def load_sample(obs: DataFrame, logged: DataFrame, n_genes: int, seed: int = 0, donors: tuple[str, ...] = ("d0", "d1", "d2")) -> tuple[DataFrame, DataFrame]:
+    """Cells with pseudo-donors, and normalised values of the genes that vary most over all cells of ``obs``."""
+    top = top_variance(logged, obs.count(), n_genes)
+    return pseudo_donors(obs, list(donors), seed), logged.join(top.select("gene"), "gene", "left_semi")
+
+
 def bags(cells: DataFrame, seed: int, most: int) -> DataFrame:
     """(donor_id, slot, cell_id): at most ``most`` cells of each donor by keyed hash, padded with null to ``most`` slots."""
     k = F.row_number().over(Window.partitionBy("donor_id").orderBy(keyed("cell_id", seed), "cell_id")) - 1

@@ -10,8 +10,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schema import require_unique
 from .gram import MOST_DONORS
-from .stats import spearman
+from .stats import regression, spearman
 
 LEAST_TRAIN, LEAST_TEST = 5, 3
 #: Tasks that add up products of a donor table; the driver gets a matrix of features x features from each, one at a time.
@@ -210,6 +211,36 @@ def grouped_ridge(rows: DataFrame, by: str, alpha: float = 1.0) -> DataFrame:
     return known.groupBy(by).applyInPandas(fit, f"`{by}` {kinds[by]}, donor_id {kinds['donor_id']}, observed double, predicted double")
 
 
+def evaluation_donors(features: DataFrame, targets: DataFrame, split: DataFrame, by: str) -> DataFrame:
+    """(by, donor_id, is_test, target, x): donors of ``split(donor_id, is_test)`` with features and a target.
+
+    ``features(by, donor_id, x)``, ``targets(donor_id, target)``.  A repeated
+    donor in a group's features, in the targets or on one side of the split is
+    an error, and so is one on both sides.  Donors of the split without
+    features or with a missing target are left out.
+    """
+    require_unique(features, by, "donor_id")
+    require_unique(targets, "donor_id")
+    sides = split.groupBy("donor_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("is_test").alias("k"))
+    wrong = sides.where("n > 1").orderBy(F.desc("k")).limit(1).collect()
+    if wrong:
+        raise ValueError("a donor is in train and test" if wrong[0].k > 1 else "a donor is in the split twice")
+    known = targets.where(F.col("target").isNotNull() & ~F.isnan("target")).select("donor_id", "target")
+    return features.select(by, "donor_id", "x").join(split.select("donor_id", "is_test"), "donor_id").join(known, "donor_id").select(by, "donor_id", "is_test", "target", "x")
+
+
+def regress_heldout(rows: DataFrame, by: str, alpha: float = 1.0) -> DataFrame:
+    """(by, rho, r2, mae, n_train, n_test) of a ridge in each group of ``rows(by, donor_id, is_test, target, x)``.
+
+    Figures are null below 5 train or 3 test donors; rho also where a side is
+    constant, r2 where the observed values are.
+    """
+    counts = rows.groupBy(by).agg(F.count(F.when(~F.col("is_test"), 1)).alias("n_train"), F.count(F.when(F.col("is_test"), 1)).alias("n_test"))
+    got = grouped_ridge(rows, by, alpha)
+    rho = spearman(got, "observed", "predicted", by).select(by, "rho")
+    return counts.join(rho, by, "left").join(regression(got, "observed", "predicted", by).select(by, "r2", "mae"), by, "left").select(by, "rho", "r2", "mae", "n_train", "n_test")
+
+
 def block_combinations(donors: DataFrame, blocks: dict[str, list[str]], combinations: list[tuple[str, ...]], target: str, alpha: float = 1.0) -> DataFrame:
     """(blocks, donor_id, observed, predicted) of a ridge on each combination of feature blocks, all in one job; nulls in features are 0."""
     filled = donors.na.fill(0.0, [c for cs in blocks.values() for c in cs])

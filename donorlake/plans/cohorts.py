@@ -288,6 +288,21 @@ def block_combinations(spark, root):
     return got.select("blocks", "donor_id", r6("observed").alias("observed"), r6("predicted").alias("predicted"))
 
 
+@query(_recursive(f"""WITH {_DF}, src AS (SELECT b AS g, donor_id, is_test, y, CASE b WHEN 'cov' THEN [l_discount, l_tax] ELSE [l_extendedprice, l_linenumber::DOUBLE] END AS xs FROM df, (VALUES ('cov'), ('state'), ('few')) t(b) WHERE (b <> 'few' OR is_test) AND y < 27.5), {_ridge('src', 'fit')},
+c AS (SELECT g, count(*) FILTER (NOT is_test) AS n_train, count(*) FILTER (is_test) AS n_test FROM src GROUP BY g), f AS (SELECT * FROM fit JOIN c USING (g) WHERE is_test AND n_train >= 5 AND n_test >= 3),
+k AS (SELECT g, rank() OVER (PARTITION BY g ORDER BY observed) + (count(*) OVER (PARTITION BY g, observed) - 1) / 2.0 AS o, rank() OVER (PARTITION BY g ORDER BY predicted) + (count(*) OVER (PARTITION BY g, predicted) - 1) / 2.0 AS p FROM f),
+r AS (SELECT g, {corr('o', 'p')} AS rho FROM k GROUP BY g), m AS (SELECT g, 1 - sum((observed - predicted) ** 2) / nullif(var_pop(observed) * count(*), 0) AS r2, avg(abs(observed - predicted)) AS mae FROM f GROUP BY g)
+SELECT g AS blocks, round(rho, 6) AS rho, round(r2, 6) AS r2, round(mae, 6) AS mae, n_train, n_test FROM c LEFT JOIN r USING (g) LEFT JOIN m USING (g)"""))
+def heldout_metrics(spark, root):
+    """Figures of held-out ridges on two blocks of features, and of one that has no train donors."""
+    four = _four(spark, root)
+    blocks = {"cov": _FOUR[:2], "state": _FOUR[2:], "few": _FOUR[2:]}
+    each = F.array(*(F.struct(F.lit(b).alias("blocks"), F.array(*(F.col(c).cast("double") for c in cs)).alias("x")) for b, cs in blocks.items()))
+    made = four.select("donor_id", "is_test", F.explode(each).alias("e")).where("e.blocks <> 'few' or is_test").select("donor_id", "e.*")
+    rows = readout.evaluation_donors(made, four.select("donor_id", F.when(F.col("y") < 27.5, F.col("y")).alias("target")), four.select("donor_id", "is_test"), "blocks")
+    return readout.regress_heldout(rows, "blocks").select("blocks", r6("rho").alias("rho"), r6("r2").alias("r2"), r6("mae").alias("mae"), "n_train", "n_test")
+
+
 _FOUR_SQL = "[l_discount, l_tax, l_extendedprice, l_linenumber::DOUBLE]"
 
 

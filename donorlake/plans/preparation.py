@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalar import r6
-from ..operators import joins, prep, report
+from ..operators import features, joins, prep, report
 from ..sources import cohort
 from ..sources.readers import table
 from .registry import query, u
@@ -221,6 +221,38 @@ def best_key_selection(spark, root):
     return joins.key_hit_rates(part, ["p_brand", "p_type", "p_name"], known, "id", order="p_partkey").withColumn("rate", r6("rate"))
 
 
+@query("""WITH s AS (SELECT * FROM part ORDER BY p_partkey LIMIT 2000), k AS (SELECT DISTINCT upper(p_brand) AS k FROM part WHERE p_size < 30 UNION SELECT DISTINCT upper(p_type) FROM part WHERE p_size < 3),
+l AS (SELECT 2 AS i, 'p_type' AS c, upper(p_type) AS v FROM s UNION ALL SELECT 1, 'p_name', upper(p_name) FROM s UNION ALL SELECT 3, 'p_brand', upper(p_brand) FROM s),
+r AS (SELECT i, c, avg(CASE WHEN v IN (SELECT k FROM k) THEN 1.0 ELSE 0.0 END) AS rate FROM l GROUP BY ALL),
+b AS (SELECT c, rate FROM r ORDER BY rate > 0.8 DESC, CASE WHEN rate > 0.8 THEN i ELSE -rate END, i LIMIT 1)
+SELECT p_partkey, CASE c WHEN 'p_type' THEN p_type WHEN 'p_brand' THEN p_brand ELSE p_name END AS id, c AS picked, round(rate, 6) AS rate FROM part, b""")
+def picked_key(spark, root):
+    """All rows with the values of the best of three key columns."""
+    part = table(spark, root, "part")
+    known = part.where("p_size < 30").select(F.col("p_brand").alias("id")).union(part.where("p_size < 3").select("p_type"))
+    rows, name, rate = joins.pick_key(part, ["absent", "p_name", "p_type", "p_brand"], known, "id", order="p_partkey")
+    return rows.select("p_partkey", "id", F.lit(name).alias("picked"), F.round(F.lit(rate), 6).alias("rate"))
+
+
+@query(f"""{cohort.sql('obs')}, {_SPLIT} SELECT donor_id, {', '.join(f"round(avg((cell_type = '{t}')::INT), 6) AS \"{t}\"" for t in ('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED'))} FROM obs WHERE cell_type <> '5-LOW' OR donor_id IN (SELECT donor_id FROM split WHERE is_test) GROUP BY donor_id""")
+def onehot_train_vocabulary(spark, root):
+    """A column for each type that train donors have; a type that only test donors have counts in their totals alone."""
+    obs = cohort.obs(spark, root)
+    split = prep.donor_split(obs, 7)
+    cells = obs.join(split, "donor_id").where("cell_type <> '5-LOW' or is_test")
+    types = features.train_types(cells, split)
+    return features.composition_wide(cells, types).select("donor_id", *(F.round(F.col(f"`{t}`"), 6).alias(t) for t in types))
+
+
+@query(f"""{cohort.sql('obs', 'expr')}, l AS (SELECT cell_id, gene, ln(1 + value * 10000 / sum(value) OVER (PARTITION BY cell_id)) AS v FROM expr), n AS (SELECT count(*) AS n FROM obs),
+t AS (SELECT gene FROM l CROSS JOIN n GROUP BY gene ORDER BY round(sum(v * v) / max(n) - (sum(v) / max(n)) ** 2, 9) DESC, gene LIMIT 6)
+SELECT 'd' || CAST({u('CAST(cell_id AS VARCHAR)', "'5'")} % 3 AS VARCHAR) AS donor_id, gene, count(*) AS n, round(sum(v), 4) AS total FROM l SEMI JOIN t USING (gene) JOIN obs USING (cell_id) GROUP BY ALL""")
+def sample_dataset(spark, root):
+    """A data set's most variable genes over pseudo-donors."""
+    obs, values = prep.load_sample(cohort.obs(spark, root), prep.normalize_log1p(cohort.expr(spark, root)), 6, seed=5)
+    return values.join(obs, "cell_id").groupBy("donor_id", "gene").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
 @query("SELECT 'donor' AS kind, donor_id AS name, count(*) AS n FROM obs GROUP BY donor_id UNION ALL SELECT 'type', cell_type, count(*) FROM obs GROUP BY cell_type UNION ALL SELECT 'all', 'all', count(*) FROM obs".replace("SELECT 'donor'", f"{cohort.sql('obs')} SELECT 'donor'", 1))
 def dataset_manifest(spark, root):
     return report.dataset_manifest(cohort.obs(spark, root))

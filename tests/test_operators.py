@@ -355,3 +355,45 @@ def test_moments_of_many_columns(spark):
     assert n == 30 and np.allclose(s, x.sum(axis=0)) and np.allclose(m, x.T @ x)
     n, s, m = readout._moments(frame.limit(0), frame.columns)
     assert n == 0 and not s.any() and not m.any()
+
+
+def test_heldout_figures_and_donor_checks(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(24, 2))
+    names = [f"d{i:02d}" for i in range(24)]
+    made = spark.createDataFrame([("g", n, [float(a), float(b)]) for n, (a, b) in zip(names, x)] + [("flat", n, [1.0, 1.0]) for n in names] + [("few", n, [1.0, 2.0]) for n in names[:4]], "kind string, donor_id string, x array<double>")
+    targets = spark.createDataFrame([(n, None if i == 3 else float("nan") if i == 5 else float(x[i, 0])) for i, n in enumerate(names)], "donor_id string, target double")
+    split = spark.createDataFrame([(n, i % 3 == 0) for i, n in enumerate(names)] + [("absent", True)], "donor_id string, is_test boolean")
+    rows = readout.evaluation_donors(made, targets, split, "kind")
+    got = {r.kind: r for r in readout.regress_heldout(rows, "kind").collect()}
+    assert (got["g"].n_train, got["g"].n_test) == (15, 7) and got["g"].rho == pytest.approx(1) and got["g"].r2 > 0.9
+    assert got["flat"].rho is None and got["flat"].mae > 0 and got["few"].rho is None and got["few"].mae is None and got["few"].n_test == 1
+    one = split.limit(1)
+    for f, t, s, message in (
+        (made.union(made.limit(1)), targets, split, "unique"),
+        (made, targets.union(targets.limit(1)), split, "unique"),
+        (made, targets, split.union(one), "twice"),
+        (made, targets, split.union(one.selectExpr("donor_id", "not is_test")), "train and test"),
+    ):
+        with pytest.raises(ValueError, match=message):
+            readout.evaluation_donors(f, t, s, "kind")
+
+
+def test_pick_key(spark):
+    rows = spark.createDataFrame([("A", "x1", "g1"), ("b", "x2", "g2"), ("C", "x3", "zz")], "a string, b string, c string")
+    known = spark.createDataFrame([("a",), ("B",), ("c",), ("G1",), ("G2",), ("ZZ",)], "id string")
+    assert joins.pick_key(rows, ["none", "b", "c", "a"], known, "id")[1:] == ("c", 1.0)  # over the limit: "a" isn't looked at
+    assert joins.pick_key(rows, ["b"], known, "id")[1:] == ("b", 0.0)
+    got, name, rate = joins.pick_key(rows, ["none"], known, "id")
+    assert name is None and rate == 0.0 and {r.id for r in got.collect()} == {None}
+    assert joins.pick_key(rows.limit(0), ["a"], known, "id")[1] is None
+
+
+def test_train_vocabulary_and_pseudo_donors(spark):
+    _, obs, *_ = cells(spark)
+    split = spark.createDataFrame([(f"d{i}", i > 2) for i in range(6)], "donor_id string, is_test boolean")
+    odd = obs.withColumn("cell_type", F.when(F.col("cell_id") == 5, "NEW").when(F.col("cell_id") == 0, None).otherwise(F.col("cell_type")))
+    types = features.train_types(odd, split)
+    assert "NEW" not in types and set(types) <= set("TBM") and features.train_types(obs.limit(0), split) == []
+    dealt = prep.pseudo_donors(obs, ["p", "q"], 1)
+    assert {r.donor_id for r in dealt.collect()} == {"p", "q"} and sorted(map(tuple, dealt.collect())) == sorted(map(tuple, prep.pseudo_donors(obs.orderBy(F.desc("cell_id")), ["p", "q"], 1).collect()))
