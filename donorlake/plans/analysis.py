@@ -154,15 +154,30 @@ def top_genes_per_cell(spark, root):
     return markers.top_expressed(cohort.expr(spark, root), 3)
 
 
-@query(f"""{_DIFF}, ref AS (SELECT class, gene FROM top WHERE rank <= 6 AND substr(gene, 7, 1)::INT % 2 = 1), ex AS (SELECT class, gene FROM top WHERE rank = 1),
-l AS (SELECT class, gene, row_number() OVER (PARTITION BY class ORDER BY diff DESC, gene) AS r, gene IN (SELECT gene FROM ref WHERE ref.class = top.class) AS hit FROM top WHERE rank > 1)
-SELECT class, round(count(*) FILTER (hit AND r <= 10) / 10, 6) AS precision, round(least(10, count(*) FILTER (hit)) / 10, 6) AS ceiling, count(*) FILTER (hit) > 0 AS evaluable FROM l GROUP BY class""")
-def precision_at_k(spark, root):
+_PRECISION = f"""{_DIFF}, ref AS (SELECT class, gene FROM top WHERE rank <= 6 AND substr(gene, 7, 1)::INT % 2 = 1), ex AS (SELECT class, gene FROM top WHERE rank = 1),
+l AS (SELECT class, gene, row_number() OVER (PARTITION BY class ORDER BY diff DESC, gene) AS r, gene IN (SELECT gene FROM ref WHERE ref.class = top.class) AS hit FROM top WHERE rank > 1)"""
+
+
+def _precision(spark, root):
     diff = markers.mean_difference(cohort.expr(spark, root), cohort.obs(spark, root))
     top = markers.top_n(diff, "diff", 10**6, "class").withColumnRenamed("diff", "score")
     ref = top.where((F.col("rank") <= 6) & (F.substring("gene", 7, 1).cast("int") % 2 == 1))
-    got = markers.precision_at_k(top.select("class", "gene", "score"), ref, 10, top.where("rank = 1").select("class", "gene"))
-    return got.select("class", r6("precision").alias("precision"), r6("ceiling").alias("ceiling"), "evaluable")
+    return markers.precision_at_k(top.select("class", "gene", "score"), ref, 10, top.where("rank = 1").select("class", "gene"))
+
+
+@query(f"""{_PRECISION}
+SELECT class, round(count(*) FILTER (hit AND r <= 10) / 10, 6) AS precision, round(least(10, count(*) FILTER (hit)) / 10, 6) AS ceiling, count(*) FILTER (hit) > 0 AS evaluable FROM l GROUP BY class""")
+def precision_at_k(spark, root):
+    return _precision(spark, root).select("class", r6("precision").alias("precision"), r6("ceiling").alias("ceiling"), "evaluable")
+
+
+@query(f"""{_PRECISION}, p AS (SELECT class, count(*) FILTER (hit AND r <= 10) / 10 AS precision, count(*) FILTER (hit) > 0 AS evaluable FROM l GROUP BY class)
+SELECT CASE WHEN class < '3' THEN 'first' ELSE 'rest' END AS part, round(avg(precision) FILTER (evaluable), 6) AS mean, count(*) FILTER (evaluable) AS n_evaluable, count(*) AS n_classes FROM p GROUP BY ALL""")
+def macro_precision(spark, root):
+    """Mean precision over the classes that can be judged, by part."""
+    part = F.when(F.col("class") < "3", "first").otherwise("rest")
+    got = stats.macro_mean(_precision(spark, root).withColumn("part", part), "precision", "evaluable", "part")
+    return got.select("part", r6("mean").alias("mean"), "n_evaluable", "n_classes")
 
 
 @query("""WITH b AS (SELECT p_type AS type, p_brand AS gene, max(p_retailprice) AS sensitivity FROM part GROUP BY ALL)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import r6
+from ..functions.scalar import keyed, r6
 from ..operators import features, joins, prep, report
-from ..sources import cohort
+from ..sources import cohort, readers
 from ..sources.readers import table
 from .registry import query, u
 
@@ -263,3 +264,37 @@ g AS (SELECT x.c AS "column", x.v AS value, count(*) AS n FROM l GROUP BY ALL),
 SELECT "column", value, n FROM k WHERE k <= 30 UNION ALL SELECT "column", NULL, max(k) FROM k WHERE k > 30 GROUP BY 1""")
 def column_profile(spark, root):
     return report.profile(table(spark, root, "customer"), ["c_mktsegment", "c_nationkey", "c_name"])
+
+
+@query(f"""{cohort.sql('obs')} SELECT cell_id, cell_type, r_name AS title FROM obs JOIN region ON region = CAST(r_regionkey AS VARCHAR) WHERE contains(lower(r_name), 'a') AND cell_type LIKE '%URGENT' AND cell_id % 3 <> 0""")
+def source_cells(spark, root):
+    """Primary cells of one kind from the data sets whose title has a text."""
+    names = table(spark, root, "region").select(F.col("r_regionkey").cast("string").alias("dataset_id"), F.col("r_name").alias("title"))
+    cells = cohort.obs(spark, root).select("cell_id", "cell_type", F.col("region").alias("dataset_id"), F.substring_index("cell_type", "-", -1).alias("tissue_general"), (F.col("cell_id") % 3 != 0).alias("is_primary_data"))
+    return readers.source_scan(cells, names, "A", "URGENT").join(names, "dataset_id").select("cell_id", "cell_type", "title")
+
+
+@query(f"""{cohort.sql('obs', 'expr')}, w AS (SELECT cell_id, row_number() OVER (PARTITION BY donor_id ORDER BY {u('cell_id', "'5'")}, cell_id) AS ord FROM obs WHERE region = '2') SELECT cell_id, ord, gene, value FROM w JOIN expr USING (cell_id)""")
+def cells_in_order(spark, root):
+    """Counts of one region's cells beside the place that was asked for."""
+    w = Window.partitionBy("donor_id").orderBy(keyed("cell_id", 5), "cell_id")
+    wanted = cohort.obs(spark, root).where("region = '2'").select("cell_id", F.row_number().over(w).alias("ord"))
+    return prep.cells_in_order(cohort.expr(spark, root), wanted).select("cell_id", "ord", "gene", "value")
+
+
+_HISTORICAL = f"""{cohort.sql('obs', 'expr')}, kc AS (SELECT cell_id FROM expr WHERE value > 0 GROUP BY ALL HAVING count(*) >= 2), ke AS (SELECT * FROM expr SEMI JOIN kc USING (cell_id)),
+kg AS (SELECT gene FROM ke WHERE value > 0 GROUP BY ALL HAVING count(*) >= 3), n AS (SELECT count(*)::DOUBLE AS n FROM obs),
+l AS (SELECT cell_id, gene, value * 10000 / sum(value) OVER (PARTITION BY cell_id) AS x FROM ke SEMI JOIN kg USING (gene)),
+s AS (SELECT gene, sum(x) / (SELECT n FROM n) AS mu, sum(x * x) AS ss FROM l GROUP BY gene),
+d AS (SELECT gene, ln(1 + mu) AS m, ln(((ss - n * mu * mu) / (n - 1)) / mu) AS d FROM s, n),
+b AS (SELECT *, least(19, coalesce(CAST(floor((m - min(m) OVER ()) / nullif((max(m) OVER () - min(m) OVER ()) / 20, 0)) AS INTEGER), 0)) AS bin FROM d),
+z AS (SELECT gene, CASE WHEN count(d) OVER (PARTITION BY bin) = 1 THEN 1.0 ELSE coalesce((d - avg(d) OVER (PARTITION BY bin)) / nullif(stddev_samp(d) OVER (PARTITION BY bin), 0), 0) END AS z FROM b),
+top AS (SELECT gene FROM z ORDER BY round(z, 9) DESC, gene LIMIT 15)
+SELECT gene, count(*) AS n_cells, round(sum(ln(1 + x)), 3) AS total FROM l SEMI JOIN top USING (gene) GROUP BY gene"""
+
+
+@query(_HISTORICAL)
+def historical_preprocess(spark, root):
+    """Filters and variable genes over all cells, as runs before the donor folds had them."""
+    got = prep.preprocess_all(cohort.expr(spark, root), cohort.obs(spark, root).count(), 2, 3, 15)
+    return got.groupBy("gene").agg(F.count(F.lit(1)).alias("n_cells"), (F.round(F.sum("value"), 3) + 0.0).alias("total"))

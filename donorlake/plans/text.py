@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import phrase, r6, safe_key
+from ..functions.scalar import contains_ci, phrase, r6, safe_key, title_token_member
 from ..operators import captions, fulltext, markers, report, retrieve, tokens
 from ..sources import cohort
 from ..sources.readers import table
@@ -243,3 +243,33 @@ def not_superseded(spark, root):
 def hourly_events(spark, root):
     got = events.hourly(table(spark, root, "events"))
     return got.select(F.col("hour").cast("timestamp_ntz").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+_CAPTION_MODES = f"""{_DIFF}, g AS (SELECT cell_id, gene, row_number() OVER (PARTITION BY cell_id ORDER BY value DESC, gene) AS k FROM expr WHERE value > 0),
+own AS (SELECT cell_id, string_agg(gene, ', ' ORDER BY k) AS genes FROM g WHERE k <= 4 GROUP BY cell_id),
+marked AS (SELECT class AS cell_type, class || ' cells are marked by the expression of ' || string_agg(gene, ', ' ORDER BY rank) || '.' AS caption FROM top WHERE rank <= 4 GROUP BY class),
+said AS (SELECT cell_type, 'Orders that are ' || lower(split_part(cell_type, '-', 2)) || '.' AS caption FROM obs WHERE cell_type NOT LIKE '4%' GROUP BY cell_type),
+c AS (SELECT 'own_genes' AS mode, cell_type, 'A cell from human blood. Highly expressed genes: ' || coalesce(genes, 'none detected') || '.' AS caption FROM obs LEFT JOIN own USING (cell_id)
+UNION ALL SELECT 'type_markers', cell_type, coalesce(caption, 'No description.') FROM obs LEFT JOIN marked USING (cell_type) UNION ALL SELECT 'type_text', cell_type, coalesce(caption, 'No description.') FROM obs LEFT JOIN said USING (cell_type))
+SELECT mode, caption, count(*) AS n, count(*) FILTER (contains(lower(caption), lower(split_part(cell_type, '-', 2)))) AS n_named FROM c GROUP BY mode, caption"""
+
+
+@query(_CAPTION_MODES)
+def caption_modes(spark, root):
+    """Captions of all cells in the three modes: how often each stands, and how often it tells the label's word."""
+    obs, expr = cohort.obs(spark, root), cohort.expr(spark, root)
+    word = F.lower(F.split_part("cell_type", F.lit("-"), F.lit(2)))
+    said = obs.where("cell_type not like '4%'").select("cell_type").distinct().select(F.col("cell_type").alias("class"), F.concat(F.lit("Orders that are "), word, F.lit(".")).alias("caption"))
+    given = {"own_genes": {"expr": expr, "n": 4, "with_label": False}, "type_markers": {"captions": _class_captions(spark, root)}, "type_text": {"captions": said}}
+    rows = [captions.build_captions(mode, obs, **what).select(F.lit(mode).alias("mode"), "cell_id", "caption") for mode, what in given.items()]
+    told = rows[0].unionByName(rows[1]).unionByName(rows[2]).join(obs.select("cell_id", "cell_type"), "cell_id")
+    return told.groupBy("mode", "caption").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.contains(F.lower("caption"), word), 1)).alias("n_named"))
+
+
+@query("""SELECT doc_id, coalesce(contains(lower(text), 'the '), false) AS has_text, coalesce(list_contains(string_split(split_part(text, '.', 1), ' '), 'die'), false) AS has_token,
+'Text ' || doc_id || ' (' || coalesce(lang, '') || ', ' || coalesce(source, '') || '): ' || coalesce(split_part(text, '.', 1), '') || '. Is it on topic?' AS prompt FROM documents""")
+def text_checks(spark, root):
+    """Two filters of texts and a prompt from a template."""
+    title, text = F.col("title"), F.col("abstract")
+    made = captions.prompt("Text {doc_id} ({lang}, {source}): {title}. Is it on topic?", doc_id=F.col("doc_id"), lang=F.col("lang"), source=F.col("mesh"), title=title)
+    return cohort.articles(spark, root).select("doc_id", contains_ci(text, "The ").alias("has_text"), title_token_member(title, "die").alias("has_token"), made.alias("prompt"))
