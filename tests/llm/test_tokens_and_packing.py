@@ -212,3 +212,36 @@ def test_many_sources_keep_their_weights(spark):
     assert len({p.queue for p in pieces}) == 300
     assert sum(p.length for p in pieces) == sum(len(x) + 1 for x in plain(BYTE, ["word " * 200] * 600))
     assert max(p.sequence_id for p in pieces if p.doc_id == 301) < 40  # the heavy source is sent first
+
+
+@pytest.mark.parametrize(("weights", "end"), [(None, 1), ({"a": 3.0, None: 0.5, "none": 9.0}, None)])
+def test_packing_by_ranges_is_the_closed_form(spark, weights, end):
+    """Few sources packed as many ones are: the same pieces, documents without tokens and of many windows included."""
+    texts = ["", "alpha beta", "x " * 5000, "one two three " * 30]
+    docs = spark.createDataFrame([(i, texts[i % 4] if i % 11 else None, [None, "a", "b", "\u00e9", "a"][i % 5]) for i in range(150)], "doc_id long, text string, source string").repartition(5)
+    few, many = (sorted(map(tuple, op02_packing.pack(docs, BYTE, end_id=end, weights=weights, many=m).collect()), key=str) for m in (256, 1))
+    assert few == many and len({x[-1] for x in few}) == 4
+    assert op02_packing.pack(docs.limit(0), BYTE, many=0).count() == 0
+
+
+def test_fifty_thousand_sources(spark):
+    """A queue for each of 50,000 sources, against counters that run round by round."""
+    n = 50_000
+    rows = [(i, "a b c" if i % 3 else "word " * (i % 400), f"s{i:05d}") for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    pieces = op02_packing.pack(docs, BYTE).collect()
+    check_pieces(rows, pieces)
+    tokens = np.zeros(n, np.int64)
+    for p in pieces:
+        tokens[p.doc_id] = p.doc_tokens
+    quantum = np.maximum(1, 2048 * op02_packing.UNIT * tokens // tokens.sum())
+    size, deficit, sent, order = np.clip(quantum // op02_packing.UNIT, 64, 2048), np.zeros(n, np.int64), np.zeros(n, np.int64), []
+    while (left := sent < tokens).any():
+        deficit += np.where(left, quantum, 0)
+        for q in np.flatnonzero(deficit >= size * op02_packing.UNIT):
+            while deficit[q] >= size[q] * op02_packing.UNIT and sent[q] < tokens[q]:
+                deficit[q] -= size[q] * op02_packing.UNIT
+                order += [(q, x) for x in range(sent[q], min(tokens[q], sent[q] + size[q]))]
+                sent[q] = min(tokens[q], sent[q] + size[q])
+    got = [(p.doc_id, p.start + i) for p in sorted(pieces, key=lambda p: (p.sequence_id, p.offset)) for i in range(p.length)]
+    assert got == order
