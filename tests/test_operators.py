@@ -397,3 +397,25 @@ def test_train_vocabulary_and_pseudo_donors(spark):
     assert "NEW" not in types and set(types) <= set("TBM") and features.train_types(obs.limit(0), split) == []
     dealt = prep.pseudo_donors(obs, ["p", "q"], 1)
     assert {r.donor_id for r in dealt.collect()} == {"p", "q"} and sorted(map(tuple, dealt.collect())) == sorted(map(tuple, prep.pseudo_donors(obs.orderBy(F.desc("cell_id")), ["p", "q"], 1).collect()))
+
+
+def test_grouped_ridge_of_many_donors(spark, monkeypatch):
+    """More donors than one task gathers; groups without train rows in some tasks, a null group, constant features."""
+    monkeypatch.setattr(readout, "MOST_HELD", 40)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6_003, 3)) * [1, 1e4, 1] + [0, 4e4, 0]
+    x[:, 2] = 38000.3
+    y, test = x[:, 0] + rng.normal(size=len(x)), np.arange(len(x)) % 4 == 0
+    rows = [(k, f"d{i}", bool(test[i]), float(y[i]), x[i].tolist()) for k in ("a", None) for i in range(len(x) if k else 40)]
+    rows += [("test only", f"d{i}", True, 1.0, [1.0, 2.0]) for i in range(9)]
+    frame = spark.createDataFrame(rows, "type string, donor_id string, is_test boolean, target double, x array<double>").repartition(70)
+    got = {(r.type, r.donor_id): r.predicted for r in readout.grouped_ridge(frame, "type").collect()}
+    assert {k for k, _ in got} == {"a", None}
+    for kind, n in (("a", len(x)), (None, 40)):
+        a, b, t = x[:n], y[:n], test[:n]
+        sd = a[~t].std(axis=0)
+        sd[2] = 1.0
+        z = (a - a[~t].mean(axis=0)) / sd
+        z[:, 2] = 0
+        w = np.linalg.solve(z[~t].T @ z[~t] + np.eye(3), z[~t].T @ (b[~t] - b[~t].mean()))
+        assert np.allclose([got[kind, f"d{i}"] for i in np.flatnonzero(t)], z[t] @ w + b[~t].mean(), rtol=0, atol=1e-9)
