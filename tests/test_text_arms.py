@@ -2,6 +2,7 @@
 
 import hashlib
 import threading
+import time
 
 import numpy as np
 import pytest
@@ -115,3 +116,21 @@ def test_differences_over_blocks(spark):
     assert got["all"].delta_rho == pytest.approx((got["x"].delta_rho + got["y"].delta_rho) / 2) and got["all"].n == 25
     for r in (got["x"], got["y"], got["all"]):
         assert r.ci_low <= r.mean_delta <= r.ci_high and r.n_valid == 40 and r.ci_low > 0
+
+
+def test_threads_ship_the_package_once(spark, monkeypatch):
+    """Threads that come together add one file; each adding its own under the same name was an error."""
+    added, both = [], threading.Barrier(4, timeout=60)
+    monkeypatch.setattr(shared, "_shipped", set())
+    monkeypatch.setattr(type(spark.sparkContext), "addPyFile", lambda self, path: (time.sleep(0.2), added.append(path)))
+
+    def come():
+        both.wait()
+        shared.ship(spark)
+
+    threads = [threading.Thread(target=come) for _ in range(4)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert len(added) == 1
