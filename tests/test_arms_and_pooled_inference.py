@@ -209,3 +209,22 @@ def test_observation_tables(spark):
     cells = spark.createDataFrame([("a", i) for i in range(5)] + [("b", 9)], "donor_id string, cell_id int")
     got = prep.bags(cells, 1, 3).groupBy("donor_id").agg(F.count(F.lit(1)).alias("slots"), F.count("cell_id").alias("cells"))
     assert sorted(map(tuple, got.collect())) == [("a", 3, 3), ("b", 3, 1)]
+
+
+def test_resamples_by_weights_equal_repeated_rows(spark, monkeypatch):
+    """Ties, nulls, NaN, groups that few donors have, more replicates and draws than stand side by side; rows are never repeated."""
+    rng = np.random.default_rng(4)
+    odd = lambda v: None if v == 3 else float("nan") if v == 4 else float(v)
+    rows = [(g, s, f"d{i}", float(rng.integers(0, 9)), odd(rng.integers(0, 6)), float(rng.normal())) for g in ("x", "y") for s in range(2) for i in range(30) if (i + s) % 3 or g == "x"]
+    rows += [("x", 2, "d1", 1.0, 2.0, 3.0), ("x", 2, "d2", 2.0, 1.0, 3.5)]
+    pairs = spark.createDataFrame(rows, "g string, seed int, donor_id string, observed_a double, predicted_a double, predicted_b double")
+    monkeypatch.setattr(infer, "REPLICATES", 4)
+    monkeypatch.setattr(infer, "DRAWS", 7)
+    got = {(r.g, r.seed, r.rep): r.delta for r in infer.resampled(pairs, 10, 5, ("g",), ("seed",)).collect()}
+    chosen = infer.draws(pairs.select("g", "donor_id").distinct(), 10, 5, "g").join(pairs, ["g", "donor_id"])
+    want = {(r.g, r.seed, r.rep): r.delta for r in infer.delta_rho(chosen, "g", "rep", "seed").where("delta is not null").collect()}
+    assert got.keys() == want.keys() and len(want) >= 40 and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+    plan = infer.resampled(pairs, 10, 5, ("g",), ("seed",))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") <= 1  # the donors' numbers alone
+    got = infer.pooled_comparisons(pairs.selectExpr("g cohort", "'T2' arm", "seed", "donor_id", "observed_a observed", "predicted_a predicted").union(pairs.selectExpr("g", "'B2'", "seed", "donor_id", "observed_a", "predicted_b")), "x", 3, 1)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("(strategy=merge)") >= 3  # a table of donors is never broadcast
