@@ -31,6 +31,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import lowered
 from ..sources import shared, sinks
 from .retrieve import K1, B
 
@@ -45,7 +46,7 @@ _WORD = "([a-z0-9]+)"
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_WORD), 1)
+    return F.regexp_extract_all(lowered(F.coalesce(text, F.lit(""))), F.lit(_WORD), 1)
 
 
 # the query language
@@ -103,7 +104,7 @@ def parse(query: str, fields: tuple[str, ...] = FIELDS) -> Node:
     def one(field: str | None = None) -> Node:
         kind, text = tokens.pop(0) if tokens else ("end", "")
         if kind == "phrase":
-            return Node("LEAF", words=tuple(re.findall("[a-z0-9]+", text.lower())), field=field)
+            return Node("LEAF", words=tuple(re.findall("[a-z0-9]+", text.replace("\u0130", "i").lower())), field=field)
         if kind == "(":
             node = either()
             if not tokens or tokens.pop(0)[0] != ")":

@@ -10,13 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import lowered
+
 K1, B = 1.2, 0.75
 #: Words that make any text one about cells (fixed values).
 CELL_WORDS = ("cells", "cellular")
 
 
 def body(articles: DataFrame) -> Column:
-    return F.lower(F.concat_ws(" ", "title", "abstract", "mesh"))
+    return lowered(F.concat_ws(" ", "title", "abstract", "mesh"))
 
 
 def postings(articles: DataFrame) -> DataFrame:
@@ -82,7 +84,7 @@ def pooled_hits(found: DataFrame, *by: str) -> DataFrame:
 
 def coverage(text: Column, terms: Column) -> Column:
     """Share of terms (lower case, of letters and digits) that a text has as whole words; no terms: 0."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), 1)
+    words = F.regexp_extract_all(lowered(text), F.lit("([a-z0-9]+)"), 1)
     return F.when(F.size(terms) == 0, 0.0).otherwise(F.size(F.filter(terms, lambda t: F.array_contains(words, t))) / F.size(terms))
 
 
@@ -139,7 +141,7 @@ ARMS = ("rag_markers", "rag_markers_alias", "rag_name", "rag_name_stripped", "ra
 
 def alias_coverage(text: Column, terms: Column) -> Column:
     """Share of ``terms``, an array of arrays (a marker and its aliases, lower case, of letters and digits), of which a text has one as a whole word; no terms: 0."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), 1)
+    words = F.regexp_extract_all(lowered(text), F.lit("([a-z0-9]+)"), 1)
     return F.when(F.size(terms) == 0, 0.0).otherwise(F.size(F.filter(terms, lambda t: F.arrays_overlap(words, t))) / F.size(terms))
 
 
@@ -149,7 +151,7 @@ def phrase_hits(articles: DataFrame, phrases: DataFrame, keys: list[str]) -> Dat
     Candidates are the articles with the phrase's rarest word, by a join on the
     word; only they are searched for the whole phrase.
     """
-    words = F.regexp_extract_all(F.lower("phrase"), F.lit("([a-z0-9]+)"), 1)
+    words = F.regexp_extract_all(lowered("phrase"), F.lit("([a-z0-9]+)"), 1)
     asked = phrases.select(*keys, "phrase", words.alias("_w")).where(F.size("_w") > 0)
     index = postings(articles)
     counts = index.join(asked.select(F.explode("_w").alias("term")).distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))

@@ -36,6 +36,21 @@ def test_vectors_are_kept(spark):
     assert np.allclose(mean.vector, (got["one two"] + got["five"]) / 2)
 
 
+def test_text_vectors_of_any_letters_equal_their_sql(spark, tmp_path):
+    """A dotted capital I stays in its word, as in the SQL's lower()."""
+    import duckdb
+
+    from donorlake.plans import catalogue
+
+    rows = [(1, "ISTANBUL \u0130stanbul K\u0130TAP", "tr", "a"), (2, "\u212aelvin \u03a3\u03a3 \u00c5", "el", "a"), (3, None, None, "b")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    duckdb.sql(f"CREATE OR REPLACE TEMP VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("text_vectors", "mean_text_vectors"):
+        want = duckdb.sql(catalogue.ORACLES[name])
+        got = catalogue.QUERIES[name](spark, str(tmp_path)).select(want.columns).collect()
+        assert sorted(map(tuple, got)) == sorted(want.fetchall())
+
+
 def test_two_writers(spark):
     """Both read the same state and project the same text; the second to publish leaves it out."""
     path = shared.folder(spark, "test-vectors")
