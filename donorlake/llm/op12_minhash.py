@@ -10,12 +10,14 @@ exhaustively, larger ones branch again; independent trees repeat this.
 A pair at a similarity of 0.8 misses all 15 branches at the roots of 12 trees
 with 0.2^15; below, a tree keeps it with about 2 / (2 + 0.32 * depth), so at the
 deepest level all trees lose it with 0.5^12.  Crowded tree nodes are also dealt
-into random groups of ``SMALL`` / 2, compared likewise.  What is still crowded
+into random groups of ``SMALL`` / 2, compared likewise, for as long as rounds
+find links (these bounds do without the groups).  What is still crowded
 at the deepest level (sets that their minwise tokens can't tell apart) is
 compared exhaustively, by pairs of blocks, so no case is dropped.
 
 Comparing takes two steps.  Sketches (two bits of 256 minwise tokens) leave the
-members of a tree node that may have a partner in another component; only their
+members of a tree node that may have a partner in another component, which they
+don't meet in another tree node of the round before; only their
 full shingle sets are fetched, intersected exactly, and a spanning forest of the
 true links leaves the tree node, never all pairs.  Rounds follow each other: two
 trees, the other trees, deeper levels; each knows the components so far.
@@ -26,7 +28,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -124,6 +126,12 @@ def prints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return _rows(docs).select("doc_id", "text_hash", F.col("text").cast("binary").alias("text")).mapInArrow(work, PRINTS)
 
 
+def nodes_of(found: DataFrame) -> DataFrame:
+    """A row for each set of ``prints``, with the smallest doc_id and a document whose text it can be read from."""
+    one = found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("of"), *(F.first(c).alias(c) for c in ("n_shingles", "root", "deep", "sketch")))
+    return common.materialize(one.select("node", "least", "n_shingles", "of.doc_id", "of.text_hash", "root", "deep", "sketch"), "minhash-nodes")
+
+
 def rooted(nodes: DataFrame, branches) -> DataFrame:
     """(key, node): the tree nodes below the roots."""
     return nodes.select(F.explode(F.array(*(F.xxhash64(F.lit(t), F.lit(c), F.col("root")[c]) for t, c in branches))).alias("key"), "node")
@@ -172,8 +180,28 @@ def _binary(parts, k: int) -> list[bytes]:
     return [x for p in parts for x in p.column(k).to_pylist()]
 
 
-def promising(rows: DataFrame) -> DataFrame:
-    """Of ``rows(key, node, label, sketch)`` those (key, node, label) with a partner of another label in their tree node whose sketch is near."""
+def _met_before(key: int, keys: pa.ListArray) -> np.ndarray | None:
+    """A column for each key before ``key`` that at least two rows have; rows with a common one meet there."""
+    n = np.diff(keys.offsets.to_numpy(zero_copy_only=False))
+    flat, row = keys.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(n)), n)
+    flat, row = flat[flat < key], row[flat < key]
+    _, at, times = np.unique(flat, return_inverse=True, return_counts=True)
+    often = times > 1
+    if not often.any():
+        return None
+    has = np.zeros((len(n), int(often.sum())), np.float32)
+    has[row[often[at]], (np.cumsum(often) - 1)[at[often[at]]]] = 1
+    return has
+
+
+def promising(rows: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """Of ``rows(key, node, label, sketch, n_shingles, of, part, keys)`` those (key, node, label) with a partner of another label in their tree node.
+
+    A partner's sketch is near and its set large enough for a link.  Two that
+    meet more than once in a round are partners where they first do: ``of`` is
+    the tree node that a group compares (all of, or one pair of its blocks:
+    ``part``), ``keys`` all those of the row's node.
+    """
 
     def work(batches):
         keys, nodes, labels = [], [], []
@@ -182,8 +210,19 @@ def promising(rows: DataFrame) -> DataFrame:
             if len(label) < 2 or (label == label[0]).all():
                 continue
             s, near = np.frombuffer(b"".join(_binary(parts, 3)), np.uint64).reshape(len(label), -1), np.zeros(len(label), bool)
+            size, part, met = _column(parts, 4), _column(parts, 6), False
             for k in range(0, len(label), 256):
-                near[k : k + 256] = ((apart(s[k : k + 256], s) <= SKETCH_APART) & (label[k : k + 256, None] != label[None, :])).any(axis=1)
+                some = slice(k, k + 256)
+                fits = 100 * np.minimum(size[some, None], size) >= similarity * np.maximum(size[some, None], size)
+                fits &= (label[some, None] != label[None, :]) & ((part[some, None] != part[None, :]) | (part[None, :] < 0))
+                fits &= apart(s[some], s) <= SKETCH_APART
+                if fits.any():
+                    if met is False:
+                        met = _met_before(parts[0].column(5)[0].as_py(), pa.concat_arrays([p.column(7) for p in parts]))
+                    if met is not None:
+                        fits &= met[some] @ met.T == 0
+                    near[some] |= fits.any(axis=1)
+                    near |= fits.any(axis=0)
             hit = np.flatnonzero(near)
             if len(hit):
                 keys.append(np.full(len(hit), key))
@@ -195,7 +234,7 @@ def promising(rows: DataFrame) -> DataFrame:
         if keys:
             yield pa.RecordBatch.from_pydict({"key": np.concatenate(keys), "node": np.concatenate(nodes), "label": np.concatenate(labels)})
 
-    return _dealt(rows.select("key", "node", "label", "sketch")).mapInArrow(work, "key long, node long, label long")
+    return _dealt(rows.select("key", "node", "label", "sketch", "n_shingles", "of", "part", "keys")).mapInArrow(work, "key long, node long, label long")
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -284,8 +323,9 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 
 def links(docs: DataFrame, nodes: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, small: int = SMALL) -> DataFrame:
-    """(node, root): the components of ``nodes(node, root, deep, sketch, doc_id, text_hash)``, for all that have a link."""
+    """(node, root): the components of ``nodes(node, n_shingles, root, deep, sketch, doc_id, text_hash)``, for all that have a link."""
     edges = labels = crowded = sets = None
+    mixing = True
     early = [b for b in ROOTS if b[0] < FIRST]
     for round_ in range(DEPTH + 2):
         parts = [rooted(nodes, early if round_ == 0 else [b for b in ROOTS if b not in early])] if round_ < 2 else []
@@ -303,25 +343,29 @@ def links(docs: DataFrame, nodes: DataFrame, words: int = WORDS, similarity: int
         large = live.where(F.col("n") > small)
         crowded = common.materialize(large.select("key", "node", "n", "label"), "minhash-crowded")
         crowded = None if crowded.isEmpty() else crowded
-        compared = live.where(F.col("n") <= small).select("key", "node", "label")
+        whole = lambda key: (key.alias("of"), F.lit(-1).cast("long").alias("part"))
+        compared = live.where(F.col("n") <= small).select("key", "node", "label", *whole(F.col("key")))
         if crowded is not None:
             block, blocks = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") * 2 / small)), F.ceil(F.col("n") * 2 / small)
-            mixed = lambda *c: F.xxhash64("key", F.lit("block"), *c).alias("key")
-            if round_ <= DEPTH:  # random groups
-                dense = crowded.select(mixed(block), "node", "label")
-            else:  # pairs of blocks
+            mixed = lambda *c: F.xxhash64("key", F.lit("block"), *c)
+            if round_ > DEPTH:  # pairs of blocks
                 dense = crowded.withColumn("block", block).select("key", "node", "label", "block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
-                dense = dense.select(mixed(F.least("block", "other"), F.greatest("block", "other")), "node", "label")
-            compared = compared.unionByName(dense)
+                part = F.when(F.col("block") == F.col("other"), F.lit(-1)).otherwise(F.col("block")).cast("long")
+                compared = compared.unionByName(dense.select(mixed(F.least("block", "other"), F.greatest("block", "other")).alias("key"), "node", "label", F.col("key").alias("of"), part.alias("part")))
+            elif mixing:  # random groups
+                compared = compared.unionByName(crowded.select(mixed(block).alias("key"), "node", "label", *whole(mixed(block))))
             crowded = crowded.select("key", "node")
-        hopeful = common.materialize(promising(compared.join(nodes.select("node", "sketch"), "node")), "minhash-promising")
+        compared = compared.withColumn("keys", F.collect_set("of").over(Window.partitionBy("node")))
+        hopeful = common.materialize(promising(compared.join(nodes.select("node", "sketch", "n_shingles"), "node"), similarity), "minhash-promising")
         if hopeful.isEmpty():
+            mixing = mixing and round_ == 0
             continue
         new = hopeful.select("node").distinct()
         wanted = nodes.join(new if sets is None else new.join(sets, "node", "left_anti"), "node").select("node", "doc_id", "text_hash")
         more = common.materialize(shingle_sets(docs, common.materialize(wanted, "minhash-wanted"), words), "minhash-sets")
         sets = more if sets is None else sets.unionByName(more)
         found = common.materialize(verified(hopeful.join(sets, "node"), similarity), "minhash-links")
+        mixing = mixing and (round_ == 0 or not found.isEmpty())
         if not found.isEmpty():
             edges = found if edges is None else edges.unionByName(found)
             labels = components(edges).withColumnRenamed("root", "label")
@@ -341,9 +385,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     table gives no rows.
     """
     found = common.materialize(prints(docs, words), "minhash-prints")
-    # a row for each set, with a document whose text it can be read from
-    one = found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("of"), *(F.first(c).alias(c) for c in ("root", "deep", "sketch")))
-    nodes = common.materialize(one.select("node", "least", "of.doc_id", "of.text_hash", "root", "deep", "sketch"), "minhash-nodes")
+    nodes = nodes_of(found)
     tied = nodes.select("node", "least").join(links(docs, nodes.drop("least"), words, similarity, small), "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = tied.groupBy("root").agg(F.min("least").alias("component_id"))
     by_node = common.materialize(tied.join(named, "root").select("node", "component_id"), "minhash-components")

@@ -132,6 +132,19 @@ def test_similar_sets(spark, small):
     assert op12_minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_minhash_pairs_meet_once_in_a_round(spark):
+    """Near sets without a link that meet in five tree nodes, and in all pairs of two blocks, leave one of these only."""
+    h = np.unique(np.random.default_rng(4).integers(0, 1 << 63, 1000, np.uint64))
+    sketches = [bytearray(op12_minhash.sketch(op12_minhash.minwise(x))) for x in (h[:800], h[150:950])]
+    many = [5, 7, 9, 11, 13]
+    rows = [(key, n, n, s, 800, key, -1, many) for key in many for n, s in enumerate(sketches)]
+    rows += [(90, n, n, sketches[n % 2], 800, 90, part, [90]) for n, part in ((10, 1), (12, 1), (11, 2))]  # one pair of blocks
+    rows += [(91, n, n, sketches[0], size, 91, -1, [91]) for n, size in ((20, 800), (21, 600))]  # sizes that allow no link
+    some = spark.createDataFrame(rows, "key long, node long, label long, sketch binary, n_shingles long, of long, part long, keys array<long>")
+    got = {(r.key, r.node) for r in op12_minhash.promising(some).collect()}
+    assert got == {(5, 0), (5, 1), (90, 10), (90, 11), (90, 12)}
+
+
 def test_minhash_query(spark):
     held_against_sql(op12_minhash.op12_minhash(spark, SF), op12_minhash.ORACLE)
 
