@@ -153,9 +153,13 @@ def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def postings(articles: DataFrame) -> DataFrame:
-    """(term, doc_id, at, len) of ``articles(doc_id, title, abstract, mesh)``."""
-    lists = articles.select("doc_id", *(words(F.col(c)).alias(f"w{i}") for i, c in enumerate(FIELDS)))
+def word_lists(articles: DataFrame) -> DataFrame:
+    """(doc_id, w0, w1, ...): the words of each field of ``articles(doc_id, title, abstract, mesh)``."""
+    return articles.select(F.col("doc_id").cast("long").alias("doc_id"), *(words(F.col(c)).alias(f"w{i}") for i, c in enumerate(FIELDS)))
+
+
+def postings(lists: DataFrame) -> DataFrame:
+    """(term, doc_id, at, len) of ``word_lists``."""
     long = lists.select("doc_id", *(F.size(f"w{i}").alias(f"s{i}") for i in range(len(FIELDS))), F.posexplode(F.concat(*(f"w{i}" for i in range(len(FIELDS))))).alias("k", "term"))
     at, ahead = None, F.lit(0)
     for i in range(len(FIELDS)):
@@ -215,7 +219,8 @@ class Index:
 
     def add(self, articles: DataFrame) -> None:
         """One more segment; ValueError for a document that repeats or is there already, or has no doc_id.  A null field is empty."""
-        docs = articles.select(F.col("doc_id").cast("long").alias("doc_id"), sum((F.size(words(F.col(c))) for c in FIELDS), F.lit(0)).cast("long").alias("len"))
+        lists = shared.written(word_lists(articles), "index-words")  # texts are split once; the ranges below read them twice
+        docs = lists.select("doc_id", sum((F.size(f"w{i}") for i in range(len(FIELDS))), F.lit(0)).cast("long").alias("len"))
         segment = uuid.uuid4().hex
         docs.write.parquet(f"{self.path}/docs/segment={segment}")
         docs = self.spark.read.parquet(f"{self.path}/docs/segment={segment}")
@@ -223,7 +228,7 @@ class Index:
         twice = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         if told["k"] < told["n"] or not twice.isEmpty() or self.segments and not docs.join(self.documents(), "doc_id", "left_semi").isEmpty():
             raise ValueError("doc_id must be known, unique and new to the index")
-        new = self._write(postings(articles.withColumn("doc_id", F.col("doc_id").cast("long"))))
+        new = self._write(postings(lists))
         self._publish([*self.segments, f"{new}/{segment}"], self.n_docs + told["n"], self.n_filled + told["filled"], self.n_words + told["words"])
 
     def merge(self) -> None:
@@ -273,13 +278,13 @@ def search(index: Index, nodes: DataFrame, limit: int | None = None) -> DataFram
     # a phrase stands where each of its words stands at its distance from one start
     starts = found.where("k > 1").groupBy("p", "k", "doc_id", (F.col("at") - F.col("j")).alias("start")).agg(F.max("len").alias("len"), F.count(F.lit(1)).alias("n")).where("n = k")
     several = starts.groupBy("p", "doc_id").agg(F.max("len").alias("len"), F.count(F.lit(1)).alias("tf"))
-    hits = single.unionByName(several)
+    hits = shared.written(single.unionByName(several), "phrase-hits")
     df = hits.groupBy("p").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.lit(index.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     mean = index.mean_length()
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / mean))
-    weighed = hits.join(df, "p").select("p", "doc_id", weight.alias("w"))
-    true = shared.written(keyed.join(weighed, "p").select("query_id", "node", "parent", "slot", "depth", "doc_id", F.when(F.col("counts"), F.col("w")).otherwise(0.0).alias("w")), "phrase-hits")
+    asked = shared.written(keyed.join(df, "p"), "phrases-found")  # a row for each phrase of a query; hits of a frequent one aren't gathered in a task
+    true = hits.join(F.broadcast(asked) if _few(asked) else asked, "p").select("query_id", "node", "parent", "slot", "depth", "doc_id", F.when(F.col("counts"), weight).otherwise(0.0).alias("w"))
     deepest = nodes.agg(F.max("depth")).first()[0] or 0
     inner = nodes.where("op <> 'LEAF'").select("query_id", "node", "parent", "slot", "depth", "op")
     up = true.select("query_id", "node", "parent", "slot", "depth", "doc_id")
@@ -290,8 +295,31 @@ def search(index: Index, nodes: DataFrame, limit: int | None = None) -> DataFram
         up = up.where(F.col("depth") < depth).unionByName(new)
     matched = up.where("node = 0").select("query_id", "doc_id").distinct()
     scored = matched.join(true.groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 6).alias("score")), ["query_id", "doc_id"])
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))
-    return ranked.where(F.col("rank") <= limit) if limit else ranked
+    return ranked(scored, limit)
+
+
+def ranked(scored: DataFrame, limit: int | None = None) -> DataFrame:
+    """``scored(query_id, doc_id, score)`` with ``rank`` in each query, best first, ties by doc_id.
+
+    Without a limit, rows are dealt by ranges of that order: a rank is the place
+    in a range, behind the query's rows in the ranges before it, so no task has
+    all rows of a query.
+    """
+    best = (F.desc("score"), F.col("doc_id"))
+    if limit:
+        return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*best))).where(F.col("rank") <= limit)
+    parts = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = shared.written(scored.repartitionByRange(parts, "query_id", *best).withColumn("_part", F.spark_partition_id()), "ranges")
+    ahead = Window.partitionBy("query_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = laid.groupBy("query_id", "_part").agg(F.count(F.lit(1)).alias("_n")).select("query_id", "_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    placed = laid.withColumn("_k", F.row_number().over(Window.partitionBy("query_id", "_part").orderBy(*best)))
+    return placed.join(before, ["query_id", "_part"]).select("query_id", "doc_id", "score", (F.col("_before") + F.col("_k")).cast("int").alias("rank"))
+
+
+def gathered(rows: DataFrame) -> DataFrame:
+    """A table that may be small, written; broadcast where it is, so that what it is joined with isn't shuffled."""
+    rows = shared.written(rows, "gathered")
+    return F.broadcast(rows) if _few(rows) else rows
 
 
 def _few(df: DataFrame) -> bool:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import require_unique
+from ..sources import shared
 from . import fulltext, retrieve
 from .retrieve import ARMS
 
@@ -135,7 +136,7 @@ def placed(pooled: DataFrame, articles: DataFrame, facts: DataFrame, keys: Seque
     ``facts`` has a row for each key, with ``terms``, an array of arrays of names.
     """
     text = F.concat_ws(" ", "title", "abstract", "mesh")
-    told = pooled.join(articles.select("doc_id", "title", "abstract", "mesh"), "doc_id").join(facts, list(keys))
+    told = shared.written(fulltext.gathered(pooled).join(articles.select("doc_id", "title", "abstract", "mesh"), "doc_id"), "pooled-texts").join(facts, list(keys))
     vocabulary = F.array(*(F.array(F.lit(_plain(w))) for w in context)) if context else F.expr("cast(array() as array<array<string>>)")
     told = told.withColumns({"coverage": phrase_share(text, F.col("terms")), "context": phrase_share(text, vocabulary)})
     score = F.round(10 * F.col("coverage") + 2 * F.col("context") + F.col("score_agg") + 0.01 * F.col("best"), 6)
