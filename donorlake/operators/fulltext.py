@@ -41,6 +41,8 @@ FIELD_SIZE = 1 << 40
 BUCKETS = 64
 #: Query terms up to which buckets and terms are literals in the scan's filter; beyond, they are joined.
 MOST_TERMS = 5_000
+#: Words of the index behind each task that counts hits.
+TASK_WORDS = 2_000_000
 POSTINGS = "term string, doc_id long, at long, len long, segment string, bucket int"
 _WORD = "([a-z0-9]+)"
 
@@ -274,6 +276,9 @@ def search(index: Index, nodes: DataFrame, limit: int | None = None) -> DataFram
     ranged = terms.select("p", "k", "j", "term", F.coalesce(number * F.lit(FIELD_SIZE), F.lit(0)).alias("lo"), F.coalesce((number + 1) * F.lit(FIELD_SIZE), F.lit(len(FIELDS) * FIELD_SIZE)).alias("hi"))
     found = index.rows(terms).join(F.broadcast(ranged) if _few(ranged) else ranged, "term")
     found = found.where((F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi")))
+    # rows of a frequent term lie in a few files; dealt by document, a task has a bounded part of them whatever the input
+    parts = max(int(index.spark.conf.get("spark.sql.shuffle.partitions")), index.n_words // TASK_WORDS)
+    found = found.repartition(parts, "doc_id")
     single = found.where("k = 1").groupBy("p", "doc_id").agg(F.max("len").alias("len"), F.count(F.lit(1)).alias("tf"))
     # a phrase stands where each of its words stands at its distance from one start
     starts = found.where("k > 1").groupBy("p", "k", "doc_id", (F.col("at") - F.col("j")).alias("start")).agg(F.max("len").alias("len"), F.count(F.lit(1)).alias("n")).where("n = k")

@@ -195,3 +195,29 @@ def test_words_in_order_move_as_texts(spark, tmp_path):
     plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
     assert plan.count("Exchange hashpartitioning(doc_id") == 1
     assert plan.index("Generate") < plan.index("Exchange")  # the exchange lies below
+
+
+def test_ranks_of_all_hits_come_from_ranges(spark):
+    """Ranks over many ranges, ties by document, equal those of one window; no window holds a whole query."""
+    scored = spark.range(3000).select(F.when(F.col("id") % 7 < 5, "often").otherwise("seldom").alias("query_id"), F.col("id").alias("doc_id"), (F.col("id") * 37 % 11).cast("double").alias("score"))
+    got = {(r.query_id, r.doc_id): r["rank"] for r in fulltext.ranked(scored).collect()}
+    want = {}
+    for q in ("often", "seldom"):
+        rows = sorted((-(i * 37 % 11), i) for i in range(3000) if ("often" if i % 7 < 5 else "seldom") == q)
+        want |= {(q, i): k + 1 for k, (_, i) in enumerate(rows)}
+    assert got == want
+    assert {(r.query_id, r.doc_id): r["rank"] for r in fulltext.ranked(scored, 20).collect()} == {k: v for k, v in want.items() if v <= 20}
+    assert "_part" in fulltext.ranked(scored)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_hits_are_dealt_by_document(spark, monkeypatch):
+    """Tasks that count hits grow in number with the index."""
+    docs = spark.createDataFrame([(i, "the", "the of the", "x") for i in range(40)], "doc_id long, title string, abstract string, mesh string")
+    index = fulltext.Index.create(spark)
+    index.add(docs)
+    monkeypatch.setattr(fulltext, "TASK_WORDS", 10)
+    asked = []
+    frame, real = type(docs), docs.__class__.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, *a: asked.append(a) or real(self, *a))
+    assert fulltext.search(index, fulltext.clauses(spark, {"q": '"of the"'})).count() == 40
+    assert (index.n_words // 10, "doc_id") in asked
