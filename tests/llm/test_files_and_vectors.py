@@ -175,6 +175,25 @@ def test_pages_against_brute_force(spark):
     assert have <= want and len(have) >= 0.9 * len(want), (len(have), len(want))
 
 
+def test_comparisons_hold_asked_corners_only(spark):
+    """What lies between two images' corners in a file isn't kept with them; an image is compared with many as with each alone."""
+    rng = np.random.default_rng(15)
+    base = [np.kron(rng.integers(0, 256, (20, 20)), np.ones((5, 5))) for _ in range(3)]
+    rows = [(i, pgm(np.clip(base[i % 3] + rng.normal(0, 4, (100, 100)), 0, 255))) for i in range(12)]
+    nodes, folder = stored(spark, spark.createDataFrame(rows, "image_id long, media binary").coalesce(1))
+    names = np.sort(np.array([r.node for r in nodes.collect()], np.int64))
+    store = op04_media.Store(folder)
+    ends = store.read(names[[0, -1]])
+    assert all(c.base is None for c in ends.values())
+    assert store.sizes(names[[0, -1]]).tolist() == [ends[int(n)].nbytes for n in names[[0, -1]]]
+    have = store.read(names)
+    for x in names.tolist():
+        many = [have[y] for y in names.tolist()]
+        least = [op04_media.least_agreeing(len(have[x]), len(b)) for b in many]
+        alone = [op04_media.agreeing(have[x], b, e) for b, e in zip(many, least)]
+        assert op04_media.agreeing_of_many(have[x], many, least) == alone and sum(n > 0 for n in alone) >= 4
+
+
 def test_dense_keys_lose_nothing(spark, monkeypatch):
     rng = np.random.default_rng(14)
     one = np.kron(rng.integers(0, 256, (20, 20)), np.ones((5, 5)))
