@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.scalar import lowered
 
 K1, B = 1.2, 0.75
+#: Words of a phrase that are looked up at once, and phrases up to which the texts aren't shuffled.
+LEAD, MOST_PHRASES = 3, 200_000
 #: Words that make any text one about cells (fixed values).
 CELL_WORDS = ("cells", "cellular")
 
@@ -148,18 +150,29 @@ def alias_coverage(text: Column, terms: Column) -> Column:
 def phrase_hits(articles: DataFrame, phrases: DataFrame, keys: list[str]) -> DataFrame:
     """(keys..., phrase, doc_id): articles in which all words of a phrase stand in a row.
 
-    Candidates are the articles with the phrase's rarest word, by a join on the
-    word; only they are searched for the whole phrase.
+    Texts are split once and stay where they are: each place is looked up by a
+    hash of its next words (LEAD at most), and where that is a phrase's the words
+    are compared.  Only beyond MOST_PHRASES phrases the places are dealt by hash.
     """
     words = F.regexp_extract_all(lowered("phrase"), F.lit("([a-z0-9]+)"), 1)
     asked = phrases.select(*keys, "phrase", words.alias("_w")).where(F.size("_w") > 0)
-    index = postings(articles)
-    counts = index.join(asked.select(F.explode("_w").alias("term")).distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    each = asked.select(*keys, "phrase", "_w", F.explode("_w").alias("term")).join(counts, "term")
-    rare = each.groupBy(*keys, "phrase", "_w").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
-    found = rare.join(index.select("term", "doc_id"), "term").join(articles.select("doc_id", F.array_join(F.regexp_extract_all(body(articles), F.lit("([a-z0-9]+)"), 1), " ").alias("_t")), "doc_id")
-    padded = F.concat(F.lit(" "), F.col("_t"), F.lit(" "))
-    return found.where(padded.contains(F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" ")))).select(*keys, "phrase", "doc_id")
+    wanted = asked.select("_w").distinct()
+    told = wanted.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_w")).alias("longest"), F.array_sort(F.collect_set(F.least(F.size("_w"), F.lit(LEAD)))).alias("leads")).first()
+    led = lambda words, at, n: F.xxhash64(*(F.get(words, at + k) for k in range(n)))
+    leads = told["leads"] or [1]  # 1 to LEAD
+    by_size = F.coalesce(*(F.when(F.size("_w") == n, led("_w", F.lit(0), n)) for n in leads if n < LEAD), led("_w", F.lit(0), LEAD))
+    wanted = wanted.select("_w", by_size.alias("_h"))
+    few = told["n"] <= MOST_PHRASES
+    texts = articles.select("doc_id", F.regexp_extract_all(body(articles), F.lit("([a-z0-9]+)"), 1).alias("_t"))
+    places = texts.select("doc_id", "_t", F.posexplode("_t").alias("_i", "_first"))
+    next_words = F.slice("_t", F.col("_i") + 1, F.lit(told["longest"] or 1))
+    keyed = places.select("doc_id", "_t", "_i", F.explode(F.array(*(led("_t", F.col("_i"), n) for n in leads))).alias("_h"))
+    if few:
+        got = keyed.join(F.broadcast(wanted), "_h").where(F.slice("_t", F.col("_i") + 1, F.size("_w")) == F.col("_w"))
+    else:  # a dealt row has no whole text
+        got = keyed.select("doc_id", "_h", next_words.alias("_t")).join(wanted, "_h").where(F.slice("_t", F.lit(1), F.size("_w")) == F.col("_w"))
+    hits = got.select("_w", "doc_id")
+    return asked.join(hits.distinct(), "_w").select(*keys, "phrase", "doc_id")
 
 
 def excerpts(docs: DataFrame, order: list[str], *by: str, most_docs: int = 12, most_chars: int = 6000, most_abstract: int = 400) -> DataFrame:

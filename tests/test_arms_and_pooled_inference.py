@@ -191,6 +191,18 @@ def test_phrases_and_aliases(spark):
     assert [r[0] for r in docs.orderBy("doc_id").select(retrieve.alias_coverage(retrieve.body(docs), terms)).collect()] == [0.0, 0.0, 0.5]
 
 
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_phrases_are_found_without_an_index(spark, monkeypatch, most):
+    """Phrases of one word to five, at a text's end, twice in a text and asked for twice; texts are not shuffled for few phrases."""
+    monkeypatch.setattr(retrieve, "MOST_PHRASES", most)
+    docs = spark.createDataFrame([(1, "a b c d e", "a b c", None), (2, "c d", None, "e"), (3, "x a b", "", ""), (4, None, None, None)], "doc_id int, title string, abstract string, mesh string")
+    asked = spark.createDataFrame([(0, "a b c"), (1, "A-b c!"), (2, "a b c d e"), (3, "a b c d x"), (4, "e"), (5, "d e"), (6, "a b"), (6, "a b"), (7, "")], "k int, phrase string")
+    found = retrieve.phrase_hits(docs, asked, ["k"])
+    assert sorted((r.k, r.doc_id) for r in found.collect()) == [(0, 1), (1, 1), (2, 1), (4, 1), (4, 2), (5, 1), (5, 2), (6, 1), (6, 1), (6, 3), (6, 3)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert most == 0 or plan.count("LogicalRDD") == 3  # phrases for the answer, for the lookup; texts once
+
+
 def test_excerpts_stop_once_the_budget_is_used(spark):
     docs = spark.createDataFrame([("g", i, f"t{i}", "x" * 50) for i in range(5)] + [("h", 1, None, None)], "g string, i int, title string, abstract string")
     got = {r.g: r.excerpt for r in retrieve.excerpts(docs, ["i"], "g", most_docs=4, most_chars=20, most_abstract=10).collect()}
