@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import lowered
+from ..sources.shared import written
 
 K1, B = 1.2, 0.75
 #: Words of a phrase that are looked up at once, and phrases up to which the texts aren't shuffled.
@@ -79,6 +80,24 @@ def search(index: DataFrame, lens: DataFrame | None, queries: DataFrame, n_docs:
     return ranked.where(F.col("rank") <= limit) if limit else ranked
 
 
+def term_counts(articles: DataFrame, terms: list[str]) -> tuple[DataFrame, int, float]:
+    """(term, doc_id, tf, len) of a few terms, the number of documents, and the mean length of those with words: what ``search`` needs, from one pass over the texts.
+
+    Texts are not shuffled and no index is stored; a document leaves its length
+    and its words among ``terms``.  ValueError for a doc_id that repeats or is null.
+    """
+    words = F.regexp_extract_all(body(articles), F.lit("([a-z0-9]+)"), 1)
+    asked = F.filter("_w", lambda w: w.isin(sorted(set(terms))))
+    split = articles.select("doc_id", words.alias("_w"))
+    docs = written(split.select("doc_id", F.size("_w").cast("long").alias("len"), asked.alias("found")), "term-counts")
+    told = docs.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("known"), F.avg(F.when(F.col("len") > 0, F.col("len"))).alias("mean")).first()
+    if told["known"] < told["n"] or not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        raise ValueError("doc_id must be known and unique")
+    each = docs.select("doc_id", "len", "found", F.explode(F.array_distinct("found")).alias("term"))
+    tf = F.size(F.filter("found", lambda w: w == F.col("term"))).cast("long")
+    return each.select("term", "doc_id", tf.alias("tf"), "len"), told["n"], told["mean"] or 1.0
+
+
 def pooled_hits(found: DataFrame, *by: str) -> DataFrame:
     """Per document: queries that found it, best score, sum of reciprocal ranks."""
     return found.groupBy(*by, "doc_id").agg(F.count(F.lit(1)).alias("hits"), F.max("score").alias("best"), F.sum(1.0 / F.col("rank")).alias("score_agg"), F.array_sort(F.collect_set("query_id")).alias("queries"))

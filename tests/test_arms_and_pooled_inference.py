@@ -203,6 +203,16 @@ def test_phrases_are_found_without_an_index(spark, monkeypatch, most):
     assert most == 0 or plan.count("LogicalRDD") == 3  # phrases for the answer, for the lookup; texts once
 
 
+def test_term_counts_need_no_index(spark):
+    docs = spark.createDataFrame([(1, "Beta beta cells.", "of", None), (2, None, "cells BETA", "m"), (3, "", None, None)], "doc_id int, title string, abstract string, mesh string")
+    rows, n, mean = retrieve.term_counts(docs, ["beta", "of", "none", "beta"])
+    assert sorted(map(tuple, rows.select("doc_id", "term", "tf", "len").collect())) == [(1, "beta", 2, 4), (1, "of", 1, 4), (2, "beta", 1, 3)]
+    assert (n, mean) == (3, 3.5)
+    for bad in (docs.union(docs.limit(1)), docs.withColumn("doc_id", F.lit(None).cast("int"))):
+        with pytest.raises(ValueError):
+            retrieve.term_counts(bad, ["beta"])
+
+
 def test_excerpts_stop_once_the_budget_is_used(spark):
     docs = spark.createDataFrame([("g", i, f"t{i}", "x" * 50) for i in range(5)] + [("h", 1, None, None)], "g string, i int, title string, abstract string")
     got = {r.g: r.excerpt for r in retrieve.excerpts(docs, ["i"], "g", most_docs=4, most_chars=20, most_abstract=10).collect()}
