@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from donorlake import schema
 from donorlake.operators import arms, gram, infer, prep, report, retrieve
+from tests.conftest import SF
 
 
 def _fold(spark, n=24, p=40, signal=0.0, seed=1):
@@ -203,6 +204,18 @@ def test_phrases_are_found_without_an_index(spark, monkeypatch, most):
     assert most == 0 or plan.count("LogicalRDD") == 3  # phrases for the answer, for the lookup; texts once
 
 
+def test_transfer_reads_counts_once(spark, monkeypatch):
+    """Both cohorts' counts are normalised in one pass, and what follows reads donor means."""
+    from donorlake.operators import joins
+    from donorlake.plans import cohorts
+
+    made, logged = [], joins.logged
+    monkeypatch.setattr(joins, "logged", lambda rows: made.append(rows) or logged(rows))
+    report, gap, cover = cohorts._transferred(spark, SF, ["B1"])["B1"]
+    assert len(made) == 1
+    assert not any("lineitem" in f for t in (report, gap, cover) for f in t.inputFiles())
+
+
 def test_term_counts_need_no_index(spark):
     docs = spark.createDataFrame([(1, "Beta beta cells.", "of", None), (2, None, "cells BETA", "m"), (3, "", None, None)], "doc_id int, title string, abstract string, mesh string")
     rows, n, mean = retrieve.term_counts(docs, ["beta", "of", "none", "beta"])
