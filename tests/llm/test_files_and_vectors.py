@@ -194,6 +194,52 @@ def test_comparisons_hold_asked_corners_only(spark):
         assert op04_media.agreeing_of_many(have[x], many, least) == alone and sum(n > 0 for n in alone) >= 4
 
 
+def test_keys_go_in_blocks(spark, monkeypatch):
+    """Blocks hold every key of every image, in fewer than 12 bytes (rows of two longs: 16), and make the pairs of the plain rows; the shuffle option is as it was."""
+    rng = np.random.default_rng(16)
+    base = [np.kron(rng.integers(0, 256, (40, 40)), np.ones((5, 5))) for _ in range(4)]
+    rows = [(i, pgm(np.clip(base[i % 4] + rng.normal(0, 3, (200, 200)), 0, 255))) for i in range(40)]
+    nodes, folder = stored(spark, spark.createDataFrame(rows, "image_id long, media binary").coalesce(2))
+    plain = op04_media.filed(nodes, folder)
+    want = sorted(tuple(r) for r in plain.collect())
+    for buckets in (1, 7, 100):
+        blocks = op04_media.packed(nodes, folder, buckets).collect()
+        have = [op04_media._unpacked(*b, buckets) for b in blocks]
+        assert sorted((k, n) for keys, names in have for k, n in zip(keys.tolist(), names.tolist())) == want
+        assert all(((keys >> op04_media._LOW) % buckets == b.bucket).all() for b, (keys, _) in zip(blocks, have))
+    assert sum(len(b.block) + len(b.nodes) for b in op04_media.packed(nodes, folder, 100).collect()) < 12 * len(want)
+    for dense in (64, 5):
+        monkeypatch.setattr(op04_media, "DENSE", dense)
+        pairs = [{(r.a, r.b, r.star): r.n for r in m.groupBy("a", "b", "star").agg(F.sum("n").alias("n")).collect()} for m in (op04_media._pairs(plain, False), op04_media.met_once(nodes, folder))]
+        assert pairs[0] == pairs[1] and len(pairs[0]) > 100
+    was = spark.conf.get(op04_media.TIDY)
+    monkeypatch.setattr(op04_media, "filed", None)  # dense keys are known from the first pass
+    assert op04_media.links(nodes, folder).count() >= 4 * 45
+    assert spark.conf.get(op04_media.TIDY) == was
+
+
+def test_comparisons_of_repeating_pictures(spark):
+    """Corners with the same descriptor, many in an image: matches as by the plain definition."""
+    rng = np.random.default_rng(17)
+    corners = np.zeros(90, op04_media.CORNER)
+    kinds = rng.integers(0, 2**63, (6, 2), dtype=np.uint64)
+    images = []
+    for _ in range(5):
+        c = corners.copy()
+        c["x"], c["y"], c["d"] = rng.integers(0, 999, 90), rng.integers(0, 999, 90), kinds[rng.integers(0, 6, 90)]
+        c["d"][:, 0] ^= np.uint64(1) << rng.integers(0, 12, 90, dtype=np.uint64)
+        images.append(c)
+    compared = op04_media.Compared(images)
+    k, i, j = compared._mutual(0, np.array([1, 3, 4]))
+    got = list(zip(k.tolist(), (i - compared.starts[0]).tolist(), j.tolist()))
+    want = []
+    for n, y in enumerate((1, 3, 4)):
+        far = np.bitwise_count(images[0]["d"][:, None] ^ images[y]["d"][None]).sum(axis=2)
+        best = (far == far.min(axis=1, keepdims=True)) & (far == far.min(axis=0, keepdims=True)) & (far <= op04_media.DISTANCE)
+        want += [(n, a, b + 90 * y) for a, b in zip(*(x.tolist() for x in np.nonzero(best)))]
+    assert got == want and len(got) > 500
+
+
 def test_dense_keys_lose_nothing(spark, monkeypatch):
     rng = np.random.default_rng(14)
     one = np.kron(rng.integers(0, 256, (20, 20)), np.ones((5, 5)))
