@@ -47,7 +47,7 @@ def mean_text_vectors(spark, root):
 def text_banks(spark, root, obs, expr) -> dict[str, dict[str, np.ndarray]]:
     """Class vectors of the text arms: one-hot (T0), random (T1), marker captions (T2), retrieved texts (T3, a source for each class), and T2's dealt anew (N2)."""
     kinds = obs.select("cell_type").distinct()
-    as_bank = lambda rows, key: {r[key]: np.array(r["vector"], float) for r in rows.collect()}  # noqa: E731  a row for each class
+    as_bank = lambda rows, key: {r[key]: np.nan_to_num(np.array(r["vector"], float)) for r in rows.collect()}  # noqa: E731  a row for each class; a text without a direction is zeros here
     top = markers.top_n(markers.mean_difference(expr, obs), "diff", 4, "class")
     listed = captions.class_captions(top, 4)
     sources = retrieve.excerpts(cohort.articles(spark, root), ["doc_id"], "mesh")

@@ -51,6 +51,28 @@ def test_text_vectors_of_any_letters_equal_their_sql(spark, tmp_path):
         assert sorted(map(tuple, got)) == sorted(want.fetchall())
 
 
+def test_words_that_cancel_out_equal_their_sql(spark, tmp_path):
+    """A text whose words cancel each other out has no direction: NaN at their place, which its source's mean has too."""
+    import duckdb
+
+    from donorlake.plans import catalogue
+
+    at = {}
+    for k in range(500):
+        h = int(hashlib.md5(f"w{k}|0".encode()).hexdigest()[:8], 16)
+        at.setdefault((h % 32, h // 32 % 2), f"w{k}")
+    place = next(p for p in range(32) if (p, 0) in at and (p, 1) in at)
+    gone = f"{at[place, 0]} {at[place, 1]}"
+    rows = [(1, gone, "en", "a"), (2, f"{gone} other words", "en", "a"), (3, "other", "en", "b"), (4, None, None, "b")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    duckdb.sql(f"CREATE OR REPLACE TEMP VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("text_vectors", "mean_text_vectors"):
+        want = duckdb.sql(catalogue.ORACLES[name])
+        got = catalogue.QUERIES[name](spark, str(tmp_path)).select(want.columns).collect()
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall()))
+        assert sum(np.isnan(r.value) for r in got) == 1
+
+
 def test_two_writers(spark):
     """Both read the same state and project the same text; the second to publish leaves it out."""
     path = shared.folder(spark, "test-vectors")
