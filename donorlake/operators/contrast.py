@@ -2,15 +2,14 @@
 
 A cell's features are mapped to the text space, and the map is trained so that
 the cosine with its own class's vector stands out among all classes' (softmax
-over the bank, at a temperature).  Each round is one job: partitions sum the
-gradient and the loss of their cells, a tree of shuffles adds them up, the driver
-takes the step and broadcasts the weights.  A step that doesn't lower the loss
-is taken back and halved, so the accepted losses fall.
+over the bank, at a temperature).  Each round is one job for all arms: partitions
+read their cells once and sum each arm's gradient and loss, a tree of shuffles
+adds them up, the driver takes the steps and broadcasts the weights.  A step that
+doesn't lower the loss is taken back and halved, so the accepted losses fall.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,8 +24,8 @@ from .gram import STRIPS, added_up
 #: Features of the map; choose variable genes first.
 MOST_FEATURES = 20_000
 ROWS, STRIP = 512, 1 << 16
-#: Arms that are trained side by side.
-AT_ONCE = 4
+#: Numbers of donors' sums that a task holds.
+HELD = 1 << 21
 
 
 @dataclass
@@ -77,57 +76,83 @@ def start(dims: int, width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(cells: DataFrame, bank: np.ndarray, width: int, seed: int = 0, rounds: int = 20, rate: float = 0.1, temperature: float = 0.07, least_gain: float = 1e-4) -> Trained:
-    """The map for ``cells(label, at, x)``; ``bank`` has a unit vector for each label.
+    """The map for ``cells(label, at, x)``; ``bank`` has a unit vector for each label.  See ``train_all``."""
+    return train_all(cells, [(bank, np.arange(len(bank)))], width, seed, rounds, rate, temperature, least_gain)[0]
 
-    Ends after ``rounds`` jobs, or when a step gains less than ``least_gain`` of
-    the loss, or is halved below a millionth.  No cells: the starting map.
+
+def train_all(cells: DataFrame, banks: list[tuple[np.ndarray, np.ndarray]], width: int, seed: int = 0, rounds: int = 20, rate: float = 0.1, temperature: float = 0.07, least_gain: float = 1e-4) -> list[Trained]:
+    """A map for each bank from ``cells(label, at, x)``, as if it were trained alone; all read the cells in the same jobs.
+
+    A bank has unit vectors, and for each label the place of its vector or -1,
+    whose cells it isn't trained on.  A map ends after ``rounds`` jobs, or when a
+    step gains less than ``least_gain`` of the loss, or is halved below a
+    millionth.  No cells: the starting map.
     """
     spark = cells.sparkSession
     ship(spark)
-    bank = bank / np.maximum(np.linalg.norm(bank, axis=1, keepdims=True), 1e-12)
+    banks = [(bank / np.maximum(np.linalg.norm(bank, axis=1, keepdims=True), 1e-12), place) for bank, place in banks]
     rows = cells.select("label", "at", "x")
     partitions = max(2, rows.rdd.getNumPartitions())
 
-    def summed(w: np.ndarray, c: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        now = spark.sparkContext.broadcast((w, c, bank))
+    def summed(asked: dict[int, tuple[np.ndarray, np.ndarray]]) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
+        now = spark.sparkContext.broadcast([(*asked[k], *banks[k]) for k in asked])
 
         def work(batches):
-            w, c, bank = now.value
-            total, n = np.zeros(w.size + len(c) + 2), 0
+            maps = now.value
+            totals, seen = [np.zeros(w.size + len(c) + 2) for w, c, _, _ in maps], 0
             for b in batches:
                 for lo in range(0, b.num_rows, ROWS):
                     part = b.slice(lo, ROWS)
-                    loss, dw, dc = loss_and_gradient(_dense(part, w.shape[1]), part.column(0).to_numpy(), bank, w, c, temperature)
-                    total += np.concatenate([dw.ravel(), dc, [loss, part.num_rows]])
-                    n += part.num_rows
-            if n:
+                    every, label = _dense(part, width), part.column(0).to_numpy()
+                    seen += part.num_rows
+                    for total, (w, c, bank, place) in zip(totals, maps):
+                        at = place[label]
+                        own = at >= 0
+                        x, at = (every, at) if own.all() else (every[own], at[own])
+                        loss, dw, dc = loss_and_gradient(x, at, bank, w, c, temperature)
+                        total[: w.size] += dw.ravel()
+                        total[w.size : -2] += dc
+                        total[-2:] += loss, len(x)
+            if seen:
+                total = np.concatenate(totals)
                 cuts = range(0, len(total), STRIP)
                 yield pa.RecordBatch.from_pydict({"strip": pa.array([k // STRIP for k in cuts], pa.int32()), "part": pa.array([TaskContext.get().partitionId()] * len(cuts), pa.int32()), "m": pa.array([total[k : k + STRIP].tobytes() for k in cuts], pa.binary())})
 
         got = added_up(rows.mapInArrow(work, STRIPS), partitions)
         now.unpersist()
-        if not got:
-            return 0.0, np.zeros_like(w), np.zeros_like(c)
-        flat = np.concatenate([got[k] for k in sorted(got)])
-        n = max(1.0, flat[-1])
-        return float(flat[-2] / n), flat[: w.size].reshape(w.shape) / n, flat[w.size : -2] / n
-
-    w, c = start(bank.shape[1], width, seed)
-    loss, dw, dc = summed(w, c)
-    history = [loss]
+        flat, out, at = np.concatenate([got[k] for k in sorted(got)]) if got else None, {}, 0
+        for k, (w, c) in asked.items():
+            own = np.zeros(w.size + len(c) + 2) if flat is None else flat[at : at + w.size + len(c) + 2]
+            at, n = at + len(own), max(1.0, own[-1])
+            out[k] = float(own[-2] / n), own[: w.size].reshape(w.shape) / n, own[w.size : -2] / n
+        return out
+
+    made = [Trained(*start(bank.shape[1], width, seed)) for bank, _ in banks]
+    now = summed({k: (m.weights, m.bias) for k, m in enumerate(made)})
+    for k, m in enumerate(made):
+        m.history.append(now[k][0])
+    rates = dict.fromkeys(range(len(made)), rate)  # of the maps that go on
     for _ in range(rounds):
-        new_w, new_c = w - rate * dw, c - rate * dc
-        got = summed(new_w, new_c)
-        if not got[0] < loss:
-            rate /= 2
-            if rate < 1e-6:
-                break
-            continue
-        gain, (loss, dw, dc), w, c = (loss - got[0]) / max(abs(loss), 1e-12), got, new_w, new_c
-        history.append(loss)
-        if gain < least_gain:
+        if not rates:
             break
-    return Trained(w, c, history)
+        asked = {k: (made[k].weights - r * now[k][1], made[k].bias - r * now[k][2]) for k, r in rates.items()}
+        for k, got in summed(asked).items():
+            loss = now[k][0]
+            if not got[0] < loss:
+                rates[k] /= 2
+                if rates[k] < 1e-6:
+                    del rates[k]
+                continue
+            now[k], made[k].weights, made[k].bias = got, *asked[k]
+            made[k].history.append(got[0])
+            if (loss - got[0]) / max(abs(loss), 1e-12) < least_gain:
+                del rates[k]
+    return made
+
+
+def _unit(x: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    z = x @ weights.T + bias
+    return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
 
 
 def encoded(cells: DataFrame, trained: Trained) -> DataFrame:
@@ -143,29 +168,87 @@ def encoded(cells: DataFrame, trained: Trained) -> DataFrame:
         for b in batches:
             for lo in range(0, b.num_rows, ROWS):
                 part = b.slice(lo, ROWS)
-                z = _dense(part, w.shape[1]) @ w.T + c
-                z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+                z = _unit(_dense(part, w.shape[1]), w, c)
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(k)) for k in keep), pa.FixedSizeListArray.from_arrays(pa.array(z.ravel()), z.shape[1]).cast(pa.list_(pa.float64()))], names=[*keep, "embedding"])
 
     return cells.mapInArrow(work, shape)
 
 
+_SUMS = "donor_id string, n double, m binary"
+
+
+def _sums(held: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """The donors' numbers of cells (held first) and sums."""
+    return pa.RecordBatch.from_pydict({"donor_id": pa.array(list(held), pa.string()), "n": pa.array([m[0] for m in held.values()], pa.float64()), "m": pa.array([m[1:].tobytes() for m in held.values()], pa.binary())})
+
+
+def donor_means(cells: DataFrame, trained: list[Trained]) -> DataFrame:
+    """(donor_id, mean): each donor's mean of ``encoded`` by each map, one after the other, from one pass over ``cells(donor_id, at, x)``.
+
+    Tasks add up their own cells, so what moves is a row for a donor and a task.
+    """
+    spark = cells.sparkSession
+    ship(spark)
+    now = spark.sparkContext.broadcast([(t.weights, t.bias) for t in trained])
+    dims = sum(len(t.bias) for t in trained)
+    most = max(1, HELD // (dims + 1))
+
+    def work(batches):
+        maps, held = now.value, {}
+        for b in batches:
+            for lo in range(0, b.num_rows, ROWS):
+                part = b.slice(lo, ROWS)
+                x, coded = _dense(part, maps[0][0].shape[1]), part.column(0).dictionary_encode()
+                codes, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+                order = np.argsort(codes, kind="stable")
+                z = np.concatenate([np.ones((len(x), 1)), *(_unit(x, w, c) for w, c in maps)], axis=1)
+                sums = np.add.reduceat(z[order], np.searchsorted(codes[order], np.arange(len(names))))
+                if len(held) + len(names) > most and held:
+                    yield _sums(held)
+                    held = {}
+                for name, m in zip(names, sums):
+                    held[name] = held[name] + m if name in held else m
+        if held:
+            yield _sums(held)
+
+    def added(batches):
+        held = {}
+        for b in batches:
+            for name, n, m in zip(*(c.to_pylist() for c in b.columns)):
+                if name not in held and len(held) >= most:  # rows stand by donor
+                    yield mean(held)
+                    held = {}
+                m = np.concatenate([[n], np.frombuffer(m)])
+                held[name] = held[name] + m if name in held else m
+        if held:
+            yield mean(held)
+
+    def mean(held):
+        flat = np.concatenate([m[1:] / m[0] for m in held.values()])
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.FixedSizeListArray.from_arrays(pa.array(flat), dims).cast(pa.list_(pa.float64()))], names=["donor_id", "mean"])
+
+    parts = cells.select("donor_id", "at", "x").mapInArrow(work, _SUMS)
+    return parts.repartition("donor_id").sortWithinPartitions("donor_id").mapInArrow(added, "donor_id string, mean array<double>")
+
+
 def donor_block(expr: DataFrame, cells: DataFrame, donors: DataFrame, genes: list[str], banks: dict[str, dict[str, np.ndarray]], seed: int = 0, rounds: int = 20) -> tuple[dict[str, DataFrame], dict[str, Trained]]:
     """{arm: features(donor_id, feature, value)} and the trained maps, for ``banks`` {arm: {class: vector}}.
 
     Cells of train donors whose class the bank has are trained on; a donor's
     features are the mean of its cells' embeddings.
     """
+    if not banks:
+        return {}, {}
     spark = expr.sparkSession
     rows = written(cell_rows(expr, cells.join(donors.select("donor_id", "is_test"), "donor_id"), genes), "cells")
-
-    def fitted(arm: str) -> tuple[DataFrame, Trained]:
-        classes = sorted(banks[arm])
-        labels = F.broadcast(spark.createDataFrame([(k, i) for i, k in enumerate(classes)], "cell_type string, label int"))  # a row for each class
-        made = train(rows.where("not is_test").join(labels, "cell_type"), np.array([banks[arm][k] for k in classes]), len(genes), seed, rounds)
-        flat = encoded(rows.select("donor_id", "at", "x"), made).select("donor_id", F.posexplode("embedding").alias("feature", "value"))
-        return written(flat.groupBy("donor_id", F.col("feature").cast("string").alias("feature")).agg(F.avg("value").alias("value")), "text-arm"), made
-
-    with ThreadPoolExecutor(AT_ONCE) as pool:  # arms wait for their own rounds only
-        got = dict(zip(banks, pool.map(fitted, banks)))
-    return {arm: g[0] for arm, g in got.items()}, {arm: g[1] for arm, g in got.items()}
+    classes = sorted(set().union(*banks.values()))
+    labels = F.broadcast(spark.createDataFrame([(k, i) for i, k in enumerate(classes)], "cell_type string, label int"))  # a row for each class
+    own = {arm: sorted(bank) for arm, bank in banks.items()}
+    given = [(np.array([banks[arm][k] for k in own[arm]]), np.array([own[arm].index(k) if k in banks[arm] else -1 for k in classes])) for arm in banks]
+    made = train_all(rows.where("not is_test").join(labels, "cell_type"), given, len(genes), seed, rounds)
+    means = written(donor_means(rows, made), "text-arms")
+    blocks, at = {}, 0
+    for arm, t in zip(banks, made):
+        flat = means.select("donor_id", F.posexplode(F.slice("mean", at + 1, len(t.bias))).alias("feature", "value"))
+        blocks[arm], at = flat.withColumn("feature", F.col("feature").cast("string")), at + len(t.bias)
+    return blocks, dict(zip(banks, made))

@@ -46,22 +46,22 @@ def mean_text_vectors(spark, root):
 
 def text_banks(spark, root, obs, expr) -> dict[str, dict[str, np.ndarray]]:
     """Class vectors of the text arms: one-hot (T0), random (T1), marker captions (T2), retrieved texts (T3, a source for each class), and T2's dealt anew (N2)."""
-    kinds = obs.select("cell_type").distinct()
-    as_bank = lambda rows, key: {r[key]: np.nan_to_num(np.array(r["vector"], float)) for r in rows.collect()}  # noqa: E731  a row for each class; a text without a direction is zeros here
+    kinds = shared.written(obs.select("cell_type").distinct(), "kinds")
+    as_bank = lambda rows, key: {r[key]: np.nan_to_num(np.array(r["vector"], float)) for r in rows}  # noqa: E731  a row for each class; a text without a direction is zeros here
     top = markers.top_n(markers.mean_difference(expr, obs), "diff", 4, "class")
-    listed = captions.class_captions(top, 4)
+    listed = shared.written(captions.class_captions(top, 4).select("class", "caption"), "captions")
     sources = retrieve.excerpts(cohort.articles(spark, root), ["doc_id"], "mesh")
     number = F.row_number().over(_by("mesh")).alias("k")
     places = kinds.select("cell_type", F.row_number().over(_by("cell_type")).alias("k"))  # a row for each class
     told = places.join(sources.select("excerpt", number), "k").select(F.col("cell_type").alias("class"), F.col("excerpt").alias("caption"))
-    cache = text_cache(spark)
-    seen = lambda rows: as_bank(cache.vectors(rows.select("class", F.col("caption").alias("text"))), "class")
+    texts = {"T2": listed, "T3": told, "N2": infer.permuted(listed, "class", "caption", 1, 888)}
+    named = [t.select(F.lit(arm).alias("arm"), "class", F.col("caption").alias("text")) for arm, t in texts.items()]
+    every = shared.written(named[0].unionByName(named[1]).unionByName(named[2]), "texts")
+    seen = text_cache(spark).vectors(every).collect()  # a row for each class and arm
     return {
-        "T0": as_bank(features.onehot_prototypes(kinds, "cell_type"), "cell_type"),
-        "T1": as_bank(features.random_prototypes(kinds, "cell_type", DIM, 3), "cell_type"),
-        "T2": seen(listed),
-        "T3": seen(told),
-        "N2": seen(infer.permuted(listed, "class", "caption", 1, 888)),
+        "T0": as_bank(features.onehot_prototypes(kinds, "cell_type").collect(), "cell_type"),
+        "T1": as_bank(features.random_prototypes(kinds, "cell_type", DIM, 3).collect(), "cell_type"),
+        **{arm: as_bank([r for r in seen if r["arm"] == arm], "class") for arm in texts},
     }
 
 
@@ -74,12 +74,15 @@ def _by(name: str):
 @query()
 def text_arms(spark, root):
     """Text arms of a fold beside composition, by the linear stand-in; training has no SQL, it is held against numpy in the tests."""
-    donors, shares, _ = _fold(spark, root)
-    obs, expr = cohort.obs(spark, root), cohort.expr(spark, root)
+    # cells and counts are made once; all that follows reads them
+    obs, expr = shared.written(cohort.obs(spark, root), "obs"), shared.written(cohort.expr(spark, root), "expr")
+    donors, shares, _ = _fold(spark, root, obs, expr)
+    donors = shared.written(donors, "fold")
     train = obs.join(donors.where("not is_test").select("donor_id"), "donor_id", "left_semi")
-    banks = text_banks(spark, root, train, expr.join(train.select("cell_id"), "cell_id", "left_semi"))
+    known = expr.join(train.select("cell_id"), "cell_id", "left_semi")
+    banks = text_banks(spark, root, train, known)
     logged = expr.withColumn("value", F.log1p("value"))
-    genes = [r[0] for r in expr.join(train.select("cell_id"), "cell_id", "left_semi").select("gene").distinct().orderBy("gene").limit(contrast.MOST_FEATURES + 1).collect()]
+    genes = [r[0] for r in known.select("gene").distinct().orderBy("gene").limit(contrast.MOST_FEATURES + 1).collect()]
     blocks, _ = contrast.donor_block(logged, obs.select("cell_id", "donor_id", "cell_type"), donors, genes, banks, seed=3, rounds=4)
     got = arms.run_fold(donors, {"B0": shares, **blocks}, ["B0", *blocks], captioned=list(banks))
     return got.select("arm", "donor_id", (F.round("observed", 4) + 0.0).alias("observed"), (F.round("predicted", 4) + 0.0).alias("predicted"))

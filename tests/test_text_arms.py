@@ -145,6 +145,35 @@ def test_trained_map(spark):
     assert np.allclose(none.weights, contrast.start(d, p, 2)[0])
 
 
+def test_arms_share_their_passes(spark, monkeypatch):
+    """All arms read the cells in the same jobs, and each gets what it would get alone."""
+    rng = np.random.default_rng(8)
+    n, p, kinds = 90, 6, ["a", "b", "c"]
+    x = np.where(rng.random((n, p)) < 0.6, rng.random((n, p)), 0)
+    x[np.arange(n), np.arange(n) % 3] += 2
+    expr = spark.createDataFrame([(int(i), f"g{j}", float(x[i, j])) for i, j in zip(*np.nonzero(x))], "cell_id long, gene string, value double")
+    cells = spark.createDataFrame([(i, f"d{i % 7}", kinds[i % 3]) for i in range(n)], "cell_id long, donor_id string, cell_type string").repartition(4)
+    donors = spark.createDataFrame([(f"d{i}", i > 4) for i in range(7)], "donor_id string, is_test boolean")
+    banks = {"one": {k: rng.normal(size=4) for k in kinds}, "two": {k: rng.normal(size=3) for k in kinds}, "lacks": {k: rng.normal(size=4) for k in "ab"}}
+    calls, added = [], contrast.added_up
+    monkeypatch.setattr(contrast, "added_up", lambda *a: calls.append(1) or added(*a))
+    genes = [f"g{j}" for j in range(p)]
+    blocks, made = contrast.donor_block(expr, cells, donors, genes, banks, seed=2, rounds=3)
+    assert len(calls) == 4  # the start and three rounds, whatever the number of arms
+    rows = contrast.cell_rows(expr, cells.join(donors, "donor_id"), genes)
+    for arm, bank in banks.items():
+        labels = spark.createDataFrame([(k, i) for i, k in enumerate(sorted(bank))], "cell_type string, label int")
+        alone = contrast.train(rows.where("not is_test").join(labels, "cell_type"), np.array([bank[k] for k in sorted(bank)]), p, 2, 3)
+        assert np.allclose(made[arm].weights, alone.weights) and np.allclose(made[arm].bias, alone.bias) and np.allclose(made[arm].history, alone.history)
+        want = {r.donor_id: np.array(r.vector) for r in vectors.mean_vectors(contrast.encoded(rows.select("donor_id", "at", "x"), alone).withColumnRenamed("embedding", "vector"), "donor_id").collect()}
+        got = {(r.donor_id, int(r.feature)): r.value for r in blocks[arm].collect()}
+        assert len(got) == 7 * len(bank[min(bank)]) and all(got[d, k] == pytest.approx(v) for d, m in want.items() for k, v in enumerate(m))
+    monkeypatch.setattr(contrast, "HELD", 1)  # a donor at a time
+    few = contrast.donor_means(rows, list(made.values())).collect()
+    assert sorted(r.donor_id for r in few) == [f"d{i}" for i in range(7)]
+    assert all(np.allclose(r["mean"][:4], [b.value for b in sorted(blocks["one"].where(F.col("donor_id") == r.donor_id).collect(), key=lambda b: int(b.feature))]) for r in few)
+
+
 def test_differences_over_blocks(spark):
     rng = np.random.default_rng(1)
     rows = [(b, f"{b}{i}", float(i), float(i) + rng.normal() * 0.1, float(rng.normal())) for b in ("x", "y") for i in range(12)] + [("z", "z1", 1.0, 1.0, 2.0)]
