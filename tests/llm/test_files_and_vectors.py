@@ -218,6 +218,25 @@ def test_keys_go_in_blocks(spark, monkeypatch):
     assert spark.conf.get(op04_media.TIDY) == was
 
 
+def test_a_bucket_is_unpacked_in_parts(spark, monkeypatch):
+    """However many keys a bucket has, a bounded part of it is unpacked at once, with all images of its keys."""
+    rng = np.random.default_rng(18)
+    rows = [(i, pgm(np.kron(rng.integers(0, 256, (40, 40)), np.ones((5, 5))))) for i in range(30)]
+    rows += [(100 + i, media) for i, media in rows]
+    nodes, folder = stored(spark, spark.createDataFrame(rows, "image_id long, media binary").coalesce(3))
+    monkeypatch.setattr(op04_media, "ROWS", 500)
+    for buckets in (1, 3):
+        blocks = {}
+        for b in op04_media.packed(nodes, folder, buckets).collect():
+            blocks.setdefault(b.bucket, []).append((bytes(b.nodes), bytes(b.block)))
+        for bucket, have in blocks.items():
+            whole = sorted((k, n) for x in have for k, n in zip(*(c.tolist() for c in op04_media._unpacked(bucket, *x, buckets))))
+            parts = [list(zip(*(c.tolist() for c in p))) for p in op04_media._in_parts(bucket, have, buckets)]
+            assert len(parts) > 5 and max(map(len, parts)) < 600
+            assert sorted(r for p in parts for r in p) == whole
+            assert sum(len({k for k, _ in p}) for p in parts) == len({k for k, _ in whole})  # no key is parted
+
+
 def test_comparisons_of_repeating_pictures(spark):
     """Corners with the same descriptor, many in an image: matches as by the plain definition."""
     rng = np.random.default_rng(17)
